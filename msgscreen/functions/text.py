@@ -42,9 +42,12 @@ def _cap(x: Column, div: float) -> Column:
     return F.least(x / F.lit(div), F.lit(1.0))
 
 
-def text_features(text: Column) -> Column:
-    """H1: struct of the 10 text features, each in [0, 1]."""
-    low = F.lower(text)
+def text_feature_columns(text: Column, low: Column | None = None) -> dict[str, Column]:
+    """H1: the 10 text features (name -> Column), each in [0, 1].
+
+    ``low`` is ``lower(text)``; pass a precomputed column so the ~70 substring
+    tests share one lower-casing pass."""
+    low = F.lower(text) if low is None else low
     n = F.length(text)
     feats = {
         "length_score": (F.when(n < 20, F.lit(0.3)).when(n > 200, F.lit(0.4))
@@ -60,34 +63,41 @@ def text_features(text: Column) -> Column:
         "urgency_score": _cap(_hits(low, D.URGENCY_WORDS), 2.0),
         "money_score": _cap(_hits(low, D.MONEY_TOKENS), 2.0),
     }
-    return F.struct(*[v.alias(k) for k, v in feats.items()])
+    return feats
+
 
+def text_features(text: Column, low: Column | None = None) -> Column:
+    """H1 as one struct column (for ad-hoc use; jobs use flat columns)."""
+    return F.struct(*[v.alias(k) for k, v in text_feature_columns(text, low).items()])
 
-def otp_gate(text: Column, url_level: Column) -> Column:
+
+def otp_gate(text: Column, url_level: Column, low: Column | None = None) -> Column:
     """H2: a legitimate one-time-code message (never flagged).
 
     ``url_level`` is the message's URL risk level (none/low/medium/high).
     """
-    low = F.lower(text)
+    low = F.lower(text) if low is None else low
     return (_any(low, D.OTP_PHRASES)
             & text.rlike(D.OTP_CODE_PATTERN)
             & ~url_level.isin("high", "medium")
             & ~_any(low, D.ANTI_OTP_PHRASES))
 
 
-def spam_score(tf: Column, uf: Column) -> Column:
-    """H3: clamp(sum(weight * feature) / 10) with the fixed summation order."""
+def spam_score(tf, uf) -> Column:
+    """H3: clamp(sum(weight * feature) / 10) with the fixed summation order.
+
+    ``tf`` / ``uf`` map a feature name to its Column (e.g. ``F.col``)."""
     s = F.lit(0.0)
     for i, (k, w) in enumerate(D.SCORE_WEIGHTS):
         src = tf if i < 10 else uf
-        s = s + src[k] * F.lit(w)
+        s = s + src(k) * F.lit(w)
     return F.greatest(F.lit(0.0), F.least(s / F.lit(D.SCORE_DIVISOR), F.lit(1.0)))
 
 
-def label(score: Column, tf: Column, uf: Column, otp: Column) -> Column:
+def label(score: Column, tf, uf, otp: Column) -> Column:
     """H4: ham / spam / smishing."""
-    smish = ((tf["smishing_keywords"] > 0.2) | (uf["max_url_risk"] > 0.5)
-             | (uf["has_shortener"] > 0))
+    smish = ((tf("smishing_keywords") > 0.2) | (uf("max_url_risk") > 0.5)
+             | (uf("has_shortener") > 0))
     return (F.when(otp, F.lit("ham"))
             .when(score < D.HAM_BELOW, F.lit("ham"))
             .when(score > D.SMISHING_ABOVE, F.when(smish, F.lit("smishing")).otherwise(F.lit("spam")))
@@ -112,30 +122,30 @@ def risk_level(score: Column, otp: Column) -> Column:
             .otherwise(F.lit("safe")))
 
 
-def reasoning(tf: Column, uf: Column, otp: Column) -> Column:
+def reasoning(tf, uf, otp: Column) -> Column:
     """H6: fixed reason strings in fixed order joined by ', '."""
     parts = F.array_compact(F.array(
-        F.when(tf["smishing_keywords"] > 0.3, F.lit(D.REASON_SMISHING)),
-        F.when(tf["spam_keywords"] > 0.3, F.lit(D.REASON_SPAM)),
-        F.when(tf["urgency_score"] > 0.5, F.lit(D.REASON_URGENT)),
-        F.when(tf["legitimate_patterns"] > 0.5, F.lit(D.REASON_LEGIT)),
-        F.when((uf["has_urls"] != 0) & (uf["max_url_risk"] > 0.5), F.lit(D.REASON_URL)),
-        F.when(uf["has_shortener"] != 0, F.lit(D.REASON_SHORTENER)),
-        F.when(uf["has_legitimate_domain"] != 0, F.lit(D.REASON_LEGIT_DOMAIN)),
+        F.when(tf("smishing_keywords") > 0.3, F.lit(D.REASON_SMISHING)),
+        F.when(tf("spam_keywords") > 0.3, F.lit(D.REASON_SPAM)),
+        F.when(tf("urgency_score") > 0.5, F.lit(D.REASON_URGENT)),
+        F.when(tf("legitimate_patterns") > 0.5, F.lit(D.REASON_LEGIT)),
+        F.when((uf("has_urls") != 0) & (uf("max_url_risk") > 0.5), F.lit(D.REASON_URL)),
+        F.when(uf("has_shortener") != 0, F.lit(D.REASON_SHORTENER)),
+        F.when(uf("has_legitimate_domain") != 0, F.lit(D.REASON_LEGIT_DOMAIN)),
     ))
     return (F.when(otp, F.lit(D.REASON_OTP))
             .when(F.size(parts) == 0, F.lit(D.REASON_NONE))
             .otherwise(F.array_join(parts, ", ")))
 
 
-def is_smishing(lbl: Column, tf: Column, url_level: Column, upgrade: bool) -> Column:
+def is_smishing(lbl: Column, tf, url_level: Column, upgrade: bool) -> Column:
     """H7: smishing flag; with ``upgrade`` a spam label with a medium/high URL
     level or strong smishing language is flagged too (single and SMS paths)."""
     base = lbl == "smishing"
     if not upgrade:
         return base
     return base | ((lbl == "spam") & (url_level.isin("high", "medium")
-                                      | (tf["smishing_keywords"] > 0.3)))
+                                      | (tf("smishing_keywords") > 0.3)))
 
 
 def strip_forward(body: Column) -> Column:

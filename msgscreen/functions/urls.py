@@ -8,6 +8,8 @@ needs no shuffle and can run before a stateful streaming stage).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,20 +50,15 @@ BRACKET_HOST_PATTERN = r"\[([^\]]*)"
 FEATURES = [k for k, _ in D.URL_RISK_WEIGHTS]
 
 
-def _any_contains(s: Column, needles: list[str]) -> Column:
-    out = None
-    for n in needles:
-        c = s.contains(n)
-        out = c if out is None else (out | c)
-    return out
+def alternation(needles: list[str]) -> str:
+    """Regex matching any of the literal ``needles`` (one pass per string)."""
+    return "(?:" + "|".join(re.escape(n) for n in needles) + ")"
 
 
-def _any_endswith(s: Column, needles: list[str]) -> Column:
-    out = None
-    for n in needles:
-        c = s.endswith(n)
-        out = c if out is None else (out | c)
-    return out
+SHORTENER_RX = alternation(D.URL_SHORTENERS)
+TLD_RX = alternation(D.SUSPICIOUS_TLDS) + "$"
+LEGIT_RX = alternation(D.LEGITIMATE_DOMAINS)
+KEYWORD_RX = alternation(D.URL_KEYWORDS)
 
 
 def _flag(c: Column) -> Column:
@@ -120,35 +117,45 @@ def entropy(s: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(F.lit(0.0) - h)
 
 
-def url_features(url: Column) -> Column:
-    """Struct of the 11 features and ``url_risk_score``."""
-    dom = netloc(url)
-    low = F.lower(url)
+def url_parts(url: Column) -> Column:
+    """The parsed pieces every feature reads, computed once per URL."""
+    return F.struct(url.alias("url"), netloc(url).alias("dom"), F.lower(url).alias("low"),
+                    path(url).alias("path"), is_bad(url).alias("bad"))
+
+
+def features_of_parts(p: Column) -> Column:
+    """Struct of the 11 features and ``url_risk_score`` from
+    :func:`url_parts` (a URL the splitter rejects gets the fixed defaults)."""
+    url, dom = p["url"], p["dom"]
     label = F.substring_index(dom, ".", 1)
     feats = {
-        "is_shortener": _flag(_any_contains(dom, D.URL_SHORTENERS)),
-        "suspicious_tld": _flag(_any_endswith(dom, D.SUSPICIOUS_TLDS)),
+        "is_shortener": _flag(dom.rlike(SHORTENER_RX)),
+        "suspicious_tld": _flag(dom.rlike(TLD_RX)),
         "is_ip_address": _flag(dom.rlike(IP_PATTERN)),
         "domain_entropy": _cap(entropy(label), 5.0),
-        "has_suspicious_keywords": _flag(_any_contains(low, D.URL_KEYWORDS)),
-        "is_legitimate_domain": _flag(_any_contains(dom, D.LEGITIMATE_DOMAINS)),
+        "has_suspicious_keywords": _flag(p["low"].rlike(KEYWORD_RX)),
+        "is_legitimate_domain": _flag(dom.rlike(LEGIT_RX)),
         "has_https": _flag(url.startswith("https")),
         "num_subdomains": _cap(F.greatest(F.lit(0), count_char(dom, ".") - 1), 3.0),
         "url_length": _cap(F.length(url), 100.0),
         "special_chars": _cap(F.regexp_count(url, F.lit("[@?=&%]")), 10.0),
-        "path_depth": _cap(F.size(F.filter(F.split(path(url), "/"), lambda x: x != "")), 5.0),
+        "path_depth": _cap(F.size(F.filter(F.split(p["path"], "/"), lambda x: x != "")), 5.0),
     }
     risk = F.lit(0.0)
     for k, w in D.URL_RISK_WEIGHTS:
         risk = risk + feats[k] * F.lit(w)
     feats["url_risk_score"] = F.greatest(F.lit(0.0), _cap(risk, D.URL_RISK_DIVISOR))
-    bad = is_bad(url)
     return F.struct(*[
-        F.when(bad, F.lit(D.BAD_URL_FEATURES[k])).otherwise(v).alias(k)
+        F.when(p["bad"], F.lit(D.BAD_URL_FEATURES[k])).otherwise(v).alias(k)
         for k, v in feats.items()
     ])
 
 
+def url_features(url: Column) -> Column:
+    """U2–U11 for one URL column (exploded form)."""
+    return features_of_parts(url_parts(url))
+
+
 def indicators(f: Column) -> Column:
     """Indicator strings of one URL's feature struct, in fixed order."""
     return F.array_compact(F.array(

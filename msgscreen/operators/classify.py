@@ -20,9 +20,14 @@ def _f(x):
 
 def with_url_rollup(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``urls`` (array), ``url_feats`` (array of feature structs) and the
-    per-message rollup struct ``uf`` (U12, in-row form)."""
+    11 per-message rollup columns (U12, in-row form).
+
+    Features are flat columns, not a struct: Catalyst inlines struct-field
+    extracts when it collapses projections, which would re-evaluate a feature
+    at every use; a flat non-trivial column referenced several times is kept
+    in its own projection and computed once."""
     df = df.withColumn("urls", U.extract_urls(F.col(text_col)))
-    df = df.withColumn("url_feats", F.transform("urls", U.url_features))
+    df = df.withColumn("url_feats", F.transform(F.transform("urls", U.url_parts), U.features_of_parts))
     feats = F.col("url_feats")
     n = F.size("urls")
     has = n > 0
@@ -47,11 +52,9 @@ def with_url_rollup(df: DataFrame, text_col: str = "text") -> DataFrame:
         "max_domain_entropy": mx("domain_entropy"),
         "has_suspicious_url_keywords": anyf("has_suspicious_keywords"),
     }
-    uf = F.struct(*[
-        (F.when(has, v).otherwise(F.lit(0.0)) if k not in ("has_urls", "num_urls") else v).alias(k)
-        for k, v in cols.items()
-    ])
-    return df.withColumn("uf", uf)
+    return df.withColumns({
+        k: (F.when(has, v).otherwise(F.lit(0.0)) if k not in ("has_urls", "num_urls") else v)
+        for k, v in cols.items()})
 
 
 def with_url_analysis(df: DataFrame) -> DataFrame:
@@ -64,22 +67,26 @@ def with_url_analysis(df: DataFrame) -> DataFrame:
                            z["f"]["url_risk_score"].alias("risk_score"),
                            U.indicators(z["f"]).alias("indicators")))
     return (df.withColumn("url_details", details)
-              .withColumn("url_level", U.risk_level(F.col("uf.max_url_risk"), has))
-              .withColumn("max_risk_score", F.when(has, F.col("uf.max_url_risk")))
+              .withColumn("url_level", U.risk_level(F.col("max_url_risk"), has))
+              .withColumn("max_risk_score", F.when(has, F.col("max_url_risk")))
               .withColumn("suspicious_indicators", F.array_sort(F.array_distinct(
                   F.flatten(F.transform("url_details", lambda d: d["indicators"]))))))
 
 
 def score(df: DataFrame, text_col: str = "text", upgrade: bool = False) -> DataFrame:
-    """H1–H7: add text features ``tf``, URL rollup ``uf``, ``otp``,
+    """H1–H7: add the 10 text-feature columns, the URL rollup columns, ``otp``,
     ``spam_score``, ``label``, ``confidence``, ``risk_level``, ``reasoning``,
     ``is_spam`` and ``is_smishing`` (with the H7 upgrade if ``upgrade``)."""
     df = with_url_analysis(with_url_rollup(df, text_col))
     text = F.col(text_col)
-    df = (df.withColumn("tf", T.text_features(text))
-            .withColumn("otp", T.otp_gate(text, F.col("url_level"))))
-    df = df.withColumn("spam_score", T.spam_score(F.col("tf"), F.col("uf")))
-    tf, uf, otp, s = F.col("tf"), F.col("uf"), F.col("otp"), F.col("spam_score")
+    df = df.withColumn("_low", F.lower(text))
+    low = F.col("_low")
+    df = (df.withColumns(T.text_feature_columns(text, low))
+            .withColumn("otp", T.otp_gate(text, F.col("url_level"), low)))
+    feat = F.col
+    df = df.withColumn("spam_score", T.spam_score(feat, feat))
+    tf = uf = feat
+    otp, s = F.col("otp"), F.col("spam_score")
     df = (df.withColumn("label", T.label(s, tf, uf, otp))
             .withColumn("confidence", T.confidence(s, otp))
             .withColumn("risk_level", T.risk_level(s, otp))

@@ -25,9 +25,10 @@ def url_rows(messages: DataFrame, text_col: str = "text", keep=("message_id", "s
 
 def url_feature_rows(rows: DataFrame) -> DataFrame:
     """Add ``netloc``, ``path`` and the 12 features as flat columns."""
-    return (rows.withColumn("f", U.url_features(F.col("url")))
-                .select(*rows.columns, U.netloc(F.col("url")).alias("netloc"),
-                        U.path(F.col("url")).alias("path"), *[F.col(f"f.{k}").alias(k) for k in FEATURES]))
+    parts = rows.withColumn("p", U.url_parts(F.col("url")))
+    feats = parts.withColumn("f", U.features_of_parts(F.col("p")))
+    return feats.select(*rows.columns, F.col("p.dom").alias("netloc"), F.col("p.path").alias("path"),
+                        *[F.col(f"f.{k}").alias(k) for k in FEATURES])
 
 
 def message_url_rollup(messages: DataFrame, feats: DataFrame, id_col: str = "message_id") -> DataFrame:

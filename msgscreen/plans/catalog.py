@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import classify as C
 from ..operators import urls as UO
+from ..session import materialize
 from .message_view import message_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,7 +56,7 @@ ROLLUP_COLS = ["has_urls", "num_urls", "max_url_risk", "avg_url_risk", "has_shor
 @register("u12_message_url_rollup")
 def u12(spark, sf_dir):
     df = C.with_url_rollup(message_view(spark, sf_dir))
-    return df.select("message_id", *[r6(F.col(f"uf.{k}")).alias(k) for k in ROLLUP_COLS])
+    return df.select("message_id", *[r6(F.col(k)).alias(k) for k in ROLLUP_COLS])
 
 
 @register("u12_message_url_rollup_exploded")
@@ -107,8 +108,8 @@ TEXT_COLS = ["length_score", "caps_ratio", "exclamation_score", "spam_keywords",
 def h1(spark, sf_dir):
     from ..functions import text as T
     mv = message_view(spark, sf_dir)
-    return mv.select("message_id", T.text_features(F.col("text")).alias("tf")) \
-        .select("message_id", *[r6(F.col(f"tf.{k}")).alias(k) for k in TEXT_COLS])
+    feats = T.text_feature_columns(F.col("text"))
+    return mv.select("message_id", *[r6(feats[k]).alias(k) for k in TEXT_COLS])
 
 
 @register("h2_otp_gate")
@@ -138,3 +139,188 @@ def h8(spark, sf_dir):
 @register("h11_label_rollup")
 def h11(spark, sf_dir):
     return C.label_rollup(C.score(message_view(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- corpus
+from . import corpus_plan as CP  # noqa: E402
+from ..operators import corpus as CO  # noqa: E402
+
+CORPUS_COLS = ["message_id", "message", "label", "original_label", "is_smishing", "a2p_type",
+               "source", "dataset", "quality"]
+
+
+@register("c1_c5_corpus_union")
+def c1_c5(spark, sf_dir):
+    return CP.corpus_union(spark, sf_dir).select(*CORPUS_COLS)
+
+
+@register("c6_priority_dedup")
+def c6(spark, sf_dir):
+    return CP.corpus(spark, sf_dir).select(*CORPUS_COLS)
+
+
+@register("c7_stratified_split")
+def c7(spark, sf_dir):
+    return CP.split_corpus(spark, sf_dir).select("message_id", "label", "split")
+
+
+@register("c7_split_leak_check")
+def c7_leaks(spark, sf_dir):
+    return CO.split_leaks(CP.split_corpus(spark, sf_dir))
+
+
+@register("c8_corpus_summary")
+def c8(spark, sf_dir):
+    return CO.corpus_summary(CP.split_corpus(spark, sf_dir)).drop("gid")
+
+
+@register("c11_incremental_integrate")
+def c11(spark, sf_dir):
+    """Existing corpus = pages + events; new batch = events + orders + documents
+    (the events overlap); only unseen texts are added, then dedup + split."""
+    srcs = CP.corpus_sources(message_view(spark, sf_dir))
+    existing = CO.union_sources(srcs[:2])
+    new = CO.union_sources(srcs[1:])
+    merged = CO.stratified_split(CO.priority_dedup(CO.integrate(existing, new).select(*CP.UNION_COLS)))
+    return merged.select("message_id", "label", "source", "split")
+
+
+@register("c12_retraining_set")
+def c12(spark, sf_dir):
+    """Feedback = labelled documents (truth from ``labels``), later doc ids are
+    later corrections; corpus = the de-duplicated corpus."""
+    from ..sources.tables import table
+    fb = (table(spark, sf_dir, "documents", "doc_id", "text")
+          .join(table(spark, sf_dir, "labels", "doc_id", "toxic"), "doc_id")
+          .select(F.col("text").alias("message"),
+                  F.when(F.col("toxic") == 1, F.lit("spam")).otherwise(F.lit("ham")).alias("true_label"),
+                  F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")).alias("timestamp")))
+    return CO.retraining_set(CP.corpus(spark, sf_dir), fb).select(
+        F.sha2(F.col("message"), 256).alias("message_sha"), "label", "origin")
+
+
+# ---------------------------------------------------------------- evaluation, models
+from . import predictions as PR  # noqa: E402
+from ..operators import evaluate as EV  # noqa: E402
+from ..operators import models as MO  # noqa: E402
+
+METRIC_DOUBLES = ["accuracy", "precision", "recall", "f1_score", "fpr", "a2p_fpr",
+                  "latency_avg", "latency_p50", "latency_p95", "latency_p99"]
+
+
+def _aligned(spark, sf_dir, split="test"):
+    sc, preds = PR.corpus_and_predictions(spark, sf_dir, split)
+    return EV.align(preds, sc)
+
+
+def _metrics(spark, sf_dir, split="test"):
+    return EV.model_metrics(_aligned(spark, sf_dir, split))
+
+
+def _round_all(df, cols):
+    return df.withColumns({c: r6(F.col(c)) for c in cols if c in df.columns})
+
+
+@register("e11_prediction_alignment")
+def e11(spark, sf_dir):
+    a = _aligned(spark, sf_dir)
+    return a.select("message_id", "model", "pred", "true_label",
+                    (F.col("pred") == F.col("true_label")).alias("correct"), r6(F.col("confidence")).alias("confidence"))
+
+
+@register("e1_e6_model_metrics")
+def e1_e6(spark, sf_dir):
+    return _round_all(_metrics(spark, sf_dir), METRIC_DOUBLES)
+
+
+@register("e2_confusion_matrix")
+def e2(spark, sf_dir):
+    return EV.confusion(_aligned(spark, sf_dir))
+
+
+@register("e4_a2p_fpr_breakdown")
+def e4(spark, sf_dir):
+    return _round_all(EV.a2p_breakdown(_aligned(spark, sf_dir)), ["a2p_fpr"])
+
+
+@register("e7_leaderboard")
+def e7(spark, sf_dir):
+    return _round_all(EV.leaderboard(_metrics(spark, sf_dir)), ["f1_score", "a2p_fpr", "latency_p95"])
+
+
+@register("e8_model_selection")
+def e8(spark, sf_dir):
+    return EV.select_model(_metrics(spark, sf_dir))
+
+
+@register("e9_ensemble_candidates")
+def e9(spark, sf_dir):
+    """Candidates chosen on the validation split (not on test)."""
+    return _round_all(EV.ensemble_candidates(_metrics(spark, sf_dir, "val"), 0.0), ["f1_score", "weight"])
+
+
+@register("e10_subset_metrics")
+def e10(spark, sf_dir):
+    return _round_all(EV.subset_metrics(_aligned(spark, sf_dir)), ["accuracy", "precision", "recall", "f1_score"])
+
+
+def _feedback(spark, sf_dir):
+    """Feedback = rule predictions on labelled documents vs the label."""
+    from ..sources.tables import table
+    d = (table(spark, sf_dir, "documents", "doc_id", "text")
+         .join(table(spark, sf_dir, "labels", "doc_id", "toxic"), "doc_id"))
+    s = C.score(d)
+    return s.select(F.col("label").alias("predicted_label"),
+                    F.when(F.col("toxic") == 1, F.lit("spam")).otherwise(F.lit("ham")).alias("true_label"),
+                    "doc_id")
+
+
+@register("e12_feedback_agreement")
+def e12(spark, sf_dir):
+    return EV.feedback_agreement(_feedback(spark, sf_dir))
+
+
+@register("m2_url_model_vote")
+def m2(spark, sf_dir):
+    mv = message_view(spark, sf_dir)
+    f = _url_feats(spark, sf_dir)
+    scores = f.select("message_id",
+                      F.when(F.col("url_risk_score") > 0.5, F.lit("phishing")).otherwise(F.lit("benign")).alias("url_label"),
+                      F.when(F.col("url_risk_score") > 0.5, F.col("url_risk_score"))
+                       .otherwise(1.0 - F.col("url_risk_score")).alias("url_conf"))
+    v = MO.url_vote(scores, mv)
+    return v.withColumn("confidence", r6(F.col("confidence")))
+
+
+@register("m4_voting_ensemble")
+def m4(spark, sf_dir):
+    _, preds = PR.corpus_and_predictions(spark, sf_dir)
+    return MO.voting(preds).withColumn("confidence", r6(F.col("confidence")))
+
+
+def _val_weights(spark, sf_dir):
+    return EV.ensemble_candidates(_metrics(spark, sf_dir, "val"), 0.0).select("model", F.col("f1_score").alias("weight"))
+
+
+@register("m5_weighted_ensemble")
+def m5(spark, sf_dir):
+    _, preds = PR.corpus_and_predictions(spark, sf_dir)
+    return MO.weighted(preds, _val_weights(spark, sf_dir)).withColumn("confidence", r6(F.col("confidence")))
+
+
+def _routed(spark, sf_dir):
+    """Fast = rule scorer, slow = keyword model; the fast output carries the
+    text, so the unsure rows go to the slow model without a join."""
+    sc, _ = PR.corpus_and_predictions(spark, sf_dir)
+    fast = materialize(C.score(sc, text_col="message").select("message_id", "message", "label", "confidence"))
+    return MO.route(fast, PR.keyword_predictions, 0.85)
+
+
+@register("m6_confidence_router")
+def m6(spark, sf_dir):
+    return _routed(spark, sf_dir).withColumn("confidence", r6(F.col("confidence")))
+
+
+@register("m7_routing_stats")
+def m7(spark, sf_dir):
+    return MO.routing_stats(_routed(spark, sf_dir)).withColumn("fast_percentage", r6(F.col("fast_percentage")))

@@ -17,19 +17,6 @@ from ..sources.tables import events, table
 
 COLUMNS = ["message_id", "sender", "text", "true_label", "is_smishing", "a2p_type", "source"]
 
-# FIXED VALUES: message templates of the view (k = page_id % 12).
-PAGE_TEMPLATES = {
-    0: ("URGENT! Your bank account is locked! Verify NOW! http://bit.ly", "path"),
-    1: ("Congratulations! You won $5000! Claim your FREE prize now: http://prize-winner.xyz", "path"),
-    2: ("Click here for amazing prizes: http://192.168.1.1", "path"),
-    3: ("Your Amazon order has shipped. Track: https://www.amazon.com", "path"),
-    6: ("Confirm code ", "code6"),
-    8: ("Account suspended: http://[bad", "path"),
-    10: ("URGENT! VERIFY NOW! CLAIM YOUR FREE $$$ CASH PRIZE! "
-         "http://x7kq9zvw3mfp.bit.ly.secure-login.xyz/a/b/c/d?u=1&v=2&w=3&x=4", "path"),
-}
-
-
 def _s(c):
     return c.cast("string")
 
@@ -39,19 +26,21 @@ def page_messages(pages: DataFrame) -> DataFrame:
     path = F.regexp_replace(url, "^https?://[^/?#]*", "")
     k = pid % 12
     code = _s(F.lit(100000) + pid)
-    text = (F.when(k == 0, F.concat(F.lit(PAGE_TEMPLATES[0][0]), path))
-            .when(k == 1, F.concat(F.lit(PAGE_TEMPLATES[1][0]), path))
-            .when(k == 2, F.concat(F.lit(PAGE_TEMPLATES[2][0]), path))
-            .when(k == 3, F.concat(F.lit(PAGE_TEMPLATES[3][0]), path))
+    text = (F.when(k == 0, F.concat(F.lit("URGENT! Your bank account is locked! Verify NOW! http://bit.ly"), path))
+            .when(k == 1, F.concat(F.lit("Congratulations! You won $5000! Claim your FREE prize now: "
+                                             "http://prize-winner.xyz"), path))
+            .when(k == 2, F.concat(F.lit("Click here for amazing prizes: http://192.168.1.1"), path))
+            .when(k == 3, F.concat(F.lit("Your Amazon order has shipped. Track: https://www.amazon.com"), path))
             .when(k == 4, F.concat(F.lit("Unusual activity detected. Confirm: https://secure-bank-verify.top"),
                                    path, F.lit(" or "), url))
             .when(k == 5, F.concat(F.lit("Your verification code is "), code, F.lit(". "), url))
             .when(k == 6, F.concat(F.lit("Confirm code "), code,
                                    F.lit(" at http://10.0.0.1/login/account?x=1&y=2&z=3")))
             .when(k == 7, F.concat(F.lit("Fwd: see "), url, F.lit(" and "), url))
-            .when(k == 8, F.concat(F.lit(PAGE_TEMPLATES[8][0]), path))
+            .when(k == 8, F.concat(F.lit("Account suspended: http://[bad"), path))
             .when(k == 9, F.concat(F.lit("hello "), url))
-            .when(k == 10, F.concat(F.lit(PAGE_TEMPLATES[10][0]), path))
+            .when(k == 10, F.concat(F.lit("URGENT! VERIFY NOW! CLAIM YOUR FREE $$$ CASH PRIZE! "
+                                              "http://x7kq9zvw3mfp.bit.ly.secure-login.xyz/a/b/c/d?u=1&v=2&w=3&x=4"), path))
             .otherwise(F.concat(F.lit("$$$ FREE CASH! WIN $"), _s(F.lit(1000) + pid),
                                 F.lit(" NOW! HURRY! $$$"))))
     return pages.select(
@@ -111,10 +100,24 @@ def document_messages(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cluster's cores when the scan yields fewer
+    partitions than cores (e.g. a table stored as one parquet row group).
+
+    Decided from plan metadata only. At scale a scan has far more splits than
+    cores and this is a no-op, so no shuffle is added there."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target * 2)
+
+
 def message_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 7-column message view over the driver tables (see module doc)."""
-    return (page_messages(table(spark, sf_dir, "pages", "page_id", "url"))
-            .unionByName(event_messages(events(spark, sf_dir, "event_id", "user_id")))
-            .unionByName(order_messages(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")))
-            .unionByName(document_messages(table(spark, sf_dir, "documents", "doc_id", "text"),
+    # ``spread`` sits under each branch's literal ``source`` projection, so a
+    # filter on ``source`` still prunes whole union branches.
+    return (page_messages(spread(table(spark, sf_dir, "pages", "page_id", "url")))
+            .unionByName(event_messages(spread(events(spark, sf_dir, "event_id", "user_id"))))
+            .unionByName(order_messages(spread(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey"))))
+            .unionByName(document_messages(spread(table(spark, sf_dir, "documents", "doc_id", "text")),
                                            table(spark, sf_dir, "labels", "doc_id", "toxic"))))

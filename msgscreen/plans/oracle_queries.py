@@ -82,3 +82,188 @@ SQL["h11_label_rollup"] = with_view(
 rs AS (SELECT label, risk_level, spam_score, unnest(string_split(reasoning, ', ')) AS reason FROM scu)
 SELECT label, risk_level, reason, count(*) AS n, round(avg(spam_score), 6) AS avg_score
 FROM rs GROUP BY label, risk_level, reason""")
+
+
+# ---------------------------------------------------------------- corpus
+def _norm_src(source, dataset, quality, rank, raw):
+    return (f"SELECT message_id, text AS message, lower({raw}) AS label, CAST(NULL AS VARCHAR) AS original_label, "
+            f"false AS is_smishing, a2p_type, '{source}' AS source, '{dataset}' AS dataset, '{quality}' AS quality, "
+            f"{rank} AS source_rank FROM m WHERE source = '{source}' AND lower({raw}) IN ('ham', 'spam')")
+
+
+CORPUS_CTES = f"""
+pg_raw AS (SELECT message_id, text AS message,
+  lower(CASE WHEN is_smishing THEN 'smishing' ELSE true_label END) AS olab, a2p_type FROM m WHERE source = 'pages'),
+pages_c AS (SELECT message_id, message, CASE WHEN olab IN ('spam', 'smishing', 'phishing') THEN 'spam' ELSE 'ham' END AS label,
+  olab AS original_label, coalesce(olab IN ('smishing', 'phishing'), false) AS is_smishing, a2p_type,
+  'pages' AS source, 'pages_sms' AS dataset, 'high' AS quality, 0 AS source_rank FROM pg_raw),
+ev_c AS ({_norm_src('events', 'events_a2p', 'medium', 1, 'upper(true_label)')}),
+or_c AS ({_norm_src('orders', 'orders_a2p', 'low', 2, 'true_label')}),
+dc_c AS ({_norm_src('documents', 'documents_corpus', 'medium', 3, 'true_label')}),
+cu AS (SELECT * FROM pages_c UNION ALL SELECT * FROM ev_c UNION ALL SELECT * FROM or_c UNION ALL SELECT * FROM dc_c),
+cd AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY message ORDER BY
+  CASE quality WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, source_rank, message_id) AS rn
+  FROM cu) WHERE rn = 1),
+cs AS (SELECT *, CASE WHEN r * 100 <= n * 70 THEN 'train' WHEN r * 100 <= n * 85 THEN 'val' ELSE 'test' END AS split
+  FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat('42|', message)), message_id) AS r,
+        count(*) OVER (PARTITION BY label) AS n FROM cd))"""
+
+_CCOLS = "message_id, message, label, original_label, is_smishing, a2p_type, source, dataset, quality"
+SQL["c1_c5_corpus_union"] = with_view(CORPUS_CTES + f"\nSELECT {_CCOLS} FROM cu")
+SQL["c6_priority_dedup"] = with_view(CORPUS_CTES + f"\nSELECT {_CCOLS} FROM cd")
+SQL["c7_stratified_split"] = with_view(CORPUS_CTES + "\nSELECT message_id, label, split FROM cs")
+SQL["c7_split_leak_check"] = with_view(CORPUS_CTES + """
+SELECT message FROM ((SELECT message FROM cs WHERE split = 'train') INTERSECT (SELECT message FROM cs WHERE split = 'val'))
+UNION ALL SELECT message FROM ((SELECT message FROM cs WHERE split = 'train') INTERSECT (SELECT message FROM cs WHERE split = 'test'))
+UNION ALL SELECT message FROM ((SELECT message FROM cs WHERE split = 'val') INTERSECT (SELECT message FROM cs WHERE split = 'test'))""")
+SQL["c8_corpus_summary"] = with_view(CORPUS_CTES + """
+SELECT label, source, a2p_type, split, count(*) AS n,
+  count(*) FILTER (WHERE label = 'spam') AS spam_count, count(*) FILTER (WHERE label = 'ham') AS ham_count,
+  count(*) FILTER (WHERE is_smishing) AS smishing_count,
+  round(CAST(count(*) FILTER (WHERE label = 'spam') AS DOUBLE) * 100.0 / count(*), 6) AS spam_pct
+FROM cs GROUP BY GROUPING SETS ((), (label), (source), (a2p_type), (split, label))""")
+SQL["c11_incremental_integrate"] = with_view(CORPUS_CTES + """,
+ex AS (SELECT * FROM pages_c UNION ALL SELECT * FROM ev_c),
+nw AS (SELECT * FROM ev_c UNION ALL SELECT * FROM or_c UNION ALL SELECT * FROM dc_c),
+mg AS (SELECT * FROM ex UNION ALL SELECT * FROM nw WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.message = nw.message)),
+mgd AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY message ORDER BY
+  CASE quality WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, source_rank, message_id) AS rn
+  FROM mg) WHERE rn = 1)
+SELECT message_id, label, source,
+  CASE WHEN r * 100 <= n * 70 THEN 'train' WHEN r * 100 <= n * 85 THEN 'val' ELSE 'test' END AS split
+FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat('42|', message)), message_id) AS r,
+      count(*) OVER (PARTITION BY label) AS n FROM mgd)""")
+SQL["c12_retraining_set"] = with_view(CORPUS_CTES + """,
+fb AS (SELECT d.text AS message, CASE WHEN l.toxic = 1 THEN 'spam' ELSE 'ham' END AS label, 0 AS prio,
+  -CAST(1704067200 + d.doc_id AS DOUBLE) AS neg_ts FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+bo AS (SELECT message, label, 0 AS prio, neg_ts FROM fb UNION ALL SELECT message, label, 1, 0.0 FROM cd),
+rk AS (SELECT *, row_number() OVER (PARTITION BY message ORDER BY prio, neg_ts, label) AS rn FROM bo)
+SELECT sha256(message) AS message_sha, label, CASE WHEN prio = 0 THEN 'feedback' ELSE 'corpus' END AS origin
+FROM rk WHERE rn = 1""")
+
+
+# ---------------------------------------------------------------- evaluation, models
+def _tst(split):
+    cond = f"split = '{split}'" if isinstance(split, str) else "split IN (" + ", ".join(f"'{x}'" for x in split) + ")"
+    return f"tst AS (SELECT message_id, message, message AS text, CAST(NULL AS VARCHAR) AS sender, label AS true_label, " \
+           f"a2p_type, is_smishing, split FROM cs WHERE {cond})"
+
+
+_H = "md5(message_id)"
+PRED_SQL = f"""pred AS (
+ SELECT message_id, 'rules' AS model, label, confidence, CAST(length(text) % 97 AS DOUBLE) / 10.0 AS latency_ms,
+   CAST(NULL AS VARCHAR) AS error FROM scu
+ UNION ALL SELECT message_id, 'hash_model',
+   CASE WHEN substr({_H}, 3, 1) = 'f' THEN 'ham' WHEN substr({_H}, 1, 1) < '4' THEN 'spam' ELSE 'ham' END,
+   CASE WHEN substr({_H}, 3, 1) = 'f' THEN 0.5 WHEN substr({_H}, 2, 1) < '8' THEN 0.9 ELSE 0.7 END,
+   CASE WHEN substr({_H}, 3, 1) = 'f' THEN 0.0 ELSE CAST(length(message) % 389 AS DOUBLE) / 10.0 + 5.0 END,
+   CASE WHEN substr({_H}, 3, 1) = 'f' THEN 'timeout' END FROM tst
+ UNION ALL SELECT message_id, 'keyword_model',
+   CASE WHEN contains(lower(message), 'free') OR contains(message, '$') THEN 'spam' ELSE 'ham' END,
+   CASE WHEN contains(lower(message), 'free') OR contains(message, '$') THEN 0.8 ELSE 0.6 END,
+   CAST(length(message) % 53 AS DOUBLE) / 10.0 + 1.0, CAST(NULL AS VARCHAR) FROM tst),
+al AS (SELECT p.message_id, p.model, CASE WHEN p.label IN ('spam', 'smishing') THEN 'spam' ELSE p.label END AS pred,
+  p.confidence, p.latency_ms, p.error, t.true_label, t.a2p_type, t.is_smishing, t.split
+  FROM pred p JOIN tst t ON p.message_id = t.message_id)"""
+
+
+def met_sql(src: str = "al") -> str:
+    return MET_SQL.replace("FROM al GROUP BY model", f"FROM {src} GROUP BY model")
+
+
+MET_SQL = f"""met0 AS (SELECT model, count(*) AS n,
+  count(*) FILTER (WHERE true_label = 'spam' AND pred = 'spam') AS tp,
+  count(*) FILTER (WHERE true_label = 'ham' AND pred = 'spam') AS fp,
+  count(*) FILTER (WHERE true_label = 'ham' AND pred = 'ham') AS tn,
+  count(*) FILTER (WHERE true_label = 'spam' AND pred = 'ham') AS fn,
+  count(*) FILTER (WHERE pred = true_label) AS n_correct,
+  count(*) FILTER (WHERE a2p_type IS NOT NULL) AS n_a2p,
+  count(*) FILTER (WHERE a2p_type IS NOT NULL AND true_label = 'ham' AND pred = 'spam') AS a2p_fp,
+  avg(latency_ms) AS latency_avg, quantile_cont(latency_ms, 0.5) AS latency_p50,
+  quantile_cont(latency_ms, 0.95) AS latency_p95, quantile_cont(latency_ms, 0.99) AS latency_p99
+  FROM al GROUP BY model),
+met AS (SELECT model, n, tp, fp, tn, fn,
+  coalesce(CAST(n_correct AS DOUBLE) / nullif(n, 0), 0.0) AS accuracy,
+  coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0.0) AS precision,
+  coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0.0) AS recall,
+  coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0.0) AS f1_score,
+  coalesce(CAST(fp AS DOUBLE) / nullif(fp + tn, 0), 0.0) AS fpr,
+  CASE WHEN n_a2p > 0 THEN coalesce(CAST(a2p_fp AS DOUBLE) / nullif(n_a2p, 0), 0.0) END AS a2p_fpr,
+  latency_avg, latency_p50, latency_p95, latency_p99 FROM met0),
+metf AS (SELECT *, f1_score >= {D.TARGET_F1} AS meets_f1, coalesce(a2p_fpr < {D.TARGET_A2P_FPR}, true) AS meets_a2p_fpr,
+  latency_p95 < {D.TARGET_P95_MS} AS meets_latency FROM met),
+metr AS (SELECT *, meets_f1 AND meets_a2p_fpr AND meets_latency AS meets_all FROM metf)"""
+
+
+def eval_sql(split: str, tail: str) -> str:
+    return with_view(CORPUS_CTES + ",\n" + _tst(split) + "," + scored_ctes("tst") + ",\n" + PRED_SQL
+                     + ",\n" + MET_SQL + "\n" + tail)
+
+
+_MD = ["accuracy", "precision", "recall", "f1_score", "fpr", "a2p_fpr",
+       "latency_avg", "latency_p50", "latency_p95", "latency_p99"]
+SQL["e11_prediction_alignment"] = eval_sql("test", "SELECT message_id, model, pred, true_label, "
+                                           "pred = true_label AS correct, round(confidence, 6) AS confidence FROM al")
+SQL["e1_e6_model_metrics"] = eval_sql("test", f"""SELECT model, n, tp, fp, tn, fn, {_cols(_MD)},
+  meets_f1, meets_a2p_fpr, meets_latency, meets_all FROM metr""")
+SQL["e2_confusion_matrix"] = eval_sql("test", """SELECT model, true_label,
+  count(*) FILTER (WHERE pred = 'ham') AS pred_ham, count(*) FILTER (WHERE pred = 'spam') AS pred_spam
+  FROM al WHERE true_label IN ('ham', 'spam') GROUP BY model, true_label""")
+SQL["e4_a2p_fpr_breakdown"] = eval_sql("test", """SELECT model, a2p_type, count(*) AS n,
+  count(*) FILTER (WHERE true_label = 'ham' AND pred = 'spam') AS a2p_fp,
+  round(coalesce(CAST(count(*) FILTER (WHERE true_label = 'ham' AND pred = 'spam') AS DOUBLE) / nullif(count(*), 0), 0.0), 6) AS a2p_fpr
+  FROM al WHERE a2p_type IS NOT NULL GROUP BY ROLLUP (model, a2p_type) HAVING model IS NOT NULL""")
+SQL["e7_leaderboard"] = eval_sql("test", """SELECT model, round(f1_score, 6) AS f1_score, round(a2p_fpr, 6) AS a2p_fpr,
+  round(latency_p95, 6) AS latency_p95, meets_all, row_number() OVER (ORDER BY f1_score DESC, model ASC) AS rank FROM metr""")
+SQL["e8_model_selection"] = eval_sql("test", """SELECT
+  (SELECT model FROM metr WHERE meets_all ORDER BY f1_score DESC, model LIMIT 1) AS recommended,
+  (SELECT model FROM metr ORDER BY f1_score DESC, model LIMIT 1) AS best_f1_model""")
+SQL["e9_ensemble_candidates"] = eval_sql("val", """SELECT model, round(f1_score, 6) AS f1_score,
+  round(f1_score / sum(f1_score) OVER (), 6) AS weight, count(*) OVER () >= 2 AS built FROM metr WHERE f1_score >= 0.0""")
+SQL["e10_subset_metrics"] = eval_sql("test", """, x AS (SELECT *, unnest(list_filter(['all',
+  CASE WHEN a2p_type IS NOT NULL THEN 'a2p' END, CASE WHEN is_smishing THEN 'smishing' END], lambda v: v IS NOT NULL)) AS subset FROM al)
+SELECT model, subset, count(*) AS n,
+  round(coalesce(CAST(count(*) FILTER (WHERE pred = true_label) AS DOUBLE) / nullif(count(*), 0), 0.0), 6) AS accuracy,
+  round(coalesce(CAST(count(*) FILTER (WHERE true_label = 'spam' AND pred = 'spam') AS DOUBLE) / nullif(count(*) FILTER (WHERE pred = 'spam' AND true_label IN ('spam', 'ham')), 0), 0.0), 6) AS precision,
+  round(coalesce(CAST(count(*) FILTER (WHERE true_label = 'spam' AND pred = 'spam') AS DOUBLE) / nullif(count(*) FILTER (WHERE true_label = 'spam' AND pred IN ('spam', 'ham')), 0), 0.0), 6) AS recall,
+  round(coalesce(CAST(2 * count(*) FILTER (WHERE true_label = 'spam' AND pred = 'spam') AS DOUBLE) / nullif(2 * count(*) FILTER (WHERE true_label = 'spam' AND pred = 'spam') + count(*) FILTER (WHERE true_label = 'ham' AND pred = 'spam') + count(*) FILTER (WHERE true_label = 'spam' AND pred = 'ham'), 0), 0.0), 6) AS f1_score
+FROM x GROUP BY model, subset""".replace(", x AS", "x AS", 0))
+
+_FEEDBACK = """fd AS (SELECT concat('dc', CAST(d.doc_id AS VARCHAR)) AS message_id, CAST(NULL AS VARCHAR) AS sender, d.text,
+  CASE WHEN l.toxic = 1 THEN 'spam' ELSE 'ham' END AS true_label FROM documents d JOIN labels l ON d.doc_id = l.doc_id),"""
+SQL["e12_feedback_agreement"] = with_view(_FEEDBACK + scored_ctes("fd") + """,
+fb AS (SELECT CASE WHEN label IN ('spam', 'smishing') THEN 'spam' ELSE label END AS predicted_label, true_label FROM scu)
+SELECT predicted_label, true_label,
+  CASE WHEN predicted_label = 'spam' AND true_label = 'ham' THEN 'false_positive'
+       WHEN predicted_label = 'ham' AND true_label = 'spam' THEN 'false_negative' ELSE 'correct' END AS feedback_type,
+  count(*) AS n FROM fb GROUP BY ALL""")
+
+SQL["m2_url_model_vote"] = with_view(url_ctes() + """,
+va AS (SELECT message_id, count(*) FILTER (WHERE url_risk_score > 0.5) AS n_phish,
+  max(CASE WHEN url_risk_score > 0.5 THEN url_risk_score END) AS max_conf FROM url_feats GROUP BY message_id)
+SELECT m.message_id, CASE WHEN va.n_phish > 0 THEN 'spam' ELSE 'ham' END AS label,
+  round(CASE WHEN va.n_phish > 0 THEN va.max_conf WHEN va.n_phish IS NOT NULL THEN 0.7 ELSE 0.5 END, 6) AS confidence
+FROM m LEFT JOIN va ON m.message_id = va.message_id""")
+SQL["m4_voting_ensemble"] = eval_sql("test", """SELECT message_id,
+  CASE WHEN sum(CASE WHEN label IN ('spam', 'smishing') THEN 1 ELSE 0 END) > count(*) / 2 THEN 'spam' ELSE 'ham' END AS label,
+  round(sum(CASE WHEN label IN ('spam', 'smishing') THEN 1 ELSE 0 END) / count(*), 6) AS confidence
+FROM pred GROUP BY message_id""")
+SQL["m5_weighted_ensemble"] = with_view(
+    CORPUS_CTES + ",\n" + _tst(("val", "test")) + "," + scored_ctes("tst") + ",\n" + PRED_SQL
+    + ",\nalv AS (SELECT * FROM al WHERE split = 'val'),\n" + met_sql("alv") + """,
+wv AS (SELECT model, f1_score / sum(f1_score) OVER () AS w FROM metr),
+ws AS (SELECT p.message_id, sum(CASE WHEN p.label IN ('spam', 'smishing') THEN p.confidence * wv.w ELSE 0.0 END) AS score
+  FROM pred p JOIN tst t ON p.message_id = t.message_id JOIN wv ON p.model = wv.model
+  WHERE t.split = 'test' GROUP BY p.message_id)
+SELECT message_id, CASE WHEN score > 0.5 THEN 'spam' ELSE 'ham' END AS label,
+  round(CASE WHEN score > 0.5 THEN score ELSE 1.0 - score END, 6) AS confidence FROM ws""")
+_ROUTE = """, rt AS (
+  SELECT message_id, label, confidence, 'fast_model' AS routed_to FROM scu WHERE confidence >= 0.85
+  UNION ALL SELECT message_id,
+    CASE WHEN contains(lower(message), 'free') OR contains(message, '$') THEN 'spam' ELSE 'ham' END,
+    CASE WHEN contains(lower(message), 'free') OR contains(message, '$') THEN 0.8 ELSE 0.6 END, 'slow_model'
+  FROM scu WHERE NOT (confidence >= 0.85))"""
+SQL["m6_confidence_router"] = eval_sql("test", _ROUTE + "\nSELECT message_id, label, round(confidence, 6) AS confidence, routed_to FROM rt")
+SQL["m7_routing_stats"] = eval_sql("test", _ROUTE + """
+SELECT count(*) FILTER (WHERE routed_to = 'fast_model') AS fast_count, count(*) FILTER (WHERE routed_to = 'slow_model') AS slow_count,
+  round(coalesce(count(*) FILTER (WHERE routed_to = 'fast_model') * 100.0 / nullif(count(*), 0), 0.0), 6) AS fast_percentage FROM rt""")

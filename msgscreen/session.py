@@ -16,7 +16,10 @@ BASE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # JVM case mapping (3x faster than ICU here; same results on the data's letters)
+    "spark.sql.icu.caseMappings.enabled": "false",
     "spark.ui.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.showConsoleProgress": "false",
 }
 
@@ -48,3 +51,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="msgscreen-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+
+    Used where an intermediate feeds several consumers (e.g. a corpus that is
+    counted and then ranked): it is computed once, survives executor loss
+    (reliable checkpoint, never a local one) and is read back by each consumer.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
