@@ -148,12 +148,64 @@ def is_smishing(lbl: Column, tf, url_level: Column, upgrade: bool) -> Column:
                                       | (tf("smishing_keywords") > 0.3)))
 
 
+# Characters a Python-style strip() removes (ASCII whitespace, separators, 0x1c-0x1f, NEL).
+WS = r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\p{Z}]"
+STRIP_PATTERN = f"^{WS}+|{WS}+$"
+
+
+def pystrip(c: Column) -> Column:
+    """Strip leading/trailing whitespace the way Python's ``str.strip`` does
+    (Spark's ``trim`` only removes spaces)."""
+    return F.regexp_replace(c, STRIP_PATTERN, "")
+
+
 def strip_forward(body: Column) -> Column:
-    """H9: trim; drop the first matching forward prefix (case-insensitive); trim."""
-    t = F.trim(body)
+    """H9: strip; drop the first matching forward prefix (case-insensitive); strip."""
+    t = pystrip(body)
     low = F.lower(t)
     out = None
     for p in D.FORWARD_PREFIXES:
-        cut = F.trim(F.substring(t, len(p) + 1, 1 << 30))
+        cut = pystrip(F.substring(t, len(p) + 1, 1 << 30))
         out = F.when(low.startswith(p), cut) if out is None else out.when(low.startswith(p), cut)
     return out.otherwise(t)
+
+
+def _pct(conf: Column) -> Column:
+    """``f"{x*100:.0f}"``: half-to-even rounding of the percentage."""
+    return F.bround(conf * 100.0, 0).cast("long").cast("string")
+
+
+def reply_text(is_spam: Column, is_smishing: Column, conf: Column, risk: Column, reasoning_col: Column,
+               url_has: Column | None = None, url_shortener: Column | None = None,
+               url_suspicious: Column | None = None, url_risk: Column | None = None) -> Column:
+    """The SMS reply. Safe: title + confidence + one line. Spam: title,
+    confidence, risk, up to 4 warnings (URL warnings only when a URL summary
+    with those keys is given), advice."""
+    pct = _pct(conf)
+    safe = F.concat(F.lit(D.REPLY_SAFE_ICON + " SAFE ("), pct, F.lit("% confidence)\n\n" + D.REPLY_SAFE_BODY))
+    title = F.when(is_smishing, F.lit(D.REPLY_SMISHING_TITLE)).otherwise(F.lit(D.REPLY_SPAM_TITLE))
+    rl = F.lower(reasoning_col)
+    has = url_has if url_has is not None else F.lit(False)
+    warns = F.array_compact(F.array(
+        F.when(has & F.coalesce(url_shortener, F.lit(False)), F.lit(D.REPLY_WARN_SHORTENER)) if url_shortener is not None else F.lit(None).cast("string"),
+        F.when(has & F.coalesce(url_suspicious, F.lit(False)), F.lit(D.REPLY_WARN_SUSPICIOUS)) if url_suspicious is not None else F.lit(None).cast("string"),
+        F.when(has & (F.coalesce(url_risk, F.lit(0.0)) > 0.7), F.lit(D.REPLY_WARN_HIGH_RISK)) if url_risk is not None else F.lit(None).cast("string"),
+        F.when(rl.contains("urgent") | rl.contains("immediate"), F.lit(D.REPLY_WARN_URGENT)),
+        F.when(rl.contains("prize") | rl.contains("winner"), F.lit(D.REPLY_WARN_PRIZE)),
+        F.when(rl.contains("account") & rl.contains("verify"), F.lit(D.REPLY_WARN_VERIFY)),
+        F.when(rl.contains("credential"), F.lit(D.REPLY_WARN_CREDENTIAL)),
+    ))
+    w = F.slice(warns, 1, D.REPLY_MAX_WARNINGS)
+    warn_txt = F.when(F.size(w) > 0, F.concat(F.array_join(w, "\n"), F.lit("\n"))).otherwise(F.lit(""))
+    advice = F.when(is_smishing, F.lit(D.REPLY_SMISHING_ADVICE)).otherwise(F.lit(D.REPLY_SPAM_ADVICE))
+    spam = F.concat(title, F.lit("\nConfidence: "), pct, F.lit("%\nRisk: "), F.upper(risk), F.lit("\n\n"),
+                    warn_txt, advice)
+    return F.when(is_spam, spam).otherwise(safe)
+
+
+def short_reply(is_spam: Column, is_smishing: Column, conf: Column) -> Column:
+    """H10 short form (< 160 characters)."""
+    pct = _pct(conf)
+    return (F.when(~is_spam, F.concat(F.lit(D.REPLY_SAFE_ICON + " SAFE ("), pct, F.lit("%)")))
+            .when(is_smishing, F.concat(F.lit("\U0001F6A8 SMISHING! ("), pct, F.lit("%) - DO NOT CLICK LINKS OR REPLY")))
+            .otherwise(F.concat(F.lit("⚠️ SPAM ("), pct, F.lit("%) - Recommend deleting"))))

@@ -324,3 +324,177 @@ def m6(spark, sf_dir):
 @register("m7_routing_stats")
 def m7(spark, sf_dir):
     return MO.routing_stats(_routed(spark, sf_dir)).withColumn("fast_percentage", r6(F.col("fast_percentage")))
+
+
+# ---------------------------------------------------------------- traffic, spend, streams (batch forms)
+from . import traffic_plan as TP  # noqa: E402
+from ..functions import text as TX  # noqa: E402
+from ..operators import traffic as TR  # noqa: E402
+from ..sources.tables import events as _events  # noqa: E402
+
+MONEY_OUT = "decimal(18,4)"
+TS_FMT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+def _ts(c):
+    return F.date_format(c, TS_FMT)
+
+
+def _history(spark, sf_dir):
+    return TR.privacy_projection(TP.scored_traffic(spark, sf_dir))
+
+
+def _gate(spark, sf_dir):
+    return TR.spend_gate(TP.inbound(spark, sf_dir))
+
+
+def _ledger(spark, sf_dir):
+    return TR.spend_ledger(_gate(spark, sf_dir))
+
+
+def _money(df, cols):
+    return df.withColumns({c: F.col(c).cast(MONEY_OUT) for c in cols})
+
+
+@register("h9_forward_strip")
+def h9(spark, sf_dir):
+    t = TP.inbound(spark, sf_dir)
+    return t.select("event_id", "body", TX.strip_forward(F.col("body")).alias("message"))
+
+
+@register("h10_reply_outbox")
+def h10(spark, sf_dir):
+    g = TR.spend_gate(TP.scored_traffic(spark, sf_dir))
+    limit_msg = F.lit("Daily spending limit exceeded. Service will resume tomorrow. Thank you for understanding!")
+    reply = TX.reply_text(F.col("is_spam"), F.col("is_smishing"), F.col("confidence"), F.col("risk_level"),
+                          F.col("reasoning"))
+    return g.select("event_id", "sender",
+                    F.when(F.col("accepted"), reply).otherwise(limit_msg).alias("reply"),
+                    F.when(F.col("accepted"), TX.short_reply(F.col("is_spam"), F.col("is_smishing"),
+                                                             F.col("confidence"))).alias("short_reply"))
+
+
+@register("t1_privacy_projection")
+def t1(spark, sf_dir):
+    h = _history(spark, sf_dir)
+    return h.withColumn("timestamp", _ts(F.col("timestamp"))).withColumn("confidence", r6(F.col("confidence")))
+
+
+@register("t2_t3_daily_counters")
+def t2_t3(spark, sf_dir):
+    return _round_all(TR.daily_counters(_history(spark, sf_dir)), ["spam_rate", "smishing_rate"])
+
+
+@register("t4_last_days")
+def t4(spark, sf_dir):
+    return _round_all(TR.last_days(TR.daily_counters(_history(spark, sf_dir)), 7), ["spam_rate", "smishing_rate"])
+
+
+@register("t5_last_messages")
+def t5(spark, sf_dir):
+    h = TR.last_messages(_history(spark, sf_dir), 100)
+    return h.withColumn("timestamp", _ts(F.col("timestamp"))).withColumn("confidence", r6(F.col("confidence")))
+
+
+@register("t6_spend_ledger")
+def t6(spark, sf_dir):
+    return _money(_ledger(spark, sf_dir), ["daily_spend"])
+
+
+@register("t7_spend_gate")
+def t7(spark, sf_dir):
+    g = _gate(spark, sf_dir)
+    return _money(g.select("event_id", "date", "spend_before", "accepted", "alert"), ["spend_before"])
+
+
+@register("t8_spend_alerts")
+def t8(spark, sf_dir):
+    g = _gate(spark, sf_dir).filter("alert")
+    return _money(g.select("event_id", "date", _ts(F.col("ts")).alias("ts"), "spend_before"), ["spend_before"])
+
+
+@register("t9_budget_status")
+def t9(spark, sf_dir):
+    return _money(TR.budget_status(_ledger(spark, sf_dir)), ["daily_spend", "remaining_budget"])
+
+
+def _overrides(spark, sf_dir):
+    e = _events(spark, sf_dir, "ts", "user_id", "event_type")
+    o = e.filter(((F.col("event_type") == "signup") & (F.col("user_id") % 50 == 0))
+                 | ((F.col("event_type") == "purchase") & (F.col("user_id") % 50 == 1)))
+    return o.select(F.to_date("ts").alias("date"), "ts",
+                    F.when(F.col("event_type") == "signup", F.lit("disable")).otherwise(F.lit("enable")).alias("action"))
+
+
+@register("t10_manual_override")
+def t10(spark, sf_dir):
+    r = TR.apply_overrides(_gate(spark, sf_dir), _overrides(spark, sf_dir))
+    return r.select("event_id", "date", "override", "service_enabled")
+
+
+def _provider(spark, sf_dir):
+    e = _events(spark, sf_dir, "event_id", "ts", "event_type", "value").filter(F.col("event_type") == "purchase")
+    return e.select(F.col("ts").alias("date_sent"),
+                    F.when(F.col("event_id") % 10 == 0, F.lit(None).cast("string"))
+                     .otherwise(F.concat(F.lit("-"), F.col("value").cast("string"))).alias("price"))
+
+
+@register("t11_provider_reconciliation")
+def t11(spark, sf_dir):
+    r = TR.reconcile(_ledger(spark, sf_dir), _provider(spark, sf_dir))
+    return _money(r, ["daily_spend", "provider_cost", "cost_delta"])
+
+
+@register("t12_dashboard_series")
+def t12(spark, sf_dir):
+    d = TR.dashboard_series(_history(spark, sf_dir))
+    return d.withColumn("bucket_start", _ts(F.col("bucket_start")))
+
+
+@register("t13_cost_projection")
+def t13(spark, sf_dir):
+    return _money(TR.cost_projection(_ledger(spark, sf_dir)), ["projected_cost"])
+
+
+def _feedback_log(spark, sf_dir):
+    from ..sources.tables import table
+    d = table(spark, sf_dir, "labels", "doc_id", "toxic")
+    return d.select(F.col("doc_id").alias("feedback_id"),
+                    F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 37).alias("timestamp"))
+
+
+@register("x4_feedback_triggers")
+def x4(spark, sf_dir):
+    t = TR.feedback_triggers(_feedback_log(spark, sf_dir))
+    return t.select("batch", _ts(F.col("first_ts")).alias("first_ts"), _ts(F.col("trigger_ts")).alias("trigger_ts"))
+
+
+def _traffic_with_labels(spark, sf_dir):
+    return TP.scored_traffic(spark, sf_dir).select("event_id", "ts", "sender", "latency_ms", "is_error", "label")
+
+
+def _x6(df):
+    out = df.withColumn("window_start", _ts(F.col("window_start"))).withColumn("window_end", _ts(F.col("window_end")))
+    return _round_all(out, ["rate_per_s", "error_rate", "p50", "p95", "p99"])
+
+
+@register("x6_traffic_metrics")
+def x6(spark, sf_dir):
+    return _x6(TR.traffic_metrics(_traffic_with_labels(spark, sf_dir), "1 minute"))
+
+
+@register("x6_traffic_metrics_sliding")
+def x6s(spark, sf_dir):
+    return _x6(TR.traffic_metrics(_traffic_with_labels(spark, sf_dir), "5 minutes", "1 minute"))
+
+
+@register("x7_sender_rate_limit")
+def x7(spark, sf_dir):
+    r = TR.sender_rate_limit(TP.inbound(spark, sf_dir))
+    return r.select("event_id", "sender", "recent", "throttled")
+
+
+@register("x8_volume_spikes")
+def x8(spark, sf_dir):
+    s = TR.volume_spikes(_traffic_with_labels(spark, sf_dir))
+    return _round_all(s.withColumn("bucket_start", _ts(F.col("bucket_start"))), ["trailing_mean", "error_rate"])

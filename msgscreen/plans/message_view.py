@@ -54,14 +54,21 @@ def page_messages(pages: DataFrame) -> DataFrame:
     )
 
 
-def event_messages(ev: DataFrame) -> DataFrame:
+def event_text():
+    """Text of the event message (A2P templates keyed by event_id % 4)."""
     eid = F.col("event_id")
     m = eid % 4
-    text = (F.when(m == 0, F.concat(_s(F.lit(100000) + eid), F.lit(" is your Google security code")))
+    return (F.when(m == 0, F.concat(_s(F.lit(100000) + eid), F.lit(" is your Google security code")))
             .when(m == 1, F.concat(F.lit("Nike: "), _s(F.lit(20) + m * 10),
                                    F.lit("% off! Shop now. Reply STOP to unsubscribe")))
             .when(m == 2, F.lit("Appointment reminder: Dentist tomorrow at 2pm"))
             .otherwise(F.concat(F.lit("Hey, are we still meeting at "), _s(eid % 12), F.lit("pm?"))))
+
+
+def event_messages(ev: DataFrame) -> DataFrame:
+    eid = F.col("event_id")
+    m = eid % 4
+    text = event_text()
     return ev.select(
         F.concat(F.lit("ev"), _s(eid)).alias("message_id"),
         F.concat(F.lit("+1555"), _s(F.lit(2000000) + F.col("user_id"))).alias("sender"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .. import dictionaries as D
-from .oracle import r6, rollup_ctes, scored_ctes, url_ctes, with_view
+from .oracle import q, r6, rollup_ctes, scored_ctes, url_ctes, with_view
 
 SQL: dict[str, str] = {}
 
@@ -267,3 +267,163 @@ SQL["m6_confidence_router"] = eval_sql("test", _ROUTE + "\nSELECT message_id, la
 SQL["m7_routing_stats"] = eval_sql("test", _ROUTE + """
 SELECT count(*) FILTER (WHERE routed_to = 'fast_model') AS fast_count, count(*) FILTER (WHERE routed_to = 'slow_model') AS slow_count,
   round(coalesce(count(*) FILTER (WHERE routed_to = 'fast_model') * 100.0 / nullif(count(*), 0), 0.0), 6) AS fast_percentage FROM rt""")
+
+
+# ---------------------------------------------------------------- traffic, spend, streams
+from ..functions import text as _T  # noqa: E402
+
+
+def sql_text(s: str) -> str:
+    """A SQL string literal for ``s`` with real newlines (chr(10))."""
+    parts = s.split("\n")
+    return " || chr(10) || ".join(q(p) for p in parts) if len(parts) > 1 else q(s)
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, {q(_T.STRIP_PATTERN)}, '', 'g')"
+
+
+def _forward(body: str) -> str:
+    t = _strip(body)
+    whens = " ".join(f"WHEN starts_with(lower({t}), {q(p)}) THEN {_strip(f'substr({t}, {len(p) + 1})')}"
+                     for p in D.FORWARD_PREFIXES)
+    return f"(CASE {whens} ELSE {t} END)"
+
+
+_EVENT_TEXT = """CASE e.event_id % 4 WHEN 0 THEN concat(cast(100000 + e.event_id AS string), ' is your Google security code')
+   WHEN 1 THEN concat('Nike: ', cast(20 + e.event_id % 4 * 10 AS string), '% off! Shop now. Reply STOP to unsubscribe')
+   WHEN 2 THEN 'Appointment reminder: Dentist tomorrow at 2pm' ELSE concat('Hey, are we still meeting at ', cast(e.event_id % 12 AS string), 'pm?') END"""
+
+TRAFFIC_CTES = f"""
+tr0 AS (SELECT e.event_id, CAST(e.ts AS TIMESTAMP) AS ts, concat('+1555', CAST(2000000 + e.user_id AS VARCHAR)) AS sender,
+  coalesce(pm.text, {_EVENT_TEXT}) AS body, e.event_type, e.value AS latency_ms, e.event_type = 'error' AS is_error,
+  e.event_type <> 'view' AS via_sms, CAST(e.ts AS DATE) AS date
+  FROM events e LEFT JOIN m pm ON e.event_id % 4 = 0 AND pm.message_id = concat('pg', CAST(e.event_id % 50 AS VARCHAR))),
+tr AS (SELECT *, event_id AS message_id, {_forward('body')} AS text FROM tr0),
+g AS (SELECT *, CAST({D.COST_PER_MESSAGE} AS DECIMAL(12,4)) AS cost,
+  coalesce(sum(CAST({D.COST_PER_MESSAGE} AS DECIMAL(12,4))) OVER (PARTITION BY date ORDER BY ts, event_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spend_before FROM tr0),
+gt AS (SELECT *, spend_before < {D.DAILY_SPEND_LIMIT} AS accepted,
+  spend_before < {D.DAILY_SPEND_LIMIT} AND spend_before + cost >= {D.DAILY_SPEND_LIMIT} AS alert FROM g),
+led AS (SELECT date, sum(cost) AS daily_spend, count(*) AS message_count FROM gt WHERE accepted GROUP BY date)"""
+
+TS = "'%Y-%m-%d %H:%M:%S.%f'"
+
+
+def traffic_sql(tail: str, scored: bool = False) -> str:
+    body = TRAFFIC_CTES + ("," + scored_ctes("tr") + """,
+hist AS (SELECT event_id, ts AS timestamp, date, label AS classification, is_smishing_up AS is_smishing, confidence,
+  via_sms, length(text) AS message_length, sha256(concat('msgscreen', sender)) AS from_number_hash FROM scu),
+dc AS (SELECT date, count(*) AS total_messages,
+  count(*) FILTER (WHERE classification IN ('spam', 'smishing') OR is_smishing) AS spam_count,
+  count(*) FILTER (WHERE (classification IN ('spam', 'smishing') OR is_smishing) AND is_smishing) AS smishing_count,
+  count(*) FILTER (WHERE NOT (classification IN ('spam', 'smishing') OR is_smishing)) AS ham_count,
+  count(*) FILTER (WHERE via_sms) AS sms_received FROM hist GROUP BY date),
+dcr AS (SELECT *, round(coalesce(CAST(spam_count AS DOUBLE) / nullif(total_messages, 0), 0.0), 6) AS spam_rate,
+  round(coalesce(CAST(smishing_count AS DOUBLE) / nullif(spam_count, 0), 0.0), 6) AS smishing_rate FROM dc)"""
+                            if scored else "")
+    return with_view(body + "\n" + tail)
+
+
+SQL["h9_forward_strip"] = traffic_sql("SELECT event_id, body, text AS message FROM tr")
+_PCT = "CAST(CAST(round_even(confidence * 100.0, 0) AS BIGINT) AS VARCHAR)"
+_WARN = ("list_filter([CASE WHEN contains(lower(reasoning), 'urgent') OR contains(lower(reasoning), 'immediate') "
+         f"THEN {q(D.REPLY_WARN_URGENT)} END, CASE WHEN contains(lower(reasoning), 'prize') OR "
+         f"contains(lower(reasoning), 'winner') THEN {q(D.REPLY_WARN_PRIZE)} END, CASE WHEN contains(lower(reasoning), "
+         f"'account') AND contains(lower(reasoning), 'verify') THEN {q(D.REPLY_WARN_VERIFY)} END, CASE WHEN "
+         f"contains(lower(reasoning), 'credential') THEN {q(D.REPLY_WARN_CREDENTIAL)} END], lambda x: x IS NOT NULL)[1:4]")
+SQL["h10_reply_outbox"] = traffic_sql(f""", gs AS (SELECT *, CAST({D.COST_PER_MESSAGE} AS DECIMAL(12,4)) AS cost,
+  coalesce(sum(CAST({D.COST_PER_MESSAGE} AS DECIMAL(12,4))) OVER (PARTITION BY date ORDER BY ts, event_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spend_before, {_WARN} AS warns FROM scu)
+SELECT event_id, sender,
+  CASE WHEN NOT (spend_before < {D.DAILY_SPEND_LIMIT}) THEN 'Daily spending limit exceeded. Service will resume tomorrow. Thank you for understanding!'
+       WHEN is_spam THEN concat(CASE WHEN is_smishing_up THEN {q(D.REPLY_SMISHING_TITLE)} ELSE {q(D.REPLY_SPAM_TITLE)} END,
+         chr(10), 'Confidence: ', {_PCT}, '%', chr(10), 'Risk: ', upper(risk_level), chr(10), chr(10),
+         CASE WHEN len(warns) > 0 THEN concat(array_to_string(warns, chr(10)), chr(10)) ELSE '' END,
+         CASE WHEN is_smishing_up THEN {sql_text(D.REPLY_SMISHING_ADVICE)} ELSE {sql_text(D.REPLY_SPAM_ADVICE)} END)
+       ELSE concat({q(D.REPLY_SAFE_ICON + ' SAFE (')}, {_PCT}, '% confidence)', chr(10), chr(10), {q(D.REPLY_SAFE_BODY)}) END AS reply,
+  CASE WHEN NOT (spend_before < {D.DAILY_SPEND_LIMIT}) THEN NULL
+       WHEN NOT is_spam THEN concat({q(D.REPLY_SAFE_ICON + ' SAFE (')}, {_PCT}, '%)')
+       WHEN is_smishing_up THEN concat('\U0001F6A8 SMISHING! (', {_PCT}, '%) - DO NOT CLICK LINKS OR REPLY')
+       ELSE concat('⚠️ SPAM (', {_PCT}, '%) - Recommend deleting') END AS short_reply
+FROM gs""", scored=True)
+
+_HIST = "SELECT event_id, strftime(timestamp, " + TS + ") AS timestamp, date, classification, is_smishing, " \
+        "round(confidence, 6) AS confidence, via_sms, message_length, from_number_hash FROM hist"
+SQL["t1_privacy_projection"] = traffic_sql(_HIST, scored=True)
+SQL["t2_t3_daily_counters"] = traffic_sql("SELECT * FROM dcr", scored=True)
+SQL["t4_last_days"] = traffic_sql("SELECT * FROM dcr ORDER BY date DESC LIMIT 7", scored=True)
+SQL["t5_last_messages"] = traffic_sql(_HIST + " ORDER BY hist.timestamp DESC, event_id DESC LIMIT 100", scored=True)
+SQL["t6_spend_ledger"] = traffic_sql("SELECT date, CAST(daily_spend AS DECIMAL(18,4)) AS daily_spend, message_count FROM led")
+SQL["t7_spend_gate"] = traffic_sql("SELECT event_id, date, CAST(spend_before AS DECIMAL(18,4)) AS spend_before, "
+                                   "accepted, alert FROM gt")
+SQL["t8_spend_alerts"] = traffic_sql("SELECT event_id, date, strftime(ts, " + TS + ") AS ts, "
+                                     "CAST(spend_before AS DECIMAL(18,4)) AS spend_before FROM gt WHERE alert")
+SQL["t9_budget_status"] = traffic_sql(f"""SELECT date, CAST(daily_spend AS DECIMAL(18,4)) AS daily_spend, message_count,
+  daily_spend < {D.DAILY_SPEND_LIMIT} AS enabled,
+  CAST(greatest(CAST(0 AS DECIMAL(12,4)), CAST({D.DAILY_SPEND_LIMIT} AS DECIMAL(12,4)) - daily_spend) AS DECIMAL(18,4)) AS remaining_budget,
+  CASE WHEN daily_spend / CAST({D.DAILY_SPEND_LIMIT} AS DECIMAL(12,4)) >= {D.BUDGET_CRITICAL_SHARE} THEN 'critical'
+       WHEN daily_spend / CAST({D.DAILY_SPEND_LIMIT} AS DECIMAL(12,4)) >= {D.BUDGET_WARNING_SHARE} THEN 'warning'
+       ELSE 'normal' END AS band FROM led""")
+SQL["t10_manual_override"] = traffic_sql("""SELECT gt.event_id, gt.date, o.action AS override,
+  CASE o.action WHEN 'enable' THEN true WHEN 'disable' THEN false ELSE gt.accepted END AS service_enabled
+FROM gt ASOF LEFT JOIN (SELECT CAST(ts AS DATE) AS date, CAST(ts AS TIMESTAMP) AS ts,
+    CASE WHEN event_type = 'signup' THEN 'disable' ELSE 'enable' END AS action FROM events
+    WHERE (event_type = 'signup' AND user_id % 50 = 0) OR (event_type = 'purchase' AND user_id % 50 = 1)) o
+  ON gt.date = o.date AND gt.ts >= o.ts""")
+SQL["t11_provider_reconciliation"] = traffic_sql("""SELECT coalesce(led.date, p.date) AS date,
+  CAST(led.daily_spend AS DECIMAL(18,4)) AS daily_spend, led.message_count, p.provider_count,
+  CAST(p.provider_cost AS DECIMAL(18,4)) AS provider_cost,
+  CAST(coalesce(p.provider_cost, 0) - coalesce(led.daily_spend, 0) AS DECIMAL(18,4)) AS cost_delta,
+  coalesce(p.provider_count, 0) - coalesce(led.message_count, 0) AS count_delta
+FROM led FULL OUTER JOIN (SELECT CAST(ts AS DATE) AS date, count(*) AS provider_count,
+    sum(abs(CAST(CASE WHEN event_id % 10 = 0 THEN NULL ELSE concat('-', CAST(value AS VARCHAR)) END AS DECIMAL(12,4)))) AS provider_cost
+    FROM events WHERE event_type = 'purchase' GROUP BY 1) p ON led.date = p.date""")
+SQL["t12_dashboard_series"] = traffic_sql("""SELECT strftime(bucket_start, """ + TS + """) AS bucket_start, total, spam, smishing, ham, sample
+FROM (SELECT *, row_number() OVER (ORDER BY bucket_start DESC) AS sample FROM (
+  SELECT time_bucket(INTERVAL '1 hour', timestamp) AS bucket_start, count(*) AS total,
+    count(*) FILTER (WHERE classification IN ('spam', 'smishing') OR is_smishing) AS spam,
+    count(*) FILTER (WHERE (classification IN ('spam', 'smishing') OR is_smishing) AND is_smishing) AS smishing,
+    count(*) FILTER (WHERE NOT (classification IN ('spam', 'smishing') OR is_smishing)) AS ham
+  FROM hist GROUP BY 1)) WHERE sample <= 10""", scored=True)
+SQL["t13_cost_projection"] = traffic_sql(f"""SELECT CAST(date_trunc('month', date) AS DATE) AS month, sum(message_count) AS messages,
+  CAST(CAST({D.MONTHLY_NUMBER_COST} AS DECIMAL(12,4)) + CAST({D.COST_PER_MESSAGE} AS DECIMAL(12,4)) * sum(message_count) AS DECIMAL(18,4)) AS projected_cost
+FROM led GROUP BY 1""")
+SQL["x4_feedback_triggers"] = with_view("""fl AS (SELECT doc_id AS feedback_id, make_timestamp(CAST((1704067200 + doc_id * 37) AS BIGINT) * 1000000) AS ts FROM labels),
+fr AS (SELECT *, (row_number() OVER (ORDER BY ts, feedback_id) - 1) // 100 AS batch FROM fl)
+SELECT batch, strftime(min(ts), """ + TS + """) AS first_ts, strftime(max(ts), """ + TS + """) AS trigger_ts
+FROM fr GROUP BY batch HAVING count(*) = 100""")
+
+
+def _x6_sql(width_min: int, slide_min: int | None) -> str:
+    if slide_min is None:
+        src = "SELECT time_bucket(INTERVAL '1 minute', ts) AS ws, * FROM scu"
+        width = 60
+    else:
+        n = width_min // slide_min
+        src = (f"SELECT time_bucket(INTERVAL '{slide_min} minute', ts) - to_minutes(i * {slide_min}) AS ws, * "
+               f"FROM scu, range({n}) r(i)")
+        width = width_min * 60
+    return f""", xw AS ({src})
+SELECT strftime(ws, {TS}) AS window_start, strftime(ws + to_seconds({width}), {TS}) AS window_end, count(*) AS requests,
+  round(count(*) / {float(width)}, 6) AS rate_per_s,
+  round(CAST(count(*) FILTER (WHERE is_error) AS DOUBLE) / count(*), 6) AS error_rate,
+  round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95,
+  round(quantile_cont(latency_ms, 0.99), 6) AS p99,
+  count(*) FILTER (WHERE label = 'ham') AS ham, count(*) FILTER (WHERE label = 'spam') AS spam,
+  count(*) FILTER (WHERE label = 'smishing') AS smishing
+FROM xw GROUP BY ws"""
+
+
+SQL["x6_traffic_metrics"] = traffic_sql(_x6_sql(1, None), scored=True)
+SQL["x6_traffic_metrics_sliding"] = traffic_sql(_x6_sql(5, 1), scored=True)
+SQL["x7_sender_rate_limit"] = traffic_sql(f"""SELECT event_id, sender,
+  count(*) OVER (PARTITION BY sender ORDER BY epoch_us(ts) RANGE BETWEEN {D.SENDER_RATE_WINDOW_S * 1000000} PRECEDING AND CURRENT ROW) AS recent,
+  count(*) OVER (PARTITION BY sender ORDER BY epoch_us(ts) RANGE BETWEEN {D.SENDER_RATE_WINDOW_S * 1000000} PRECEDING AND CURRENT ROW) > {D.SENDER_RATE_LIMIT} AS throttled
+FROM tr0""")
+SQL["x8_volume_spikes"] = traffic_sql(f""", hb AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket_start, count(*) AS requests,
+  count(*) FILTER (WHERE is_error) AS errors FROM scu GROUP BY 1),
+hm AS (SELECT *, avg(requests) OVER (ORDER BY bucket_start ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS trailing_mean FROM hb)
+SELECT strftime(bucket_start, {TS}) AS bucket_start, requests, errors, round(trailing_mean, 6) AS trailing_mean,
+  round(CAST(errors AS DOUBLE) / requests, 6) AS error_rate, requests > trailing_mean * 3.0 AS spike,
+  CAST(errors AS DOUBLE) / requests > {D.ERROR_RATE_ALERT} AS high_errors FROM hm""", scored=True)
