@@ -498,3 +498,48 @@ def x7(spark, sf_dir):
 def x8(spark, sf_dir):
     s = TR.volume_spikes(_traffic_with_labels(spark, sf_dir))
     return _round_all(s.withColumn("bucket_start", _ts(F.col("bucket_start"))), ["trailing_mean", "error_rate"])
+
+
+# ---------------------------------------------------------------- monitoring
+from ..operators import monitor as MN  # noqa: E402
+
+DRIFT_FEATURES = ["spam_score", "caps_ratio", "exclamation_score", "number_score", "max_url_risk", "num_urls"]
+
+
+def _drift_long(spark, sf_dir):
+    s = TP.scored_traffic(spark, sf_dir).withColumn(
+        "period", F.when(F.dayofmonth("ts") <= 15, F.lit("baseline")).otherwise(F.lit("current")))
+    return MN.unpivot(s, ["period"], DRIFT_FEATURES)
+
+
+@register("d1_feature_drift")
+def d1(spark, sf_dir):
+    return _round_all(MN.feature_drift(_drift_long(spark, sf_dir)), ["psi"])
+
+
+@register("d2_prediction_drift")
+def d2(spark, sf_dir):
+    return _round_all(MN.prediction_drift(_history(spark, sf_dir)), ["spam_share", "baseline_share", "share_delta"])
+
+
+@register("d3_performance_drift")
+def d3(spark, sf_dir):
+    fb = _feedback(spark, sf_dir).withColumn(
+        "date", F.to_date(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 37)))
+    fb = fb.withColumn("predicted_label", EV.fold(F.col("predicted_label")))
+    return _round_all(MN.performance_drift(fb), ["accuracy", "accuracy_change"])
+
+
+@register("d4_alert_rules")
+def d4(spark, sf_dir):
+    """Model metrics (A2P FPR, p95) and per-minute error rates against the
+    documented thresholds; drift PSI too."""
+    m = _metrics(spark, sf_dir).select(F.col("model").alias("subject"), "a2p_fpr", "latency_p95")
+    a = MN.alert_rules(m, MN.default_rules(spark), ["subject"], ["a2p_fpr", "latency_p95"])
+    x = TR.traffic_metrics(_traffic_with_labels(spark, sf_dir), "1 hour").select(
+        _ts(F.col("window_start")).alias("subject"), "error_rate")
+    b = MN.alert_rules(x, MN.default_rules(spark), ["subject"], ["error_rate"])
+    dr = MN.feature_drift(_drift_long(spark, sf_dir)).select(F.col("feature").alias("subject"), "psi")
+    c = MN.alert_rules(dr, MN.default_rules(spark), ["subject"], ["psi"])
+    out = a.unionByName(b).unionByName(c)
+    return out.select("metric", "subject", r6(F.col("value")).alias("value"), "threshold")

@@ -427,3 +427,52 @@ hm AS (SELECT *, avg(requests) OVER (ORDER BY bucket_start ROWS BETWEEN 24 PRECE
 SELECT strftime(bucket_start, {TS}) AS bucket_start, requests, errors, round(trailing_mean, 6) AS trailing_mean,
   round(CAST(errors AS DOUBLE) / requests, 6) AS error_rate, requests > trailing_mean * 3.0 AS spike,
   CAST(errors AS DOUBLE) / requests > {D.ERROR_RATE_ALERT} AS high_errors FROM hm""", scored=True)
+
+
+# ---------------------------------------------------------------- monitoring
+_DF = ["spam_score", "caps_ratio", "exclamation_score", "number_score", "max_url_risk", "num_urls"]
+_DRIFT = """, dl AS (SELECT CASE WHEN dayofmonth(ts) <= 15 THEN 'baseline' ELSE 'current' END AS period, feature, value FROM scu
+  UNPIVOT (value FOR feature IN (""" + ", ".join(_DF) + """))),
+dh AS (SELECT feature, period, CAST(least(floor(value * 10), 9) AS INTEGER) AS bin, count(*) AS n FROM dl GROUP BY ALL),
+ds AS (SELECT *, n / sum(n) OVER (PARTITION BY feature, period) AS share FROM dh),
+dj AS (SELECT coalesce(p.feature, q.feature) AS feature, greatest(coalesce(p.share, 0.0), 1e-6) AS pp,
+  greatest(coalesce(q.share, 0.0), 1e-6) AS qq
+  FROM (SELECT * FROM ds WHERE period = 'baseline') p FULL OUTER JOIN (SELECT * FROM ds WHERE period = 'current') q
+  ON p.feature = q.feature AND p.bin = q.bin),
+psi AS (SELECT feature, sum((qq - pp) * ln(qq / pp)) AS psi FROM dj GROUP BY feature)"""
+SQL["d1_feature_drift"] = traffic_sql(_DRIFT + f"\nSELECT feature, round(psi, 6) AS psi, psi > {D.DRIFT_ALERT} AS drift_alert FROM psi",
+                                      scored=True)
+SQL["d2_prediction_drift"] = traffic_sql(""", pd AS (SELECT date, count(*) AS n,
+  count(*) FILTER (WHERE classification IN ('spam', 'smishing')) AS spam FROM hist GROUP BY date)
+SELECT date, n, spam, round(spam / n, 6) AS spam_share, round(sum(spam) OVER () / sum(n) OVER (), 6) AS baseline_share,
+  round(spam / n - sum(spam) OVER () / sum(n) OVER (), 6) AS share_delta FROM pd""", scored=True)
+SQL["d3_performance_drift"] = with_view(_FEEDBACK.replace("AS true_label FROM", "AS true_label, d.doc_id FROM") + scored_ctes("fd") + """,
+pf AS (SELECT CAST(make_timestamp(CAST((1704067200 + doc_id * 37) AS BIGINT) * 1000000) AS DATE) AS date,
+  CASE WHEN label IN ('spam', 'smishing') THEN 'spam' ELSE label END = true_label AS ok FROM scu),
+pg2 AS (SELECT date, count(*) AS n, count(*) FILTER (WHERE ok) AS correct, count(*) FILTER (WHERE ok) / count(*) AS accuracy FROM pf GROUP BY date)
+SELECT date, n, correct, round(accuracy, 6) AS accuracy, round(accuracy - lag(accuracy) OVER (ORDER BY date), 6) AS accuracy_change FROM pg2""")
+
+import re as _re  # noqa: E402
+
+_SCORED_NAMES = ["mu", "url_rows", "url_parts", "url_f0", "url_f1", "url_feats", "url_agg", "mu_roll",
+                 "tfe", "s0", "sc", "scu"]
+
+
+def suffixed(sql: str, suf: str, names=_SCORED_NAMES) -> str:
+    """Rename the scorer's CTEs so two scored inputs can share one WITH."""
+    return _re.sub(r"\b(" + "|".join(names) + r")\b", lambda m_: m_.group(1) + suf, sql)
+
+
+SQL["d4_alert_rules"] = with_view(
+    CORPUS_CTES + ",\n" + _tst("test") + "," + scored_ctes("tst") + ",\n" + PRED_SQL + ",\n" + MET_SQL + ","
+    + TRAFFIC_CTES + "," + suffixed(scored_ctes("tr"), "_t") + suffixed(_DRIFT, "_t") + f""",
+rules AS (SELECT * FROM (VALUES ('a2p_fpr', '>', {D.TARGET_A2P_FPR}), ('latency_p95', '>', {D.TARGET_P95_MS}),
+  ('psi', '>', {D.DRIFT_ALERT}), ('error_rate', '>', {D.ERROR_RATE_ALERT})) v(metric, op, threshold)),
+vals AS (
+  SELECT 'a2p_fpr' AS metric, model AS subject, a2p_fpr AS value FROM metr
+  UNION ALL SELECT 'latency_p95', model, latency_p95 FROM metr
+  UNION ALL SELECT 'error_rate', strftime(time_bucket(INTERVAL '1 hour', ts), {TS}),
+    CAST(count(*) FILTER (WHERE is_error) AS DOUBLE) / count(*) FROM scu_t GROUP BY time_bucket(INTERVAL '1 hour', ts)
+  UNION ALL SELECT 'psi', feature, psi FROM psi)
+SELECT v.metric, v.subject, round(v.value, 6) AS value, r.threshold FROM vals v JOIN rules r ON v.metric = r.metric
+WHERE CASE WHEN r.op = '>' THEN v.value > r.threshold ELSE v.value < r.threshold END""")
