@@ -141,3 +141,65 @@ def retraining_set(corpus: DataFrame, feedback: DataFrame, key: str = "message")
     return both.groupBy(key).agg(best).select(
         key, F.col("b.label").alias("label"),
         F.when(F.col("b.prio") == 0, F.lit("feedback")).otherwise(F.lit("corpus")).alias("origin"))
+
+
+# FIXED VALUES: legitimate A2P message templates and their field lists.
+OTP_TEMPLATES = ["Your {service} verification code is {code}", "{code} is your {service} security code",
+                 "Use {code} to verify your {service} account"]
+OTP_SERVICES = ["Google", "Apple", "Amazon", "PayPal", "Chase", "Facebook", "Instagram", "Netflix", "Uber",
+                "Microsoft"]
+TRANS_TEMPLATES = ["Your {service} order #{order} has shipped", "Payment of ${amount} to {person} successful",
+                   "{service}: Appointment confirmed for {date}"]
+TRANS_SERVICES = ["Amazon", "Target", "Uber"]
+TRANS_PEOPLE = ["John", "Jane"]
+TRANS_DATES = ["Monday", "tomorrow"]
+MARKETING_TEMPLATES = ["{brand}: {percent}% off! Shop now. Reply STOP to unsubscribe",
+                       "{brand} Rewards: You have {points} points!", "Weekend Sale at {brand}: Up to {percent}% off"]
+MARKETING_BRANDS = ["Target", "Nike", "Sephora", "Best Buy", "Macy's"]
+MARKETING_PERCENTS = [20, 30, 40, 50]
+ALERT_TEMPLATES = ["Appointment reminder: {service} tomorrow at {time}", "Weather Alert: {condition} expected tonight",
+                   "{service} bill due: ${amount} due by {date}"]
+ALERT_SERVICES = ["Dentist", "Doctor"]
+ALERT_TIMES = ["2pm", "10am"]
+ALERT_CONDITIONS = ["Rain", "Snow"]
+ALERT_AMOUNTS = [50, 100]
+ALERT_DATES = ["Friday", "Monday"]
+
+
+def _pick(values, idx):
+    """``values[idx % len(values)]`` as a column (0-based ``idx``)."""
+    return F.element_at(F.array(*[F.lit(str(v)) for v in values]), (idx % len(values)).cast("int") + 1)
+
+
+def _fill(template_idx, templates, fields: dict):
+    t = _pick(templates, template_idx)
+    for k, v in fields.items():
+        t = F.replace(t, F.lit("{" + k + "}"), v)
+    return t
+
+
+def a2p_messages(index: DataFrame, col: str = "i") -> DataFrame:
+    """Legitimate A2P messages generated from an index column: each index
+    row emits one 2FA, one transactional, one marketing and one alert
+    message whose template and fields are picked by ``i mod n`` (the
+    template family's own index rules). A generator (``explode`` of four
+    structs per row), not a join, so it scales with the index table."""
+    i = F.col(col).cast("long")
+    otp = _fill(i % 3, OTP_TEMPLATES, {"service": _pick(OTP_SERVICES, F.floor(i / 3)),
+                                       "code": F.substring((F.lit(100000) + (i * 13) % 900000).cast("string"), 1, 6)})
+    trans = _fill(i % 3, TRANS_TEMPLATES, {"service": _pick(TRANS_SERVICES, i), "order": (F.lit(10000) + i).cast("string"),
+                                           "amount": F.concat((F.lit(10) + i % 90).cast("string"), F.lit(".00")),
+                                           "person": _pick(TRANS_PEOPLE, i), "date": _pick(TRANS_DATES, i)})
+    mkt = _fill(i % 3, MARKETING_TEMPLATES, {"brand": _pick(MARKETING_BRANDS, i),
+                                             "percent": _pick(MARKETING_PERCENTS, i),
+                                             "points": (F.lit(100) + i * 10).cast("string")})
+    alert = _fill(i % 3, ALERT_TEMPLATES, {"service": _pick(ALERT_SERVICES, i), "time": _pick(ALERT_TIMES, i),
+                                           "condition": _pick(ALERT_CONDITIONS, i),
+                                           "amount": _pick(ALERT_AMOUNTS, i), "date": _pick(ALERT_DATES, i)})
+    fams = [("2fa", otp), ("transactional", trans), ("marketing", mkt), ("alerts", alert)]
+    rows = F.array(*[F.struct(F.lit(k).alias("a2p_type"), v.alias("message")) for k, v in fams])
+    x = index.select(i.alias("i"), F.explode(rows).alias("r"))
+    return x.select("i", F.col("r.message").alias("message"), F.lit("ham").alias("label"),
+                    F.lit("a2p_synthetic").alias("source"), F.concat(F.lit("a2p_"), F.col("r.a2p_type")).alias("dataset"),
+                    F.lit("high").alias("quality"), F.col("r.a2p_type").alias("a2p_type"),
+                    F.lit(False).alias("is_smishing"))

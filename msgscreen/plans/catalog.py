@@ -543,3 +543,52 @@ def d4(spark, sf_dir):
     c = MN.alert_rules(dr, MN.default_rules(spark), ["subject"], ["psi"])
     out = a.unionByName(b).unionByName(c)
     return out.select("metric", "subject", r6(F.col("value")).alias("value"), "threshold")
+
+
+# ---------------------------------------------------------------- generators, model scoring, sinks
+@register("c9_a2p_generator")
+def c9(spark, sf_dir):
+    """Index = event ids: four A2P messages per event row."""
+    return CO.a2p_messages(_events(spark, sf_dir, "event_id"), "event_id")
+
+
+def _keyword_scorer():
+    """A caller-style Python scorer (vectorised over a batch of texts)."""
+    def score(texts):
+        out = []
+        for t in texts:
+            hit = ("free" in t.lower()) or ("$" in t)
+            out.append(("spam", 0.8) if hit else ("ham", 0.6))
+        return out
+    return score
+
+
+@register("m1_model_scoring")
+def m1(spark, sf_dir):
+    """M1: a Python scorer over the test split through mapInPandas (latency
+    is measured, so it is not part of the compared output)."""
+    sc, _ = PR.corpus_and_predictions(spark, sf_dir)
+    p = MO.score_with(sc, _keyword_scorer, "keyword_model", text_col="message")
+    return p.select("message_id", "model", "label", r6(F.col("confidence")).alias("confidence"), "error")
+
+
+@register("m3_text_classifier")
+def m3(spark, sf_dir):
+    """M3: TF-IDF + logistic regression trained on the train split, model
+    picked on val (regularisation grid), predictions on test."""
+    from ..operators import textmodel as TM
+    sc = PR.split_corpus(spark, sf_dir)
+    return TM.train_and_predict(sc)
+
+
+@register("s4_s8_history_roundtrip")
+def s4_s8(spark, sf_dir):
+    """S4 + S8: write the history (JSON lines, partitioned by date) to the
+    shared checkpoint folder and read it back with an explicit schema."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..sources import sinks as SK
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/history-{uuid.uuid4().hex}"
+    SK.write_history(_history(spark, sf_dir).drop("event_id"), path)
+    h = SK.read_history(spark, path)
+    return h.withColumn("timestamp", _ts(F.col("timestamp"))).withColumn("confidence", r6(F.col("confidence")))

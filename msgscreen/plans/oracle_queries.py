@@ -476,3 +476,46 @@ vals AS (
   UNION ALL SELECT 'psi', feature, psi FROM psi)
 SELECT v.metric, v.subject, round(v.value, 6) AS value, r.threshold FROM vals v JOIN rules r ON v.metric = r.metric
 WHERE CASE WHEN r.op = '>' THEN v.value > r.threshold ELSE v.value < r.threshold END""")
+
+
+# ---------------------------------------------------------------- generators, model scoring, sinks
+def _arr(vals):
+    return "[" + ", ".join(q(str(v)) for v in vals) + "]"
+
+
+def _fill_sql(templates, fields):
+    t = f"{_arr(templates)}[CAST(i % 3 AS BIGINT) + 1]"
+    for k, v in fields.items():
+        t = f"replace({t}, '{{{k}}}', {v})"
+    return t
+
+
+def _c9_sql():
+    from ..operators import corpus as CO
+    pick = lambda vals, idx: f"{_arr(vals)}[CAST(({idx}) % {len(vals)} AS BIGINT) + 1]"
+    otp = _fill_sql(CO.OTP_TEMPLATES, {"service": pick(CO.OTP_SERVICES, "i // 3"),
+                                        "code": "substr(CAST(100000 + (i * 13) % 900000 AS VARCHAR), 1, 6)"})
+    trans = _fill_sql(CO.TRANS_TEMPLATES, {"service": pick(CO.TRANS_SERVICES, "i"), "order": "CAST(10000 + i AS VARCHAR)",
+                                           "amount": "concat(CAST(10 + i % 90 AS VARCHAR), '.00')",
+                                           "person": pick(CO.TRANS_PEOPLE, "i"), "date": pick(CO.TRANS_DATES, "i")})
+    mkt = _fill_sql(CO.MARKETING_TEMPLATES, {"brand": pick(CO.MARKETING_BRANDS, "i"),
+                                             "percent": pick(CO.MARKETING_PERCENTS, "i"),
+                                             "points": "CAST(100 + i * 10 AS VARCHAR)"})
+    alert = _fill_sql(CO.ALERT_TEMPLATES, {"service": pick(CO.ALERT_SERVICES, "i"), "time": pick(CO.ALERT_TIMES, "i"),
+                                           "condition": pick(CO.ALERT_CONDITIONS, "i"),
+                                           "amount": pick(CO.ALERT_AMOUNTS, "i"), "date": pick(CO.ALERT_DATES, "i")})
+    fams = [("2fa", otp), ("transactional", trans), ("marketing", mkt), ("alerts", alert)]
+    parts = [f"SELECT i, {v} AS message, 'ham' AS label, 'a2p_synthetic' AS source, 'a2p_{k}' AS dataset, "
+             f"'high' AS quality, '{k}' AS a2p_type, false AS is_smishing FROM (SELECT event_id AS i FROM events)"
+             for k, v in fams]
+    return "\nUNION ALL\n".join(parts)
+
+
+SQL["c9_a2p_generator"] = _c9_sql()
+SQL["m1_model_scoring"] = eval_sql("test", """SELECT message_id, 'keyword_model' AS model,
+  CASE WHEN contains(lower(message), 'free') OR contains(message, '$') THEN 'spam' ELSE 'ham' END AS label,
+  CASE WHEN contains(lower(message), 'free') OR contains(message, '$') THEN 0.8 ELSE 0.6 END AS confidence,
+  CAST(NULL AS VARCHAR) AS error FROM tst""")
+SQL["s4_s8_history_roundtrip"] = traffic_sql("SELECT strftime(timestamp, " + TS + ") AS timestamp, date, classification, "
+                                             "is_smishing, round(confidence, 6) AS confidence, via_sms, message_length, "
+                                             "from_number_hash FROM hist", scored=True)
