@@ -47,11 +47,16 @@ def classify_stream(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
                      F.col("reasoning")).alias("reply"))
 
 
-def daily_counters_stream(scored: DataFrame, watermark: str = "1 day") -> DataFrame:
+def _wm(df: DataFrame, watermark: str | None) -> DataFrame:
+    """Apply a watermark unless the upstream already defined one (X1 does)."""
+    return df.withWatermark("ts", watermark) if watermark else df
+
+
+def daily_counters_stream(scored: DataFrame, watermark: str | None = None) -> DataFrame:
     """T2 live — tumbling 1-day event-time windows; rows later than the
-    watermark are dropped (documented late-data rule)."""
+    watermark (X1's 1 day, or ``watermark``) are dropped (late-data rule)."""
     spam = F.col("classification").isin("spam", "smishing") | F.col("is_smishing")
-    return (scored.withWatermark("ts", watermark)
+    return (_wm(scored, watermark)
             .groupBy(F.window("ts", "1 day").alias("w"))
             .agg(F.count(F.lit(1)).alias("total_messages"), F.count_if(spam).alias("spam_count"),
                  F.count_if(spam & F.col("is_smishing")).alias("smishing_count"),
@@ -110,22 +115,22 @@ def spend_gate_stream(stream: DataFrame, cost: str = D.COST_PER_MESSAGE, limit:
         gate, GATE_OUT, GATE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def dashboard_feed(scored: DataFrame, bucket: str = "1 minute", watermark: str = "10 minutes") -> DataFrame:
+def dashboard_feed(scored: DataFrame, bucket: str = "1 minute", watermark: str | None = None) -> DataFrame:
     """Per-bucket totals for the live dashboard (written every 30 s by
     :func:`start_dashboard_feed`)."""
     spam = F.col("classification").isin("spam", "smishing") | F.col("is_smishing")
-    return (scored.withWatermark("ts", watermark).groupBy(F.window("ts", bucket).alias("w"))
+    return (_wm(scored, watermark).groupBy(F.window("ts", bucket).alias("w"))
             .agg(F.count(F.lit(1)).alias("total"), F.count_if(spam).alias("spam"),
                  F.count_if(~spam).alias("ham"))
             .select(F.col("w.start").alias("bucket_start"), "total", "spam", "ham"))
 
 
 def traffic_metrics_stream(scored: DataFrame, width: str = "1 minute", slide: str | None = None,
-                           watermark: str = "10 minutes") -> DataFrame:
+                           watermark: str | None = None) -> DataFrame:
     """X6 live: requests, error rate and approximate latency percentiles per
     event-time window (``percentile_approx``: bounded state per window)."""
     win = F.window("ts", width, slide) if slide else F.window("ts", width)
-    return (scored.withWatermark("ts", watermark).groupBy(win.alias("w"))
+    return (_wm(scored, watermark).groupBy(win.alias("w"))
             .agg(F.count(F.lit(1)).alias("requests"),
                  F.percentile_approx("latency_ms", [0.5, 0.95, 0.99], 1000).alias("p"))
             .select(F.col("w.start").alias("window_start"), "requests",
