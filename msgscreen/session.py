@@ -24,6 +24,9 @@ BASE_CONF = {
 }
 
 
+JIT_OPTS = "-XX:-DontCompileHugeMethods"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "msgscreen") -> SparkSession:
     """A local session for tests and benchmarks (never used on a cluster)."""
@@ -31,6 +34,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     for k, v in BASE_CONF.items():
         b = b.config(k, v)
     b = (b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+          # the fused scorer projection is a large generated method; let the JIT compile it
+          .config("spark.driver.extraJavaOptions", JIT_OPTS)
+          .config("spark.executor.extraJavaOptions", JIT_OPTS)
           .config("spark.driver.memory", os.environ.get("MSGSCREEN_DRIVER_MEM", "8g")))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
