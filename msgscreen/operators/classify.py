@@ -26,8 +26,13 @@ def with_url_rollup(df: DataFrame, text_col: str = "text") -> DataFrame:
     extracts when it collapses projections, which would re-evaluate a feature
     at every use; a flat non-trivial column referenced several times is kept
     in its own projection and computed once."""
-    df = df.withColumn("urls", U.extract_urls(F.col(text_col)))
-    df = df.withColumn("url_feats", F.transform(F.transform("urls", U.url_parts), U.features_of_parts))
+    # Most messages carry no URL: skip the regex and the (interpreted)
+    # higher-order functions unless the text can contain one.
+    text = F.col(text_col)
+    df = df.withColumn("urls", F.when(text.contains("http"), U.extract_urls(text))
+                       .otherwise(F.array().cast("array<string>")))
+    df = df.withColumn("url_feats", F.when(F.size("urls") > 0, F.transform(F.transform("urls", U.url_parts),
+                                                                           U.features_of_parts)))
     feats = F.col("url_feats")
     n = F.size("urls")
     has = n > 0
@@ -66,11 +71,12 @@ def with_url_analysis(df: DataFrame) -> DataFrame:
         lambda z: F.struct(z["url"].alias("url"),
                            z["f"]["url_risk_score"].alias("risk_score"),
                            U.indicators(z["f"]).alias("indicators")))
-    return (df.withColumn("url_details", details)
+    return (df.withColumn("url_details", F.when(has, details))
               .withColumn("url_level", U.risk_level(F.col("max_url_risk"), has))
               .withColumn("max_risk_score", F.when(has, F.col("max_url_risk")))
-              .withColumn("suspicious_indicators", F.array_sort(F.array_distinct(
-                  F.flatten(F.transform("url_details", lambda d: d["indicators"]))))))
+              .withColumn("suspicious_indicators", F.when(has, F.array_sort(F.array_distinct(
+                  F.flatten(F.transform("url_details", lambda d: d["indicators"])))))
+                  .otherwise(F.array().cast("array<string>"))))
 
 
 def score(df: DataFrame, text_col: str = "text", upgrade: bool = False) -> DataFrame:
