@@ -18,21 +18,18 @@ def _f(x):
     return F.when(x, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def with_url_rollup(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``urls`` (array), ``url_feats`` (array of feature structs) and the
-    11 per-message rollup columns (U12, in-row form).
-
-    Features are flat columns, not a struct: Catalyst inlines struct-field
-    extracts when it collapses projections, which would re-evaluate a feature
-    at every use; a flat non-trivial column referenced several times is kept
-    in its own projection and computed once."""
-    # Most messages carry no URL: skip the regex and the (interpreted)
-    # higher-order functions unless the text can contain one.
-    text = F.col(text_col)
-    df = df.withColumn("urls", F.when(text.contains("http"), U.extract_urls(text))
-                       .otherwise(F.array().cast("array<string>")))
-    df = df.withColumn("url_feats", F.when(F.size("urls") > 0, F.transform(F.transform("urls", U.url_parts),
-                                                                           U.features_of_parts)))
+def _url_columns(text):
+    """Level 1: the URL array (only texts containing 'http' run the regex)."""
+    return F.when(text.contains("http"), U.extract_urls(text)).otherwise(F.array().cast("array<string>"))
+
+
+def _url_feats_column():
+    """Level 2: per-URL feature structs (higher-order functions only for rows with URLs)."""
+    return F.when(F.size("urls") > 0, F.transform(F.transform("urls", U.url_parts), U.features_of_parts))
+
+
+def _rollup_columns() -> dict:
+    """Level 3: the 11 per-message URL rollup columns (U12, in-row form)."""
     feats = F.col("url_feats")
     n = F.size("urls")
     has = n > 0
@@ -57,48 +54,70 @@ def with_url_rollup(df: DataFrame, text_col: str = "text") -> DataFrame:
         "max_domain_entropy": mx("domain_entropy"),
         "has_suspicious_url_keywords": anyf("has_suspicious_keywords"),
     }
-    return df.withColumns({
-        k: (F.when(has, v).otherwise(F.lit(0.0)) if k not in ("has_urls", "num_urls") else v)
-        for k, v in cols.items()})
+    return {k: (F.when(has, v).otherwise(F.lit(0.0)) if k not in ("has_urls", "num_urls") else v)
+            for k, v in cols.items()}
 
 
-def with_url_analysis(df: DataFrame) -> DataFrame:
-    """U13–U14 on top of :func:`with_url_rollup`: per-URL details, distinct
-    sorted indicators, max risk (null without URLs) and the URL risk level."""
+def _analysis_columns() -> dict:
+    """Level 4 (needs the rollup): per-URL details, URL level, max risk."""
     has = F.size("urls") > 0
     details = F.transform(
         F.arrays_zip(F.col("urls").alias("url"), F.col("url_feats").alias("f")),
         lambda z: F.struct(z["url"].alias("url"),
                            z["f"]["url_risk_score"].alias("risk_score"),
                            U.indicators(z["f"]).alias("indicators")))
-    return (df.withColumn("url_details", F.when(has, details))
-              .withColumn("url_level", U.risk_level(F.col("max_url_risk"), has))
-              .withColumn("max_risk_score", F.when(has, F.col("max_url_risk")))
-              .withColumn("suspicious_indicators", F.when(has, F.array_sort(F.array_distinct(
-                  F.flatten(F.transform("url_details", lambda d: d["indicators"])))))
-                  .otherwise(F.array().cast("array<string>"))))
+    return {"url_details": F.when(has, details),
+            "url_level": U.risk_level(F.col("max_url_risk"), has),
+            "max_risk_score": F.when(has, F.col("max_url_risk"))}
+
+
+def _indicator_column():
+    """Level 5: distinct, sorted indicator strings (empty without URLs)."""
+    has = F.size("urls") > 0
+    return (F.when(has, F.array_sort(F.array_distinct(F.flatten(
+        F.transform("url_details", lambda d: d["indicators"])))))
+            .otherwise(F.array().cast("array<string>")))
+
+
+# Features are flat columns, not structs: Catalyst inlines struct-field
+# extracts when it collapses projections, which would re-evaluate a feature at
+# every use; a flat non-trivial column referenced several times is kept in its
+# own projection and computed once. Columns are added in dependency levels (one
+# ``withColumns`` per level) to keep plan analysis cheap.
+
+
+def with_url_rollup(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add ``urls``, ``url_feats`` and the 11 rollup columns (U12, in-row)."""
+    df = df.withColumn("urls", _url_columns(F.col(text_col)))
+    df = df.withColumn("url_feats", _url_feats_column())
+    return df.withColumns(_rollup_columns())
+
+
+def with_url_analysis(df: DataFrame) -> DataFrame:
+    """U13–U14 on top of :func:`with_url_rollup`: per-URL details, distinct
+    sorted indicators, max risk (null without URLs) and the URL risk level."""
+    df = df.withColumns(_analysis_columns())
+    return df.withColumn("suspicious_indicators", _indicator_column())
 
 
 def score(df: DataFrame, text_col: str = "text", upgrade: bool = False) -> DataFrame:
-    """H1–H7: add the 10 text-feature columns, the URL rollup columns, ``otp``,
+    """H1–H7: add the URL columns, the 10 text-feature columns, ``otp``,
     ``spam_score``, ``label``, ``confidence``, ``risk_level``, ``reasoning``,
     ``is_spam`` and ``is_smishing`` (with the H7 upgrade if ``upgrade``)."""
-    df = with_url_analysis(with_url_rollup(df, text_col))
     text = F.col(text_col)
-    df = df.withColumn("_low", F.lower(text))
-    low = F.col("_low")
-    df = (df.withColumns(T.text_feature_columns(text, low))
-            .withColumn("otp", T.otp_gate(text, F.col("url_level"), low)))
-    feat = F.col
-    df = df.withColumn("spam_score", T.spam_score(feat, feat))
-    tf = uf = feat
-    otp, s = F.col("otp"), F.col("spam_score")
-    df = (df.withColumn("label", T.label(s, tf, uf, otp))
-            .withColumn("confidence", T.confidence(s, otp))
-            .withColumn("risk_level", T.risk_level(s, otp))
-            .withColumn("reasoning", T.reasoning(tf, uf, otp)))
-    return (df.withColumn("is_spam", F.col("label").isin("spam", "smishing"))
-              .withColumn("is_smishing", T.is_smishing(F.col("label"), tf, F.col("url_level"), upgrade)))
+    df = df.withColumns({"urls": _url_columns(text), "_low": F.lower(text)})
+    df = df.withColumn("url_feats", _url_feats_column())
+    df = df.withColumns(_rollup_columns())
+    df = df.withColumns({**_analysis_columns(), **T.text_feature_columns(text, F.col("_low"))})
+    col = F.col
+    df = df.withColumns({"suspicious_indicators": _indicator_column(),
+                         "otp": T.otp_gate(text, col("url_level"), col("_low")),
+                         "spam_score": T.spam_score(col, col)})
+    otp, s = col("otp"), col("spam_score")
+    df = df.withColumns({"label": T.label(s, col, col, otp), "confidence": T.confidence(s, otp),
+                         "risk_level": T.risk_level(s, otp), "reasoning": T.reasoning(col, col, otp)})
+    return df.withColumns({"is_spam": col("label").isin("spam", "smishing"),
+                           "is_smishing": T.is_smishing(col("label"), col, col("url_level"), upgrade)})
 
 
 def preview(text_col: str = "text", n: int = 100):

@@ -108,13 +108,14 @@ def document_messages(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cluster's cores when the scan yields fewer
-    partitions than cores (e.g. a table stored as one parquet row group).
+    """Round-robin the rows over the cluster's cores when the table has fewer
+    files than cores (the driver's tables are single files with one parquet
+    row group, which one task would otherwise process alone).
 
-    Decided from plan metadata only. At scale a scan has far more splits than
-    cores and this is a no-op, so no shuffle is added there."""
+    Decided from the file listing only. At scale a table has far more files
+    than cores and this is a no-op, so no shuffle is added there."""
     target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    if len(df.inputFiles()) >= target:
         return df
     return df.repartition(target * 2)
 
