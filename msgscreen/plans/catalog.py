@@ -592,3 +592,48 @@ def s4_s8(spark, sf_dir):
     SK.write_history(_history(spark, sf_dir).drop("event_id"), path)
     h = SK.read_history(spark, path)
     return h.withColumn("timestamp", _ts(F.col("timestamp"))).withColumn("confidence", r6(F.col("confidence")))
+
+
+@register("s5_feedback_roundtrip")
+def s5(spark, sf_dir):
+    """Corrections (rule prediction vs label on labelled documents) are
+    appended as JSON lines and read back with an explicit schema."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..sources import sinks as SK
+    fb = _feedback(spark, sf_dir)
+    kind = (F.when((EV.fold(F.col("predicted_label")) == "spam") & (F.col("true_label") == "ham"), F.lit("false_positive"))
+            .when((EV.fold(F.col("predicted_label")) == "ham") & (F.col("true_label") == "spam"), F.lit("false_negative"))
+            .otherwise(F.lit("correct")))
+    rows = fb.select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("message"), "predicted_label",
+                     "true_label", kind.alias("feedback_type"), F.lit(None).cast("string").alias("notes"),
+                     F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 37).alias("timestamp"))
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/feedback-{uuid.uuid4().hex}"
+    SK.write_feedback(rows, path)
+    back = SK.read_feedback(spark, path)
+    return back.withColumn("timestamp", _ts(F.col("timestamp")))
+
+
+@register("s6_split_sink")
+def s6(spark, sf_dir):
+    """The split corpus written partitioned by ``split`` (+ summary) and
+    read back; partition pruning serves split filters."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..sources import sinks as SK
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/splits-{uuid.uuid4().hex}"
+    SK.write_splits(CP.split_corpus(spark, sf_dir), path)
+    return spark.read.parquet(f"{path}/corpus").select("message_id", "label", "split")
+
+
+@register("s7_evaluation_store")
+def s7(spark, sf_dir):
+    """Metrics of all models and the recommendation saved and read back."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..sources import sinks as SK
+    m = _metrics(spark, sf_dir)
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/evaluation-{uuid.uuid4().hex}"
+    SK.write_evaluation(m, EV.select_model(m), path)
+    metrics, rec = SK.read_evaluation(spark, path)
+    return _round_all(metrics, METRIC_DOUBLES)

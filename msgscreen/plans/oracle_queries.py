@@ -519,3 +519,12 @@ SQL["m1_model_scoring"] = eval_sql("test", """SELECT message_id, 'keyword_model'
 SQL["s4_s8_history_roundtrip"] = traffic_sql("SELECT strftime(timestamp, " + TS + ") AS timestamp, date, classification, "
                                              "is_smishing, round(confidence, 6) AS confidence, via_sms, message_length, "
                                              "from_number_hash FROM hist", scored=True)
+
+SQL["s5_feedback_roundtrip"] = with_view(_FEEDBACK.replace("AS true_label FROM", "AS true_label, d.doc_id FROM") + scored_ctes("fd") + """
+SELECT concat('doc ', CAST(doc_id AS VARCHAR)) AS message, label AS predicted_label, true_label,
+  CASE WHEN CASE WHEN label IN ('spam', 'smishing') THEN 'spam' ELSE label END = 'spam' AND true_label = 'ham' THEN 'false_positive'
+       WHEN CASE WHEN label IN ('spam', 'smishing') THEN 'spam' ELSE label END = 'ham' AND true_label = 'spam' THEN 'false_negative'
+       ELSE 'correct' END AS feedback_type, CAST(NULL AS VARCHAR) AS notes,
+  strftime(make_timestamp(CAST((1704067200 + doc_id * 37) AS BIGINT) * 1000000), """ + TS + """) AS timestamp FROM scu""")
+SQL["s6_split_sink"] = SQL["c7_stratified_split"]
+SQL["s7_evaluation_store"] = SQL["e1_e6_model_metrics"]
