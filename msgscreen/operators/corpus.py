@@ -203,3 +203,98 @@ def a2p_messages(index: DataFrame, col: str = "i") -> DataFrame:
                     F.lit("a2p_synthetic").alias("source"), F.concat(F.lit("a2p_"), F.col("r.a2p_type")).alias("dataset"),
                     F.lit("high").alias("quality"), F.col("r.a2p_type").alias("a2p_type"),
                     F.lit(False).alias("is_smishing"))
+
+
+# FIXED VALUES: threat / ham fallback templates and their field lists.
+SPAM_TEMPLATES = [
+    "URGENT! Free entry in 2 a weekly competition to win FA Cup final tkts",
+    "XXXMobileMovieClub: To use your credit, click the WAP link",
+    "Free msg: Txt: CALL to No: 86888 & claim your reward of 3 hours",
+    "SIX chances to win CASH! From 100 to 20,000 pounds txt> CSH11",
+    "WINNER!! As a valued network customer you have been selected",
+    "Congratulations ur awarded {prize}! Collect from {url}",
+    "PRIVATE! Your 2003 Account Statement for {number} shows {amount}",
+    "This is the 2nd time we have tried to contact you. Call {number}",
+    "{service} final notice: your subscription expires in {days} days",
+    "Text WIN to {number} for your FREE gift worth £{amount}",
+]
+SPAM_PRIZES = ["$5000", "iPhone 15", "£1000", "iPad Pro"]
+SPAM_AMOUNTS = [100, 500, 1000, 2000]
+SPAM_SERVICES = ["Netflix", "Spotify", "Amazon Prime", "Disney+"]
+SPAM_DAYS = [3, 7, 14, 30]
+SMISHING_TEMPLATES = [
+    "Your {bank} account has been {action}. Verify at {url} within 24hrs",
+    "URGENT: Suspicious login from {location}. Secure account: {url}",
+    "Your package delivery failed. Update address: {url}",
+    "{service} Security Alert: {threat}. Click: {url}",
+    "IRS: Tax refund ${amount} approved. Claim: {url}",
+    "Your payment to {person} failed. Retry: {url}",
+    "Final notice: Outstanding balance ${amount}. Pay: {url}",
+    "Account will be closed unless you verify: {url}",
+    "Unusual activity detected. Confirm identity: {url}",
+    "{service}: Your account compromised. Reset password: {url}",
+]
+SMISHING_BANKS = ["Wells Fargo", "Chase", "Bank of America", "Citibank"]
+SMISHING_ACTIONS = ["suspended", "locked", "compromised"]
+SMISHING_SERVICES = ["PayPal", "Venmo", "Amazon", "Apple", "Microsoft"]
+SMISHING_LOCATIONS = ["Russia", "China", "Nigeria", "Unknown Location"]
+SMISHING_THREATS = ["Unauthorized access detected", "New device login", "Password change attempt"]
+SMISHING_AMOUNTS = [150, 350, 500, 1200]
+SMISHING_PEOPLE = ["John Smith", "Jane Doe", "Mike Johnson"]
+HAM_TEMPLATES = [
+    "Hey, are you free for {activity} {time}?",
+    "Don't forget {item} on your way home",
+    "Great job on {task}! {praise}",
+    "Meeting {when} in {place}",
+    "Can you pick up {items} from {place}?",
+    "Reminder: {appointment} on {date} at {time}",
+    "{name} called earlier. Call back when you can",
+    "Thanks for {action}! Really appreciate it",
+    "Running {duration} late, be there soon",
+    "Left {item} at {place}, can you grab it?",
+]
+HAM_ACTIVITIES = ["coffee", "lunch", "dinner", "drinks", "a movie"]
+HAM_TIMES = ["later", "tomorrow", "this afternoon", "tonight"]
+HAM_ITEMS = ["milk", "bread", "eggs", "groceries", "my charger"]
+HAM_TASKS = ["the presentation", "your report", "the meeting", "the project"]
+HAM_PRAISES = ["Well done!", "Impressed!", "Great work!", "Nice!"]
+HAM_WHENS = ["today", "tomorrow", "next week"]
+HAM_PLACES = ["home", "the office", "the store", "your desk", "the car"]
+HAM_APPOINTMENTS = ["dentist", "doctor", "haircut", "car service"]
+HAM_DATES = ["Monday", "Tuesday", "tomorrow", "next week"]
+HAM_NAMES = ["Mom", "Dad", "Sarah", "John", "Mike"]
+HAM_ACTIONS = ["your help", "dinner", "the gift", "calling"]
+HAM_DURATIONS = ["5 mins", "10 mins", "15 mins"]
+
+
+def threat_messages(index: DataFrame, col: str = "i") -> DataFrame:
+    """Labelled fallback messages from an index column: each index row
+    emits one spam, one smishing and one ham message, template ``i mod 10``,
+    fields picked by ``i mod n``. Smishing is folded to spam with
+    ``is_smishing`` set, as in the corpus."""
+    i = F.col(col).cast("long")
+    t = i % len(SPAM_TEMPLATES)
+    spam = _fill(t, SPAM_TEMPLATES, {
+        "prize": _pick(SPAM_PRIZES, i), "url": F.concat(F.lit("www.claim-prize"), i.cast("string"), F.lit(".com")),
+        "number": F.concat(F.lit("8"), F.format_string("%04d", i)), "amount": _pick(SPAM_AMOUNTS, i),
+        "service": _pick(SPAM_SERVICES, i), "days": _pick(SPAM_DAYS, i)})
+    smish = _fill(t, SMISHING_TEMPLATES, {
+        "bank": _pick(SMISHING_BANKS, i), "action": _pick(SMISHING_ACTIONS, i),
+        "url": F.concat(F.lit("secure-verify"), i.cast("string"), F.lit(".xyz/login")),
+        "location": _pick(SMISHING_LOCATIONS, i), "service": _pick(SMISHING_SERVICES, i),
+        "threat": _pick(SMISHING_THREATS, i), "amount": _pick(SMISHING_AMOUNTS, i),
+        "person": _pick(SMISHING_PEOPLE, i)})
+    ham = _fill(t, HAM_TEMPLATES, {
+        "activity": _pick(HAM_ACTIVITIES, i), "time": _pick(HAM_TIMES, i), "item": _pick(HAM_ITEMS, i),
+        "task": _pick(HAM_TASKS, i), "praise": _pick(HAM_PRAISES, i), "when": _pick(HAM_WHENS, i),
+        "place": _pick(HAM_PLACES, i),
+        "items": F.concat(_pick(HAM_ITEMS, i), F.lit(", "), _pick(HAM_ITEMS, i + 1)),
+        "appointment": _pick(HAM_APPOINTMENTS, i), "date": _pick(HAM_DATES, i), "name": _pick(HAM_NAMES, i),
+        "action": _pick(HAM_ACTIONS, i), "duration": _pick(HAM_DURATIONS, i)})
+    rows = F.array(*[F.struct(F.lit(lab).alias("raw"), v.alias("message"))
+                     for lab, v in (("spam", spam), ("smishing", smish), ("ham", ham))])
+    x = index.select(i.alias("i"), F.explode(rows).alias("r"))
+    return x.select("i", F.col("r.message").alias("message"),
+                    F.when(F.col("r.raw") == "smishing", F.lit("spam")).otherwise(F.col("r.raw")).alias("label"),
+                    F.lit("fallback_expanded").alias("source"), F.lit("fallback").alias("dataset"),
+                    F.lit("medium").alias("quality"), (F.col("r.raw") == "smishing").alias("is_smishing"))

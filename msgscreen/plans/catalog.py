@@ -637,3 +637,10 @@ def s7(spark, sf_dir):
     SK.write_evaluation(m, EV.select_model(m), path)
     metrics, rec = SK.read_evaluation(spark, path)
     return _round_all(metrics, METRIC_DOUBLES)
+
+
+@register("c10_threat_generator")
+def c10(spark, sf_dir):
+    """Index = order keys: one spam, one smishing and one ham message per order row."""
+    from ..sources.tables import table
+    return CO.threat_messages(table(spark, sf_dir, "orders", "o_orderkey"), "o_orderkey")

@@ -528,3 +528,38 @@ SELECT concat('doc ', CAST(doc_id AS VARCHAR)) AS message, label AS predicted_la
   strftime(make_timestamp(CAST((1704067200 + doc_id * 37) AS BIGINT) * 1000000), """ + TS + """) AS timestamp FROM scu""")
 SQL["s6_split_sink"] = SQL["c7_stratified_split"]
 SQL["s7_evaluation_store"] = SQL["e1_e6_model_metrics"]
+
+
+def _c10_sql():
+    from ..operators import corpus as CO
+
+    def pick(vals, idx="i"):
+        return f"{_arr(vals)}[CAST(({idx}) % {len(vals)} AS BIGINT) + 1]"
+
+    def fill(templates, fields):
+        t = f"{_arr(templates)}[CAST(i % 10 AS BIGINT) + 1]"
+        for k, v in fields.items():
+            t = f"replace({t}, '{{{k}}}', {v})"
+        return t
+    spam = fill(CO.SPAM_TEMPLATES, {"prize": pick(CO.SPAM_PRIZES), "url": "concat('www.claim-prize', CAST(i AS VARCHAR), '.com')",
+                                    "number": "concat('8', printf('%04d', i))", "amount": pick(CO.SPAM_AMOUNTS),
+                                    "service": pick(CO.SPAM_SERVICES), "days": pick(CO.SPAM_DAYS)})
+    smish = fill(CO.SMISHING_TEMPLATES, {"bank": pick(CO.SMISHING_BANKS), "action": pick(CO.SMISHING_ACTIONS),
+                                         "url": "concat('secure-verify', CAST(i AS VARCHAR), '.xyz/login')",
+                                         "location": pick(CO.SMISHING_LOCATIONS), "service": pick(CO.SMISHING_SERVICES),
+                                         "threat": pick(CO.SMISHING_THREATS), "amount": pick(CO.SMISHING_AMOUNTS),
+                                         "person": pick(CO.SMISHING_PEOPLE)})
+    ham = fill(CO.HAM_TEMPLATES, {"activity": pick(CO.HAM_ACTIVITIES), "time": pick(CO.HAM_TIMES), "item": pick(CO.HAM_ITEMS),
+                                  "task": pick(CO.HAM_TASKS), "praise": pick(CO.HAM_PRAISES), "when": pick(CO.HAM_WHENS),
+                                  "place": pick(CO.HAM_PLACES),
+                                  "items": f"concat({pick(CO.HAM_ITEMS)}, ', ', {pick(CO.HAM_ITEMS, 'i + 1')})",
+                                  "appointment": pick(CO.HAM_APPOINTMENTS), "date": pick(CO.HAM_DATES),
+                                  "name": pick(CO.HAM_NAMES), "action": pick(CO.HAM_ACTIONS),
+                                  "duration": pick(CO.HAM_DURATIONS)})
+    parts = [f"SELECT i, {v} AS message, '{lab}' AS label, 'fallback_expanded' AS source, 'fallback' AS dataset, "
+             f"'medium' AS quality, {smi} AS is_smishing FROM (SELECT o_orderkey AS i FROM orders)"
+             for v, lab, smi in ((spam, "spam", "false"), (smish, "spam", "true"), (ham, "ham", "false"))]
+    return "\nUNION ALL\n".join(parts)
+
+
+SQL["c10_threat_generator"] = _c10_sql()

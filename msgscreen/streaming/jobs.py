@@ -142,3 +142,44 @@ def start_dashboard_feed(scored: DataFrame, table_path: str, checkpoint: str, ev
     return (dashboard_feed(scored).writeStream.outputMode("append").format("parquet")
             .option("path", table_path).option("checkpointLocation", checkpoint)
             .trigger(processingTime=every).start())
+
+
+def feedback_trigger_stream(feedback: DataFrame, every: int = D.FEEDBACK_RETRAIN_EVERY) -> DataFrame:
+    """X4 live: running count of corrections and the number of retrains it
+    has triggered (one per ``every``). A global streaming aggregate: its
+    state is one counter, merged from partial counts (complete mode)."""
+    return (feedback.groupBy().agg(F.count(F.lit(1)).alias("feedback_count"))
+            .withColumn("retrains_triggered", F.floor(F.col("feedback_count") / every).cast("long")))
+
+
+RATE_OUT = "event_id long, sender string, ts timestamp, recent long, throttled boolean"
+RATE_STATE = "ts_us array<long>"
+
+
+def sender_rate_stream(stream: DataFrame, limit: int = D.SENDER_RATE_LIMIT, seconds: int = D.SENDER_RATE_WINDOW_S,
+                       watermark: str = "10 minutes") -> DataFrame:
+    """X7 live: per sender, messages in the last ``seconds`` (inclusive) at
+    each message, throttled over ``limit``. State per sender keeps only the
+    timestamps inside the window (bounded by one window of that sender's
+    traffic) and expires when the watermark passes the last one."""
+    span = seconds * 1_000_000
+
+    def rate(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = list(state.get[0]) if state.exists else []
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="mergesort")
+        us = (pdf["ts"].astype("datetime64[us]").astype("int64")).tolist()
+        allts = sorted(kept + us)
+        import bisect
+        recent = [bisect.bisect_right(allts, t) - bisect.bisect_left(allts, t - span) for t in us]
+        newest = max(allts) if allts else 0
+        state.update(([t for t in allts if t >= newest - span],))
+        state.setTimeoutTimestamp(int(newest // 1000) + seconds * 1000)
+        yield pd.DataFrame({"event_id": pdf["event_id"].values, "sender": key[0], "ts": pdf["ts"].values,
+                            "recent": recent, "throttled": [r > limit for r in recent]})
+
+    s = stream.withWatermark("ts", watermark)
+    return s.select("event_id", "sender", "ts").groupBy("sender").applyInPandasWithState(
+        rate, RATE_OUT, RATE_STATE, "append", GroupStateTimeout.EventTimeTimeout)

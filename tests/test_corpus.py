@@ -80,3 +80,12 @@ def test_a2p_generator(spark):
     assert got["transactional"] == "Payment of $14.00 to John successful"
     assert got["marketing"] == "Macy's Rewards: You have 140 points!"
     assert got["alerts"] == "Weather Alert: Rain expected tonight"
+
+
+def test_threat_generator(spark):
+    idx = spark.range(6).withColumnRenamed("id", "i")
+    rows = CO.threat_messages(idx).filter("i = 5").collect()
+    got = {(r["label"], r["is_smishing"]): r["message"] for r in rows}
+    assert got[("spam", False)] == "Congratulations ur awarded iPhone 15! Collect from www.claim-prize5.com"
+    assert got[("spam", True)] == "Your payment to Mike Johnson failed. Retry: secure-verify5.xyz/login"
+    assert got[("ham", False)] == "Reminder: doctor on Tuesday at tomorrow"

@@ -49,3 +49,17 @@ def test_stream_parity(spark):
     bg = TR.spend_gate(TP.inbound(spark, SF0001)).select("event_id", "accepted", "alert")
     assert gate.select("event_id", "accepted", "alert").exceptAll(bg).count() == 0
     assert gate.count() == bg.count()
+
+
+def test_rate_limit_and_trigger_streams(spark):
+    d = _write_inbound(spark)
+    rate = _run(SJ.sender_rate_stream(SJ.inbound_stream(spark, d + "/in")), d, "x7_out")
+    exp = TR.sender_rate_limit(TP.inbound(spark, SF0001)).select("event_id", "recent", "throttled")
+    assert rate.count() == exp.count()
+    assert rate.select("event_id", "recent", "throttled").exceptAll(exp).count() == 0
+
+    fb = spark.range(250).select(F.col("id").cast("string").alias("message"))
+    fb.write.mode("overwrite").json(d + "/fb")
+    src = spark.readStream.schema("message string").json(d + "/fb")
+    trig = _run(SJ.feedback_trigger_stream(src), d, "x4_out", mode="complete").first()
+    assert trig["feedback_count"] == 250 and trig["retrains_triggered"] == 2
