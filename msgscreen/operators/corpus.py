@@ -65,7 +65,9 @@ def priority_dedup(df: DataFrame, key: str = "message", order=("quality_rank", "
         F.lit(len(QUALITY_RANK)))) if "quality_rank" in order and "quality_rank" not in df.columns else df
     payload = [c for c in df.columns if c != key and c not in order]
     best = F.min(F.struct(*[F.col(c) for c in order], *[F.col(c) for c in payload])).alias("b")
-    out = df.groupBy(key).agg(best)
+    # group on (64-bit hash, text): the sort-based aggregate then compares
+    # long texts only on hash ties
+    out = df.groupBy(F.xxhash64(key).alias("_kh"), key).agg(best)
     return out.select(key, *[F.col(f"b.{c}").alias(c) for c in list(order) + payload])
 
 
@@ -74,14 +76,19 @@ def split_hash(key: str = "message", seed: int = 42):
 
 
 def stratified_split(df: DataFrame, label_col: str = "label", key: str = "message", seed: int = 42,
-                     train: int = 70, val: int = 85, prefix: int = 4, tie: str = "message_id") -> DataFrame:
+                     train: int = 70, val: int = 85, prefix: int = 4, tie: str = "message_id",
+                     checkpoint: bool = True) -> DataFrame:
     """Exact per-class 70/15/15 split. Rows of each label are ranked by
     ``md5(seed|key)`` (ties by ``tie``); rank r (1-based) of n goes to train if
     100r <= 70n, to val if 100r <= 85n, else to test. Deterministic and
     reproducible in SQL (``row_number`` over the same order).
 
     Ranks are computed without a per-label window: rank = offset of the
-    row's hash-prefix bucket + rank inside the bucket."""
+    row's hash-prefix bucket + rank inside the bucket. The input is read
+    twice (bucket counts, then ranks), so it is checkpointed once first."""
+    if checkpoint:
+        from ..session import materialize
+        df = materialize(df)
     h = df.withColumn("_h", split_hash(key, seed)).withColumn("_b", F.substring("_h", 1, prefix))
     counts = h.groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(label_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

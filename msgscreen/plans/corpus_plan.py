@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import corpus as CO
-from ..session import materialize
 from .message_view import message_view
 
 # source -> (dataset, quality, rank in the union)
@@ -52,7 +51,5 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C7 over the de-duplicated corpus. The split reads its input twice
-    (bucket counts, then ranks), so the deduplicated corpus is checkpointed
-    once instead of being recomputed."""
-    return CO.stratified_split(materialize(corpus(spark, sf_dir)))
+    """C7 over the de-duplicated corpus (the split checkpoints its input)."""
+    return CO.stratified_split(corpus(spark, sf_dir))
