@@ -130,8 +130,9 @@ def split_leaks(split_df: DataFrame, key: str = "message") -> DataFrame:
 
 def integrate(existing: DataFrame, new: DataFrame, key: str = "message") -> DataFrame:
     """C11: add only texts not already in the corpus (``left_anti``), then the
-    caller re-dedups and re-splits."""
-    fresh = new.join(existing.select(key), key, "left_anti")
+    caller re-dedups and re-splits. Callers pre-dedup ``new`` so a hot text
+    is one row before the shuffle; AQE's skew-join split covers the rest."""
+    fresh = new.join(existing.select(key).distinct(), key, "left_anti")
     return existing.unionByName(fresh, allowMissingColumns=True)
 
 

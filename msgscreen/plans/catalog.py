@@ -179,9 +179,15 @@ def c11(spark, sf_dir):
     """Existing corpus = pages + events; new batch = events + orders + documents
     (the events overlap); only unseen texts are added, then dedup + split."""
     srcs = CP.corpus_sources(message_view(spark, sf_dir))
-    existing = CO.union_sources(srcs[:2])
-    new = CO.union_sources(srcs[1:])
-    merged = CO.stratified_split(CO.priority_dedup(CO.integrate(existing, new).select(*CP.UNION_COLS)))
+    existing = CO.union_sources(srcs[:2]).select(*CP.UNION_COLS)
+    # pre-dedup the new batch (partial aggregate): a hot duplicate text becomes
+    # one row before the anti-join shuffle; the final dedup is unchanged by it
+    nb = CO.union_sources(srcs[1:])
+    nb = nb.withColumns({"original_label": F.lit(None).cast("string"), "is_smishing": F.lit(False)}
+                        if "original_label" not in nb.columns else {})
+    new = CO.priority_dedup(nb.select(*CP.UNION_COLS))
+    merged = CO.stratified_split(CO.priority_dedup(
+        CO.integrate(existing, new.drop("quality_rank")).select(*CP.UNION_COLS)))
     return merged.select("message_id", "label", "source", "split")
 
 
