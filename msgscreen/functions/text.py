@@ -19,6 +19,7 @@ URL_ROLLUP_FEATURES = ["has_urls", "num_urls", "max_url_risk", "avg_url_risk", "
                        "max_domain_entropy", "has_suspicious_url_keywords"]
 
 UPPER_PATTERN = r"\p{IsUppercase}"
+ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DIGIT_RUN_PATTERN = r"\p{Nd}+"
 TEXT_SPECIAL_PATTERN = "[" + D.TEXT_SPECIAL_CHARS + "]"
 
@@ -49,17 +50,25 @@ def text_feature_columns(text: Column, low: Column | None = None) -> dict[str, C
     tests share one lower-casing pass."""
     low = F.lower(text) if low is None else low
     n = F.length(text)
+    # Exact counts without per-match allocations where possible: ``translate``
+    # deletes a character set in one pass; the Unicode regexes run only for
+    # texts that are not pure ASCII (or, for digits, that contain one).
+    ascii_only = F.octet_length(text) == n
+    caps = F.when(ascii_only, n - F.length(F.translate(text, ASCII_UPPER, ""))) \
+        .otherwise(F.regexp_count(text, F.lit(UPPER_PATTERN)))
+    no_ascii_digit = F.length(F.translate(text, "0123456789", "")) == n
+    runs = F.when(ascii_only & no_ascii_digit, F.lit(0)) \
+        .otherwise(F.regexp_count(text, F.lit(DIGIT_RUN_PATTERN)))
     feats = {
         "length_score": (F.when(n < 20, F.lit(0.3)).when(n > 200, F.lit(0.4))
                          .otherwise(F.lit(0.0))),
-        "caps_ratio": F.when(n > 0, F.least(F.regexp_count(text, F.lit(UPPER_PATTERN)) / n * F.lit(2.0),
-                                            F.lit(1.0))).otherwise(F.lit(0.0)),
-        "exclamation_score": _cap(F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit(""))), 3.0),
+        "caps_ratio": F.when(n > 0, F.least(caps / n * F.lit(2.0), F.lit(1.0))).otherwise(F.lit(0.0)),
+        "exclamation_score": _cap(n - F.length(F.translate(text, "!", "")), 3.0),
         "spam_keywords": _cap(_hits(low, D.SPAM_KEYWORDS), 3.0),
         "smishing_keywords": _cap(_hits(low, D.SMISHING_KEYWORDS), 2.0),
         "legitimate_patterns": _cap(_hits(low, D.LEGITIMATE_PATTERNS), 2.0),
-        "number_score": _cap(F.regexp_count(text, F.lit(DIGIT_RUN_PATTERN)), 5.0),
-        "special_chars": _cap(F.regexp_count(text, F.lit(TEXT_SPECIAL_PATTERN)), 5.0),
+        "number_score": _cap(runs, 5.0),
+        "special_chars": _cap(n - F.length(F.translate(text, D.TEXT_SPECIAL_CHARS, "")), 5.0),
         "urgency_score": _cap(_hits(low, D.URGENCY_WORDS), 2.0),
         "money_score": _cap(_hits(low, D.MONEY_TOKENS), 2.0),
     }
