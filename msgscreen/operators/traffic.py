@@ -247,3 +247,35 @@ def volume_spikes(traffic: DataFrame, bucket: str = "1 hour", trailing: int = 24
              .withColumn("error_rate", F.col("errors") / F.col("requests"))
              .withColumn("spike", F.col("requests") > F.col("trailing_mean") * factor)
              .withColumn("high_errors", F.col("error_rate") > D.ERROR_RATE_ALERT))
+
+
+def sender_sessions(traffic: DataFrame, gap_seconds: int = 1800, key: str = "sender", ts: str = "ts",
+                    tie: str = "event_id", bucket_seconds: int = 3600, min_messages: int = 20) -> DataFrame:
+    """X8 (batch form): per-sender sessions (a new session after more than
+    ``gap_seconds`` of silence) with message count, start, end and an
+    ``unusual`` flag (more than ``min_messages`` in one session).
+
+    Skew-safe sessionization, two-level like the gate: rows are ordered only
+    inside (sender, time bucket); each bucket's first row finds its
+    predecessor in a small per-(sender, bucket) table of first/last times
+    (bounded by the time range); session numbers are prefix sums of
+    session starts over that small table plus a running count in the bucket."""
+    t = traffic.select(key, ts, tie).withColumn("_b", _bucket(F.col(ts), bucket_seconds))
+    us = F.unix_micros(F.col(ts))
+    w_in = Window.partitionBy(key, "_b").orderBy(ts, tie)
+    t = t.withColumn("_prev_in", F.lag(us).over(w_in)).withColumn("_rn", F.row_number().over(w_in))
+    bt = t.groupBy(key, "_b").agg(F.max(us).alias("_last"))
+    w_b = Window.partitionBy(key).orderBy("_b")
+    prevb = bt.select(key, "_b", F.lag("_last").over(w_b).alias("_prev_bucket_last"))
+    j = t.join(prevb, [key, "_b"])
+    prev = F.when(F.col("_rn") == 1, F.col("_prev_bucket_last")).otherwise(F.col("_prev_in"))
+    j = j.withColumn("_start", (prev.isNull() | (us - prev > gap_seconds * 1_000_000)).cast("int"))
+    starts = j.groupBy(key, "_b").agg(F.sum("_start").alias("_s"))
+    w_prev = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = starts.select(key, "_b", F.coalesce(F.sum("_s").over(w_prev), F.lit(0)).alias("_off"))
+    j = j.join(offs, [key, "_b"])
+    w_run = Window.partitionBy(key, "_b").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
+    j = j.withColumn("session", F.col("_off") + F.sum("_start").over(w_run))
+    g = j.groupBy(key, "session").agg(F.count(F.lit(1)).alias("messages"), F.min(ts).alias("session_start"),
+                                      F.max(ts).alias("session_end"))
+    return g.withColumn("unusual", F.col("messages") > min_messages)

@@ -650,3 +650,11 @@ def c10(spark, sf_dir):
     """Index = order keys: one spam, one smishing and one ham message per order row."""
     from ..sources.tables import table
     return CO.threat_messages(table(spark, sf_dir, "orders", "o_orderkey"), "o_orderkey")
+
+
+@register("x8_sender_sessions")
+def x8s(spark, sf_dir):
+    """X8 sender anomaly: 30-minute-gap sessions per sender over inbound traffic."""
+    s = TR.sender_sessions(TP.inbound(spark, sf_dir))
+    return s.select("sender", "session", "messages", _ts(F.col("session_start")).alias("session_start"),
+                    _ts(F.col("session_end")).alias("session_end"), "unusual")

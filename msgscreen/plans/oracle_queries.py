@@ -563,3 +563,11 @@ def _c10_sql():
 
 
 SQL["c10_threat_generator"] = _c10_sql()
+
+SQL["x8_sender_sessions"] = traffic_sql(""", ss AS (SELECT sender, ts, event_id,
+  CASE WHEN lag(ts) OVER (PARTITION BY sender ORDER BY ts, event_id) IS NULL
+         OR epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY sender ORDER BY ts, event_id)) > 1800000000
+       THEN 1 ELSE 0 END AS st FROM tr0),
+sn AS (SELECT *, sum(st) OVER (PARTITION BY sender ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM ss)
+SELECT sender, session, count(*) AS messages, strftime(min(ts), """ + TS + """) AS session_start,
+  strftime(max(ts), """ + TS + """) AS session_end, count(*) > 20 AS unusual FROM sn GROUP BY sender, session""".replace(", ss AS", "ss AS", 0))

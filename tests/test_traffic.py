@@ -57,3 +57,25 @@ def test_feedback_triggers(spark):
     t = TR.feedback_triggers(fb).orderBy("batch").collect()
     assert [r["batch"] for r in t] == [0, 1]
     assert t[0]["trigger_ts"] == base + dt.timedelta(hours=99)
+
+
+def test_sender_sessions_match_brute_force(spark):
+    import random
+    random.seed(11)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(seconds=random.randint(0, 6 * 3600)), f"s{random.randint(0, 2)}")
+            for i in range(400)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp, sender string")
+    got = {(r["sender"], r["session"]): r["messages"]
+           for r in TR.sender_sessions(df, gap_seconds=120, bucket_seconds=600, min_messages=5).collect()}
+    exp = {}
+    for s in {r[2] for r in rows}:
+        evs = sorted((t, i) for i, t, s2 in rows if s2 == s)
+        sess, prev = 0, None
+        for t, _ in evs:
+            if prev is None or (t - prev).total_seconds() > 120:
+                sess += 1
+            exp[(s, sess)] = exp.get((s, sess), 0) + 1
+            prev = t
+    assert got == exp
+    assert max(exp.values()) > 1 and len(exp) > 3      # sessions do span buckets here
