@@ -227,7 +227,7 @@ SELECT model, subset, count(*) AS n,
   round(coalesce(CAST(count(*) FILTER (WHERE true_label = 'spam' AND pred = 'spam') AS DOUBLE) / nullif(count(*) FILTER (WHERE pred = 'spam' AND true_label IN ('spam', 'ham')), 0), 0.0), 6) AS precision,
   round(coalesce(CAST(count(*) FILTER (WHERE true_label = 'spam' AND pred = 'spam') AS DOUBLE) / nullif(count(*) FILTER (WHERE true_label = 'spam' AND pred IN ('spam', 'ham')), 0), 0.0), 6) AS recall,
   round(coalesce(CAST(2 * count(*) FILTER (WHERE true_label = 'spam' AND pred = 'spam') AS DOUBLE) / nullif(2 * count(*) FILTER (WHERE true_label = 'spam' AND pred = 'spam') + count(*) FILTER (WHERE true_label = 'ham' AND pred = 'spam') + count(*) FILTER (WHERE true_label = 'spam' AND pred = 'ham'), 0), 0.0), 6) AS f1_score
-FROM x GROUP BY model, subset""".replace(", x AS", "x AS", 0))
+FROM x GROUP BY model, subset""")
 
 _FEEDBACK = """fd AS (SELECT concat('dc', CAST(d.doc_id AS VARCHAR)) AS message_id, CAST(NULL AS VARCHAR) AS sender, d.text,
   CASE WHEN l.toxic = 1 THEN 'spam' ELSE 'ham' END AS true_label FROM documents d JOIN labels l ON d.doc_id = l.doc_id),"""
@@ -570,4 +570,4 @@ SQL["x8_sender_sessions"] = traffic_sql(""", ss AS (SELECT sender, ts, event_id,
        THEN 1 ELSE 0 END AS st FROM tr0),
 sn AS (SELECT *, sum(st) OVER (PARTITION BY sender ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM ss)
 SELECT sender, session, count(*) AS messages, strftime(min(ts), """ + TS + """) AS session_start,
-  strftime(max(ts), """ + TS + """) AS session_end, count(*) > 20 AS unusual FROM sn GROUP BY sender, session""".replace(", ss AS", "ss AS", 0))
+  strftime(max(ts), """ + TS + """) AS session_end, count(*) > 20 AS unusual FROM sn GROUP BY sender, session""")
