@@ -7,6 +7,8 @@ so scoring a table never shuffles and scales linearly with partitions.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,24 +102,35 @@ def with_url_analysis(df: DataFrame) -> DataFrame:
     return df.withColumn("suspicious_indicators", _indicator_column())
 
 
+@functools.lru_cache(maxsize=16)
+def _score_levels(text_col: str, upgrade: bool) -> tuple:
+    """The scorer's columns, one dict per dependency level. Column objects are
+    immutable, unresolved expressions, so they are built once per (text
+    column, upgrade) and reused: building them costs ~1 s of py4j calls."""
+    text, col = F.col(text_col), F.col
+    otp, s = col("otp"), col("spam_score")
+    return (
+        {"urls": _url_columns(text), "_low": F.lower(text)},
+        {"url_feats": _url_feats_column()},
+        _rollup_columns(),
+        {**_analysis_columns(), **T.text_feature_columns(text, col("_low"))},
+        {"suspicious_indicators": _indicator_column(),
+         "otp": T.otp_gate(text, col("url_level"), col("_low")),
+         "spam_score": T.spam_score(col, col)},
+        {"label": T.label(s, col, col, otp), "confidence": T.confidence(s, otp),
+         "risk_level": T.risk_level(s, otp), "reasoning": T.reasoning(col, col, otp)},
+        {"is_spam": col("label").isin("spam", "smishing"),
+         "is_smishing": T.is_smishing(col("label"), col, col("url_level"), upgrade)},
+    )
+
+
 def score(df: DataFrame, text_col: str = "text", upgrade: bool = False) -> DataFrame:
     """H1–H7: add the URL columns, the 10 text-feature columns, ``otp``,
     ``spam_score``, ``label``, ``confidence``, ``risk_level``, ``reasoning``,
     ``is_spam`` and ``is_smishing`` (with the H7 upgrade if ``upgrade``)."""
-    text = F.col(text_col)
-    df = df.withColumns({"urls": _url_columns(text), "_low": F.lower(text)})
-    df = df.withColumn("url_feats", _url_feats_column())
-    df = df.withColumns(_rollup_columns())
-    df = df.withColumns({**_analysis_columns(), **T.text_feature_columns(text, F.col("_low"))})
-    col = F.col
-    df = df.withColumns({"suspicious_indicators": _indicator_column(),
-                         "otp": T.otp_gate(text, col("url_level"), col("_low")),
-                         "spam_score": T.spam_score(col, col)})
-    otp, s = col("otp"), col("spam_score")
-    df = df.withColumns({"label": T.label(s, col, col, otp), "confidence": T.confidence(s, otp),
-                         "risk_level": T.risk_level(s, otp), "reasoning": T.reasoning(col, col, otp)})
-    return df.withColumns({"is_spam": col("label").isin("spam", "smishing"),
-                           "is_smishing": T.is_smishing(col("label"), col, col("url_level"), upgrade)})
+    for level in _score_levels(text_col, upgrade):
+        df = df.withColumns(level)
+    return df
 
 
 def preview(text_col: str = "text", n: int = 100):
