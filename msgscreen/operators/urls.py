@@ -8,6 +8,8 @@ the in-row form because it needs no shuffle.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +25,17 @@ def url_rows(messages: DataFrame, text_col: str = "text", keep=("message_id", "s
         .withColumn("pos", (F.col("pos") + 1).cast("long"))
 
 
+@functools.lru_cache(maxsize=1)
+def _feature_columns():
+    """The per-URL expressions, built once (immutable, unresolved columns)."""
+    return U.url_parts(F.col("url")), U.features_of_parts(F.col("p"))
+
+
 def url_feature_rows(rows: DataFrame) -> DataFrame:
     """Add ``netloc``, ``path`` and the 12 features as flat columns."""
-    parts = rows.withColumn("p", U.url_parts(F.col("url")))
-    feats = parts.withColumn("f", U.features_of_parts(F.col("p")))
+    parts_col, feats_col = _feature_columns()
+    parts = rows.withColumn("p", parts_col)
+    feats = parts.withColumn("f", feats_col)
     return feats.select(*rows.columns, F.col("p.dom").alias("netloc"), F.col("p.path").alias("path"),
                         *[F.col(f"f.{k}").alias(k) for k in FEATURES])
 
