@@ -111,3 +111,13 @@ def test_reply_texts(spark):
     assert rows[1]["t"].endswith("Recommend: Delete message")
     assert rows[2]["t"] == "✅ SAFE (92% confidence)\n\nThis message appears legitimate."
     assert all(len(r["short"]) < 160 for r in rows)
+
+
+def test_reply_url_warnings_cap_at_four(spark):
+    df = spark.createDataFrame([(True, True, 0.9, "high", "Urgent/pressure tactics, prize winner")],
+                               "s boolean, sm boolean, c double, r string, why string")
+    t = df.select(T.reply_text(F.col("s"), F.col("sm"), F.col("c"), F.col("r"), F.col("why"),
+                               url_has=F.lit(True), url_shortener=F.lit(True), url_suspicious=F.lit(True),
+                               url_risk=F.lit(0.8)).alias("t")).first()["t"]
+    warns = [line for line in t.split("\n") if line.startswith("•")]
+    assert warns == ["• URL shortener detected", "• Suspicious link found", "• High-risk URL", "• Urgent language"]
