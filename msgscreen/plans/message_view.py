@@ -10,6 +10,8 @@ it grows linearly with the tables.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def _s(c):
 
 
 def page_messages(pages: DataFrame) -> DataFrame:
+    return pages.select(*_page_columns())
+
+
+@functools.lru_cache(maxsize=1)
+def _page_columns():
     url, pid = F.col("url"), F.col("page_id")
     path = F.regexp_replace(url, "^https?://[^/?#]*", "")
     k = pid % 12
@@ -43,7 +50,7 @@ def page_messages(pages: DataFrame) -> DataFrame:
                                               "http://x7kq9zvw3mfp.bit.ly.secure-login.xyz/a/b/c/d?u=1&v=2&w=3&x=4"), path))
             .otherwise(F.concat(F.lit("$$$ FREE CASH! WIN $"), _s(F.lit(1000) + pid),
                                 F.lit(" NOW! HURRY! $$$"))))
-    return pages.select(
+    return (
         F.concat(F.lit("pg"), _s(pid)).alias("message_id"),
         F.concat(F.lit("+1555"), _s(F.lit(1000000) + pid % 37)).alias("sender"),
         text.alias("text"),
@@ -54,6 +61,7 @@ def page_messages(pages: DataFrame) -> DataFrame:
     )
 
 
+@functools.lru_cache(maxsize=1)
 def event_text():
     """Text of the event message (A2P templates keyed by event_id % 4)."""
     eid = F.col("event_id")
@@ -66,10 +74,15 @@ def event_text():
 
 
 def event_messages(ev: DataFrame) -> DataFrame:
+    return ev.select(*_event_columns())
+
+
+@functools.lru_cache(maxsize=1)
+def _event_columns():
     eid = F.col("event_id")
     m = eid % 4
     text = event_text()
-    return ev.select(
+    return (
         F.concat(F.lit("ev"), _s(eid)).alias("message_id"),
         F.concat(F.lit("+1555"), _s(F.lit(2000000) + F.col("user_id"))).alias("sender"),
         text.alias("text"),
@@ -82,8 +95,13 @@ def event_messages(ev: DataFrame) -> DataFrame:
 
 
 def order_messages(orders: DataFrame) -> DataFrame:
+    return orders.select(*_order_columns())
+
+
+@functools.lru_cache(maxsize=1)
+def _order_columns():
     ok = F.col("o_orderkey")
-    return orders.select(
+    return (
         F.concat(F.lit("or"), _s(ok)).alias("message_id"),
         F.concat(F.lit("+1555"), _s(F.lit(3000000) + F.col("o_custkey"))).alias("sender"),
         F.concat(F.lit("Your Target order #"), _s(ok), F.lit(" has shipped")).alias("text"),
@@ -95,8 +113,12 @@ def order_messages(orders: DataFrame) -> DataFrame:
 
 
 def document_messages(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    j = docs.join(labels, "doc_id", "left")
-    return j.select(
+    return docs.join(labels, "doc_id", "left").select(*_document_columns())
+
+
+@functools.lru_cache(maxsize=1)
+def _document_columns():
+    return (
         F.concat(F.lit("dc"), _s(F.col("doc_id"))).alias("message_id"),
         F.lit(None).cast("string").alias("sender"),
         F.col("text"),
