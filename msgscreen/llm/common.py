@@ -105,3 +105,10 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
             break
     nodes = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """At most ``rows`` rows a batch between Spark and Python: whole texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, rows)
