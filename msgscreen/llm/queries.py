@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgscreen.llm import sharding, topk
+from msgscreen.llm import bpe, packing, sharding, topk
 from msgscreen.llm.common import table
 
 
+def vocabulary_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens packed into sequences of 2048."""
+    parts = packing.pieces(table(spark, sf_dir, "documents"), vocabulary_file())
+    return packing.pack(parts).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded, as digests."""
+    rows = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_file(), decoded=True)
+    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best inner products of every fiftieth vector against all others."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -20,4 +39,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op4_topk": op4_topk, "op10_sharding": op10_sharding}
+QUERIES = {"op4_topk": op4_topk, "op6_packing": op6_packing, "op7_bpe": op7_bpe, "op10_sharding": op10_sharding}
