@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgscreen.llm import bpe, packing, sharding, topk
+from msgscreen.llm import bpe, packing, quality, sharding, topk, toxicity
 from msgscreen.llm.common import table
 
 
@@ -33,10 +33,20 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by learned subword vectors."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by compression distance."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards that match the mixture of sources; law: rows."""
     placed = sharding.interleave(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op4_topk": op4_topk, "op6_packing": op6_packing, "op7_bpe": op7_bpe, "op10_sharding": op10_sharding}
+QUERIES = {"op2_quality": op2_quality, "op8_toxicity": op8_toxicity, "op4_topk": op4_topk, "op6_packing": op6_packing, "op7_bpe": op7_bpe, "op10_sharding": op10_sharding}
