@@ -43,3 +43,17 @@ FROM p
 """
 
 SQL = {"op4_topk": OP4, "op10_sharding": OP10}
+
+#: Base 32 of the SHA-1: 160 bits as 32 letters of five.
+OP1 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS x FROM p),
+b AS (SELECT *, array_to_string(list_transform(regexp_extract_all(array_to_string(list_transform(regexp_extract_all(x, '.'),
+  lambda c: right(bin(CAST('0x1' || c AS INTEGER)), 4)), ''), '.....'),
+  lambda g: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_reduce(list_prepend(0, list_transform(regexp_extract_all(g, '.'), lambda y: CAST(y AS INTEGER))), lambda u, v: 2 * u + v), 1)), '') AS payload_digest,
+  max(page_id) OVER (PARTITION BY x) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to FROM b
+"""
+
+SQL["op1_warc"] = OP1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgscreen.llm import bpe, packing, quality, sharding, topk, toxicity
+from msgscreen.llm import bpe, packing, quality, sharding, topk, toxicity, warc
 from msgscreen.llm.common import table
 
 
@@ -33,6 +33,11 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    return warc.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality by learned subword vectors."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -49,4 +54,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op2_quality": op2_quality, "op8_toxicity": op8_toxicity, "op4_topk": op4_topk, "op6_packing": op6_packing, "op7_bpe": op7_bpe, "op10_sharding": op10_sharding}
+QUERIES = {"op1_warc": op1_warc, "op2_quality": op2_quality, "op8_toxicity": op8_toxicity, "op4_topk": op4_topk, "op6_packing": op6_packing, "op7_bpe": op7_bpe, "op10_sharding": op10_sharding}
