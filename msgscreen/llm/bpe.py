@@ -25,7 +25,6 @@ may not be called ``ids`` or ``decoded``.
 from __future__ import annotations
 
 import json
-import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,22 +32,18 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from msgscreen.llm.chunks import ChunkCache, Generations
+from msgscreen.llm.chunks import BEYOND, SPLIT, ChunkCache, Generations
 from msgscreen.llm.common import small_batches
 
-#: FIXED VALUE: the vocabulary file's split pattern, its \s written out as the Unicode property.
-WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 END = "</w>"
 #: A word's last symbol is another symbol than the same byte elsewhere.
 _LAST = 0x1000
 _PAIRS_KEPT = 500_000
 _WORDS_KEPT = 150_000
-_BEYOND = re.compile("[^\x00-\u024f]")
 
 
 def byte_symbols() -> list[str]:
@@ -163,11 +158,11 @@ class Vocabulary:
         Letters past Latin, whose classes change from one Unicode version to
         the next, are composed and split by the library, as the file says.
         """
-        if _BEYOND.search(chunk):
+        if BEYOND.search(chunk):
             split = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
             words = [w for w, _ in split]
         else:
-            found = WORDS.findall(unicodedata.normalize("NFC", chunk).lower())
+            found = SPLIT.findall(unicodedata.normalize("NFC", chunk).lower())
             words = found if chunk.isascii() and chunk.isprintable() else ["".join([self.of_byte[b] for b in w.encode()]) for w in found]
         return b"".join(self.words.get(words))
 
