@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgscreen.llm import bpe, packing, quality, sharding, topk, toxicity, warc
+from msgscreen.llm import bpe, jaccard, packing, quality, sharding, topk, toxicity, warc
 from msgscreen.llm.common import table
 
 
@@ -48,10 +48,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingles agree to 80 of 100."""
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards that match the mixture of sources; law: rows."""
     placed = sharding.interleave(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_quality": op2_quality, "op8_toxicity": op8_toxicity, "op4_topk": op4_topk, "op6_packing": op6_packing, "op7_bpe": op7_bpe, "op10_sharding": op10_sharding}
+QUERIES = {"op1_warc": op1_warc, "op2_quality": op2_quality, "op8_toxicity": op8_toxicity, "op4_topk": op4_topk, "op6_packing": op6_packing, "op7_bpe": op7_bpe, "op9_jaccard": op9_jaccard, "op10_sharding": op10_sharding}
