@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,3 +113,37 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, rows)
+
+
+#: Bits of a filter; it has this size whatever the input.
+FILTER_BITS = 26
+
+
+def bit_filter(keys: DataFrame, key: str) -> np.ndarray:
+    """A table of ``2 ** FILTER_BITS`` bits in which each (well mixed, long) key has set two.
+
+    It is gathered as at most ``2 ** (FILTER_BITS - 5)`` words of 32 bits. With
+    very many keys it lets more others pass; a join behind it decides.
+    """
+    bits = 1 << FILTER_BITS
+    spots = [F.pmod(F.col(key), F.lit(bits)), F.pmod(F.shiftright(key, FILTER_BITS), F.lit(bits))]
+    words = (keys.select(F.explode(F.array(*spots)).alias("bit")).select((F.col("bit") / 32).cast("int").alias("word"), (F.col("bit") % 32).cast("int").alias("bit"))
+             .groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toPandas())
+    table = np.zeros(bits // 32, np.uint32)
+    table[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+    return table
+
+
+def may_be_in(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys have both their bits set."""
+    out = np.ones(len(keys), dtype=bool)
+    for spot in (keys & ((1 << FILTER_BITS) - 1), keys >> FILTER_BITS & ((1 << FILTER_BITS) - 1)):
+        out &= (table[spot >> 5] >> (spot & 31).astype(np.uint32) & 1).astype(bool)
+    return out
+
+
+def spread_blocks(rows: DataFrame, blocks: str, block_key: str) -> DataFrame:
+    """Rows of a group cut into ``blocks`` blocks, dealt to a cell (i, j) for each pair of blocks that holds theirs."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(block_key), F.col(blocks)).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
+    return rows.withColumn("cell", F.explode(cells)).withColumns({"i": F.col("cell.i"), "j": F.col("cell.j")}).drop("cell", "block")

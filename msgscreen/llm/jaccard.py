@@ -41,13 +41,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from msgscreen.llm.common import components, runs, small_batches, stash
+from msgscreen.llm.common import bit_filter, components, may_be_in, runs, small_batches, spread_blocks, stash
 
 WORDS = 5
 #: Link where 100 * shared >= PERCENT * union.
 PERCENT = 80
-#: Bits of the table of shingle counts and of the filter of live signatures; both have this size whatever the input.
-COUNT_BITS, FILTER_BITS = 21, 26
+#: Bits of the table of shingle counts, which has this size whatever the input.
+COUNT_BITS = 21
 #: Documents and shingles that one task may join at once.
 REGION_DOCS, REGION_SHINGLES = 4096, 4_000_000
 LEAF, PIVOTS = 64, 8
@@ -154,26 +154,21 @@ def regions(docs: DataFrame, text: str, level: np.ndarray) -> DataFrame:
 
 def live_sets(docs: DataFrame, text: str, live: DataFrame) -> DataFrame:
     """(signature, shingles) of the documents in ``live`` and of a few others."""
-    bits = 1 << FILTER_BITS
-    spot = [F.pmod(F.col("signature"), F.lit(bits)), F.pmod(F.shiftright("signature", FILTER_BITS), F.lit(bits))]
-    words = (live.select(F.explode(F.array(*spot)).alias("bit")).select((F.col("bit") / 32).cast("int").alias("word"), (F.col("bit") % 32).cast("int").alias("bit"))
-             .groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")))
-    table = np.zeros(bits // 32, np.uint32)
-    got = words.toPandas()  # at most 2 ** (FILTER_BITS - 5) rows
-    table[got["word"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+    table = bit_filter(live, "signature")
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bitmap, seen = shared.value, set()
         for batch in batches:
+            found = [shingles(x) for x in batch["text"]]
+            signatures = np.array([signature(x) for x in found], dtype=np.int64)
             marks, sets = [], []
-            for x in batch["text"]:
-                found = shingles(x)
-                mark = signature(found)
-                if len(found) and mark not in seen and all(bitmap[b >> 5] >> np.uint32(b & 31) & np.uint32(1) for b in (mark % bits, (mark >> FILTER_BITS) % bits)):
+            for k in np.flatnonzero(may_be_in(bitmap, signatures)).tolist():
+                mark = int(signatures[k])
+                if len(found[k]) and mark not in seen:
                     seen.add(mark)
                     marks.append(mark)
-                    sets.append(found.tobytes())
+                    sets.append(found[k].tobytes())
             yield pd.DataFrame({"signature": np.array(marks, dtype=np.int64), "shingles": sets})
 
     return docs.select(F.col(text).alias("text")).mapInPandas(run, "signature long, shingles binary")
@@ -277,9 +272,7 @@ def join_regions(members: DataFrame, sets: DataFrame) -> DataFrame:
     large = full.groupBy("pivot").agg(F.count("*").alias("docs"), F.sum(F.octet_length("shingles") / 8).alias("held"))
     large = large.withColumn("blocks", F.greatest(F.ceil(F.col("docs") / REGION_DOCS), F.ceil(F.col("held") / REGION_SHINGLES)).cast("int")).where("docs > 1")
     full = full.join(large.select("pivot", "blocks"), "pivot")
-    block = F.pmod(F.xxhash64("signature"), F.col("blocks")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    full = full.withColumn("block", block).withColumn("cell", F.explode(cells)).select("pivot", "cell.i", "cell.j", "signature", "shingles")
+    full = spread_blocks(full, "blocks", "signature").select("pivot", "i", "j", "signature", "shingles")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, group in runs(batches, ["pivot", "i", "j"]):

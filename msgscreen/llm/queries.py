@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgscreen.llm import bpe, jaccard, packing, quality, sharding, topk, toxicity, warc
+from msgscreen.llm import bpe, jaccard, packing, quality, sharding, suffixdedup, topk, toxicity, warc
 from msgscreen.llm.common import table
 
 
@@ -15,6 +15,12 @@ def vocabulary_file() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op5_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of passages of 200 bytes that repeat."""
+    rows = suffixdedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens packed into sequences of 2048."""
     parts = packing.pieces(table(spark, sf_dir, "documents"), vocabulary_file())
@@ -59,4 +65,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_quality": op2_quality, "op8_toxicity": op8_toxicity, "op4_topk": op4_topk, "op6_packing": op6_packing, "op7_bpe": op7_bpe, "op9_jaccard": op9_jaccard, "op10_sharding": op10_sharding}
+QUERIES = {"op1_warc": op1_warc, "op2_quality": op2_quality, "op8_toxicity": op8_toxicity, "op4_topk": op4_topk, "op5_suffixdedup": op5_suffixdedup, "op6_packing": op6_packing, "op7_bpe": op7_bpe, "op9_jaccard": op9_jaccard, "op10_sharding": op10_sharding}
