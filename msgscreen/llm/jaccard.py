@@ -5,12 +5,16 @@ shingles, a metric; two documents link within ``1 - 80/100``.
 
 Most documents lie at distance 1 from nearly every other, where pivots chosen
 at random tell nothing apart. Regions are therefore made of what documents
-share. A document within reach of another shares one of its first
-``n - ceil(0.8 n) + 1`` shingles with it, in any order fixed for all (here:
-commoner shingles later, by a table of counts of fixed size). Of all documents
-that hold a shingle so, the smallest is its pivot; a pivot's Voronoi region
-are the documents that met it at any shingle. So each linked pair meets in a
-region, and a document alone at all its shingles is in none.
+share. Let ``s(n)`` be a tenth of ``n``. Two linked documents share ``s`` (that of
+the smaller) of their first ``n - ceil(0.8 n) + s(n)`` shingles, in any order
+fixed for all (here: commoner shingles later, by a table of counts of fixed
+size). Documents that hold a shingle so are put in order of size and parted
+where the next is more than 100/80 times larger, which is farther than a link
+reaches; of each part the document of the smallest signature is the pivot, and a
+pivot's Voronoi region are the documents that met it at any shingle. A document
+in ``k`` regions that met one's pivot at fewer than ``s / k`` shingles leaves that
+region: what two linked documents share, spread over the regions that hold both,
+is that much in one of them. So each linked pair still meets in a region.
 
 A region is joined recursively: several pivots, distances of all documents to
 them, each document to the cell of its nearest pivot, and by the triangle
@@ -46,6 +50,8 @@ from msgscreen.llm.common import bit_filter, components, may_be_in, runs, small_
 WORDS = 5
 #: Link where 100 * shared >= PERCENT * union.
 PERCENT = 80
+#: Linked documents share at least one in so many of their shingles among their first ones.
+SHARED = 10
 #: Bits of the table of shingle counts, which has this size whatever the input.
 COUNT_BITS = 21
 #: Documents and shingles that one task may join at once.
@@ -87,7 +93,7 @@ def signature(found: np.ndarray) -> int:
 
 
 def prefix_length(n: int) -> int:
-    return n - -(-PERCENT * n // 100) + 1
+    return n - -(-PERCENT * n // 100) + max(1, n // SHARED)
 
 
 def profile(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, np.ndarray]:
@@ -127,14 +133,14 @@ def profile(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, np.ndar
 
 
 def regions(docs: DataFrame, text: str, level: np.ndarray) -> DataFrame:
-    """(signature, pivot): each document that meets another at one of its first shingles, and the pivots it met."""
+    """(signature, n_shingles, pivot): each document that meets another of its reach at one of its first shingles, and the pivots it met."""
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         levels = shared.value
         for batch in batches:
-            marks, firsts = [], []
+            marks, sizes, firsts = [], [], []
             for x in batch["text"]:
                 found = shingles(x)
                 mark = signature(found)
@@ -142,14 +148,23 @@ def regions(docs: DataFrame, text: str, level: np.ndarray) -> DataFrame:
                     seen.add(mark)
                     order = np.argsort(levels[(found >> np.uint64(64 - COUNT_BITS)).astype(np.int64)], kind="stable")
                     marks.append(mark)
+                    sizes.append(len(found))
                     firsts.append(found[order[:prefix_length(len(found))]].view(np.int64))
-            yield pd.DataFrame({"signature": np.array(marks, dtype=np.int64), "first": firsts})
-
-    met = docs.select(F.col(text).alias("text")).mapInPandas(run, "signature long, first array<long>")
-    met = met.select("signature", F.explode("first").alias("shingle"))
-    at = Window.partitionBy("shingle")
+            yield pd.DataFrame({"signature": np.array(marks, dtype=np.int64), "n_shingles": np.array(sizes, dtype=np.int32), "first": firsts})
+
+    met = docs.select(F.col(text).alias("text")).mapInPandas(run, "signature long, n_shingles int, first array<long>")
+    met = met.select("signature", "n_shingles", F.explode("first").alias("shingle"))
+    met = met.withColumn("all", F.count("*").over(Window.partitionBy("shingle"))).where("all > 1").drop("all")
+    by_size = Window.partitionBy("shingle").orderBy("n_shingles", "signature")
+    beyond = F.coalesce(100 * F.lag("n_shingles").over(by_size) < PERCENT * F.col("n_shingles"), F.lit(False))
+    met = met.withColumn("beyond", beyond).withColumn("part", F.sum(F.col("beyond").cast("int")).over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    at = Window.partitionBy("shingle", "part")
     met = met.withColumn("pivot", F.min("signature").over(at)).withColumn("last", F.max("signature").over(at))
-    return stash(met.where("pivot < last").select("signature", "pivot").distinct(), "jaccard-regions")
+    met = met.where("pivot < last").groupBy("signature", "n_shingles", "pivot").agg(F.count("*").alias("met"))
+    own = Window.partitionBy("signature")
+    least = F.greatest(F.lit(1), F.floor(F.ceil(PERCENT * F.col("n_shingles") / 100) / SHARED))
+    met = met.withColumn("total", F.sum("met").over(own)).withColumn("regions", F.count("*").over(own))
+    return stash(met.where((F.col("total") >= least) & (F.col("met") * F.col("regions") >= least)).select("signature", "n_shingles", "pivot"), "jaccard-regions")
 
 
 def live_sets(docs: DataFrame, text: str, live: DataFrame) -> DataFrame:
@@ -264,15 +279,13 @@ class Region:
 
 
 def join_regions(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): links that span each region's groups; ``members`` (signature, pivot), ``sets`` (signature, shingles)."""
+    """(a, b): links that span each region's groups; ``members`` (signature, n_shingles, pivot), ``sets`` (signature, shingles)."""
     spark = members.sparkSession
-    members = members.unionByName(members.select(F.col("pivot").alias("signature"), "pivot")).distinct()
-    full = members.join(sets, "signature").select("pivot", "signature", "shingles").dropDuplicates(["pivot", "signature"])
-    full = stash(full, "jaccard-members")
-    large = full.groupBy("pivot").agg(F.count("*").alias("docs"), F.sum(F.octet_length("shingles") / 8).alias("held"))
-    large = large.withColumn("blocks", F.greatest(F.ceil(F.col("docs") / REGION_DOCS), F.ceil(F.col("held") / REGION_SHINGLES)).cast("int")).where("docs > 1")
-    full = full.join(large.select("pivot", "blocks"), "pivot")
-    full = spread_blocks(full, "blocks", "signature").select("pivot", "i", "j", "signature", "shingles")
+    blocks = F.greatest(F.ceil(F.count("*") / REGION_DOCS), F.ceil(F.sum("n_shingles") / REGION_SHINGLES)).cast("int")
+    members = members.join(members.groupBy("pivot").agg(blocks.alias("blocks")), "pivot")
+    members = spread_blocks(members, "blocks", "signature").select("pivot", "i", "j", "signature")
+    sets = sets.dropDuplicates(["signature"])
+    full = members.join(sets, "signature").select("pivot", "i", "j", "signature", "shingles")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, group in runs(batches, ["pivot", "i", "j"]):
@@ -294,7 +307,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     small_batches(docs.sparkSession)
     rows, level = profile(docs, doc_id, text)
     members = regions(docs, text, level)
-    live = members.select("signature").unionByName(members.select(F.col("pivot").alias("signature"))).distinct()
+    live = members.select("signature").distinct()
     edges = join_regions(members, live_sets(docs, text, live))
     found = components(edges, "jaccard").withColumnRenamed("node", "signature")
     full = rows.where("n_shingles > 0").join(found, "signature", "left").withColumn("component", F.coalesce("component", "signature"))

@@ -12,8 +12,8 @@ higher for long pieces and falls as it gets covered; a knapsack dynamic program
 configuration; the step takes it as often as covers ``STEP`` of the scarcest of
 its lengths, rounded to whole sequences at once so that nothing is covered
 twice. A pricing looks at ``PRICED`` lengths drawn by their remaining share;
-where they can't fill a sequence to the brim, at all lengths. Once none does,
-what rounding has left is placed best-fit, longest first.
+where they can't fill a sequence to the brim, at all lengths. Once none does, or
+few pieces are left, what rounding has left is placed best-fit, longest first.
 
 The plan has a number of configurations that grows with the logarithm of the
 counts. Spark then ranks the pieces of each length (in hash ranges, no window
@@ -43,8 +43,12 @@ from msgscreen.llm.common import small_batches, stash
 
 CAPACITY = 2048
 CLOSING_ID = 0
-STEP = 0.3
-PRICED = 64
+STEP = 0.4
+PRICED = 56
+#: Copies of a length that a pricing of drawn lengths considers.
+COPIES = 3
+#: The steps end when so few pieces are left, for rounding to place.
+REST_SHARE, REST_PIECES = 0.15, 12_000
 #: How fast a length's weight falls as it gets covered.
 SHARPNESS = 6
 #: Ranges in which the pieces of one length are ranked apart.
@@ -162,13 +166,14 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, seed: int = 1) -> lis
     lengths = np.array(sorted(x for x in counts if x < capacity), dtype=np.int64)
     n = np.array([counts[x] for x in lengths.tolist()], dtype=np.int64)
     left, rng, at = n.copy(), np.random.default_rng(seed), {x: i for i, x in enumerate(lengths.tolist())}
-    while (open_ := np.flatnonzero(left)).size:
+    while left.sum() > min(REST_SHARE * n.sum(), REST_PIECES):
+        open_ = np.flatnonzero(left)
         share = left[open_] / n[open_]
         prices = lengths[open_] * (1 + lengths[open_] / capacity) * np.exp(SHARPNESS * (share - share.mean()))
         config = Counter()
         if open_.size > PRICED:
             drawn = np.sort(rng.choice(open_.size, PRICED, replace=False, p=share / share.sum()))
-            config = knapsack(prices[drawn], lengths[open_[drawn]], left[open_[drawn]], capacity)
+            config = knapsack(prices[drawn], lengths[open_[drawn]], np.minimum(left[open_[drawn]], COPIES), capacity)
         config = config or knapsack(prices, lengths[open_], left[open_], capacity)
         if not config:
             break
