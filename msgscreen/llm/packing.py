@@ -12,7 +12,7 @@ higher for long pieces and falls as it gets covered; a knapsack dynamic program
 configuration; the step takes it as often as covers ``STEP`` of the scarcest of
 its lengths, rounded to whole sequences at once so that nothing is covered
 twice. A pricing looks at ``PRICED`` lengths drawn by their remaining share;
-where they can't fill a sequence to the brim, at all lengths. Once none does, or
+where they can't fill a sequence to the brim, at twice as many, and at last at all. Once none does, or
 few pieces are left, what rounding has left is placed best-fit, longest first.
 
 The plan has a number of configurations that grows with the logarithm of the
@@ -49,8 +49,10 @@ PRICED = 56
 COPIES = 3
 #: The steps end when so few pieces are left, for rounding to place.
 REST_SHARE, REST_PIECES = 0.15, 12_000
+#: How much more a piece of the whole capacity weighs at first than its size says.
+LONG_FIRST = 8
 #: How fast a length's weight falls as it gets covered.
-SHARPNESS = 6
+SHARPNESS = 1.5
 #: Ranges in which the pieces of one length are ranked apart.
 RANGES = 1024
 
@@ -169,11 +171,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, seed: int = 1) -> lis
     while left.sum() > min(REST_SHARE * n.sum(), REST_PIECES):
         open_ = np.flatnonzero(left)
         share = left[open_] / n[open_]
-        prices = lengths[open_] * (1 + lengths[open_] / capacity) * np.exp(SHARPNESS * (share - share.mean()))
-        config = Counter()
-        if open_.size > PRICED:
-            drawn = np.sort(rng.choice(open_.size, PRICED, replace=False, p=share / share.sum()))
+        prices = lengths[open_] * (1 + LONG_FIRST * lengths[open_] / capacity) * np.exp(SHARPNESS * (share - share.mean()))
+        config, priced = Counter(), PRICED
+        while not config and priced < open_.size:
+            drawn = np.sort(rng.choice(open_.size, priced, replace=False, p=share / share.sum()))
             config = knapsack(prices[drawn], lengths[open_[drawn]], np.minimum(left[open_[drawn]], COPIES), capacity)
+            priced *= 2
         config = config or knapsack(prices, lengths[open_], left[open_], capacity)
         if not config:
             break
