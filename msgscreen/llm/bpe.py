@@ -18,8 +18,7 @@ offsets in a table, a space after each but the last.
 
 Defined cases: a null text counts as empty and has no ids and an empty decoded
 text; special tokens in a text keep their ids; no truncation, no padding;
-repeated rows give repeated results; other columns are kept as they are and
-may not be called ``ids`` or ``decoded``.
+repeated rows give repeated results; other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -192,31 +191,27 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", decoded: bool = False) -> DataFrame:
-    """The rows without their text, with ``ids`` (binary, little-endian unsigned 32-bit) and, if asked for, ``decoded``."""
+def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
+    """The rows with the column ``into``: ids as binary, little-endian unsigned 32-bit."""
     small_batches(docs.sparkSession)
-    kept = [c for c in docs.columns if c != text]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("binary")
+    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         v = vocabulary(path)
         for batch in batches:
-            out = batch[kept].copy()
-            out["ids"] = [v.cache.ids(x) if isinstance(x, str) else b"" for x in batch[text]]
-            if decoded:
-                out["decoded"] = [v.decode(np.frombuffer(x, dtype="<u4").astype(np.int64)).decode() for x in out["ids"]]
-            yield out
+            yield pd.Series([v.cache.ids(x) if isinstance(x, str) else b"" for x in batch], dtype=object)
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept] + ["ids binary"] + ["decoded string"] * decoded)
-    return docs.select(*kept, text).mapInPandas(run, schema)
+    return docs.withColumn(into, ids_of(F.col(text)))
 
 
-def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """The rows with ``decoded``, the text of their ``ids``; null ids give null."""
+def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
+    """The rows with the column ``into``, the text of their ids; null ids give null."""
     small_batches(rows.sparkSession)
 
     @F.pandas_udf("string")
-    def text_of(col: pd.Series) -> pd.Series:
+    def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         v = vocabulary(path)
-        return col.map(lambda x: None if x is None else v.decode(np.frombuffer(x, dtype="<u4").astype(np.int64)).decode())
+        for batch in batches:
+            yield pd.Series([None if x is None else v.decode(np.frombuffer(x, dtype="<u4").astype(np.int64)).decode() for x in batch], dtype=object)
 
-    return rows.withColumn("decoded", text_of(F.col(ids)))
+    return rows.withColumn(into, text_of(F.col(ids)))

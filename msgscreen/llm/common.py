@@ -146,4 +146,12 @@ def spread_blocks(rows: DataFrame, blocks: str, block_key: str) -> DataFrame:
     """Rows of a group cut into ``blocks`` blocks, dealt to a cell (i, j) for each pair of blocks that holds theirs."""
     rows = rows.withColumn("block", F.pmod(F.xxhash64(block_key), F.col(blocks)).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col(blocks) - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    return rows.withColumn("cell", F.explode(cells)).withColumns({"i": F.col("cell.i"), "j": F.col("cell.j")}).drop("cell", "block")
+    return rows.withColumn("cell", F.explode(cells)).withColumns({"i": F.col("cell.i"), "j": F.col("cell.j")}).drop("cell")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first name like it that no column of ``df`` has (in whatever case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

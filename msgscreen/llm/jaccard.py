@@ -96,8 +96,12 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + max(1, n // SHARED)
 
 
+def text_hash(text: str):
+    return F.coalesce(F.xxhash64(F.col(text)), F.lit(0).cast("long"))
+
+
 def profile(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n_shingles, signature) of each row, and how common shingles are: a level for each count bucket."""
+    """(doc_id, text_hash, n_shingles, signature) of each row, and how common shingles are: a level for each count bucket."""
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     size = 1 << COUNT_BITS
@@ -108,13 +112,13 @@ def profile(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, np.ndar
             sets = [shingles(x) for x in batch["text"]]
             if sets:
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=size)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].array, "n_shingles": [len(s) for s in sets], "signature": [signature(s) for s in sets], "slice": -1, "counts": None})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n_shingles": [len(s) for s in sets], "signature": [signature(s) for s in sets], "slice": -1, "counts": None})
         width = size // _SLICES
         packed = np.minimum(counts, 65535).astype(np.uint16)
-        yield pd.DataFrame({"doc_id": None, "n_shingles": 0, "signature": 0, "slice": range(_SLICES), "counts": [packed[i * width:(i + 1) * width].tobytes() for i in range(_SLICES)]})
+        yield pd.DataFrame({"doc_id": None, "text_hash": 0, "n_shingles": 0, "signature": 0, "slice": range(_SLICES), "counts": [packed[i * width:(i + 1) * width].tobytes() for i in range(_SLICES)]})
 
-    rows = stash(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(
-        run, f"doc_id {kind}, n_shingles long, signature long, slice int, counts binary"), "jaccard-profile")
+    rows = stash(docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"), text_hash(text).alias("text_hash")).mapInPandas(
+        run, "doc_id string, text_hash long, n_shingles long, signature long, slice int, counts binary"), "jaccard-profile")
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
@@ -129,7 +133,7 @@ def profile(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, np.ndar
         part = np.frombuffer(raw, "<i8")
         counts[k * len(part):(k + 1) * len(part)] = part
     level = np.log2(np.maximum(1, counts / (4 * counts.mean() + 8))).astype(np.uint8)
-    return rows.where("slice < 0").select("doc_id", "n_shingles", "signature"), level
+    return rows.where("slice < 0").select(F.col("doc_id").cast(kind).alias("doc_id"), "text_hash", "n_shingles", "signature"), level
 
 
 def regions(docs: DataFrame, text: str, level: np.ndarray) -> DataFrame:
@@ -303,7 +307,7 @@ def join_regions(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, component): a row per row; ``component`` names equal groups, null without words."""
+    """(doc_id, text_hash, n_shingles, component_id, component): a row per row; ``component`` names groups, null without words."""
     small_batches(docs.sparkSession)
     rows, level = profile(docs, doc_id, text)
     members = regions(docs, text, level)
@@ -311,7 +315,21 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     edges = join_regions(members, live_sets(docs, text, live))
     found = components(edges, "jaccard").withColumnRenamed("node", "signature")
     full = rows.where("n_shingles > 0").join(found, "signature", "left").withColumn("component", F.coalesce("component", "signature"))
-    full = stash(full.select("doc_id", "n_shingles", "component"), "jaccard-result")
+    full = stash(full.select("doc_id", "text_hash", "n_shingles", "component"), "jaccard-result")
     least = full.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    empty = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
-    return full.join(least, "component").select("doc_id", "n_shingles", "component", "component_id").unionByName(empty)
+    empty = rows.where("n_shingles = 0").select("doc_id", "text_hash", "n_shingles", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return full.join(least, "component").select("doc_id", "text_hash", "n_shingles", "component", "component_id").unionByName(empty)
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that link with none and, of each component, one row of the smallest id, as they were."""
+    found = stash(join(docs, doc_id, text), "jaccard-found")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
+    chosen = found.where("component IS NOT NULL").groupBy("component").agg(first.alias("c")).select("c.doc_id", "c.text_hash", F.lit(False).alias("each"))
+    chosen = chosen.unionByName(found.where("component IS NULL").select("doc_id", "text_hash", F.lit(True).alias("each")).distinct())
+    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("each").alias("_each"))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(doc_id).alias("_own"), text_hash(text).alias("_own_hash"))
+    kept = rows.join(chosen, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash")))
+    nth = F.row_number().over(Window.partitionBy("_own", "_own_hash").orderBy(F.lit(0)))
+    kept = kept.withColumn("_nth", nth).where("_each OR _nth = 1")
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

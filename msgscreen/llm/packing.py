@@ -100,20 +100,18 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "
     small_batches(docs.sparkSession)
     tail = np.array([closing], dtype="<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<struct<piece: int, start: long, length: long, ids_crc32: long" + ", ids: binary" * with_ids + ">>")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache = library_ids(path)
         for batch in batches:
-            rows = []
-            for key, x in zip(batch["doc_id"].array, batch["text"], strict=True):
+            out = []
+            for x in batch:
                 ids = (cache.ids(x) if isinstance(x, str) else b"") + tail
-                for n, a in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[a:a + 4 * capacity]
-                    rows.append((key, n, a // 4, len(part) // 4, zlib.crc32(part), part) if with_ids else (key, n, a // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
-
-    kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, schema)
+                parts = [ids[a:a + 4 * capacity] for a in range(0, len(ids), 4 * capacity)]
+                out.append([{"piece": n, "start": n * capacity, "length": len(p) // 4, "ids_crc32": zlib.crc32(p)} | ({"ids": p} if with_ids else {}) for n, p in enumerate(parts)])
+            yield pd.Series(out, dtype=object)
+
+    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(cut(F.col(text))).alias("part")).select("doc_id", "part.*")
 
 
 def knapsack(prices: np.ndarray, lengths: np.ndarray, limits: np.ndarray, capacity: int) -> Counter:

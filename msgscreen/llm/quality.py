@@ -16,8 +16,7 @@ are scored, in pieces of bounded size.
 
 Defined cases: a null or empty text has no feature and gets the layer's
 constant; without labelled rows of both classes every score is 1 (nothing is
-rejected); repeated rows get equal scores; other columns are kept, and may not
-be called ``score``.
+rejected); repeated rows get equal scores; other columns are kept.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from msgscreen.llm.common import small_batches
+from msgscreen.llm.common import free_name, small_batches
 from msgscreen.llm.labelled import remainder, sample
 
 #: Labelled rows that training may read, by class.
@@ -159,22 +158,19 @@ def train(texts: list[str], good: list[int], seed: int = 1) -> Model:
     return Model(vectors @ (layer[:, 1] - layer[:, 0]), float(constant[1] - constant[0]))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows without their text, with ``score``."""
+def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
+    """The rows with the column ``into``."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != text]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
         for batch in batches:
-            out = batch[kept].copy()
-            out["score"] = np.array([m.score(x.encode() if isinstance(x, str) else b"") for x in batch[text]], dtype=np.float64)
-            yield out
+            yield pd.Series([m.score(x.encode() if isinstance(x, str) else b"") for x in batch], dtype="float64")
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept] + ["score double"])
-    return docs.select(*kept, text).mapInPandas(run, schema)
+    return docs.withColumn(into, of(F.col(text)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
@@ -187,3 +183,9 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     """(id, held_out, score, predicted) of every document."""
     scored = score(docs.select(F.col(doc_id), F.col(text)), fit(docs, labels, doc_id, text), text)
     return scored.select(F.col(doc_id), (remainder(doc_id, 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of good quality, as they were."""
+    name = free_name(docs, "quality")
+    return score(docs, fit(docs, labels, doc_id, text), text, name).where(F.col(name) >= THRESHOLD).select(*docs.columns)

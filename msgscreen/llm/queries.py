@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgscreen.llm import bpe, jaccard, packing, quality, sharding, suffixdedup, topk, toxicity, warc
+from msgscreen.llm import bpe, jaccard, packing, pstable, quality, sharding, suffixdedup, topk, toxicity, warc
 from msgscreen.llm.common import table
 
 
@@ -18,7 +18,7 @@ def vocabulary_file() -> str:
 def op5_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the bytes of passages of 200 bytes that repeat."""
     rows = suffixdedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return rows.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256).alias("kept_sha256"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,11 +29,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded, as digests."""
-    rows = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_file(), decoded=True)
+    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_file()), vocabulary_file())
     return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors with a cosine of 0.95 or more."""
+    return pstable.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best inner products of every fiftieth vector against all others."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
@@ -65,4 +70,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_quality": op2_quality, "op8_toxicity": op8_toxicity, "op4_topk": op4_topk, "op5_suffixdedup": op5_suffixdedup, "op6_packing": op6_packing, "op7_bpe": op7_bpe, "op9_jaccard": op9_jaccard, "op10_sharding": op10_sharding}
+QUERIES = {"op1_warc": op1_warc, "op2_quality": op2_quality, "op8_toxicity": op8_toxicity, "op3_pstable": op3_pstable, "op4_topk": op4_topk, "op5_suffixdedup": op5_suffixdedup, "op6_packing": op6_packing, "op7_bpe": op7_bpe, "op9_jaccard": op9_jaccard, "op10_sharding": op10_sharding}

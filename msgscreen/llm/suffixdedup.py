@@ -20,13 +20,12 @@ itself is exact.
 
 Defined cases: a null text is empty; texts shorter than ``LENGTH`` keep all;
 matches never cross documents; repeated rows repeat each other; removed bytes
-may split characters (``cut_text`` drops what is left of such); rows keep their
-other columns only in ``deduplicate``; an empty table gives an empty result.
+may split characters (``cut_text`` drops what is left of such); other columns are
+kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from msgscreen.llm.common import bit_filter, may_be_in, runs, small_batches, spread_blocks, stash
+from msgscreen.llm.common import bit_filter, free_name, may_be_in, runs, small_batches, spread_blocks, stash
 from msgscreen.llm.suffixes import hashes_of, permuted_common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 32
@@ -91,8 +90,9 @@ def repeats(texts: list[bytes], strings: list[int], length: int = LENGTH) -> lis
 
 
 def named(docs: DataFrame, text: str) -> DataFrame:
-    """All columns, and ``_text`` without nulls, ``_name``."""
-    return docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_name", F.xxhash64("_text"))
+    """(_row: the other columns, _text: the text or empty, _name: its hash)."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.struct(F.lit(0).alias("_"), *[F.col(c) for c in docs.columns if c != text]).alias("_row"), whole.alias("_text"), F.xxhash64(whole).alias("_name"))
 
 
 def passing(names: DataFrame, table: np.ndarray):
@@ -182,39 +182,35 @@ def cut_out(text: bytes, found) -> tuple[bytes, int, int]:
     return b"".join([*kept, text[at:]]), sum(b - a for a, b in spans), len(spans)
 
 
-def deduplicate(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows without their text, with ``kept`` (binary), ``n_bytes``, ``n_removed`` and ``n_spans``."""
+def deduplicate(docs: DataFrame, text: str = "text", into: str = "cut") -> DataFrame:
+    """The rows without their text, with ``into``: struct of kept (binary), n_bytes, n_removed and n_spans."""
     spark = docs.sparkSession
     small_batches(spark)
     found = repeated_runs(docs, text)
     test = passing(docs, bit_filter(found.select("_name"), "_name"))
-    columns = [c for c in docs.columns if c != text]
-    rows = named(docs, text).select(*columns, "_name", "_text").withColumn("_hit", test("_name"))
-    whole = rows.where("NOT _hit").select(*columns, F.col("_text").cast("binary").alias("kept"), F.octet_length("_text").cast("long").alias("n_bytes"),
-                                          F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"))
+    rows = named(docs, text).withColumn("_hit", test("_name"))
+    none = F.lit(0).cast("long")
+    whole = rows.where("NOT _hit").select("_row", F.struct(F.col("_text").cast("binary").alias("kept"), F.octet_length("_text").cast("long").alias("n_bytes"),
+                                                           none.alias("n_removed"), none.alias("n_spans")).alias("_cut"))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch[columns].copy()
-            raw = [x.encode() for x in batch["_text"]]
-            done = [cut_out(x, [] if r is None else r) for x, r in zip(raw, batch["runs"], strict=True)]
-            out["kept"], out["n_removed"], out["n_spans"] = ([d[k] for d in done] for k in range(3))
-            out["n_bytes"] = [len(x) for x in raw]
-            yield out[[*columns, "kept", "n_bytes", "n_removed", "n_spans"]]
+    @F.pandas_udf("struct<kept: binary, n_bytes: long, n_removed: long, n_spans: long>")
+    def cut(texts: pd.Series, runs_of: pd.Series) -> pd.DataFrame:
+        raw = [x.encode() for x in texts]
+        done = [cut_out(x, [] if r is None else r) for x, r in zip(raw, runs_of, strict=True)]
+        return pd.DataFrame({"kept": [d[0] for d in done], "n_bytes": [len(x) for x in raw], "n_removed": [d[1] for d in done], "n_spans": [d[2] for d in done]})
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns] + ["kept binary, n_bytes long, n_removed long, n_spans long"])
-    touched = rows.where("_hit").drop("_hit").join(found, "_name", "left").select(*columns, "_text", "runs").mapInPandas(cut, schema)
-    return whole.unionByName(touched)
+    touched = rows.where("_hit").select("_row", "_text", "_name").join(found, "_name", "left").select("_row", cut("_text", "runs").alias("_cut"))
+    names = [c for c in docs.columns if c != text]
+    return whole.unionByName(touched).select(*[F.col("_row").getField(c).alias(c) for c in names], F.col("_cut").alias(into))
 
 
 def cut_text(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with the text that is left; broken characters at cuts are dropped, a null text stays null."""
-    kept = [c for c in docs.columns if c != text]
 
     @F.pandas_udf("string")
     def decode(raw: pd.Series) -> pd.Series:
         return raw.map(lambda x: x.decode(errors="ignore"))
 
-    marked = docs.withColumn("_null", F.col(text).isNull())
-    out = deduplicate(marked, text)
-    return out.withColumn(text, F.when(~F.col("_null"), decode("kept"))).select(*docs.columns) if kept else out.select(decode("kept").alias(text))
+    null, into = free_name(docs, "was_null"), free_name(docs, "cut")
+    out = deduplicate(docs.withColumn(null, F.col(text).isNull()), text, into)
+    return out.withColumn(text, F.when(~F.col(null), decode(F.col(into)["kept"]))).select(*docs.columns)

@@ -18,7 +18,7 @@ each on its own.
 Defined cases: a null or empty text has no window, no evidence and the lowest
 score; without labelled rows of both classes every score is 0; letters of any
 script count, long words are cut into overlapping windows; repeated rows get
-equal scores; other columns are kept, and may not be called ``score``.
+equal scores; other columns are kept.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from msgscreen.llm.chunks import Generations
-from msgscreen.llm.common import small_batches
+from msgscreen.llm.common import free_name, small_batches
 from msgscreen.llm.labelled import remainder, sample
 
 #: Labelled rows that training may read, by class.
@@ -195,24 +195,21 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows without their text, with ``score``."""
+def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
+    """The rows with the column ``into``."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != text]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
         cache = Generations(lambda chunks: [m.chunk_weight(c) for c in chunks], 250_000)
         for batch in batches:
-            out = batch[kept].copy()
-            evidence = [evidence_of(cache.get(x.split()) if isinstance(x, str) else []) for x in batch[text]]
-            out["score"] = m.scores(np.array(evidence).reshape(-1, 3))
-            yield out
+            evidence = [evidence_of(cache.get(x.split()) if isinstance(x, str) else []) for x in batch]
+            yield pd.Series(m.scores(np.array(evidence, dtype=np.float64).reshape(-1, 3)), dtype="float64")
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept] + ["score double"])
-    return docs.select(*kept, text).mapInPandas(run, schema)
+    return docs.withColumn(into, of(F.col(text)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
@@ -225,3 +222,9 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     """(id, held_out, score, predicted) of every document."""
     scored = score(docs.select(F.col(doc_id), F.col(text)), fit(docs, labels, doc_id, text), text)
     return scored.select(F.col(doc_id), (remainder(doc_id, 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows that are not toxic, as they were."""
+    name = free_name(docs, "toxicity")
+    return score(docs, fit(docs, labels, doc_id, text), text, name).where(F.col(name) < THRESHOLD).select(*docs.columns)

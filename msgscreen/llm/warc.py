@@ -154,11 +154,11 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
         roller, held, repeat, target, done = None, None, 0, None, []
         for batch in batches:
             for shard, kind, key, sha1, link, text, to in zip(batch["shard"], batch["kind"], batch["page_id"], batch["sha1"], batch["url"], batch["html"], batch["refers_to"], strict=True):
-                key = None if pd.isna(key) else int(key)
+                key = None if key is None else int(key)
                 if (key, sha1) != held:
                     held, repeat, target = (key, sha1), 0, None
                 if kind == 0:
-                    target = (None if pd.isna(to) else int(to),)
+                    target = (None if to is None else int(to),)
                     continue
                 if roller is None or roller.shard != shard:
                     done += list(roller.close()) if roller else []
@@ -173,7 +173,8 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
         if done:
             yield manifest_rows(done)
 
-    written = both.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "page_id", "sha1", "kind").mapInPandas(write, MANIFEST)
+    written = both.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "page_id", "sha1", "kind")
+    written = written.select("shard", "kind", F.col("page_id").cast("string"), "sha1", "url", "html", F.col("refers_to").cast("string")).mapInPandas(write, MANIFEST)
     written.write.parquet(f"{path}/manifest")
     return spark.read.parquet(f"{path}/manifest")
 
