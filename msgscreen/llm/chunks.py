@@ -14,13 +14,13 @@ from collections.abc import Callable
 
 import regex
 
-CHUNKS_KEPT = 400_000
+CHUNKS_KEPT = 500_000
 #: FIXED VALUE: the word vocabulary's split pattern, its \\s written out as the Unicode property.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 #: Past Latin the classes change from one Unicode version to the next: such chunks are the library's to split.
 BEYOND = re.compile("[^\x00-\u024f]")
 #: str.split() also splits at these four, which are no white space to the vocabulary.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _WHITE = regex.compile(r"\p{White_Space}+")
 
 
@@ -68,5 +68,5 @@ class ChunkCache:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        chunks = [x for x in _WHITE.split(text) if x] if _SEPARATORS.search(text) else text.split()
+        chunks = [x for x in _WHITE.split(text) if x] if any(c in text for c in _SEPARATORS) else text.split()
         return b"".join(self.known.get(chunks))

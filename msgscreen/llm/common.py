@@ -56,16 +56,15 @@ def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tup
     for batch in batches:
         if not len(batch):
             continue
-        changed = pd.Series(False, index=range(len(batch)))
-        for k in keys:
-            v = batch[k].reset_index(drop=True)
-            changed |= v != v.shift()
-        starts = changed.to_numpy().nonzero()[0].tolist()
-        if not starts or starts[0] != 0:
-            starts = [0, *starts]
+        columns = [batch[k].to_numpy() for k in keys]
+        changed = np.zeros(len(batch), dtype=bool)
+        changed[0] = True
+        for v in columns:
+            changed[1:] |= v[1:] != v[:-1]
+        starts = np.flatnonzero(changed).tolist()
         for a, b in zip(starts, [*starts[1:], len(batch)], strict=True):
             part = batch.iloc[a:b]
-            key = tuple(part[k].iloc[0] for k in keys)
+            key = tuple(v[a] for v in columns)
             if key != held_key and held:
                 yield held_key, pd.concat(held) if len(held) > 1 else held[0]
                 held = []
@@ -108,7 +107,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     return nodes.unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
+def small_batches(spark: SparkSession, rows: int = 128) -> None:
     """At most ``rows`` rows a batch between Spark and Python: whole texts may be long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
