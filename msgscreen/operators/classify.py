@@ -108,24 +108,28 @@ def _score_levels(text_col: str, upgrade: bool) -> tuple:
     immutable, unresolved expressions, so they are built once per (text
     column, upgrade) and reused: building them costs ~1 s of py4j calls."""
     text, col = F.col(text_col), F.col
-    otp, s = col("otp"), col("spam_score")
+    otp, s, ok = col("otp"), col("spam_score"), text.isNotNull()
+
+    def given(columns):
+        """Null in, null out: ``least`` and ``greatest`` would skip nulls."""
+        return {k: F.when(ok, v) for k, v in columns.items()}
+
     return (
         {"urls": _url_columns(text), "_low": F.lower(text)},
         {"url_feats": _url_feats_column()},
         _rollup_columns(),
-        {**_analysis_columns(), **T.text_feature_columns(text, col("_low"))},
+        {**_analysis_columns(), **given(T.text_feature_columns(text, col("_low")))},
         {"suspicious_indicators": _indicator_column(),
-         "otp": T.otp_gate(text, col("url_level"), col("_low")),
-         "spam_score": T.spam_score(col, col)},
-        {"label": T.label(s, col, col, otp), "confidence": T.confidence(s, otp),
-         "risk_level": T.risk_level(s, otp), "reasoning": T.reasoning(col, col, otp)},
-        {"is_spam": col("label").isin("spam", "smishing"),
-         "is_smishing": T.is_smishing(col("label"), col, col("url_level"), upgrade)},
+         **given({"otp": T.otp_gate(text, col("url_level"), col("_low")), "spam_score": T.spam_score(col, col)})},
+        given({"label": T.label(s, col, col, otp), "confidence": T.confidence(s, otp),
+               "risk_level": T.risk_level(s, otp), "reasoning": T.reasoning(col, col, otp)}),
+        given({"is_spam": col("label").isin("spam", "smishing"),
+               "is_smishing": T.is_smishing(col("label"), col, col("url_level"), upgrade)}),
     )
 
 
 def score(df: DataFrame, text_col: str = "text", upgrade: bool = False) -> DataFrame:
-    """H1–H7: add the URL columns, the 10 text-feature columns, ``otp``,
+    """H1–H7 (a null text has null results): add the URL columns, the 10 text-feature columns, ``otp``,
     ``spam_score``, ``label``, ``confidence``, ``risk_level``, ``reasoning``,
     ``is_spam`` and ``is_smishing`` (with the H7 upgrade if ``upgrade``)."""
     for level in _score_levels(text_col, upgrade):
@@ -149,21 +153,17 @@ def batch_classify(messages: DataFrame, text_col: str = "text", id_col: str = "m
     return scored.select(
         F.col(id_col).alias("message_id"),
         preview(text_col).alias("message"),
-        F.when(ok, F.col("is_spam")).alias("is_spam"),
-        F.when(ok, F.col("is_smishing")).alias("is_smishing"),
-        F.when(ok, F.round("confidence", 6)).alias("confidence"),
-        F.when(ok, F.col("label")).alias("spam_type"),
-        F.when(ok, F.col("risk_level")).alias("risk_level"),
-        F.when(ok, F.round("spam_score", 6)).alias("spam_score"),
-        F.when(ok, F.col("reasoning")).alias("reasoning"),
+        "is_spam", "is_smishing", F.round("confidence", 6).alias("confidence"), F.col("label").alias("spam_type"),
+        "risk_level", F.round("spam_score", 6).alias("spam_score"), "reasoning",
         F.when(~ok, F.lit("message text is null")).alias("error"),
     )
 
 
 def label_rollup(scored: DataFrame) -> DataFrame:
     """Messages and mean score per label x risk level x reason (a message
-    counts once under each of its reasons; partial aggregation map-side)."""
-    reasons = scored.select(
+    counts once under each of its reasons, null texts under none; partial
+    aggregation map-side)."""
+    reasons = scored.filter(F.col("label").isNotNull()).select(
         "label", "risk_level", "spam_score",
         F.explode(F.split("reasoning", ", ")).alias("reason"))
     return (reasons.groupBy("label", "risk_level", "reason")

@@ -117,15 +117,13 @@ def corpus_summary(df: DataFrame) -> DataFrame:
         F.count_if(F.col("label") == "ham").alias("ham_count"),
         F.count_if(F.col("is_smishing")).alias("smishing_count"),
         F.grouping_id().alias("gid"),
-    ).withColumn("spam_pct", F.round(F.col("spam_count") * 100.0 / F.col("n"), 6))
+    ).withColumns({f"{k}_pct": F.round(F.col(f"{k}_count") * 100.0 / F.col("n"), 6) for k in ("spam", "ham", "smishing")})
 
 
 def split_leaks(split_df: DataFrame, key: str = "message") -> DataFrame:
-    """Leak check: texts present in more than one split (must be empty)."""
-    tr = split_df.filter(F.col("split") == "train").select(key)
-    va = split_df.filter(F.col("split") == "val").select(key)
-    te = split_df.filter(F.col("split") == "test").select(key)
-    return tr.intersect(va).unionByName(tr.intersect(te)).unionByName(va.intersect(te))
+    """Leak check: texts present in more than one split (must be empty), in
+    one aggregate."""
+    return split_df.groupBy(key).agg(F.count_distinct("split").alias("n")).filter("n > 1").select(key)
 
 
 def integrate(existing: DataFrame, new: DataFrame, key: str = "message") -> DataFrame:

@@ -57,7 +57,7 @@ def score_with(messages: DataFrame, make_scorer: Callable[[], Callable[[list[str
                         labels.append("ham")
                         confs.append(0.5)
                         lat.append(0.0)
-                        errs.append(str(e)[:200])
+                        errs.append(str(e))
             yield pd.DataFrame({"message_id": pdf[id_col].astype(str), "model": model, "label": labels,
                                 "confidence": confs, "latency_ms": lat, "error": errs})
 
@@ -95,9 +95,9 @@ def voting(preds: DataFrame, id_col: str = "message_id") -> DataFrame:
 def weighted(preds: DataFrame, weights: DataFrame, id_col: str = "message_id") -> DataFrame:
     """M5: score = sum(p * c * w) with p = 1 for spam votes, c = confidence of
     the spam vote, w = normalised weight; > 0.5 -> spam, confidence = s or
-    1 - s. ``weights`` has one row per model (bounded), so it is broadcast."""
+    1 - s. ``weights`` has one row per model."""
     w = weights.select("model", F.try_divide(F.col("weight"), F.sum("weight").over(Window.partitionBy())).alias("w"))
-    j = preds.join(F.broadcast(w), "model")
+    j = preds.join(w, "model")
     s = F.sum(F.when(_spam(F.col("label")), F.col("confidence") * F.col("w")).otherwise(F.lit(0.0)))
     g = j.groupBy(id_col).agg(s.alias("score"))
     return g.select(id_col, F.when(F.col("score") > 0.5, F.lit("spam")).otherwise(F.lit("ham")).alias("label"),

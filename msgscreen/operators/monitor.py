@@ -25,17 +25,19 @@ def unpivot(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
 def feature_drift(long: DataFrame, period_col: str = "period", bins: int = 10,
                   baseline: str = "baseline", current: str = "current") -> DataFrame:
     """PSI per feature = sum over bins (q - p) * ln(q / p), shares floored
-    at 1e-6; values in [0, 1] fall in ``bins`` equal bins (1.0 in the last)."""
-    b = long.withColumn("bin", F.least(F.floor(F.col("value") * bins), F.lit(bins - 1)).cast("int"))
-    h = b.groupBy("feature", period_col, "bin").agg(F.count(F.lit(1)).alias("n"))
-    tot = Window.partitionBy("feature", period_col)
-    h = h.withColumn("share", F.col("n") / F.sum("n").over(tot))
-    p = h.filter(F.col(period_col) == baseline).select("feature", "bin", F.col("share").alias("p"))
-    q = h.filter(F.col(period_col) == current).select("feature", "bin", F.col("share").alias("q"))
-    j = p.join(q, ["feature", "bin"], "full_outer")
-    pp = F.greatest(F.coalesce("p", F.lit(0.0)), F.lit(EPS))
-    qq = F.greatest(F.coalesce("q", F.lit(0.0)), F.lit(EPS))
-    return (j.groupBy("feature").agg(F.sum((qq - pp) * F.log(qq / pp)).alias("psi"))
+    at 1e-6; values in [0, 1] fall in ``bins`` equal bins (1.0 in the last).
+    Both periods are counted in one pass over the rows."""
+    b = long.filter("value IS NOT NULL").withColumn("bin", F.least(F.floor(F.col("value") * bins), F.lit(bins - 1)).cast("int"))
+    h = b.groupBy("feature", "bin").agg(F.count_if(F.col(period_col) == baseline).alias("p"),
+                                        F.count_if(F.col(period_col) == current).alias("q")).filter("p + q > 0")
+    tot = Window.partitionBy("feature")
+
+    def share(c):
+        return F.greatest(F.coalesce(F.try_divide(F.col(c), F.sum(c).over(tot)), F.lit(0.0)), F.lit(EPS))
+
+    h = h.withColumn("pp", share("p")).withColumn("qq", share("q"))
+    pp, qq = F.col("pp"), F.col("qq")
+    return (h.groupBy("feature").agg(F.sum((qq - pp) * F.log(qq / pp)).alias("psi"))
              .withColumn("drift_alert", F.col("psi") > D.DRIFT_ALERT))
 
 
@@ -63,7 +65,7 @@ def alert_rules(metrics: DataFrame, rules: DataFrame, ids: list[str], features:
     """Unpivot metric columns and keep the breaches of a (small,
     broadcast) rule table ``metric, op ('>' or '<'), threshold``."""
     long = unpivot(metrics, ids, features).withColumnRenamed("feature", "metric")
-    j = long.join(F.broadcast(rules), "metric")
+    j = long.join(rules, "metric")
     breach = (F.when(F.col("op") == ">", F.col("value") > F.col("threshold"))
               .otherwise(F.col("value") < F.col("threshold")))
     return j.filter(breach)

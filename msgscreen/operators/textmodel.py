@@ -16,25 +16,29 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 
-def pipeline(reg: float) -> Pipeline:
+
+def features() -> Pipeline:
     return Pipeline(stages=[
-        RegexTokenizer(inputCol="message", outputCol="tokens", pattern=r"\W+", minTokenLength=1),
+        RegexTokenizer(inputCol="message", outputCol="tokens", pattern=r"(?U)\W+", minTokenLength=1),
         HashingTF(inputCol="tokens", outputCol="tf", numFeatures=1 << 18),
         IDF(inputCol="tf", outputCol="features", minDocFreq=2),
-        LogisticRegression(featuresCol="features", labelCol="y", regParam=reg, maxIter=50),
     ])
 
 
 def train_and_predict(split_df: DataFrame, grid=(0.0, 0.01, 0.1)) -> DataFrame:
-    data = split_df.withColumn("y", (F.col("label") == "spam").cast("double")).select("message_id", "message", "y", "split")
-    train = data.filter(F.col("split") == "train")
-    val = data.filter(F.col("split") == "val")
-    test = data.filter(F.col("split") == "test")
+    """The features are fitted once and written to the checkpoint folder; each
+    grid value only trains a regression on them."""
+    data = split_df.filter(F.col("message").isNotNull()).withColumn("y", (F.col("label") == "spam").cast("double"))
+    data = materialize(data.select("message_id", "message", "y", "split"))
+    fitted = features().fit(data.filter(F.col("split") == "train"))
+    data = materialize(fitted.transform(data).select("message_id", "features", "y", "split"))
+    train, val, test = (data.filter(F.col("split") == x) for x in ("train", "val", "test"))
     ev = MulticlassClassificationEvaluator(labelCol="y", predictionCol="prediction", metricName="f1")
     best, best_f1 = None, -1.0
     for reg in grid:
-        model = pipeline(reg).fit(train)
+        model = LogisticRegression(featuresCol="features", labelCol="y", regParam=reg, maxIter=50).fit(train)
         f1 = ev.evaluate(model.transform(val))
         if f1 > best_f1:
             best, best_f1 = model, f1

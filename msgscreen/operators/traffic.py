@@ -18,9 +18,11 @@ from .. import dictionaries as D
 MONEY = "decimal(12,4)"
 
 
-def privacy_projection(scored: DataFrame, salt: str = "msgscreen") -> DataFrame:
+def privacy_projection(scored: DataFrame, salt: str) -> DataFrame:
     """The history record — no text, no number; length and a salted
-    SHA-256 of the sender (stable across processes, unlike a runtime hash)."""
+    SHA-256 of the sender (stable across processes, unlike a runtime hash).
+    Numbers can be found by trying them all under a known salt, so the
+    caller must supply a secret one."""
     return scored.select(
         "event_id", F.col("ts").alias("timestamp"), F.to_date("ts").alias("date"),
         F.col("label").alias("classification"), "is_smishing", "confidence", "via_sms",
@@ -60,28 +62,41 @@ def _bucket(ts, seconds: int):
     return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
 
 
-def spend_gate(traffic: DataFrame, cost: str = D.COST_PER_MESSAGE, limit: str = D.DAILY_SPEND_LIMIT,
-               key: str = "date", ts: str = "ts", tie: str = "event_id", bucket_seconds: int = 60) -> DataFrame:
-    """T7 + T8: a message is accepted while the day's spend *before* it is
-    below the limit; ``alert`` marks the message whose cost reaches the
-    limit. Costs >= 0, so the accepted rows of a day are a prefix.
-
-    spend_before = (sum of earlier buckets of the day) + (running sum inside
-    the row's bucket, excluding the row). The bucket totals table has at most
-    86400 / bucket_seconds rows per day."""
-    c = F.lit(cost).cast(MONEY) if "cost" not in traffic.columns else F.col("cost").cast(MONEY)
-    t = traffic.withColumn("cost", c).withColumn("_b", _bucket(F.col(ts), bucket_seconds))
-    totals = t.groupBy(key, "_b").agg(F.sum("cost").alias("_bsum"))
+def running_sum(df: DataFrame, value: str, key: str, ts: str, tie: str, bucket_seconds: int) -> DataFrame:
+    """Add ``_before``: the sum of ``value`` over the key's earlier rows in
+    (ts, tie) order = earlier buckets' totals (a table of at most
+    86400 / bucket_seconds rows per day) + the running sum inside the bucket."""
+    t = df.withColumn("_b", _bucket(F.col(ts), bucket_seconds))
+    totals = t.groupBy(key, "_b").agg(F.sum(value).alias("_bsum"))
     w_prev = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = totals.select(key, "_b", F.coalesce(F.sum("_bsum").over(w_prev), F.lit(0)).cast(MONEY).alias("_off"))
-    j = t.join(offs, [key, "_b"])
     w_in = Window.partitionBy(key, "_b").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, -1)
-    before = (F.col("_off") + F.coalesce(F.sum("cost").over(w_in), F.lit(0))).cast(MONEY)
+    before = (F.col("_off") + F.coalesce(F.sum(value).over(w_in), F.lit(0))).cast(MONEY)
+    return t.join(offs, [key, "_b"]).withColumn("_before", before).drop("_b", "_off")
+
+
+def accept(traffic: DataFrame, cost: str = D.COST_PER_MESSAGE, limit: str = D.DAILY_SPEND_LIMIT,
+           key: str = "date", ts: str = "ts", tie: str = "event_id", bucket_seconds: int = 60) -> DataFrame:
+    """T7 + T8: add ``accepted`` (the day's spend *before* the message is below
+    the limit) and ``alert`` (its cost reaches the limit). Costs >= 0, so the
+    accepted rows of a day are a prefix."""
+    c = F.lit(cost).cast(MONEY) if "cost" not in traffic.columns else F.col("cost").cast(MONEY)
     lim = F.lit(limit).cast(MONEY)
-    out = j.withColumn("spend_before", before)
-    return (out.withColumn("accepted", F.col("spend_before") < lim)
-               .withColumn("alert", (F.col("spend_before") < lim) & (F.col("spend_before") + F.col("cost") >= lim))
-               .drop("_b", "_off"))
+    out = running_sum(traffic.withColumn("cost", c), "cost", key, ts, tie, bucket_seconds)
+    out = out.withColumn("accepted", F.col("_before") < lim)
+    return (out.withColumn("alert", F.col("accepted") & (F.col("_before") + F.col("cost") >= lim))
+               .withColumnRenamed("_before", "asked_before"))
+
+
+def spend_gate(traffic: DataFrame, key: str = "date", **options) -> DataFrame:
+    """:func:`accept` and ``spend_before``, the day's spend before the message;
+    refused messages add nothing to it."""
+    out = accept(traffic, key=key, **options)
+    # the spend at which a day closed: one row per day
+    closed = out.filter("alert").groupBy(key).agg(F.max(F.col("asked_before") + F.col("cost")).alias("_closed"))
+    return (out.join(closed, key, "left")
+               .withColumn("spend_before", F.least("asked_before", F.coalesce("_closed", "asked_before")).cast(MONEY))
+               .drop("asked_before", "_closed"))
 
 
 def spend_ledger(gated: DataFrame, key: str = "date") -> DataFrame:
@@ -104,36 +119,60 @@ def budget_status(ledger: DataFrame, limit: str = D.DAILY_SPEND_LIMIT) -> DataFr
          .when(share >= D.BUDGET_WARNING_SHARE, F.lit("warning")).otherwise(F.lit("normal")).alias("band"))
 
 
-def apply_overrides(gated: DataFrame, overrides: DataFrame, key: str = "date", ts: str = "ts",
-                    tie: str = "event_id", bucket_seconds: int = 60) -> DataFrame:
-    """As-of join — the last manual override (``action`` enable/disable)
-    at or before each message of the same day decides ``service_enabled``
-    (an override at the same instant applies first); without one the gate
-    decides.
+def last_override(messages: DataFrame, overrides: DataFrame, key: str = "date", ts: str = "ts",
+                  tie: str = "event_id", bucket_seconds: int = 60) -> DataFrame:
+    """As-of join: add ``override`` and ``override_ts``, the last override
+    (``action`` enable/disable) of the day at or before each message (at the
+    same instant the override comes first; of two, that of the larger id).
 
     Two-level, skew-safe: (1) the last override per (day, bucket) and the
     message buckets form a small table (<= 2 x buckets per day) on which
     ``last(ignorenulls)`` carries the latest override of any *earlier* bucket;
     (2) inside a bucket, overrides and messages are ordered together."""
-    o = (overrides.select(key, F.col(ts), F.col("action"))
+    o = (overrides.select(key, F.col(ts), F.col(tie).alias("_id"), F.struct(F.col(ts).alias("at"), F.col("action")).alias("_o"))
          .withColumn("_b", _bucket(F.col(ts), bucket_seconds)))
-    m = gated.withColumn("_b", _bucket(F.col(ts), bucket_seconds))
-    ob = o.groupBy(key, "_b").agg(F.max_by("action", F.col(ts)).alias("_last")).withColumn("_k", F.lit(0))
-    mb = m.select(key, "_b").distinct().withColumn("_last", F.lit(None).cast("string")).withColumn("_k", F.lit(1))
+    m = messages.withColumn("_b", _bucket(F.col(ts), bucket_seconds))
+    none = F.lit(None).cast(o.schema["_o"].dataType)
+    ob = o.groupBy(key, "_b").agg(F.max_by("_o", F.struct(ts, "_id")).alias("_last")).withColumn("_k", F.lit(0))
+    mb = m.select(key, "_b").distinct().withColumn("_last", none).withColumn("_k", F.lit(1))
     w_prev = Window.partitionBy(key).orderBy(F.col("_b"), F.col("_k").desc()) \
         .rowsBetween(Window.unboundedPreceding, -1)
     prev = (ob.unionByName(mb).withColumn("_prev", F.last("_last", ignorenulls=True).over(w_prev))
             .filter(F.col("_k") == 1).select(key, "_b", "_prev"))
-    u = (m.withColumn("action", F.lit(None).cast("string")).withColumn("_kind", F.lit(1))
+    u = (m.withColumn("_o", none).withColumn("_id", F.col(tie)).withColumn("_kind", F.lit(1))
          .unionByName(o.withColumn("_kind", F.lit(0)), allowMissingColumns=True))
-    w_in = Window.partitionBy(key, "_b").orderBy(ts, "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    u = u.withColumn("_inb", F.last("action", ignorenulls=True).over(w_in))
-    res = u.filter(F.col("_kind") == 1).join(prev, [key, "_b"], "left")
-    act = F.coalesce(F.col("_inb"), F.col("_prev"))
-    return (res.withColumn("override", act)
-               .withColumn("service_enabled", F.when(act == "enable", True).when(act == "disable", False)
-                           .otherwise(F.col("accepted")))
-               .drop("_b", "_kind", "action", "_inb", "_prev"))
+    w_in = Window.partitionBy(key, "_b").orderBy(ts, "_kind", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    u = u.withColumn("_inb", F.last("_o", ignorenulls=True).over(w_in))
+    res = u.filter(F.col("_kind") == 1).join(prev, [key, "_b"], "left").withColumn("_act", F.coalesce("_inb", "_prev"))
+    return (res.withColumn("override", F.col("_act.action")).withColumn("override_ts", F.col("_act.at"))
+               .drop("_b", "_kind", "_o", "_id", "_inb", "_prev", "_act"))
+
+
+def apply_overrides(traffic: DataFrame, overrides: DataFrame, cost: str = D.COST_PER_MESSAGE,
+                    limit: str = D.DAILY_SPEND_LIMIT, key: str = "date", ts: str = "ts", tie: str = "event_id",
+                    bucket_seconds: int = 60) -> DataFrame:
+    """The gate with manual overrides. The service's state is the last of
+    {override, crossing}: the first accepted message whose cost brings the
+    day's spend to the limit closes the service once a day; before it the last
+    override decides (open without one), after it only an override later than
+    the crossing does. Refused messages cost nothing; messages accepted after
+    a re-enable are charged again."""
+    c = F.lit(cost).cast(MONEY) if "cost" not in traffic.columns else F.col("cost").cast(MONEY)
+    lim, zero = F.lit(limit).cast(MONEY), F.lit(0).cast(MONEY)
+    t = last_override(traffic.withColumn("cost", c), overrides, key, ts, tie, bucket_seconds)
+    is_open = F.coalesce(F.col("override") == "enable", F.lit(True))
+    t = t.withColumn("_open", is_open).withColumn("_paid", F.when(F.col("_open"), F.col("cost")).otherwise(zero))
+    t = running_sum(t, "_paid", key, ts, tie, bucket_seconds)
+    crossing = F.col("_open") & (F.col("_before") < lim) & (F.col("_before") + F.col("_paid") >= lim)
+    t = t.withColumn("alert", crossing)
+    crossed = t.filter("alert").groupBy(key).agg(F.min(ts).alias("_crossed"))        # one row per day
+    t = t.join(crossed, key, "left")
+    reopened = F.coalesce((F.col("override") == "enable") & (F.col("override_ts") > F.col("_crossed")), F.lit(False))
+    t = t.withColumn("accepted", F.when(F.col("_before") < lim, F.col("_open")).otherwise(reopened))
+    t = t.withColumn("_paid", F.when(F.col("accepted"), F.col("cost")).otherwise(zero)).drop("_before")
+    return (running_sum(t, "_paid", key, ts, tie, bucket_seconds)
+            .withColumn("spend_before", F.col("_before")).withColumn("service_enabled", F.col("accepted"))
+            .drop("_before", "_paid", "_open", "_crossed", "override_ts"))
 
 
 def reconcile(ledger: DataFrame, provider: DataFrame) -> DataFrame:
@@ -197,7 +236,6 @@ def traffic_metrics(traffic: DataFrame, width: str = "1 minute", slide: str | No
     """X6 (batch form): per window — requests, rate per second, error rate,
     latency p50/p95/p99 (exact), and the prediction mix."""
     win = F.window("ts", width, slide) if slide else F.window("ts", width)
-    secs = {"1 minute": 60.0, "5 minutes": 300.0}.get(width, 60.0)
     g = traffic.groupBy(win.alias("w")).agg(
         F.count(F.lit(1)).alias("requests"),
         F.count_if(F.col("is_error")).alias("errors"),
@@ -206,7 +244,8 @@ def traffic_metrics(traffic: DataFrame, width: str = "1 minute", slide: str | No
         F.count_if(F.col("label") == "spam").alias("spam"),
         F.count_if(F.col("label") == "smishing").alias("smishing"))
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "requests",
-                    (F.col("requests") / F.lit(secs)).alias("rate_per_s"),
+                    (F.col("requests") / (F.unix_micros(F.col("w.end").cast("timestamp"))
+                                          - F.unix_micros(F.col("w.start").cast("timestamp"))) * 1e6).alias("rate_per_s"),
                     (F.col("errors") / F.col("requests")).alias("error_rate"),
                     F.col("_p")[0].alias("p50"), F.col("_p")[1].alias("p95"), F.col("_p")[2].alias("p99"),
                     "ham", "spam", "smishing")
@@ -235,18 +274,22 @@ def sender_rate_limit(traffic: DataFrame, limit: int = D.SENDER_RATE_LIMIT, seco
              .withColumn("throttled", F.col("recent") > limit))
 
 
-def volume_spikes(traffic: DataFrame, bucket: str = "1 hour", trailing: int = 24, factor: float = 3.0) -> DataFrame:
-    """X8 (batch form): request and error counts per bucket against the
-    trailing mean of the previous ``trailing`` buckets (window over the small
-    bucket table); spike when count > factor x trailing mean."""
-    g = traffic.groupBy(F.window("ts", bucket).alias("w")).agg(
+def volume_spikes(traffic: DataFrame, trailing: int = 24, factor: float = 3.0) -> DataFrame:
+    """X8 (batch form): request and error counts per hour against the mean of
+    the previous ``trailing`` hours (hours without requests count as 0, hours
+    before the first request don't count); spike when count > factor x mean.
+    The window runs over the hours' small table."""
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000)).cast("long")
+    g = traffic.groupBy(hour.alias("hour")).agg(
         F.count(F.lit(1)).alias("requests"), F.count_if(F.col("is_error")).alias("errors"))
-    w = Window.orderBy("bucket_start").rowsBetween(-trailing, -1)
-    s = g.select(F.col("w.start").alias("bucket_start"), "requests", "errors")
-    return (s.withColumn("trailing_mean", F.avg("requests").over(w))
+    w = Window.orderBy("hour").rangeBetween(-trailing, -1)
+    past = F.least(F.lit(trailing), F.col("hour") - F.min("hour").over(Window.partitionBy()))
+    mean = F.when(past > 0, F.coalesce(F.sum("requests").over(w), F.lit(0)) / past)
+    return (g.withColumn("trailing_mean", mean)
              .withColumn("error_rate", F.col("errors") / F.col("requests"))
              .withColumn("spike", F.col("requests") > F.col("trailing_mean") * factor)
-             .withColumn("high_errors", F.col("error_rate") > D.ERROR_RATE_ALERT))
+             .withColumn("high_errors", F.col("error_rate") > D.ERROR_RATE_ALERT)
+             .withColumn("bucket_start", F.timestamp_seconds(F.col("hour") * 3600)).drop("hour"))
 
 
 def sender_sessions(traffic: DataFrame, gap_seconds: int = 1800, key: str = "sender", ts: str = "ts",

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import dictionaries as D
 from ..operators import classify as C
 from ..operators import urls as UO
 from ..session import materialize
@@ -171,7 +172,8 @@ def c7_leaks(spark, sf_dir):
 
 @register("c8_corpus_summary")
 def c8(spark, sf_dir):
-    return CO.corpus_summary(CP.split_corpus(spark, sf_dir)).drop("gid")
+    """``gid`` tells a subtotal's empty column from a null value."""
+    return CO.corpus_summary(CP.split_corpus(spark, sf_dir))
 
 
 @register("c11_incremental_integrate")
@@ -262,7 +264,7 @@ def e8(spark, sf_dir):
 @register("e9_ensemble_candidates")
 def e9(spark, sf_dir):
     """Candidates chosen on the validation split (not on test)."""
-    return _round_all(EV.ensemble_candidates(_metrics(spark, sf_dir, "val"), 0.0), ["f1_score", "weight"])
+    return _round_all(EV.ensemble_candidates(_metrics(spark, sf_dir, "val")), ["f1_score", "weight"])
 
 
 @register("e10_subset_metrics")
@@ -305,7 +307,9 @@ def m4(spark, sf_dir):
 
 
 def _val_weights(spark, sf_dir):
-    return EV.ensemble_candidates(_metrics(spark, sf_dir, "val"), 0.0).select("model", F.col("f1_score").alias("weight"))
+    """Weights of the candidates; none where fewer than two models qualify."""
+    return (EV.ensemble_candidates(_metrics(spark, sf_dir, "val")).filter("built")
+            .select("model", F.col("f1_score").alias("weight")))
 
 
 @register("m5_weighted_ensemble")
@@ -346,16 +350,24 @@ def _ts(c):
     return F.date_format(c, TS_FMT)
 
 
+# registered queries hash with a fixed salt so that results can be compared; services pass a secret
+_SALT = "msgscreen"
+
+
 def _history(spark, sf_dir):
-    return TR.privacy_projection(TP.scored_traffic(spark, sf_dir))
+    return TR.privacy_projection(TP.recorded_traffic(spark, sf_dir), _SALT)
+
+
+def _sms(spark, sf_dir):
+    return TP.arrivals(spark, sf_dir).filter("via_sms")
 
 
 def _gate(spark, sf_dir):
-    return TR.spend_gate(TP.inbound(spark, sf_dir))
+    return TR.spend_gate(_sms(spark, sf_dir), limit=TP.LIMIT)
 
 
 def _ledger(spark, sf_dir):
-    return TR.spend_ledger(_gate(spark, sf_dir))
+    return TR.spend_ledger(TR.accept(_sms(spark, sf_dir), limit=TP.LIMIT))
 
 
 def _money(df, cols):
@@ -370,14 +382,15 @@ def h9(spark, sf_dir):
 
 @register("h10_reply_outbox")
 def h10(spark, sf_dir):
-    g = TR.spend_gate(TP.scored_traffic(spark, sf_dir))
-    limit_msg = F.lit("Daily spending limit exceeded. Service will resume tomorrow. Thank you for understanding!")
+    """Replies to SMS: refused and failed messages get fixed texts."""
+    g = TP.score_bodies(TR.accept(TP.inbound(spark, sf_dir).filter("via_sms"), limit=TP.LIMIT))
+    answered = F.col("accepted") & ~F.col("is_error")
     reply = TX.reply_text(F.col("is_spam"), F.col("is_smishing"), F.col("confidence"), F.col("risk_level"),
                           F.col("reasoning"))
     return g.select("event_id", "sender",
-                    F.when(F.col("accepted"), reply).otherwise(limit_msg).alias("reply"),
-                    F.when(F.col("accepted"), TX.short_reply(F.col("is_spam"), F.col("is_smishing"),
-                                                             F.col("confidence"))).alias("short_reply"))
+                    F.when(answered, reply).when(F.col("accepted"), F.lit(D.REPLY_ERROR)).otherwise(F.lit(D.REPLY_LIMIT)).alias("reply"),
+                    F.when(answered, TX.short_reply(F.col("is_spam"), F.col("is_smishing"),
+                                                    F.col("confidence"))).alias("short_reply"))
 
 
 @register("t1_privacy_projection")
@@ -421,21 +434,21 @@ def t8(spark, sf_dir):
 
 @register("t9_budget_status")
 def t9(spark, sf_dir):
-    return _money(TR.budget_status(_ledger(spark, sf_dir)), ["daily_spend", "remaining_budget"])
+    return _money(TR.budget_status(_ledger(spark, sf_dir), TP.LIMIT), ["daily_spend", "remaining_budget"])
 
 
 def _overrides(spark, sf_dir):
-    e = _events(spark, sf_dir, "ts", "user_id", "event_type")
+    e = _events(spark, sf_dir, "event_id", "ts", "user_id", "event_type")
     o = e.filter(((F.col("event_type") == "signup") & (F.col("user_id") % 50 == 0))
                  | ((F.col("event_type") == "purchase") & (F.col("user_id") % 50 == 1)))
-    return o.select(F.to_date("ts").alias("date"), "ts",
+    return o.select("event_id", F.to_date("ts").alias("date"), "ts",
                     F.when(F.col("event_type") == "signup", F.lit("disable")).otherwise(F.lit("enable")).alias("action"))
 
 
 @register("t10_manual_override")
 def t10(spark, sf_dir):
-    r = TR.apply_overrides(_gate(spark, sf_dir), _overrides(spark, sf_dir))
-    return r.select("event_id", "date", "override", "service_enabled")
+    r = TR.apply_overrides(_sms(spark, sf_dir), _overrides(spark, sf_dir), limit=TP.LIMIT)
+    return _money(r.select("event_id", "date", "override", "service_enabled", "alert", "spend_before"), ["spend_before"])
 
 
 def _provider(spark, sf_dir):
@@ -476,7 +489,9 @@ def x4(spark, sf_dir):
 
 
 def _traffic_with_labels(spark, sf_dir):
-    return TP.scored_traffic(spark, sf_dir).select("event_id", "ts", "sender", "latency_ms", "is_error", "label")
+    """Failed requests have no label."""
+    return TP.scored_traffic(spark, sf_dir).select("event_id", "ts", "sender", "latency_ms", "is_error",
+                                                   F.when(~F.col("is_error"), F.col("label")).alias("label"))
 
 
 def _x6(df):
@@ -496,13 +511,14 @@ def x6s(spark, sf_dir):
 
 @register("x7_sender_rate_limit")
 def x7(spark, sf_dir):
-    r = TR.sender_rate_limit(TP.inbound(spark, sf_dir))
+    """One message a sender and hour, so that the sparse traffic reaches the limit."""
+    r = TR.sender_rate_limit(TP.arrivals(spark, sf_dir), limit=1, seconds=3600)
     return r.select("event_id", "sender", "recent", "throttled")
 
 
 @register("x8_volume_spikes")
 def x8(spark, sf_dir):
-    s = TR.volume_spikes(_traffic_with_labels(spark, sf_dir))
+    s = TR.volume_spikes(TP.arrivals(spark, sf_dir), factor=1.5)
     return _round_all(s.withColumn("bucket_start", _ts(F.col("bucket_start"))), ["trailing_mean", "error_rate"])
 
 
@@ -531,7 +547,7 @@ def d2(spark, sf_dir):
 @register("d3_performance_drift")
 def d3(spark, sf_dir):
     fb = _feedback(spark, sf_dir).withColumn(
-        "date", F.to_date(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 37)))
+        "date", F.to_date(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600)))
     fb = fb.withColumn("predicted_label", EV.fold(F.col("predicted_label")))
     return _round_all(MN.performance_drift(fb), ["accuracy", "accuracy_change"])
 
@@ -542,7 +558,7 @@ def d4(spark, sf_dir):
     documented thresholds; drift PSI too."""
     m = _metrics(spark, sf_dir).select(F.col("model").alias("subject"), "a2p_fpr", "latency_p95")
     a = MN.alert_rules(m, MN.default_rules(spark), ["subject"], ["a2p_fpr", "latency_p95"])
-    x = TR.traffic_metrics(_traffic_with_labels(spark, sf_dir), "1 hour").select(
+    x = TR.traffic_metrics(TP.arrivals(spark, sf_dir).withColumn("label", F.lit(None).cast("string")), "1 hour").select(
         _ts(F.col("window_start")).alias("subject"), "error_rate")
     b = MN.alert_rules(x, MN.default_rules(spark), ["subject"], ["error_rate"])
     dr = MN.feature_drift(_drift_long(spark, sf_dir)).select(F.col("feature").alias("subject"), "psi")
@@ -655,6 +671,97 @@ def c10(spark, sf_dir):
 @register("x8_sender_sessions")
 def x8s(spark, sf_dir):
     """X8 sender anomaly: 30-minute-gap sessions per sender over inbound traffic."""
-    s = TR.sender_sessions(TP.inbound(spark, sf_dir))
+    s = TR.sender_sessions(TP.arrivals(spark, sf_dir), min_messages=1)
     return s.select("sender", "session", "messages", _ts(F.col("session_start")).alias("session_start"),
                     _ts(F.col("session_end")).alias("session_end"), "unusual")
+
+
+# ---------------------------------------------------------------- streams and delimited sources
+from ..session import ensure_checkpoint_dir as _shared  # noqa: E402
+from ..sources import delimited as DL  # noqa: E402
+from ..streaming import jobs as SJ  # noqa: E402
+
+
+def _scratch(spark, tag):
+    import uuid
+    return f"{_shared(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def _landed(spark, sf_dir):
+    """Inbound requests as files of a feed: every seventh has no message id,
+    every thirteenth no body, every eleventh is delivered twice."""
+    path = _scratch(spark, "inbound")
+    sid = F.when(F.col("event_id") % 7 != 0, F.concat(F.lit("SM"), F.col("event_id").cast("string")))
+    t = TP.inbound(spark, sf_dir).withColumn("message_sid", sid).withColumn("body", F.when(F.col("event_id") % 13 != 0, F.col("body")))
+    t = t.select("event_id", "ts", "sender", "body", "event_type", "latency_ms", "message_sid")
+    t = t.withColumn("copy", F.explode(F.when(F.col("event_id") % 11 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    t.drop("copy").repartitionByRange("ts").write.parquet(f"{path}/in")
+    return path
+
+
+def _classified(spark, path):
+    return SJ.classify_stream(SJ.inbound_stream(spark, f"{path}/in"))
+
+
+@register("x1_stream_classify")
+def x1(spark, sf_dir):
+    path = _landed(spark, sf_dir)
+    out = SJ.run_available(_classified(spark, path), f"{path}/out", f"{path}/ck")
+    return out.select("event_id", "classification", "is_spam", "is_smishing", r6(F.col("confidence")).alias("confidence"),
+                      "risk_level", "is_error", "via_sms", "reply")
+
+
+@register("x2_stream_daily_counters")
+def x2(spark, sf_dir):
+    path = _landed(spark, sf_dir)
+    return SJ.run_available(SJ.daily_counters_stream(_classified(spark, path)), f"{path}/out", f"{path}/ck", "complete")
+
+
+@register("x3_stream_spend_gate")
+def x3(spark, sf_dir):
+    """SMS requests in three deliveries, so that days go on from the state."""
+    path = _scratch(spark, "gate")
+    sms = _sms(spark, sf_dir).select("event_id", "ts")
+    for third in range(3):
+        part = sms.filter(F.floor(F.hour("ts") / 8) == third)
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema("event_id long, ts timestamp").parquet(f"{path}/in")
+        SJ.start_spend_gate(stream, path, f"{path}/ck", TP.LIMIT).awaitTermination()
+    return SJ.read_gate(spark, path).select("event_id", "date", "accepted", "alert")
+
+
+@register("x5_stream_dashboard")
+def x5(spark, sf_dir):
+    path = _landed(spark, sf_dir)
+    out = SJ.run_available(SJ.dashboard_feed(_classified(spark, path)), f"{path}/out", f"{path}/ck", "complete")
+    return out.withColumn("bucket_start", _ts(F.col("bucket_start")))
+
+
+@register("s1_delimited_roundtrip")
+def s1(spark, sf_dir):
+    """Messages without line ends written as headerless TSV and read back."""
+    path = _scratch(spark, "tsv")
+    mv = message_view(spark, sf_dir).filter("source <> 'documents'")
+    mv.select(F.col("true_label").alias("a"), F.concat_ws(" ", "message_id", "text").alias("b")).write.option("sep", "\t").option("escape", '"').csv(path)
+    return DL.read_delimited(spark, path, sep="\t", header=False, corrupt="bad").select("label", "message", "bad")
+
+
+@register("s2_role_detection")
+def s2(spark, sf_dir):
+    """Documents, whole texts with their line ends, as CSV with a header whose names say the roles."""
+    path = _scratch(spark, "csv")
+    mv = message_view(spark, sf_dir).filter("source = 'documents'")
+    (mv.select(F.lit("x").alias("row_note"), F.coalesce("true_label", F.lit("none")).alias("msg_class"), F.concat_ws(" ", "message_id", "text").alias("sms_body"))
+     .write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path))
+    d = DL.read_delimited(spark, path, multi_line=True)
+    return d.select("label", F.sha2("message", 256).alias("message_sha"))
+
+
+@register("s3_named_columns")
+def s3(spark, sf_dir):
+    """Events in the layout v1, v2 with columns that belong to neither."""
+    path = _scratch(spark, "named")
+    mv = message_view(spark, sf_dir).filter("source = 'events'")
+    (mv.select(F.col("true_label").alias("v1"), F.concat_ws(" ", "message_id", "text").alias("v2"), F.lit("").alias("Unnamed: 2"))
+     .write.option("header", True).option("escape", '"').csv(path))
+    return DL.read_delimited(spark, path)

@@ -15,6 +15,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import SOURCE_PARTITIONS
 from ..sources.tables import events, table
 
 COLUMNS = ["message_id", "sender", "text", "true_label", "is_smishing", "a2p_type", "source"]
@@ -130,16 +131,11 @@ def _document_columns():
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cluster's cores when the table has fewer
-    files than cores (the driver's tables are single files with one parquet
-    row group, which one task would otherwise process alone).
-
-    Decided from the file listing only. At scale a table has far more files
-    than cores and this is a no-op, so no shuffle is added there."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= target:
-        return df
-    return df.repartition(target * 2)
+    """Round-robin the rows over as many partitions as the session asks for in
+    ``spark.msgscreen.sourcePartitions``; without it the scan's own partitions
+    stay (the rule at scale, where tables have many files)."""
+    n = df.sparkSession.conf.get(SOURCE_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 def message_view(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .. import dictionaries as D
+from .traffic_plan import LIMIT
 from .oracle import q, r6, rollup_ctes, scored_ctes, url_ctes, with_view
 
 SQL: dict[str, str] = {}
@@ -117,10 +118,12 @@ SELECT message FROM ((SELECT message FROM cs WHERE split = 'train') INTERSECT (S
 UNION ALL SELECT message FROM ((SELECT message FROM cs WHERE split = 'train') INTERSECT (SELECT message FROM cs WHERE split = 'test'))
 UNION ALL SELECT message FROM ((SELECT message FROM cs WHERE split = 'val') INTERSECT (SELECT message FROM cs WHERE split = 'test'))""")
 SQL["c8_corpus_summary"] = with_view(CORPUS_CTES + """
-SELECT label, source, a2p_type, split, count(*) AS n,
+SELECT label, source, a2p_type, split, CAST(grouping(label, source, a2p_type, split) AS BIGINT) AS gid, count(*) AS n,
   count(*) FILTER (WHERE label = 'spam') AS spam_count, count(*) FILTER (WHERE label = 'ham') AS ham_count,
   count(*) FILTER (WHERE is_smishing) AS smishing_count,
-  round(CAST(count(*) FILTER (WHERE label = 'spam') AS DOUBLE) * 100.0 / count(*), 6) AS spam_pct
+  round(CAST(count(*) FILTER (WHERE label = 'spam') AS DOUBLE) * 100.0 / count(*), 6) AS spam_pct,
+  round(CAST(count(*) FILTER (WHERE label = 'ham') AS DOUBLE) * 100.0 / count(*), 6) AS ham_pct,
+  round(CAST(count(*) FILTER (WHERE is_smishing) AS DOUBLE) * 100.0 / count(*), 6) AS smishing_pct
 FROM cs GROUP BY GROUPING SETS ((), (label), (source), (a2p_type), (split, label))""")
 SQL["c11_incremental_integrate"] = with_view(CORPUS_CTES + """,
 ex AS (SELECT * FROM pages_c UNION ALL SELECT * FROM ev_c),
@@ -219,7 +222,7 @@ SQL["e8_model_selection"] = eval_sql("test", """SELECT
   (SELECT model FROM metr WHERE meets_all ORDER BY f1_score DESC, model LIMIT 1) AS recommended,
   (SELECT model FROM metr ORDER BY f1_score DESC, model LIMIT 1) AS best_f1_model""")
 SQL["e9_ensemble_candidates"] = eval_sql("val", """SELECT model, round(f1_score, 6) AS f1_score,
-  round(f1_score / sum(f1_score) OVER (), 6) AS weight, count(*) OVER () >= 2 AS built FROM metr WHERE f1_score >= 0.0""")
+  round(f1_score / sum(f1_score) OVER (), 6) AS weight, count(*) OVER () >= 2 AS built FROM metr WHERE f1_score >= 0.9""")
 SQL["e10_subset_metrics"] = eval_sql("test", """, x AS (SELECT *, unnest(list_filter(['all',
   CASE WHEN a2p_type IS NOT NULL THEN 'a2p' END, CASE WHEN is_smishing THEN 'smishing' END], lambda v: v IS NOT NULL)) AS subset FROM al)
 SELECT model, subset, count(*) AS n,
@@ -251,7 +254,7 @@ FROM pred GROUP BY message_id""")
 SQL["m5_weighted_ensemble"] = with_view(
     CORPUS_CTES + ",\n" + _tst(("val", "test")) + "," + scored_ctes("tst") + ",\n" + PRED_SQL
     + ",\nalv AS (SELECT * FROM al WHERE split = 'val'),\n" + met_sql("alv") + """,
-wv AS (SELECT model, f1_score / sum(f1_score) OVER () AS w FROM metr),
+wv AS (SELECT model, f1_score / sum(f1_score) OVER () AS w FROM metr WHERE f1_score >= 0.9 AND (SELECT count(*) FROM metr WHERE f1_score >= 0.9) >= 2),
 ws AS (SELECT p.message_id, sum(CASE WHEN p.label IN ('spam', 'smishing') THEN p.confidence * wv.w ELSE 0.0 END) AS score
   FROM pred p JOIN tst t ON p.message_id = t.message_id JOIN wv ON p.model = wv.model
   WHERE t.split = 'test' GROUP BY p.message_id)
@@ -298,22 +301,23 @@ TRAFFIC_CTES = f"""
 tr0 AS (SELECT e.event_id, CAST(e.ts AS TIMESTAMP) AS ts, concat('+1555', CAST(2000000 + e.user_id AS VARCHAR)) AS sender,
   coalesce(pm.text, {_EVENT_TEXT}) AS body, e.event_type, e.value AS latency_ms, e.event_type = 'error' AS is_error,
   e.event_type <> 'view' AS via_sms, CAST(e.ts AS DATE) AS date
-  FROM events e LEFT JOIN m pm ON e.event_id % 4 = 0 AND pm.message_id = concat('pg', CAST(e.event_id % 50 AS VARCHAR))),
+  FROM events e LEFT JOIN m pm ON e.event_id % 4 = 0 AND pm.message_id = concat('pg', CAST(e.event_id % greatest(1, (SELECT count(*) FROM pages)) AS VARCHAR))),
 tr AS (SELECT *, event_id AS message_id, {_forward('body')} AS text FROM tr0),
 g AS (SELECT *, CAST({D.COST_PER_MESSAGE} AS DECIMAL(12,4)) AS cost,
-  coalesce(sum(CAST({D.COST_PER_MESSAGE} AS DECIMAL(12,4))) OVER (PARTITION BY date ORDER BY ts, event_id
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spend_before FROM tr0),
-gt AS (SELECT *, spend_before < {D.DAILY_SPEND_LIMIT} AS accepted,
-  spend_before < {D.DAILY_SPEND_LIMIT} AND spend_before + cost >= {D.DAILY_SPEND_LIMIT} AS alert FROM g),
+  (row_number() OVER (PARTITION BY date ORDER BY ts, event_id) - 1) * CAST({D.COST_PER_MESSAGE} AS DECIMAL(12,4)) AS asked FROM tr0 WHERE via_sms),
+gt0 AS (SELECT *, asked < {LIMIT} AS accepted,
+  asked < {LIMIT} AND asked + cost >= {LIMIT} AS alert FROM g),
+gt AS (SELECT *, CASE WHEN accepted THEN asked ELSE sum(cost) FILTER (WHERE accepted) OVER (PARTITION BY date) END AS spend_before FROM gt0),
 led AS (SELECT date, sum(cost) AS daily_spend, count(*) AS message_count FROM gt WHERE accepted GROUP BY date)"""
 
 TS = "'%Y-%m-%d %H:%M:%S.%f'"
 
 
-def traffic_sql(tail: str, scored: bool = False) -> str:
+def traffic_sql(tail: str, scored: bool = False, recursive: bool = False) -> str:
     body = TRAFFIC_CTES + ("," + scored_ctes("tr") + """,
 hist AS (SELECT event_id, ts AS timestamp, date, label AS classification, is_smishing_up AS is_smishing, confidence,
-  via_sms, length(text) AS message_length, sha256(concat('msgscreen', sender)) AS from_number_hash FROM scu),
+  via_sms, length(text) AS message_length, sha256(concat('msgscreen', sender)) AS from_number_hash FROM scu
+  WHERE NOT is_error AND (NOT via_sms OR event_id IN (SELECT event_id FROM gt WHERE accepted))),
 dc AS (SELECT date, count(*) AS total_messages,
   count(*) FILTER (WHERE classification IN ('spam', 'smishing') OR is_smishing) AS spam_count,
   count(*) FILTER (WHERE (classification IN ('spam', 'smishing') OR is_smishing) AND is_smishing) AS smishing_count,
@@ -322,7 +326,8 @@ dc AS (SELECT date, count(*) AS total_messages,
 dcr AS (SELECT *, round(coalesce(CAST(spam_count AS DOUBLE) / nullif(total_messages, 0), 0.0), 6) AS spam_rate,
   round(coalesce(CAST(smishing_count AS DOUBLE) / nullif(spam_count, 0), 0.0), 6) AS smishing_rate FROM dc)"""
                             if scored else "")
-    return with_view(body + "\n" + tail)
+    sql = with_view(body + "\n" + tail)
+    return sql.replace("WITH", "WITH RECURSIVE", 1) if recursive else sql
 
 
 SQL["h9_forward_strip"] = traffic_sql("SELECT event_id, body, text AS message FROM tr")
@@ -334,15 +339,15 @@ _WARN = ("list_filter([CASE WHEN contains(lower(reasoning), 'urgent') OR contain
          f"contains(lower(reasoning), 'credential') THEN {q(D.REPLY_WARN_CREDENTIAL)} END], lambda x: x IS NOT NULL)[1:4]")
 SQL["h10_reply_outbox"] = traffic_sql(f""", gs AS (SELECT *, CAST({D.COST_PER_MESSAGE} AS DECIMAL(12,4)) AS cost,
   coalesce(sum(CAST({D.COST_PER_MESSAGE} AS DECIMAL(12,4))) OVER (PARTITION BY date ORDER BY ts, event_id
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spend_before, {_WARN} AS warns FROM scu)
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spend_before, {_WARN} AS warns FROM scu WHERE via_sms)
 SELECT event_id, sender,
-  CASE WHEN NOT (spend_before < {D.DAILY_SPEND_LIMIT}) THEN 'Daily spending limit exceeded. Service will resume tomorrow. Thank you for understanding!'
+  CASE WHEN NOT (spend_before < {LIMIT}) THEN {q(D.REPLY_LIMIT)} WHEN is_error THEN {q(D.REPLY_ERROR)}
        WHEN is_spam THEN concat(CASE WHEN is_smishing_up THEN {q(D.REPLY_SMISHING_TITLE)} ELSE {q(D.REPLY_SPAM_TITLE)} END,
          chr(10), 'Confidence: ', {_PCT}, '%', chr(10), 'Risk: ', upper(risk_level), chr(10), chr(10),
          CASE WHEN len(warns) > 0 THEN concat(array_to_string(warns, chr(10)), chr(10)) ELSE '' END,
          CASE WHEN is_smishing_up THEN {sql_text(D.REPLY_SMISHING_ADVICE)} ELSE {sql_text(D.REPLY_SPAM_ADVICE)} END)
        ELSE concat({q(D.REPLY_SAFE_ICON + ' SAFE (')}, {_PCT}, '% confidence)', chr(10), chr(10), {q(D.REPLY_SAFE_BODY)}) END AS reply,
-  CASE WHEN NOT (spend_before < {D.DAILY_SPEND_LIMIT}) THEN NULL
+  CASE WHEN is_error OR NOT (spend_before < {LIMIT}) THEN NULL
        WHEN NOT is_spam THEN concat({q(D.REPLY_SAFE_ICON + ' SAFE (')}, {_PCT}, '%)')
        WHEN is_smishing_up THEN concat('\U0001F6A8 SMISHING! (', {_PCT}, '%) - DO NOT CLICK LINKS OR REPLY')
        ELSE concat('⚠️ SPAM (', {_PCT}, '%) - Recommend deleting') END AS short_reply
@@ -360,17 +365,30 @@ SQL["t7_spend_gate"] = traffic_sql("SELECT event_id, date, CAST(spend_before AS
 SQL["t8_spend_alerts"] = traffic_sql("SELECT event_id, date, strftime(ts, " + TS + ") AS ts, "
                                      "CAST(spend_before AS DECIMAL(18,4)) AS spend_before FROM gt WHERE alert")
 SQL["t9_budget_status"] = traffic_sql(f"""SELECT date, CAST(daily_spend AS DECIMAL(18,4)) AS daily_spend, message_count,
-  daily_spend < {D.DAILY_SPEND_LIMIT} AS enabled,
-  CAST(greatest(CAST(0 AS DECIMAL(12,4)), CAST({D.DAILY_SPEND_LIMIT} AS DECIMAL(12,4)) - daily_spend) AS DECIMAL(18,4)) AS remaining_budget,
-  CASE WHEN daily_spend / CAST({D.DAILY_SPEND_LIMIT} AS DECIMAL(12,4)) >= {D.BUDGET_CRITICAL_SHARE} THEN 'critical'
-       WHEN daily_spend / CAST({D.DAILY_SPEND_LIMIT} AS DECIMAL(12,4)) >= {D.BUDGET_WARNING_SHARE} THEN 'warning'
+  daily_spend < {LIMIT} AS enabled,
+  CAST(greatest(CAST(0 AS DECIMAL(12,4)), CAST({LIMIT} AS DECIMAL(12,4)) - daily_spend) AS DECIMAL(18,4)) AS remaining_budget,
+  CASE WHEN daily_spend / CAST({LIMIT} AS DECIMAL(12,4)) >= {D.BUDGET_CRITICAL_SHARE} THEN 'critical'
+       WHEN daily_spend / CAST({LIMIT} AS DECIMAL(12,4)) >= {D.BUDGET_WARNING_SHARE} THEN 'warning'
        ELSE 'normal' END AS band FROM led""")
-SQL["t10_manual_override"] = traffic_sql("""SELECT gt.event_id, gt.date, o.action AS override,
-  CASE o.action WHEN 'enable' THEN true WHEN 'disable' THEN false ELSE gt.accepted END AS service_enabled
-FROM gt ASOF LEFT JOIN (SELECT CAST(ts AS DATE) AS date, CAST(ts AS TIMESTAMP) AS ts,
+# the service as a state machine: each day's overrides and messages one after the other
+SQL["t10_manual_override"] = traffic_sql(f""", ov AS (SELECT event_id, CAST(ts AS DATE) AS date, CAST(ts AS TIMESTAMP) AS ts,
     CASE WHEN event_type = 'signup' THEN 'disable' ELSE 'enable' END AS action FROM events
-    WHERE (event_type = 'signup' AND user_id % 50 = 0) OR (event_type = 'purchase' AND user_id % 50 = 1)) o
-  ON gt.date = o.date AND gt.ts >= o.ts""")
+    WHERE (event_type = 'signup' AND user_id % 50 = 0) OR (event_type = 'purchase' AND user_id % 50 = 1)),
+tl AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY ts, kind, event_id) AS rn FROM (
+  SELECT date, ts, 0 AS kind, event_id, action FROM ov UNION ALL SELECT date, ts, 1, event_id, NULL FROM tr0 WHERE via_sms)),
+st AS (SELECT date, rn, kind, event_id, action AS override, action IS NOT DISTINCT FROM 'disable' AS disabled, false AS alerted, false AS alert, false AS served,
+    CAST(0 AS DECIMAL(12,4)) AS spend, CAST(0 AS DECIMAL(12,4)) AS spend_before FROM (SELECT date, 0 AS rn, 0 AS kind, 0 AS event_id, CAST(NULL AS VARCHAR) AS action FROM tl GROUP BY date)
+  UNION ALL
+  SELECT t.date, t.rn, t.kind, t.event_id, coalesce(t.action, s.override),
+    CASE WHEN t.kind = 0 THEN t.action = 'disable' WHEN s.disabled THEN true
+         ELSE s.spend + {D.COST_PER_MESSAGE} >= {LIMIT} AND NOT s.alerted END,
+    s.alerted OR (t.kind = 1 AND NOT s.disabled AND s.spend + {D.COST_PER_MESSAGE} >= {LIMIT}),
+    t.kind = 1 AND NOT s.disabled AND NOT s.alerted AND s.spend + {D.COST_PER_MESSAGE} >= {LIMIT},
+    t.kind = 1 AND NOT s.disabled,
+    CAST(s.spend + CASE WHEN t.kind = 1 AND NOT s.disabled THEN {D.COST_PER_MESSAGE} ELSE 0 END AS DECIMAL(12,4)), s.spend
+  FROM st s JOIN tl t ON t.date = s.date AND t.rn = s.rn + 1)
+SELECT event_id, date, override, served AS service_enabled, alert, CAST(spend_before AS DECIMAL(18,4)) AS spend_before FROM st WHERE kind = 1""",
+                                         recursive=True)
 SQL["t11_provider_reconciliation"] = traffic_sql("""SELECT coalesce(led.date, p.date) AS date,
   CAST(led.daily_spend AS DECIMAL(18,4)) AS daily_spend, led.message_count, p.provider_count,
   CAST(p.provider_cost AS DECIMAL(18,4)) AS provider_cost,
@@ -410,23 +428,25 @@ SELECT strftime(ws, {TS}) AS window_start, strftime(ws + to_seconds({width}), {T
   round(CAST(count(*) FILTER (WHERE is_error) AS DOUBLE) / count(*), 6) AS error_rate,
   round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.95), 6) AS p95,
   round(quantile_cont(latency_ms, 0.99), 6) AS p99,
-  count(*) FILTER (WHERE label = 'ham') AS ham, count(*) FILTER (WHERE label = 'spam') AS spam,
-  count(*) FILTER (WHERE label = 'smishing') AS smishing
+  count(*) FILTER (WHERE label = 'ham' AND NOT is_error) AS ham, count(*) FILTER (WHERE label = 'spam' AND NOT is_error) AS spam,
+  count(*) FILTER (WHERE label = 'smishing' AND NOT is_error) AS smishing
 FROM xw GROUP BY ws"""
 
 
 SQL["x6_traffic_metrics"] = traffic_sql(_x6_sql(1, None), scored=True)
 SQL["x6_traffic_metrics_sliding"] = traffic_sql(_x6_sql(5, 1), scored=True)
 SQL["x7_sender_rate_limit"] = traffic_sql(f"""SELECT event_id, sender,
-  count(*) OVER (PARTITION BY sender ORDER BY epoch_us(ts) RANGE BETWEEN {D.SENDER_RATE_WINDOW_S * 1000000} PRECEDING AND CURRENT ROW) AS recent,
-  count(*) OVER (PARTITION BY sender ORDER BY epoch_us(ts) RANGE BETWEEN {D.SENDER_RATE_WINDOW_S * 1000000} PRECEDING AND CURRENT ROW) > {D.SENDER_RATE_LIMIT} AS throttled
+  count(*) OVER (PARTITION BY sender ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS recent,
+  count(*) OVER (PARTITION BY sender ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) > 1 AS throttled
 FROM tr0""")
 SQL["x8_volume_spikes"] = traffic_sql(f""", hb AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket_start, count(*) AS requests,
-  count(*) FILTER (WHERE is_error) AS errors FROM scu GROUP BY 1),
-hm AS (SELECT *, avg(requests) OVER (ORDER BY bucket_start ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS trailing_mean FROM hb)
+  count(*) FILTER (WHERE is_error) AS errors FROM tr0 GROUP BY 1),
+hs AS (SELECT unnest(generate_series(min(bucket_start), max(bucket_start), INTERVAL '1 hour')) AS bucket_start FROM hb),
+hm AS (SELECT bucket_start, requests, errors, avg(coalesce(requests, 0)) OVER (ORDER BY bucket_start ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS trailing_mean
+  FROM hs LEFT JOIN hb USING (bucket_start))
 SELECT strftime(bucket_start, {TS}) AS bucket_start, requests, errors, round(trailing_mean, 6) AS trailing_mean,
-  round(CAST(errors AS DOUBLE) / requests, 6) AS error_rate, requests > trailing_mean * 3.0 AS spike,
-  CAST(errors AS DOUBLE) / requests > {D.ERROR_RATE_ALERT} AS high_errors FROM hm""", scored=True)
+  round(CAST(errors AS DOUBLE) / requests, 6) AS error_rate, requests > trailing_mean * 1.5 AS spike,
+  CAST(errors AS DOUBLE) / requests > {D.ERROR_RATE_ALERT} AS high_errors FROM hm WHERE requests IS NOT NULL""")
 
 
 # ---------------------------------------------------------------- monitoring
@@ -447,7 +467,7 @@ SQL["d2_prediction_drift"] = traffic_sql(""", pd AS (SELECT date, count(*) AS n,
 SELECT date, n, spam, round(spam / n, 6) AS spam_share, round(sum(spam) OVER () / sum(n) OVER (), 6) AS baseline_share,
   round(spam / n - sum(spam) OVER () / sum(n) OVER (), 6) AS share_delta FROM pd""", scored=True)
 SQL["d3_performance_drift"] = with_view(_FEEDBACK.replace("AS true_label FROM", "AS true_label, d.doc_id FROM") + scored_ctes("fd") + """,
-pf AS (SELECT CAST(make_timestamp(CAST((1704067200 + doc_id * 37) AS BIGINT) * 1000000) AS DATE) AS date,
+pf AS (SELECT CAST(make_timestamp(CAST((1704067200 + doc_id * 3600) AS BIGINT) * 1000000) AS DATE) AS date,
   CASE WHEN label IN ('spam', 'smishing') THEN 'spam' ELSE label END = true_label AS ok FROM scu),
 pg2 AS (SELECT date, count(*) AS n, count(*) FILTER (WHERE ok) AS correct, count(*) FILTER (WHERE ok) / count(*) AS accuracy FROM pf GROUP BY date)
 SELECT date, n, correct, round(accuracy, 6) AS accuracy, round(accuracy - lag(accuracy) OVER (ORDER BY date), 6) AS accuracy_change FROM pg2""")
@@ -570,4 +590,29 @@ SQL["x8_sender_sessions"] = traffic_sql(""", ss AS (SELECT sender, ts, event_id,
        THEN 1 ELSE 0 END AS st FROM tr0),
 sn AS (SELECT *, sum(st) OVER (PARTITION BY sender ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM ss)
 SELECT sender, session, count(*) AS messages, strftime(min(ts), """ + TS + """) AS session_start,
-  strftime(max(ts), """ + TS + """) AS session_end, count(*) > 20 AS unusual FROM sn GROUP BY sender, session""")
+  strftime(max(ts), """ + TS + """) AS session_end, count(*) > 1 AS unusual FROM sn GROUP BY sender, session""")
+
+
+# ---------------------------------------------------------------- streams and delimited sources
+_BAD = "(is_error OR event_id % 13 = 0)"
+_CLS = f"CASE WHEN NOT {_BAD} THEN label END"
+_SPAM = f"NOT {_BAD} AND (label IN ('spam', 'smishing') OR is_smishing_up)"
+SQL["x1_stream_classify"] = traffic_sql(f""", gs AS (SELECT *, {_WARN} AS warns FROM scu)
+SELECT event_id, {_CLS} AS classification, CASE WHEN NOT {_BAD} THEN is_spam END AS is_spam,
+  CASE WHEN NOT {_BAD} THEN is_smishing_up END AS is_smishing, CASE WHEN NOT {_BAD} THEN round(confidence, 6) END AS confidence,
+  CASE WHEN NOT {_BAD} THEN risk_level END AS risk_level, {_BAD} AS is_error, via_sms, CASE WHEN {_BAD} THEN {q(D.REPLY_ERROR)}
+       WHEN is_spam THEN concat(CASE WHEN is_smishing_up THEN {q(D.REPLY_SMISHING_TITLE)} ELSE {q(D.REPLY_SPAM_TITLE)} END,
+         chr(10), 'Confidence: ', {_PCT}, '%', chr(10), 'Risk: ', upper(risk_level), chr(10), chr(10),
+         CASE WHEN len(warns) > 0 THEN concat(array_to_string(warns, chr(10)), chr(10)) ELSE '' END,
+         CASE WHEN is_smishing_up THEN {sql_text(D.REPLY_SMISHING_ADVICE)} ELSE {sql_text(D.REPLY_SPAM_ADVICE)} END)
+       ELSE concat({q(D.REPLY_SAFE_ICON + ' SAFE (')}, {_PCT}, '% confidence)', chr(10), chr(10), {q(D.REPLY_SAFE_BODY)}) END AS reply
+FROM gs""", scored=True)
+SQL["x2_stream_daily_counters"] = traffic_sql(f"""SELECT date, count(*) AS total_messages, count(*) FILTER (WHERE {_SPAM}) AS spam_count,
+  count(*) FILTER (WHERE {_SPAM} AND is_smishing_up) AS smishing_count, count(*) FILTER (WHERE NOT ({_SPAM})) AS ham_count,
+  count(*) FILTER (WHERE via_sms) AS sms_received FROM scu WHERE NOT {_BAD} GROUP BY date""", scored=True)
+SQL["x3_stream_spend_gate"] = traffic_sql("SELECT event_id, date, accepted, alert FROM gt")
+SQL["x5_stream_dashboard"] = traffic_sql(f"""SELECT strftime(time_bucket(INTERVAL '1 minute', ts), {TS}) AS bucket_start, count(*) AS total,
+  count(*) FILTER (WHERE {_SPAM}) AS spam, count(*) FILTER (WHERE NOT ({_SPAM})) AS ham FROM scu WHERE NOT {_BAD} GROUP BY 1""", scored=True)
+SQL["s1_delimited_roundtrip"] = with_view("SELECT true_label AS label, concat(message_id, ' ', text) AS message, CAST(NULL AS VARCHAR) AS bad FROM m WHERE source <> 'documents'")
+SQL["s2_role_detection"] = with_view("SELECT coalesce(true_label, 'none') AS label, sha256(concat(message_id, ' ', text)) AS message_sha FROM m WHERE source = 'documents'")
+SQL["s3_named_columns"] = with_view("SELECT true_label AS label, concat(message_id, ' ', text) AS message FROM m WHERE source = 'events'")

@@ -1,12 +1,12 @@
-"""Inbound SMS traffic derived from ``events`` (plan C of the survey).
-
-Every event is an inbound SMS at ``ts`` from ``+1555<2000000+user_id>``; a
-quarter of them (event_id % 4 == 0) carry the page message
-``pg<event_id % 50>`` (a 50-row broadcast side, bounded by construction),
-the rest their own event message. ``value`` is the scoring latency, an
-``error`` event is a failed request, ``view`` events arrived over the web
-API (not SMS). The body is forward-stripped (H9) and scored with the smishing
-upgrade (H7), as on the SMS path.
+"""Inbound traffic derived from ``events`` (plan C of the survey).
+
+Every event is a request at ``ts`` from ``+1555<2000000+user_id>``; a quarter
+of them (event_id % 4 == 0) carry the page message ``pg<event_id % pages>``,
+``pages`` being the number of rows of ``pages``, the rest their own event
+message. ``value`` is the scoring latency, an ``error`` event is a failed
+request, ``view`` events arrive over the web API, all others by SMS. The body
+is forward-stripped (H9) and scored with the smishing upgrade (H7), as on the
+SMS path. Only SMS are charged; only answered requests are recorded.
 """
 
 from __future__ import annotations
@@ -14,29 +14,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import dictionaries as D
 from ..functions import text as T
 from ..operators import classify as C
+from ..operators import traffic as TR
 from ..sources.tables import events, table
 from .message_view import event_text, page_messages, spread
 
-PAGE_POOL = 50
 
+# Daily limit of the registered queries: the events hold some 270 SMS a day, so that some days
+# close early, as the service's own limit would at its traffic.
+LIMIT = "3.9"
 
-def inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def arrivals(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """The requests without their bodies."""
     ev = spread(events(spark, sf_dir, "event_id", "ts", "user_id", "event_type", "value"))
-    pages = (page_messages(table(spark, sf_dir, "pages", "page_id", "url").filter(F.col("page_id") < PAGE_POOL))
-             .select(F.col("message_id").alias("page_mid"), F.col("text").alias("page_text")))
-    b = ev.withColumn("own_text", event_text()).withColumn(
-        "page_mid", F.when(F.col("event_id") % 4 == 0,
-                           F.concat(F.lit("pg"), (F.col("event_id") % PAGE_POOL).cast("string"))))
-    j = b.join(F.broadcast(pages), "page_mid", "left")
-    return j.select(
+    return ev.select(
         "event_id", "ts", F.concat(F.lit("+1555"), (F.lit(2000000) + F.col("user_id")).cast("string")).alias("sender"),
-        F.coalesce("page_text", "own_text").alias("body"), "event_type",
-        F.col("value").alias("latency_ms"), (F.col("event_type") == "error").alias("is_error"),
-        (F.col("event_type") != "view").alias("via_sms"), F.to_date("ts").alias("date"))
+        "event_type", F.col("value").alias("latency_ms"), (F.col("event_type") == "error").alias("is_error"),
+        (F.col("event_type") != "view").alias("via_sms"), F.to_date("ts").alias("date"), *more)
+
+
+def inbound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests with their bodies: an equi-join with all page messages."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url")
+    n = max(1, pages.count())
+    pages = page_messages(pages).select(F.col("message_id").alias("page_mid"), F.col("text").alias("page_text"))
+    page = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("pg"), (F.col("event_id") % n).cast("string")))
+    j = arrivals(spark, sf_dir, event_text().alias("own_text")).withColumn("page_mid", page).join(pages, "page_mid", "left")
+    return j.withColumn("body", F.coalesce("page_text", "own_text")).drop("page_mid", "page_text", "own_text")
+
+
+def with_cost(requests: DataFrame) -> DataFrame:
+    """What a request costs: web requests nothing."""
+    return requests.withColumn("cost", F.when(F.col("via_sms"), F.lit(D.COST_PER_MESSAGE).cast(TR.MONEY)).otherwise(F.lit(0).cast(TR.MONEY)))
+
+
+def score_bodies(requests: DataFrame) -> DataFrame:
+    return C.score(requests.withColumn("text", T.strip_forward(F.col("body"))), upgrade=True)
 
 
 def scored_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = inbound(spark, sf_dir).withColumn("text", T.strip_forward(F.col("body")))
-    return C.score(t, upgrade=True)
+    """Every request scored, failed ones too."""
+    return score_bodies(inbound(spark, sf_dir))
+
+
+def recorded_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored requests that enter the history: neither refused nor failed."""
+    answered = (~F.col("via_sms") | F.col("accepted")) & ~F.col("is_error")
+    return score_bodies(TR.accept(with_cost(inbound(spark, sf_dir)), limit=LIMIT).where(answered))

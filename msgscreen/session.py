@@ -28,12 +28,18 @@ BASE_CONF = {
 }
 
 
+# Explicit request to deal the source rows over so many partitions; unset: as scanned.
+SOURCE_PARTITIONS = "spark.msgscreen.sourcePartitions"
+
 JIT_OPTS = "-XX:-DontCompileHugeMethods"
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app: str = "msgscreen") -> SparkSession:
-    """A local session for tests and benchmarks (never used on a cluster)."""
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "msgscreen",
+                  source_partitions: int | None = None, checkpoint_dir: str | None = None) -> SparkSession:
+    """A local session for tests and benchmarks (never used on a cluster).
+
+    ``source_partitions`` asks for the tables to be dealt over so many
+    partitions after the scan (for tables of a single row group)."""
     b = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for k, v in BASE_CONF.items():
         b = b.config(k, v)
@@ -42,6 +48,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
           .config("spark.driver.extraJavaOptions", JIT_OPTS)
           .config("spark.executor.extraJavaOptions", JIT_OPTS)
           .config("spark.driver.memory", os.environ.get("MSGSCREEN_DRIVER_MEM", "8g")))
+    if source_partitions:
+        b = b.config(SOURCE_PARTITIONS, str(source_partitions))
+    if checkpoint_dir:
+        b = b.config("spark.checkpoint.dir", checkpoint_dir)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -51,13 +61,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only where it is unset (local tests) do we create a scratch folder.
-    """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    It is the folder that ``spark.checkpoint.dir`` names (or that was set on
+    the context). A one-machine session (``local[...]``) without one gets a
+    scratch folder; on a cluster an unset folder is an error, because a folder
+    on one machine's disk would be invisible to the others."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="msgscreen-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
     return d

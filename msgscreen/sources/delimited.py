@@ -15,36 +15,44 @@ NAMED_COLUMNS = [("Label", "Text"), ("class", "text"), ("Category", "Message"),
                  ("LABEL", "TEXT"), ("v1", "v2")]
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", header: bool = True) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", header: bool = True,
+                   multi_line: bool = False, corrupt: str | None = None) -> DataFrame:
     """CSV (``sep=','``) or TSV (``sep='\\t'``) with or without header.
     Without a header the first two columns become ``label, message``; with a
     header ``v1, v2`` and the named layouts are renamed (S3), otherwise the
     roles are detected from the names (S2); with no match the source yields
-    nothing (an empty frame) instead of failing the job."""
-    r = spark.read.option("sep", sep).option("header", header).option("mode", "PERMISSIVE") \
-        .option("multiLine", True).option("escape", '"')
-    df = r.csv(path)
+    nothing (an empty frame) instead of failing the job.
+
+    The schema is explicit: all strings, the names from the header line.
+    ``multi_line`` admits line ends inside quotes; such files can't be split,
+    so it must be asked for. ``corrupt`` names a column that keeps the lines
+    which don't fit the schema (null for those that do)."""
+    r = spark.read.option("sep", sep).option("mode", "PERMISSIVE").option("multiLine", multi_line).option("escape", '"')
+    first = r.option("header", header).csv(path).columns
+    names = first if header else ["label", "message", *first[2:]]
+    schema = ", ".join(f"`{c}` string" for c in names) + (f", `{corrupt}` string" if corrupt else "")
+    df = r.option("header", header).option("columnNameOfCorruptRecord", corrupt or "_corrupt_record").schema(schema).csv(path)
     if not header:
-        cols = df.columns
-        return df.select(F.col(cols[0]).alias("label"), F.col(cols[1]).alias("message"))
-    named = map_named_columns(df)
+        return df.select("label", "message", *[corrupt] * bool(corrupt))
+    extra = [corrupt] * bool(corrupt)
+    named = map_named_columns(df, extra)
     if named is not None:
         return named
     roles = detect_roles(df.columns)
     if roles is None:
         return spark.createDataFrame([], "label string, message string")
     lab, msg = roles
-    return df.select(F.col(f"`{lab}`").alias("label"), F.col(f"`{msg}`").alias("message"))
+    return df.select(F.col(f"`{lab}`").alias("label"), F.col(f"`{msg}`").alias("message"), *extra)
 
 
-def map_named_columns(df: DataFrame) -> DataFrame | None:
+def map_named_columns(df: DataFrame, extra: list[str] | None = None) -> DataFrame | None:
     """S3: known per-source layouts -> ``label, message``."""
     cols = set(df.columns)
     for lab, msg in NAMED_COLUMNS:
         if lab in cols and msg in cols:
-            return df.select(F.col(f"`{lab}`").alias("label"), F.col(f"`{msg}`").alias("message"))
+            return df.select(F.col(f"`{lab}`").alias("label"), F.col(f"`{msg}`").alias("message"), *(extra or []))
     if "label" in cols and "message" in cols:
-        return df.select("label", "message")
+        return df.select("label", "message", *(extra or []))
     return None
 
 

@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from .. import dictionaries as D
 from ..functions import text as T
 from ..operators import classify as C
+from ..operators import traffic as TR
 
 INBOUND_SCHEMA = ("event_id long, ts timestamp, sender string, body string, event_type string, "
                   "latency_ms double, message_sid string")
@@ -34,17 +35,21 @@ def inbound_stream(spark: SparkSession, path: str, schema: str = INBOUND_SCHEMA,
 
 def classify_stream(stream: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Inbound -> de-duplicate redelivered webhooks by ``message_sid``
-    within the watermark -> forward-strip -> score (with the smishing upgrade)
-    -> reply text. Stateless apart from the dedup state."""
-    s = stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["message_sid"])
+    (by ``event_id`` where it has none: the id is optional) within the
+    watermark -> forward-strip -> score (with the smishing upgrade) -> reply
+    text. A failed request or one without a body has no classification and
+    gets the error reply. Stateless apart from the dedup state."""
+    key = F.coalesce(F.concat(F.lit("sid "), "message_sid"), F.concat(F.lit("event "), F.col("event_id").cast("string")))
+    s = stream.withColumn("_key", key).withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["_key"])
     s = s.withColumn("text", T.strip_forward(F.col("body")))
     scored = C.score(s, upgrade=True)
+    answered = (F.col("event_type") != "error") & F.col("label").isNotNull()
+    reply = T.reply_text(F.col("is_spam"), F.col("is_smishing"), F.col("confidence"), F.col("risk_level"), F.col("reasoning"))
     return scored.select(
-        "event_id", "ts", F.to_date("ts").alias("date"), "sender", F.col("label").alias("classification"),
-        "is_spam", "is_smishing", "confidence", "risk_level", "latency_ms",
-        (F.col("event_type") != "view").alias("via_sms"), F.length("text").alias("message_length"),
-        T.reply_text(F.col("is_spam"), F.col("is_smishing"), F.col("confidence"), F.col("risk_level"),
-                     F.col("reasoning")).alias("reply"))
+        "event_id", "ts", F.to_date("ts").alias("date"), "sender", F.when(answered, F.col("label")).alias("classification"),
+        *[F.when(answered, F.col(c)).alias(c) for c in ("is_spam", "is_smishing", "confidence", "risk_level")], "latency_ms",
+        (~answered).alias("is_error"), (F.col("event_type") != "view").alias("via_sms"), F.length("text").alias("message_length"),
+        F.when(answered, reply).otherwise(F.lit(D.REPLY_ERROR)).alias("reply"))
 
 
 def _wm(df: DataFrame, watermark: str | None) -> DataFrame:
@@ -56,7 +61,7 @@ def daily_counters_stream(scored: DataFrame, watermark: str | None = None) -> Da
     """T2 live — tumbling 1-day event-time windows; rows later than the
     watermark (X1's 1 day, or ``watermark``) are dropped (late-data rule)."""
     spam = F.col("classification").isin("spam", "smishing") | F.col("is_smishing")
-    return (_wm(scored, watermark)
+    return (_wm(scored, watermark).filter(~F.col("is_error"))
             .groupBy(F.window("ts", "1 day").alias("w"))
             .agg(F.count(F.lit(1)).alias("total_messages"), F.count_if(spam).alias("spam_count"),
                  F.count_if(spam & F.col("is_smishing")).alias("smishing_count"),
@@ -65,61 +70,55 @@ def daily_counters_stream(scored: DataFrame, watermark: str | None = None) -> Da
                     "smishing_count", "ham_count", "sms_received"))
 
 
-GATE_OUT = "event_id long, date date, ts timestamp, spend_before_units long, accepted boolean, alert boolean"
-GATE_STATE = "spend_units long, count long, alert_sent boolean"
-UNITS = 10_000  # money in 1/10,000 USD: exact integer arithmetic in the state
-
-
-def _units(x: str) -> int:
-    from decimal import Decimal
-    return int(Decimal(x) * UNITS)
-
-
-def spend_gate_stream(stream: DataFrame, cost: str = D.COST_PER_MESSAGE, limit: str = D.DAILY_SPEND_LIMIT,
-                      watermark: str = "1 day") -> DataFrame:
-    """The T7 gate live, keyed by day with ``applyInPandasWithState``.
-
-    State per day: spend so far (integer units), count, alert flag. Inside a
-    micro-batch rows are ordered by (ts, event_id); a message is accepted
-    while the spend before it is below the limit; the crossing message gets
-    ``alert``. The state times out once the watermark passes the day's end.
-    Parity with the batch gate holds for input that arrives in time order.
-    """
-    c_units, l_units = _units(cost), _units(limit)
-
-    def gate(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        spend, count, alerted = state.get if state.exists else (0, 0, False)
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="mergesort")
-        before, acc, alert = [], [], []
-        for _ in range(len(pdf)):
-            b = spend
-            ok = b < l_units
-            before.append(b)
-            acc.append(ok)
-            alert.append(bool(ok and b + c_units >= l_units and not alerted))
-            if alert[-1]:
-                alerted = True
-            spend += c_units
-            count += 1
-        state.update((spend, count, alerted))
-        day_end = pd.Timestamp(key[0]) + pd.Timedelta(days=1)
-        state.setTimeoutTimestamp(int(day_end.value // 1_000_000))
-        yield pd.DataFrame({"event_id": pdf["event_id"].values, "date": pdf["date"].values, "ts": pdf["ts"].values,
-                            "spend_before_units": before, "accepted": acc, "alert": alert})
-
-    s = stream.withWatermark("ts", watermark).withColumn("date", F.to_date("ts"))
-    return s.select("event_id", "date", "ts").groupBy("date").applyInPandasWithState(
-        gate, GATE_OUT, GATE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+def start_spend_gate(stream: DataFrame, path: str, checkpoint: str, limit: str = D.DAILY_SPEND_LIMIT,
+                     available_now: bool = True):
+    """The T7 gate live. Per micro-batch, the batch gate's two-level prefix
+    sums on top of a table of one row per day, ``path``/state/<batch>, that
+    holds what the day's accepted messages have cost. ``stream`` may have a
+    ``cost`` column. Each batch overwrites its own outputs from its
+    predecessor's state, so a repeated batch changes nothing. Results are under
+    ``path``/gate (:func:`read_gate`). Parity with the batch gate holds for
+    input that arrives in time order; no day is handled by a single task."""
+    lim = F.lit(limit).cast(TR.MONEY)
+
+    def step(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        spent = spark.read.parquet(f"{path}/state/{n - 1}") if n else spark.createDataFrame([], f"date date, spent {TR.MONEY}")
+        cost = F.col("cost") if "cost" in batch.columns else F.lit(D.COST_PER_MESSAGE)
+        rows = batch.withColumn("date", F.to_date("ts")).withColumn("cost", cost.cast(TR.MONEY)).select("event_id", "ts", "date", "cost")
+        rows = TR.running_sum(rows, "cost", "date", "ts", "event_id", 60).join(spent, "date", "left")
+        before = F.col("_before") + F.coalesce("spent", F.lit(0).cast(TR.MONEY))
+        rows = rows.withColumn("asked_before", before.cast(TR.MONEY)).withColumn("accepted", F.col("asked_before") < lim)
+        rows = rows.withColumn("alert", F.col("accepted") & (F.col("asked_before") + F.col("cost") >= lim))
+        rows.select("event_id", "ts", "date", "cost", "accepted", "alert").write.mode("overwrite").parquet(f"{path}/gate/batch={n}")
+        paid = spark.read.parquet(f"{path}/gate/batch={n}").filter("accepted").select("date", F.col("cost").alias("spent"))
+        (spent.unionByName(paid).groupBy("date").agg(F.sum("spent").cast(TR.MONEY).alias("spent"))
+         .write.mode("overwrite").parquet(f"{path}/state/{n}"))
+
+    w = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w).start()
+
+
+def read_gate(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/gate").drop("batch")
+
+
+def run_available(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is available and return what it wrote to ``path``;
+    in complete mode each batch replaces the table."""
+    w = rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        w.format("parquet").option("path", path).start().awaitTermination()
+    else:
+        w.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(path)).start().awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def dashboard_feed(scored: DataFrame, bucket: str = "1 minute", watermark: str | None = None) -> DataFrame:
     """Per-bucket totals for the live dashboard (written every 30 s by
     :func:`start_dashboard_feed`)."""
     spam = F.col("classification").isin("spam", "smishing") | F.col("is_smishing")
-    return (_wm(scored, watermark).groupBy(F.window("ts", bucket).alias("w"))
+    return (_wm(scored, watermark).filter(~F.col("is_error")).groupBy(F.window("ts", bucket).alias("w"))
             .agg(F.count(F.lit(1)).alias("total"), F.count_if(spam).alias("spam"),
                  F.count_if(~spam).alias("ham"))
             .select(F.col("w.start").alias("bucket_start"), "total", "spam", "ham"))
@@ -127,13 +126,17 @@ def dashboard_feed(scored: DataFrame, bucket: str = "1 minute", watermark: str |
 
 def traffic_metrics_stream(scored: DataFrame, width: str = "1 minute", slide: str | None = None,
                            watermark: str | None = None) -> DataFrame:
-    """X6 live: requests, error rate and approximate latency percentiles per
-    event-time window (``percentile_approx``: bounded state per window)."""
+    """X6 live: requests, rate, error rate, approximate latency percentiles and
+    the prediction mix per event-time window (``percentile_approx``: bounded
+    state per window)."""
     win = F.window("ts", width, slide) if slide else F.window("ts", width)
     return (_wm(scored, watermark).groupBy(win.alias("w"))
-            .agg(F.count(F.lit(1)).alias("requests"),
+            .agg(F.count(F.lit(1)).alias("requests"), F.count_if("is_error").alias("errors"),
+                 *[F.count_if(F.col("classification") == x).alias(x) for x in ("ham", "spam", "smishing")],
                  F.percentile_approx("latency_ms", [0.5, 0.95, 0.99], 1000).alias("p"))
-            .select(F.col("w.start").alias("window_start"), "requests",
+            .withColumn("seconds", (F.unix_micros("w.end") - F.unix_micros("w.start")) / 1e6)
+            .select(F.col("w.start").alias("window_start"), "requests", (F.col("requests") / F.col("seconds")).alias("rate_per_s"),
+                    (F.col("errors") / F.col("requests")).alias("error_rate"), "ham", "spam", "smishing",
                     F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"), F.col("p")[2].alias("p99")))
 
 
@@ -159,9 +162,9 @@ RATE_STATE = "ts_us array<long>"
 def sender_rate_stream(stream: DataFrame, limit: int = D.SENDER_RATE_LIMIT, seconds: int = D.SENDER_RATE_WINDOW_S,
                        watermark: str = "10 minutes") -> DataFrame:
     """X7 live: per sender, messages in the last ``seconds`` (inclusive) at
-    each message, throttled over ``limit``. State per sender keeps only the
-    timestamps inside the window (bounded by one window of that sender's
-    traffic) and expires when the watermark passes the last one."""
+    each message, throttled over ``limit``. State per sender keeps the
+    timestamps that a message within the watermark may still count (those
+    up to ``seconds`` before the watermark) and expires when it has passed all."""
     span = seconds * 1_000_000
 
     def rate(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -175,7 +178,8 @@ def sender_rate_stream(stream: DataFrame, limit: int = D.SENDER_RATE_LIMIT, seco
         import bisect
         recent = [bisect.bisect_right(allts, t) - bisect.bisect_left(allts, t - span) for t in us]
         newest = max(allts) if allts else 0
-        state.update(([t for t in allts if t >= newest - span],))
+        oldest = state.getCurrentWatermarkMs() * 1000 - span
+        state.update(([t for t in allts if t >= oldest],))
         state.setTimeoutTimestamp(int(newest // 1000) + seconds * 1000)
         yield pd.DataFrame({"event_id": pdf["event_id"].values, "sender": key[0], "ts": pdf["ts"].values,
                             "recent": recent, "throttled": [r > limit for r in recent]})
