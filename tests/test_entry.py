@@ -16,7 +16,7 @@ def test_entry_runs(spark):
 
 def test_every_query_has_oracle_or_is_documented():
     rows_only = {"m3_text_classifier"}
-    assert set(E.queries()) - set(E.oracle_sql()) == rows_only
+    assert set(E.QUERIES) - set(E.oracle_sql()) == rows_only
 
 
 def test_oracle_small(spark):

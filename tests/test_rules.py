@@ -121,3 +121,12 @@ def test_reply_url_warnings_cap_at_four(spark):
                                url_risk=F.lit(0.8)).alias("t")).first()["t"]
     warns = [line for line in t.split("\n") if line.startswith("•")]
     assert warns == ["• URL shortener detected", "• Suspicious link found", "• High-risk URL", "• Urgent language"]
+
+
+def test_null_texts_have_no_score(spark):
+    df = spark.createDataFrame([("a", None), ("b", "FREE prize! Click now http://bit.ly/x")], "message_id string, text string")
+    r = {x["message_id"]: x for x in C.score(df).collect()}
+    assert all(r["a"][k] is None for k in ("caps_ratio", "spam_score", "label", "confidence", "risk_level", "reasoning", "is_spam", "is_smishing", "otp"))
+    assert r["b"]["label"] is not None
+    assert C.label_rollup(C.score(df)).filter("label IS NULL").count() == 0
+    assert C.batch_classify(df).filter("message_id = 'a' AND error IS NOT NULL").count() == 1

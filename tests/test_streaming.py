@@ -36,17 +36,21 @@ def test_stream_parity(spark):
     scored = _run(SJ.classify_stream(src), d, "x1_out")
     batch = TP.scored_traffic(spark, SF0001)
     a = scored.select("event_id", "classification", "is_smishing")
-    b = batch.select("event_id", F.col("label").alias("classification"), "is_smishing")
+    ok = ~F.col("is_error")
+    b = batch.select("event_id", F.when(ok, F.col("label")).alias("classification"), F.when(ok, F.col("is_smishing")).alias("is_smishing"))
     assert a.count() == b.count() and a.exceptAll(b).count() == 0
 
     counters = _run(SJ.daily_counters_stream(SJ.classify_stream(SJ.inbound_stream(spark, d + "/in"))), d,
                     "x2_out", mode="complete")
-    hist = TR.privacy_projection(batch)
+    hist = TR.privacy_projection(batch.filter(~F.col("is_error")), "salt")
     exp = TR.daily_counters(hist).drop("spam_rate", "smishing_rate")
     assert counters.exceptAll(exp.select(*counters.columns)).count() == 0
 
-    gate = _run(SJ.spend_gate_stream(SJ.inbound_stream(spark, d + "/in")), d, "x3_out")
-    bg = TR.spend_gate(TP.inbound(spark, SF0001)).select("event_id", "accepted", "alert")
+    # several micro-batches, each from its predecessor's state
+    SJ.start_spend_gate(SJ.inbound_stream(spark, d + "/in", max_files=2), d + "/x3", d + "/ck-x3", limit="0.20").awaitTermination()
+    gate = SJ.read_gate(spark, d + "/x3")
+    bg = TR.accept(TP.inbound(spark, SF0001), limit="0.20").select("event_id", "accepted", "alert")
+    assert bg.filter("NOT accepted").count() > 0
     assert gate.select("event_id", "accepted", "alert").exceptAll(bg).count() == 0
     assert gate.count() == bg.count()
 
@@ -69,7 +73,7 @@ def test_dashboard_and_metrics_streams(spark):
     d = _write_inbound(spark)
     scored = SJ.classify_stream(SJ.inbound_stream(spark, d + "/in"))
     feed = _run(SJ.dashboard_feed(scored, "1 hour"), d, "x5_out")
-    batch = TP.scored_traffic(spark, SF0001)
+    batch = TP.scored_traffic(spark, SF0001).filter(~F.col("is_error"))
     spam = F.col("label").isin("spam", "smishing") | F.col("is_smishing")
     exp = batch.groupBy(F.window("ts", "1 hour").alias("w")).agg(
         F.count(F.lit(1)).alias("total"), F.count_if(spam).alias("spam"), F.count_if(~spam).alias("ham")) \
@@ -80,6 +84,29 @@ def test_dashboard_and_metrics_streams(spark):
 
     m = _run(SJ.traffic_metrics_stream(SJ.classify_stream(SJ.inbound_stream(spark, d + "/in")), "1 hour"),
              d, "x6_out")
-    cnt = {r["window_start"]: r["requests"] for r in m.collect()}
+    cnt = {r["window_start"]: (r["requests"], r["ham"] + r["spam"] + r["smishing"]) for r in m.collect()}
     ref = {r["bucket_start"]: r["total"] for r in exp.collect()}
-    assert cnt and all(ref[k] == v for k, v in cnt.items())
+    assert cnt and all(ref.get(k, 0) == v[1] and v[0] >= v[1] for k, v in cnt.items())
+
+
+def test_missing_ids_and_bodies(spark, tmp_path):
+    """Requests without a message id are not copies of one another; without a body they are errors."""
+    rows = [(i, f"2024-01-01 00:00:0{i}", "+1", None if i == 4 else f"hello {i}", "signup", 1.0, None if i < 5 else "SM1") for i in range(6)]
+    df = spark.createDataFrame(rows + [rows[5]], "event_id long, ts string, sender string, body string, event_type string, latency_ms double, message_sid string")
+    df.withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/in")
+    out = {r["event_id"]: r for r in SJ.run_available(SJ.classify_stream(SJ.inbound_stream(spark, f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/ck").collect()}
+    assert len(out) == 6 and out[4]["classification"] is None and out[4]["is_error"] and "Error" in out[4]["reply"]
+    assert out[3]["classification"] == "ham"
+
+
+def test_rate_limit_counts_late_rows(spark, tmp_path):
+    import datetime as dt
+    import time
+    base = dt.datetime(2024, 1, 1)
+    for n, seconds in enumerate(([0, 10, 20, 300], [30])):
+        part = spark.createDataFrame([(100 * n + i, base + dt.timedelta(seconds=s), "a") for i, s in enumerate(seconds)], "event_id long, ts timestamp, sender string")
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)
+    stream = spark.readStream.schema("event_id long, ts timestamp, sender string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = {r["event_id"]: r["recent"] for r in _run(SJ.sender_rate_stream(stream), str(tmp_path), "x7_late").collect()}
+    assert got == {0: 1, 1: 2, 2: 3, 3: 1, 100: 4}

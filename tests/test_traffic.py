@@ -26,12 +26,67 @@ def test_gate_open_day(spark):
     assert all(r["accepted"] for r in g) and not any(r["alert"] for r in g)
 
 
+def _overrides(spark, at):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(1000 + i, base + dt.timedelta(seconds=s), a) for i, (s, a) in enumerate(at)]
+    return spark.createDataFrame(rows, "event_id long, ts timestamp, action string").withColumn("date", F.to_date("ts"))
+
+
+def _state_machine(n, step_s, overrides, cost, limit):
+    """The service as it handles one message after the other."""
+    disabled = alerted = False
+    spend, out = 0.0, {}
+    line = sorted([(s, 0, i, a) for i, (s, a) in enumerate(overrides)] + [(i * step_s, 1, i, None) for i in range(n)])
+    for _, kind, i, action in line:
+        if kind == 0:
+            disabled = action == "disable"
+            continue
+        out[i] = (not disabled, round(spend, 6))
+        if not disabled:
+            spend += cost
+            if spend >= limit and not alerted:
+                disabled = alerted = True
+    return out
+
+
+def test_override_state_machine(spark):
+    import random
+    rng = random.Random(5)
+    cases = [[(50, "enable")], [(0, "disable"), (130, "enable")], [(400, "enable")], [(400, "enable"), (500, "disable"), (500, "enable")], []]
+    cases += [[(rng.randrange(0, 900), rng.choice(["enable", "disable"])) for _ in range(rng.randrange(6))] for _ in range(4)]
+    for case in cases:
+        case.sort(key=lambda x: x[0])
+        df = _day(spark, 15, step_s=60).withColumn("cost", F.lit("2.00"))
+        got = TR.apply_overrides(df, _overrides(spark, case) if case else _overrides(spark, [(0, "enable")]).filter("false"),
+                                 limit="8.00", bucket_seconds=120).collect()
+        assert {r["event_id"]: (r["service_enabled"], float(r["spend_before"])) for r in got} == _state_machine(15, 60, case, 2.0, 8.0), case
+
+
+def test_enable_before_the_limit_does_not_lift_it(spark):
+    df = _day(spark, 4, step_s=60).withColumn("cost", F.lit("2.00"))
+    got = {r["event_id"]: r["service_enabled"] for r in TR.apply_overrides(df, _overrides(spark, [(50, "enable")]), limit="4.00").collect()}
+    assert got == {0: True, 1: True, 2: False, 3: False}
+
+
+def test_refused_messages_cost_nothing(spark):
+    g = {r["event_id"]: r for r in TR.spend_gate(_day(spark, 5, step_s=60).withColumn("cost", F.lit("2.00")), limit="4.00").collect()}
+    assert [float(g[i]["spend_before"]) for i in range(5)] == [0, 2, 4, 4, 4]
+
+
+def test_rate_from_the_window_and_gaps_in_hours(spark):
+    day = _day(spark, 3600, step_s=1).withColumns({"is_error": F.lit(False), "latency_ms": F.lit(1.0), "label": F.lit("ham")})
+    assert TR.traffic_metrics(day, "1 hour").first()["rate_per_s"] == 1.0
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(hours=h)) for i, h in enumerate([0, 0, 10, 10, 10, 40])]
+    s = spark.createDataFrame(rows, "event_id long, ts timestamp").withColumn("is_error", F.lit(False))
+    got = {r["bucket_start"].replace(tzinfo=None): (r["requests"], r["trailing_mean"]) for r in TR.volume_spikes(s).collect()}
+    assert [got[base + dt.timedelta(hours=h)] for h in (0, 10, 40)] == [(2, None), (3, 0.2), (1, 0.0)]
+
+
 def test_overrides_as_of(spark):
-    g = TR.spend_gate(_day(spark, 10, step_s=60))
+    g = _day(spark, 10, step_s=60)
     base = dt.datetime(2024, 1, 1)
-    o = spark.createDataFrame([(base + dt.timedelta(seconds=120), "disable"),
-                               (base + dt.timedelta(seconds=400), "enable")], "ts timestamp, action string") \
-        .withColumn("date", F.to_date("ts"))
+    o = _overrides(spark, [(120, "disable"), (400, "enable")])
     r = {x["event_id"]: x for x in TR.apply_overrides(g, o).collect()}
     assert r[0]["service_enabled"] and r[1]["override"] is None
     assert r[2]["override"] == "disable" and not r[2]["service_enabled"]   # same instant applies first
