@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from msgscreen.llm.chunks import BEYOND, SPLIT, ChunkCache, Generations
-from msgscreen.llm.common import small_batches
+from msgscreen.llm.common import hold, small_batches
 
 END = "</w>"
 #: A word's last symbol is another symbol than the same byte elsewhere.
@@ -197,6 +197,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "ids") ->
 
     @F.pandas_udf("binary")
     def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hold("bpe", vocabulary.cache_clear)
         v = vocabulary(path)
         for batch in batches:
             yield pd.Series([v.cache.ids(x) if isinstance(x, str) else b"" for x in batch], dtype=object)
@@ -210,6 +211,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
 
     @F.pandas_udf("string")
     def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hold("bpe", vocabulary.cache_clear)
         v = vocabulary(path)
         for batch in batches:
             yield pd.Series([None if x is None else v.decode(np.frombuffer(x, dtype="<u4").astype(np.int64)).decode() for x in batch], dtype=object)

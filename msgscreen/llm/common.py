@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -154,3 +154,17 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+_holder: dict = {"name": None, "drop": None}
+
+
+def hold(name: str, drop: Callable[[], None] = lambda: None) -> None:
+    """Say at a task's start whose large caches this Python worker keeps.
+
+    Workers outlive their tasks; when another operator's task comes, the caches
+    of the one before are dropped, so a pipeline's stages don't add up."""
+    if _holder["name"] != name:
+        if _holder["drop"]:
+            _holder["drop"]()
+        _holder.update(name=name, drop=drop)

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from msgscreen.llm.common import bit_filter, components, may_be_in, runs, small_batches, spread_blocks, stash
+from msgscreen.llm.common import bit_filter, components, hold, may_be_in, runs, small_batches, spread_blocks, stash
 
 WORDS = 5
 #: Link where 100 * shared >= PERCENT * union.
@@ -63,7 +63,7 @@ _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB1
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -107,6 +107,7 @@ def profile(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, np.ndar
     size = 1 << COUNT_BITS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold("jaccard", _hashes.clear)
         counts = np.zeros(size, np.int64)
         for batch in batches:
             sets = [shingles(x) for x in batch["text"]]
@@ -143,6 +144,7 @@ def regions(docs: DataFrame, text: str, level: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         levels = shared.value
+        hold("jaccard", _hashes.clear)
         for batch in batches:
             marks, sizes, firsts = [], [], []
             for x in batch["text"]:
@@ -177,6 +179,7 @@ def live_sets(docs: DataFrame, text: str, live: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold("jaccard", _hashes.clear)
         bitmap, seen = shared.value, set()
         for batch in batches:
             found = [shingles(x) for x in batch["text"]]

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from msgscreen.llm.chunks import BEYOND, SPLIT, ChunkCache
-from msgscreen.llm.common import small_batches, stash
+from msgscreen.llm.common import hold, small_batches, stash
 
 CAPACITY = 2048
 CLOSING_ID = 0
@@ -102,6 +102,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "
 
     @F.pandas_udf("array<struct<piece: int, start: long, length: long, ids_crc32: long" + ", ids: binary" * with_ids + ">>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hold("packing", library_ids.cache_clear)
         cache = library_ids(path)
         for batch in batches:
             out = []

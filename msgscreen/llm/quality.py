@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from msgscreen.llm.common import free_name, small_batches
+from msgscreen.llm.common import free_name, hold, small_batches
 from msgscreen.llm.labelled import remainder, sample
 
 #: Labelled rows that training may read, by class.
@@ -166,6 +166,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hold("quality", _kept.clear)
         m = shared.value
         for batch in batches:
             yield pd.Series([m.score(x.encode() if isinstance(x, str) else b"") for x in batch], dtype="float64")

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from msgscreen.llm.common import bit_filter, free_name, may_be_in, runs, small_batches, spread_blocks, stash
+from msgscreen.llm.common import bit_filter, free_name, hold, may_be_in, runs, small_batches, spread_blocks, stash
 from msgscreen.llm.suffixes import hashes_of, permuted_common_prefixes, suffix_array
 
 LENGTH, GRAM = 200, 32
@@ -110,6 +110,7 @@ def repeated_runs(docs: DataFrame, text: str) -> DataFrame:
     rows = named(docs.select(text), text).select("_name", "_text")
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold("suffixdedup")
         seen: dict[int, int] = {}
         for batch in batches:
             out = []

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from msgscreen.llm.chunks import Generations
-from msgscreen.llm.common import free_name, small_batches
+from msgscreen.llm.common import free_name, hold, small_batches
 from msgscreen.llm.labelled import remainder, sample
 
 #: Labelled rows that training may read, by class.
@@ -203,8 +203,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
 
     @F.pandas_udf("double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hold("toxicity")
         m = shared.value
-        cache = Generations(lambda chunks: [m.chunk_weight(c) for c in chunks], 250_000)
+        cache = Generations(lambda chunks: [m.chunk_weight(c) for c in chunks], 150_000)
         for batch in batches:
             evidence = [evidence_of(cache.get(x.split()) if isinstance(x, str) else []) for x in batch]
             yield pd.Series(m.scores(np.array(evidence, dtype=np.float64).reshape(-1, 3)), dtype="float64")
