@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 import regex
 
-CHUNKS_KEPT = 450_000
+CHUNKS_KEPT = 400_000
 #: FIXED VALUE: the word vocabulary's split pattern, its \\s written out as the Unicode property.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 #: Past Latin the classes change from one Unicode version to the next: such chunks are the library's to split.
@@ -57,8 +57,8 @@ class Generations:
 class ChunkCache:
     """``encode(chunks)`` gives the ids of each chunk as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], special: dict[str, int]):
-        self.known = Generations(encode, CHUNKS_KEPT)
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], special: dict[str, int], kept: int = CHUNKS_KEPT):
+        self.known = Generations(encode, kept)
         self.special = {k: v.to_bytes(4, "little") for k, v in special.items()}
         self.special_at = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 

@@ -55,7 +55,7 @@ SHARED = 10
 #: Bits of the table of shingle counts, which has this size whatever the input.
 COUNT_BITS = 21
 #: Documents and shingles that one task may join at once.
-REGION_DOCS, REGION_SHINGLES = 4096, 4_000_000
+REGION_DOCS, REGION_SHINGLES = 4096, 2_000_000
 LEAF, PIVOTS = 64, 8
 _SLICES = 32
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -63,7 +63,7 @@ _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB1
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
+        if len(self) > 120_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

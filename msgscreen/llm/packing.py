@@ -27,6 +27,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import unicodedata
 import zlib
 from collections import Counter
@@ -38,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from msgscreen.llm.chunks import BEYOND, SPLIT, ChunkCache
+from msgscreen.llm.chunks import BEYOND, CHUNKS_KEPT, SPLIT, ChunkCache
 from msgscreen.llm.common import hold, small_batches, stash
 
 CAPACITY = 2048
@@ -58,8 +59,9 @@ RANGES = 1024
 
 
 @lru_cache(maxsize=2)
-def library_ids(path: str) -> ChunkCache:
-    """Ids by the tokenizers library, a chunk at a time."""
+def library_ids(path: str, kept: int = CHUNKS_KEPT) -> ChunkCache:
+    """Ids by the tokenizers library, a chunk at a time, in this thread."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -91,19 +93,20 @@ def library_ids(path: str) -> ChunkCache:
                 out.append(np.array(t.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes())
         return out
 
-    return ChunkCache(encode, special)
+    return ChunkCache(encode, special, kept)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text",
-           closing: int = CLOSING_ID, with_ids: bool = False) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) and, if asked for, ids (binary): a row per piece."""
+           closing: int = CLOSING_ID, with_ids: bool = False, chunks_kept: int = CHUNKS_KEPT) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) and, if asked for, ids (binary): a row per piece.
+    ``chunks_kept`` bounds what a Python worker remembers."""
     small_batches(docs.sparkSession)
     tail = np.array([closing], dtype="<u4").tobytes()
 
     @F.pandas_udf("array<struct<piece: int, start: long, length: long, ids_crc32: long" + ", ids: binary" * with_ids + ">>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hold("packing", library_ids.cache_clear)
-        cache = library_ids(path)
+        cache = library_ids(path, chunks_kept)
         for batch in batches:
             out = []
             for x in batch:
