@@ -177,38 +177,48 @@ def _pick(values, idx):
     return F.element_at(F.array(*[F.lit(str(v)) for v in values]), (idx % len(values)).cast("int") + 1)
 
 
-def _fill(template_idx, templates, fields: dict):
-    t = _pick(templates, template_idx)
+def _fill(template, fields: dict):
     for k, v in fields.items():
-        t = F.replace(t, F.lit("{" + k + "}"), v)
-    return t
+        template = F.replace(template, F.lit("{" + k + "}"), v)
+    return template
+
+
+def _every_template(index: DataFrame, col: str, families: dict[str, tuple[list[str], dict]]) -> DataFrame:
+    """(i, kind, message): each index value with each template of each family,
+    the fields filled by the family's rules. A generator (one ``explode`` of a
+    literal array per row), not a join, so it scales with the index table."""
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(t).alias("t")) for k, (templates, _) in families.items() for t in templates])
+    x = index.select(F.col(col).cast("long").alias("i"), F.explode(rows).alias("r")).select("i", "r.kind", "r.t")
+    message = None
+    for k, (_, fields) in families.items():
+        filled = _fill(F.col("t"), fields)
+        message = F.when(F.col("kind") == k, filled) if message is None else message.when(F.col("kind") == k, filled)
+    return x.select("i", "kind", message.alias("message"))
 
 
 def a2p_messages(index: DataFrame, col: str = "i") -> DataFrame:
-    """Legitimate A2P messages generated from an index column: each index
-    row emits one 2FA, one transactional, one marketing and one alert
-    message whose template and fields are picked by ``i mod n`` (the
-    template family's own index rules). A generator (``explode`` of four
-    structs per row), not a join, so it scales with the index table."""
-    i = F.col(col).cast("long")
-    otp = _fill(i % 3, OTP_TEMPLATES, {"service": _pick(OTP_SERVICES, F.floor(i / 3)),
-                                       "code": F.substring((F.lit(100000) + (i * 13) % 900000).cast("string"), 1, 6)})
-    trans = _fill(i % 3, TRANS_TEMPLATES, {"service": _pick(TRANS_SERVICES, i), "order": (F.lit(10000) + i).cast("string"),
-                                           "amount": F.concat((F.lit(10) + i % 90).cast("string"), F.lit(".00")),
-                                           "person": _pick(TRANS_PEOPLE, i), "date": _pick(TRANS_DATES, i)})
-    mkt = _fill(i % 3, MARKETING_TEMPLATES, {"brand": _pick(MARKETING_BRANDS, i),
-                                             "percent": _pick(MARKETING_PERCENTS, i),
-                                             "points": (F.lit(100) + i * 10).cast("string")})
-    alert = _fill(i % 3, ALERT_TEMPLATES, {"service": _pick(ALERT_SERVICES, i), "time": _pick(ALERT_TIMES, i),
-                                           "condition": _pick(ALERT_CONDITIONS, i),
-                                           "amount": _pick(ALERT_AMOUNTS, i), "date": _pick(ALERT_DATES, i)})
-    fams = [("2fa", otp), ("transactional", trans), ("marketing", mkt), ("alerts", alert)]
-    rows = F.array(*[F.struct(F.lit(k).alias("a2p_type"), v.alias("message")) for k, v in fams])
-    x = index.select(i.alias("i"), F.explode(rows).alias("r"))
-    return x.select("i", F.col("r.message").alias("message"), F.lit("ham").alias("label"),
-                    F.lit("a2p_synthetic").alias("source"), F.concat(F.lit("a2p_"), F.col("r.a2p_type")).alias("dataset"),
-                    F.lit("high").alias("quality"), F.col("r.a2p_type").alias("a2p_type"),
-                    F.lit(False).alias("is_smishing"))
+    """Legitimate A2P messages generated from an index column: every
+    template of the 2FA (with every service), transactional, marketing and
+    alert families for every index; fields are picked by ``i mod n``."""
+    i = F.col("i")
+    families = {
+        "2fa": ([t.replace("{service}", s) for t in OTP_TEMPLATES for s in OTP_SERVICES],
+                {"code": F.substring((F.lit(100000) + (i * 13) % 900000).cast("string"), 1, 6)}),
+        "transactional": (TRANS_TEMPLATES, {
+            "service": _pick(TRANS_SERVICES, i), "order": (F.lit(10000) + i).cast("string"),
+            "amount": F.concat((F.lit(10) + i % 90).cast("string"), F.lit(".00")),
+            "person": _pick(TRANS_PEOPLE, i), "date": _pick(TRANS_DATES, i)}),
+        "marketing": (MARKETING_TEMPLATES, {
+            "brand": _pick(MARKETING_BRANDS, i), "percent": _pick(MARKETING_PERCENTS, i),
+            "points": (F.lit(100) + i * 10).cast("string")}),
+        "alerts": (ALERT_TEMPLATES, {
+            "service": _pick(ALERT_SERVICES, i), "time": _pick(ALERT_TIMES, i), "condition": _pick(ALERT_CONDITIONS, i),
+            "amount": _pick(ALERT_AMOUNTS, i), "date": _pick(ALERT_DATES, i)}),
+    }
+    x = _every_template(index, col, families)
+    return x.select("i", "message", F.lit("ham").alias("label"), F.lit("a2p_synthetic").alias("source"),
+                    F.concat(F.lit("a2p_"), F.col("kind")).alias("dataset"), F.lit("high").alias("quality"),
+                    F.col("kind").alias("a2p_type"), F.lit(False).alias("is_smishing"))
 
 
 # FIXED VALUES: threat / ham fallback templates and their field lists.
@@ -274,33 +284,29 @@ HAM_DURATIONS = ["5 mins", "10 mins", "15 mins"]
 
 
 def threat_messages(index: DataFrame, col: str = "i") -> DataFrame:
-    """Labelled fallback messages from an index column: each index row
-    emits one spam, one smishing and one ham message, template ``i mod 10``,
-    fields picked by ``i mod n``. Smishing is folded to spam with
-    ``is_smishing`` set, as in the corpus."""
-    i = F.col(col).cast("long")
-    t = i % len(SPAM_TEMPLATES)
-    spam = _fill(t, SPAM_TEMPLATES, {
-        "prize": _pick(SPAM_PRIZES, i), "url": F.concat(F.lit("www.claim-prize"), i.cast("string"), F.lit(".com")),
-        "number": F.concat(F.lit("8"), F.format_string("%04d", i)), "amount": _pick(SPAM_AMOUNTS, i),
-        "service": _pick(SPAM_SERVICES, i), "days": _pick(SPAM_DAYS, i)})
-    smish = _fill(t, SMISHING_TEMPLATES, {
-        "bank": _pick(SMISHING_BANKS, i), "action": _pick(SMISHING_ACTIONS, i),
-        "url": F.concat(F.lit("secure-verify"), i.cast("string"), F.lit(".xyz/login")),
-        "location": _pick(SMISHING_LOCATIONS, i), "service": _pick(SMISHING_SERVICES, i),
-        "threat": _pick(SMISHING_THREATS, i), "amount": _pick(SMISHING_AMOUNTS, i),
-        "person": _pick(SMISHING_PEOPLE, i)})
-    ham = _fill(t, HAM_TEMPLATES, {
-        "activity": _pick(HAM_ACTIVITIES, i), "time": _pick(HAM_TIMES, i), "item": _pick(HAM_ITEMS, i),
-        "task": _pick(HAM_TASKS, i), "praise": _pick(HAM_PRAISES, i), "when": _pick(HAM_WHENS, i),
-        "place": _pick(HAM_PLACES, i),
-        "items": F.concat(_pick(HAM_ITEMS, i), F.lit(", "), _pick(HAM_ITEMS, i + 1)),
-        "appointment": _pick(HAM_APPOINTMENTS, i), "date": _pick(HAM_DATES, i), "name": _pick(HAM_NAMES, i),
-        "action": _pick(HAM_ACTIONS, i), "duration": _pick(HAM_DURATIONS, i)})
-    rows = F.array(*[F.struct(F.lit(lab).alias("raw"), v.alias("message"))
-                     for lab, v in (("spam", spam), ("smishing", smish), ("ham", ham))])
-    x = index.select(i.alias("i"), F.explode(rows).alias("r"))
-    return x.select("i", F.col("r.message").alias("message"),
-                    F.when(F.col("r.raw") == "smishing", F.lit("spam")).otherwise(F.col("r.raw")).alias("label"),
+    """Labelled fallback messages from an index column: every spam,
+    smishing and ham template for every index, fields picked by ``i mod n``.
+    Smishing is folded to spam with ``is_smishing`` set, as in the corpus."""
+    i = F.col("i")
+    families = {
+        "spam": (SPAM_TEMPLATES, {
+            "prize": _pick(SPAM_PRIZES, i), "url": F.concat(F.lit("www.claim-prize"), i.cast("string"), F.lit(".com")),
+            "number": F.concat(F.lit("8"), F.format_string("%04d", i)), "amount": _pick(SPAM_AMOUNTS, i),
+            "service": _pick(SPAM_SERVICES, i), "days": _pick(SPAM_DAYS, i)}),
+        "smishing": (SMISHING_TEMPLATES, {
+            "bank": _pick(SMISHING_BANKS, i), "action": _pick(SMISHING_ACTIONS, i),
+            "url": F.concat(F.lit("secure-verify"), i.cast("string"), F.lit(".xyz/login")),
+            "location": _pick(SMISHING_LOCATIONS, i), "service": _pick(SMISHING_SERVICES, i),
+            "threat": _pick(SMISHING_THREATS, i), "amount": _pick(SMISHING_AMOUNTS, i), "person": _pick(SMISHING_PEOPLE, i)}),
+        "ham": (HAM_TEMPLATES, {
+            "activity": _pick(HAM_ACTIVITIES, i), "time": _pick(HAM_TIMES, i), "item": _pick(HAM_ITEMS, i),
+            "task": _pick(HAM_TASKS, i), "praise": _pick(HAM_PRAISES, i), "when": _pick(HAM_WHENS, i),
+            "place": _pick(HAM_PLACES, i),
+            "items": F.concat(_pick(HAM_ITEMS, i), F.lit(", "), _pick(HAM_ITEMS, i + 1)),
+            "appointment": _pick(HAM_APPOINTMENTS, i), "date": _pick(HAM_DATES, i), "name": _pick(HAM_NAMES, i),
+            "action": _pick(HAM_ACTIONS, i), "duration": _pick(HAM_DURATIONS, i)}),
+    }
+    x = _every_template(index, col, families)
+    return x.select("i", "message", F.when(F.col("kind") == "smishing", F.lit("spam")).otherwise(F.col("kind")).alias("label"),
                     F.lit("fallback_expanded").alias("source"), F.lit("fallback").alias("dataset"),
-                    F.lit("medium").alias("quality"), (F.col("r.raw") == "smishing").alias("is_smishing"))
+                    F.lit("medium").alias("quality"), (F.col("kind") == "smishing").alias("is_smishing"))

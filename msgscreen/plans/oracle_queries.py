@@ -504,7 +504,7 @@ def _arr(vals):
 
 
 def _fill_sql(templates, fields):
-    t = f"{_arr(templates)}[CAST(i % 3 AS BIGINT) + 1]"
+    t = "template"
     for k, v in fields.items():
         t = f"replace({t}, '{{{k}}}', {v})"
     return t
@@ -513,7 +513,7 @@ def _fill_sql(templates, fields):
 def _c9_sql():
     from ..operators import corpus as CO
     pick = lambda vals, idx: f"{_arr(vals)}[CAST(({idx}) % {len(vals)} AS BIGINT) + 1]"
-    otp = _fill_sql(CO.OTP_TEMPLATES, {"service": pick(CO.OTP_SERVICES, "i // 3"),
+    otp = _fill_sql(CO.OTP_TEMPLATES, {"service": "service",
                                         "code": "substr(CAST(100000 + (i * 13) % 900000 AS VARCHAR), 1, 6)"})
     trans = _fill_sql(CO.TRANS_TEMPLATES, {"service": pick(CO.TRANS_SERVICES, "i"), "order": "CAST(10000 + i AS VARCHAR)",
                                            "amount": "concat(CAST(10 + i % 90 AS VARCHAR), '.00')",
@@ -524,10 +524,12 @@ def _c9_sql():
     alert = _fill_sql(CO.ALERT_TEMPLATES, {"service": pick(CO.ALERT_SERVICES, "i"), "time": pick(CO.ALERT_TIMES, "i"),
                                            "condition": pick(CO.ALERT_CONDITIONS, "i"),
                                            "amount": pick(CO.ALERT_AMOUNTS, "i"), "date": pick(CO.ALERT_DATES, "i")})
-    fams = [("2fa", otp), ("transactional", trans), ("marketing", mkt), ("alerts", alert)]
+    fams = [("2fa", otp, CO.OTP_TEMPLATES), ("transactional", trans, CO.TRANS_TEMPLATES), ("marketing", mkt, CO.MARKETING_TEMPLATES),
+            ("alerts", alert, CO.ALERT_TEMPLATES)]
     parts = [f"SELECT i, {v} AS message, 'ham' AS label, 'a2p_synthetic' AS source, 'a2p_{k}' AS dataset, "
-             f"'high' AS quality, '{k}' AS a2p_type, false AS is_smishing FROM (SELECT event_id AS i FROM events)"
-             for k, v in fams]
+             f"'high' AS quality, '{k}' AS a2p_type, false AS is_smishing FROM (SELECT event_id AS i FROM events) "
+             f"CROSS JOIN (SELECT unnest({_arr(ts)}) AS template) CROSS JOIN (SELECT unnest({_arr(CO.OTP_SERVICES if k == '2fa' else [''])}) AS service)"
+             for k, v, ts in fams]
     return "\nUNION ALL\n".join(parts)
 
 
@@ -546,8 +548,8 @@ SELECT concat('doc ', CAST(doc_id AS VARCHAR)) AS message, label AS predicted_la
        WHEN CASE WHEN label IN ('spam', 'smishing') THEN 'spam' ELSE label END = 'ham' AND true_label = 'spam' THEN 'false_negative'
        ELSE 'correct' END AS feedback_type, CAST(NULL AS VARCHAR) AS notes,
   strftime(make_timestamp(CAST((1704067200 + doc_id * 37) AS BIGINT) * 1000000), """ + TS + """) AS timestamp FROM scu""")
-SQL["s6_split_sink"] = SQL["c7_stratified_split"]
-SQL["s7_evaluation_store"] = SQL["e1_e6_model_metrics"]
+SQL["s6_split_sink"] = f"SELECT *, count(*) OVER (PARTITION BY split) AS split_size FROM ({SQL['c7_stratified_split']})"
+SQL["s7_evaluation_store"] = f"SELECT *, row_number() OVER (ORDER BY f1_score DESC, model) = 1 AS best_f1 FROM ({SQL['e1_e6_model_metrics']})"
 
 
 def _c10_sql():
@@ -557,7 +559,7 @@ def _c10_sql():
         return f"{_arr(vals)}[CAST(({idx}) % {len(vals)} AS BIGINT) + 1]"
 
     def fill(templates, fields):
-        t = f"{_arr(templates)}[CAST(i % 10 AS BIGINT) + 1]"
+        t = "template"
         for k, v in fields.items():
             t = f"replace({t}, '{{{k}}}', {v})"
         return t
@@ -577,8 +579,8 @@ def _c10_sql():
                                   "name": pick(CO.HAM_NAMES), "action": pick(CO.HAM_ACTIONS),
                                   "duration": pick(CO.HAM_DURATIONS)})
     parts = [f"SELECT i, {v} AS message, '{lab}' AS label, 'fallback_expanded' AS source, 'fallback' AS dataset, "
-             f"'medium' AS quality, {smi} AS is_smishing FROM (SELECT o_orderkey AS i FROM orders)"
-             for v, lab, smi in ((spam, "spam", "false"), (smish, "spam", "true"), (ham, "ham", "false"))]
+             f"'medium' AS quality, {smi} AS is_smishing FROM (SELECT o_orderkey AS i FROM orders) CROSS JOIN (SELECT unnest({_arr(ts)}) AS template)"
+             for v, lab, smi, ts in ((spam, "spam", "false", CO.SPAM_TEMPLATES), (smish, "spam", "true", CO.SMISHING_TEMPLATES), (ham, "ham", "false", CO.HAM_TEMPLATES))]
     return "\nUNION ALL\n".join(parts)
 
 
@@ -616,3 +618,5 @@ SQL["x5_stream_dashboard"] = traffic_sql(f"""SELECT strftime(time_bucket(INTERVA
 SQL["s1_delimited_roundtrip"] = with_view("SELECT true_label AS label, concat(message_id, ' ', text) AS message, CAST(NULL AS VARCHAR) AS bad FROM m WHERE source <> 'documents'")
 SQL["s2_role_detection"] = with_view("SELECT coalesce(true_label, 'none') AS label, sha256(concat(message_id, ' ', text)) AS message_sha FROM m WHERE source = 'documents'")
 SQL["s3_named_columns"] = with_view("SELECT true_label AS label, concat(message_id, ' ', text) AS message FROM m WHERE source = 'events'")
+SQL["e9_ensemble_candidates_any_f1"] = SQL["e9_ensemble_candidates"].replace("f1_score >= 0.9", "f1_score >= 0.0")
+SQL["m5_weighted_ensemble_any_f1"] = SQL["m5_weighted_ensemble"].replace("f1_score >= 0.9", "f1_score >= 0.0")

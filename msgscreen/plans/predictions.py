@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import classify as C
+from ..operators.evaluate import fold
 from ..session import materialize
 from .corpus_plan import split_corpus
 
@@ -79,3 +80,13 @@ def corpus_and_predictions(spark: SparkSession, sf_dir: str, split: str | None =
         sc = sc.filter(F.col("split") == split)
     sc = materialize(sc)
     return sc, predictions(sc)
+
+
+def predictions_with_truth(sc: DataFrame) -> DataFrame:
+    """The models' predictions of each corpus row beside its truth (the shape
+    of the aligned table), in one pass over ``sc``."""
+    s = C.score(sc.withColumns({"true_label": F.col("label"), "true_smishing": F.col("is_smishing")}), text_col="message")
+    structs = [F.struct(*cols) for cols in (rules_predictions(s, scored=True), hash_predictions(s), keyword_columns())]
+    x = s.select("true_label", "a2p_type", "true_smishing", F.explode(F.array(*structs)).alias("p"))
+    return x.select("p.message_id", "p.model", fold(F.col("p.label")).alias("pred"), "p.confidence", "p.latency_ms", "p.error",
+                    "true_label", "a2p_type", F.col("true_smishing").alias("is_smishing"))

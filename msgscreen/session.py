@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -74,6 +75,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_made: list[str] = []
+
+
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; :func:`drop_scratch` removes what is there."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this program put under scratch paths. Call it once the
+    results that were read from there are written elsewhere."""
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df):
     """Write ``df`` once to the shared checkpoint folder and cut its lineage.
 

@@ -47,7 +47,8 @@ def write_splits(split_df: DataFrame, path: str) -> DataFrame:
     """The corpus partitioned by ``split`` plus a one-row summary table
     (sizes from one aggregate, not one count per split)."""
     split_df.write.mode("overwrite").partitionBy("split").parquet(f"{path}/corpus")
-    summary = split_df.agg(
+    written = split_df.sparkSession.read.parquet(f"{path}/corpus")          # the corpus is computed once
+    summary = written.agg(
         F.count(F.lit(1)).alias("total_messages"),
         F.count_if(F.col("label") == "spam").alias("spam_count"),
         F.count_if(F.col("label") == "ham").alias("ham_count"),
@@ -57,13 +58,14 @@ def write_splits(split_df: DataFrame, path: str) -> DataFrame:
         F.count_if(F.col("split") == "test").alias("test_size"),
     ).withColumn("created_at", F.current_timestamp())
     summary.coalesce(1).write.mode("overwrite").parquet(f"{path}/summary")
-    return summary
+    return split_df.sparkSession.read.parquet(f"{path}/summary")
 
 
-def write_evaluation(metrics: DataFrame, selection: DataFrame, path: str) -> None:
-    """Save metrics of all models and the recommendation (small tables)."""
+def write_evaluation(metrics: DataFrame, select, path: str) -> None:
+    """Save metrics of all models (a small table) and the recommendation
+    that ``select`` makes of what was written."""
     metrics.coalesce(1).write.mode("overwrite").parquet(f"{path}/metrics")
-    selection.coalesce(1).write.mode("overwrite").parquet(f"{path}/recommendation")
+    select(metrics.sparkSession.read.parquet(f"{path}/metrics")).coalesce(1).write.mode("overwrite").parquet(f"{path}/recommendation")
 
 
 def read_evaluation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -10,8 +10,8 @@ SF0001 = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from msgscreen.session import local_session
-    s = local_session("*", shuffle_partitions=8, app="msgscreen-tests")
+    s = local_session("*", shuffle_partitions=8, app="msgscreen-tests", checkpoint_dir=str(tmp_path_factory.mktemp("checkpoint")))
     yield s
     s.stop()

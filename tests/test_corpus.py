@@ -73,19 +73,27 @@ def test_delimited_readers(spark, tmp_path):
 
 
 def test_a2p_generator(spark):
+    """Per index the messages of the nested loops over templates (and services)."""
     idx = spark.range(6).withColumnRenamed("id", "i")
-    rows = CO.a2p_messages(idx).filter("i = 4").orderBy("a2p_type").collect()
-    got = {r["a2p_type"]: r["message"] for r in rows}
-    assert got["2fa"] == "100052 is your Apple security code"
-    assert got["transactional"] == "Payment of $14.00 to John successful"
-    assert got["marketing"] == "Macy's Rewards: You have 140 points!"
-    assert got["alerts"] == "Weather Alert: Rain expected tonight"
+    rows = [r for r in CO.a2p_messages(idx).collect() if r["i"] == 4]
+    got = {k: {r["message"] for r in rows if r["a2p_type"] == k} for k in ("2fa", "transactional", "marketing", "alerts")}
+    assert len(rows) == 39
+    assert got["2fa"] == {t.format(service=s, code="100052") for t in CO.OTP_TEMPLATES for s in CO.OTP_SERVICES}
+    assert got["transactional"] == {"Your Target order #10004 has shipped", "Payment of $14.00 to John successful",
+                                    "Target: Appointment confirmed for Monday"}
+    assert got["marketing"] == {"Macy's: 20% off! Shop now. Reply STOP to unsubscribe", "Macy's Rewards: You have 140 points!",
+                                "Weekend Sale at Macy's: Up to 20% off"}
+    assert got["alerts"] == {"Appointment reminder: Dentist tomorrow at 2pm", "Weather Alert: Rain expected tonight",
+                             "Dentist bill due: $50 due by Friday"}
 
 
 def test_threat_generator(spark):
     idx = spark.range(6).withColumnRenamed("id", "i")
-    rows = CO.threat_messages(idx).filter("i = 5").collect()
-    got = {(r["label"], r["is_smishing"]): r["message"] for r in rows}
-    assert got[("spam", False)] == "Congratulations ur awarded iPhone 15! Collect from www.claim-prize5.com"
-    assert got[("spam", True)] == "Your payment to Mike Johnson failed. Retry: secure-verify5.xyz/login"
-    assert got[("ham", False)] == "Reminder: doctor on Tuesday at tomorrow"
+    rows = [r for r in CO.threat_messages(idx).collect() if r["i"] == 5]
+    got = {k: {r["message"] for r in rows if (r["label"], r["is_smishing"]) == k} for k in (("spam", False), ("spam", True), ("ham", False))}
+    assert [len(x) for x in got.values()] == [10, 10, 10]
+    assert "Congratulations ur awarded iPhone 15! Collect from www.claim-prize5.com" in got["spam", False]
+    assert "Text WIN to 80005 for your FREE gift worth £500" in got["spam", False]
+    assert "Your payment to Mike Johnson failed. Retry: secure-verify5.xyz/login" in got["spam", True]
+    assert "Reminder: doctor on Tuesday at tomorrow" in got["ham", False]
+    assert "Can you pick up milk, bread from home?" in got["ham", False]

@@ -44,3 +44,33 @@ def test_checkpoint_dir_from_session(spark):
     from msgscreen.session import ensure_checkpoint_dir
     d = ensure_checkpoint_dir(spark)
     assert d and spark.sparkContext.getCheckpointDir()
+
+
+def test_traffic_joins_all_pages_only_where_bodies_count(spark):
+    from msgscreen.operators import traffic as TR
+    from msgscreen.plans import traffic_plan as TP
+    p = _plan(TP.inbound(spark, SF0001))
+    assert "LessThan(page_id" not in p and "page_id#" in p and "BroadcastNestedLoopJoin" not in p
+    assert "page_id" not in _plan(TR.accept(TP.arrivals(spark, SF0001)))
+
+
+def test_leak_check_is_one_aggregate(spark):
+    split = CO.stratified_split(CP.corpus(spark, SF0001))
+    assert _plan(CO.split_leaks(split)).count("Exchange hashpartitioning") <= _plan(split).count("Exchange hashpartitioning") + 2
+
+
+def test_drift_scores_once(spark):
+    from msgscreen.operators import monitor as MN
+    from msgscreen.plans import catalog as CA
+    p = _plan(MN.feature_drift(CA._drift_long(spark, SF0001)))
+    assert p.count("FileScan parquet [event_id") == 1
+
+
+def test_scratch_is_dropped(spark, tmp_path):
+    import os
+    from msgscreen.session import drop_scratch, scratch_path
+    path = scratch_path(spark, "test")
+    spark.range(3).write.parquet(path)
+    assert os.path.isdir(path.removeprefix("file://"))
+    drop_scratch(spark)
+    assert not os.path.exists(path.removeprefix("file://"))
