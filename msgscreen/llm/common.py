@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,4 +169,6 @@ def hold(name: str, drop: Callable[[], None] = lambda: None) -> None:
     if _holder["name"] != name:
         if _holder["drop"]:
             _holder["drop"]()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
         _holder.update(name=name, drop=drop)

@@ -183,22 +183,26 @@ def cut_out(text: bytes, found) -> tuple[bytes, int, int]:
     return b"".join([*kept, text[at:]]), sum(b - a for a, b in spans), len(spans)
 
 
-def deduplicate(docs: DataFrame, text: str = "text", into: str = "cut") -> DataFrame:
-    """The rows without their text, with ``into``: struct of kept (binary), n_bytes, n_removed and n_spans."""
+def deduplicate(docs: DataFrame, text: str = "text", into: str = "cut", as_text: bool = False) -> DataFrame:
+    """The rows without their text, with ``into``: struct of kept, n_bytes, n_removed and n_spans.
+
+    ``kept`` is binary, or with ``as_text`` a string without the broken
+    characters at cuts. No task runs more than one Python function."""
     spark = docs.sparkSession
     small_batches(spark)
     found = repeated_runs(docs, text)
     test = passing(docs, bit_filter(found.select("_name"), "_name"))
     rows = named(docs, text).withColumn("_hit", test("_name"))
-    none = F.lit(0).cast("long")
-    whole = rows.where("NOT _hit").select("_row", F.struct(F.col("_text").cast("binary").alias("kept"), F.octet_length("_text").cast("long").alias("n_bytes"),
+    none, kind = F.lit(0).cast("long"), "string" if as_text else "binary"
+    whole = rows.where("NOT _hit").select("_row", F.struct(F.col("_text").cast(kind).alias("kept"), F.octet_length("_text").cast("long").alias("n_bytes"),
                                                            none.alias("n_removed"), none.alias("n_spans")).alias("_cut"))
 
-    @F.pandas_udf("struct<kept: binary, n_bytes: long, n_removed: long, n_spans: long>")
+    @F.pandas_udf(f"struct<kept: {kind}, n_bytes: long, n_removed: long, n_spans: long>")
     def cut(texts: pd.Series, runs_of: pd.Series) -> pd.DataFrame:
         raw = [x.encode() for x in texts]
         done = [cut_out(x, [] if r is None else r) for x, r in zip(raw, runs_of, strict=True)]
-        return pd.DataFrame({"kept": [d[0] for d in done], "n_bytes": [len(x) for x in raw], "n_removed": [d[1] for d in done], "n_spans": [d[2] for d in done]})
+        kept = [d[0].decode(errors="ignore") if as_text else d[0] for d in done]
+        return pd.DataFrame({"kept": kept, "n_bytes": [len(x) for x in raw], "n_removed": [d[1] for d in done], "n_spans": [d[2] for d in done]})
 
     touched = rows.where("_hit").select("_row", "_text", "_name").join(found, "_name", "left").select("_row", cut("_text", "runs").alias("_cut"))
     names = [c for c in docs.columns if c != text]
@@ -207,11 +211,6 @@ def deduplicate(docs: DataFrame, text: str = "text", into: str = "cut") -> DataF
 
 def cut_text(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with the text that is left; broken characters at cuts are dropped, a null text stays null."""
-
-    @F.pandas_udf("string")
-    def decode(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda x: x.decode(errors="ignore"))
-
     null, into = free_name(docs, "was_null"), free_name(docs, "cut")
-    out = deduplicate(docs.withColumn(null, F.col(text).isNull()), text, into)
-    return out.withColumn(text, F.when(~F.col(null), decode(F.col(into)["kept"]))).select(*docs.columns)
+    out = deduplicate(docs.withColumn(null, F.col(text).isNull()), text, into, as_text=True)
+    return out.withColumn(text, F.when(~F.col(null), F.col(into)["kept"])).select(*docs.columns)
