@@ -217,3 +217,19 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
             yield pd.Series([None if x is None else v.decode(np.frombuffer(x, dtype="<u4").astype(np.int64)).decode() for x in batch], dtype=object)
 
     return rows.withColumn(into, text_of(F.col(ids)))
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text", into: str = "bpe") -> DataFrame:
+    """The rows with ``into``: struct of ``ids`` (as by :func:`encode`) and
+    ``decoded`` (as by :func:`decode`), in one pass and one Python function."""
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("struct<ids: binary, decoded: string>")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        hold("bpe", vocabulary.cache_clear)
+        v = vocabulary(path)
+        for batch in batches:
+            ids = [v.cache.ids(x) if isinstance(x, str) else b"" for x in batch]
+            yield pd.DataFrame({"ids": ids, "decoded": [v.decode(np.frombuffer(x, dtype="<u4").astype(np.int64)).decode() for x in ids]})
+
+    return docs.withColumn(into, both(F.col(text)))

@@ -29,9 +29,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded, as digests."""
-    rows = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_file()), vocabulary_file())
-    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
-                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    rows = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_file())
+    return rows.select("doc_id", (F.octet_length("bpe.ids") / 4).cast("long").alias("n_tokens"), F.sha2("bpe.ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("bpe.decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op3_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
