@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 import regex
 
-CHUNKS_KEPT = 400_000
+CHUNKS_KEPT = 600_000
 #: FIXED VALUE: the word vocabulary's split pattern, its \\s written out as the Unicode property.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 #: Past Latin the classes change from one Unicode version to the next: such chunks are the library's to split.

@@ -72,9 +72,11 @@ def library_ids(path: str, kept: int = CHUNKS_KEPT) -> ChunkCache:
 
     def words_in(chunk: str) -> int:
         """How many words the library splits it into; -1: to be encoded alone."""
-        if chunk.isascii() and chunk.isalpha():
+        if BEYOND.search(chunk):
+            return -1
+        if chunk.isalpha() and "\u0130" not in chunk:  # its small form is a letter and a mark
             return 1
-        return -1 if BEYOND.search(chunk) else len(SPLIT.findall(unicodedata.normalize("NFC", chunk).lower()))
+        return len(SPLIT.findall(unicodedata.normalize("NFC", chunk).lower()))
 
     def encode(chunks: list[str]) -> list[bytes]:
         """Many chunks in one call: a word's last token, and no other, ends a word."""
