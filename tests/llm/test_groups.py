@@ -242,3 +242,15 @@ def test_top_k(spark, monkeypatch, stripes):
     assert {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 10 == 0).collect()} == want
     assert topk.top_k(df.where("false"), F.col("vec_id") % 10 == 0).count() == 0
     assert topk.top_k(df.where("vec_id = 3"), F.col("vec_id") >= 0).count() == 0
+
+
+def test_a_worker_keeps_one_operators_caches():
+    from msgscreen.llm.common import hold
+
+    dropped = []
+    hold("a", lambda: dropped.append("a"))
+    hold("a", lambda: dropped.append("again"))
+    assert dropped == []
+    hold("b")
+    hold("a")
+    assert dropped == ["a"]
