@@ -125,9 +125,9 @@ def confidence(score: Column, otp: Column) -> Column:
 def risk_level(score: Column, otp: Column) -> Column:
     """H5: safe / low / medium / high (OTP messages are safe)."""
     return (F.when(otp, F.lit("safe"))
-            .when(score > 0.7, F.lit("high"))
-            .when(score > 0.4, F.lit("medium"))
-            .when(score > 0.2, F.lit("low"))
+            .when(score > D.RISK_HIGH_ABOVE, F.lit("high"))
+            .when(score > D.RISK_MEDIUM_ABOVE, F.lit("medium"))
+            .when(score > D.RISK_LOW_ABOVE, F.lit("low"))
             .otherwise(F.lit("safe")))
 
 
@@ -216,5 +216,5 @@ def short_reply(is_spam: Column, is_smishing: Column, conf: Column) -> Column:
     """H10 short form (< 160 characters)."""
     pct = _pct(conf)
     return (F.when(~is_spam, F.concat(F.lit(D.REPLY_SAFE_ICON + " SAFE ("), pct, F.lit("%)")))
-            .when(is_smishing, F.concat(F.lit("\U0001F6A8 SMISHING! ("), pct, F.lit("%) - DO NOT CLICK LINKS OR REPLY")))
-            .otherwise(F.concat(F.lit("⚠️ SPAM ("), pct, F.lit("%) - Recommend deleting"))))
+            .when(is_smishing, F.concat(F.lit(D.REPLY_SHORT_SMISHING[0]), pct, F.lit(D.REPLY_SHORT_SMISHING[1])))
+            .otherwise(F.concat(F.lit(D.REPLY_SHORT_SPAM[0]), pct, F.lit(D.REPLY_SHORT_SPAM[1]))))

@@ -171,6 +171,6 @@ def indicators(f: Column) -> Column:
 def risk_level(max_risk: Column, has_urls: Column) -> Column:
     """URL risk level of a message: none / low / medium / high."""
     return (F.when(~has_urls, F.lit("none"))
-            .when(max_risk > 0.7, F.lit("high"))
-            .when(max_risk > 0.4, F.lit("medium"))
+            .when(max_risk > D.RISK_HIGH_ABOVE, F.lit("high"))
+            .when(max_risk > D.RISK_MEDIUM_ABOVE, F.lit("medium"))
             .otherwise(F.lit("low")))
