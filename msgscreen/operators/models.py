@@ -105,15 +105,16 @@ def weighted(preds: DataFrame, weights: DataFrame, id_col: str = "message_id") -
 
 
 def route(fast: DataFrame, slow: Callable[[DataFrame], DataFrame], threshold: float = D.ROUTER_THRESHOLD,
-          id_col: str = "message_id") -> DataFrame:
+          id_col: str = "message_id", details: tuple[str, ...] = ()) -> DataFrame:
     """M6: keep the fast result where its confidence >= threshold; the rest
     (only the rest) goes to ``slow(df) -> (id, label, confidence)``.
-    ``routed_to`` says which path answered."""
+    ``routed_to`` says which path answered. ``details`` are columns of the
+    fast result that stay with its answers (null for the slow path's)."""
     sure = fast.filter(F.col("confidence") >= threshold)
     unsure = fast.filter(~(F.col("confidence") >= threshold))
-    a = sure.select(id_col, "label", "confidence", F.lit("fast_model").alias("routed_to"))
+    a = sure.select(id_col, "label", "confidence", F.lit("fast_model").alias("routed_to"), *details)
     b = slow(unsure).select(id_col, "label", "confidence", F.lit("slow_model").alias("routed_to"))
-    return a.unionByName(b)
+    return a.unionByName(b, allowMissingColumns=True)
 
 
 def routing_stats(routed: DataFrame) -> DataFrame:

@@ -334,8 +334,8 @@ def _routed(spark, sf_dir):
     """Fast = rule scorer, slow = keyword model; the fast output carries the
     text, so the unsure rows go to the slow model without a join."""
     sc = CP.split_corpus(spark, sf_dir).filter(F.col("split") == "test")
-    fast = materialize(C.score(sc, text_col="message").select("message_id", "message", "label", "confidence"))
-    return MO.route(fast, PR.keyword_predictions, 0.85)
+    fast = materialize(C.score(sc, text_col="message").select("message_id", "message", "label", "confidence", "risk_level", "reasoning"))
+    return MO.route(fast, PR.keyword_predictions, 0.85, details=("risk_level", "reasoning"))
 
 
 @register("m6_confidence_router")

@@ -261,12 +261,12 @@ ws AS (SELECT p.message_id, sum(CASE WHEN p.label IN ('spam', 'smishing') THEN p
 SELECT message_id, CASE WHEN score > 0.5 THEN 'spam' ELSE 'ham' END AS label,
   round(CASE WHEN score > 0.5 THEN score ELSE 1.0 - score END, 6) AS confidence FROM ws""")
 _ROUTE = """, rt AS (
-  SELECT message_id, label, confidence, 'fast_model' AS routed_to FROM scu WHERE confidence >= 0.85
+  SELECT message_id, label, confidence, 'fast_model' AS routed_to, risk_level, reasoning FROM scu WHERE confidence >= 0.85
   UNION ALL SELECT message_id,
     CASE WHEN contains(lower(message), 'free') OR contains(message, '$') THEN 'spam' ELSE 'ham' END,
-    CASE WHEN contains(lower(message), 'free') OR contains(message, '$') THEN 0.8 ELSE 0.6 END, 'slow_model'
+    CASE WHEN contains(lower(message), 'free') OR contains(message, '$') THEN 0.8 ELSE 0.6 END, 'slow_model', NULL, NULL
   FROM scu WHERE NOT (confidence >= 0.85))"""
-SQL["m6_confidence_router"] = eval_sql("test", _ROUTE + "\nSELECT message_id, label, round(confidence, 6) AS confidence, routed_to FROM rt")
+SQL["m6_confidence_router"] = eval_sql("test", _ROUTE + "\nSELECT message_id, label, round(confidence, 6) AS confidence, routed_to, risk_level, reasoning FROM rt")
 SQL["m7_routing_stats"] = eval_sql("test", _ROUTE + """
 SELECT count(*) FILTER (WHERE routed_to = 'fast_model') AS fast_count, count(*) FILTER (WHERE routed_to = 'slow_model') AS slow_count,
   round(coalesce(count(*) FILTER (WHERE routed_to = 'fast_model') * 100.0 / nullif(count(*), 0), 0.0), 6) AS fast_percentage FROM rt""")
