@@ -11,9 +11,12 @@ multiplicative weights: a length's price is its size times a weight that starts
 higher for long pieces and falls as it gets covered; a knapsack dynamic program over prices finds the best
 configuration; the step takes it as often as covers ``STEP`` of the scarcest of
 its lengths, rounded to whole sequences at once so that nothing is covered
-twice. A pricing looks at ``PRICED`` lengths drawn by their remaining share;
-where they can't fill a sequence to the brim, at twice as many, and at last at all. Once none does, or
-few pieces are left, what rounding has left is placed best-fit, longest first.
+twice. A pricing looks at ``PRICED`` lengths drawn by their remaining share and
+at those that hold more than one in ``PRICED`` of the tokens left;
+where they can't fill a sequence to the brim, at twice as many, and at last at all. Once none does, the
+steps go on with the best total price at any fill; lengths that nothing left can
+join are taken whole. When few pieces are left, they are placed best-fit, longest first,
+equal sequences together.
 
 The plan has a number of configurations that grows with the logarithm of the
 counts. Spark then ranks the pieces of each length (in hash ranges, no window
@@ -30,6 +33,7 @@ from __future__ import annotations
 import os
 import unicodedata
 import zlib
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -120,9 +124,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "
     return docs.select(F.col(doc_id).alias("doc_id"), F.explode(cut(F.col(text))).alias("part")).select("doc_id", "part.*")
 
 
-def knapsack(prices: np.ndarray, lengths: np.ndarray, limits: np.ndarray, capacity: int) -> Counter:
-    """Lengths, each at most ``limits`` times, that fill the capacity to the brim at the highest total price; or none."""
-    best, steps, taken = np.full(capacity + 1, -np.inf), [], []
+def knapsack(prices: np.ndarray, lengths: np.ndarray, limits: np.ndarray, capacity: int, to_the_brim: bool = True) -> Counter:
+    """Lengths, each at most ``limits`` times, that fill the capacity at the highest total price: to the brim, or none; else as far as pays."""
+    best, steps, taken = np.full(capacity + 1, -np.inf if to_the_brim else 0.0), [], []
     best[0] = 0
     for i, (price, length, limit) in enumerate(zip(prices.tolist(), lengths.tolist(), limits.tolist(), strict=True)):
         left, n = min(limit, capacity // length), 1
@@ -143,25 +147,44 @@ def knapsack(prices: np.ndarray, lengths: np.ndarray, limits: np.ndarray, capaci
     return out
 
 
-def best_fit(left: Counter, capacity: int) -> list[Counter]:
-    """Longest first, each into the fullest sequence that has room."""
-    bins: list[Counter] = []
-    with_room: list[list[int]] = [[] for _ in range(capacity + 1)]
-    open_rooms = np.zeros(capacity + 1, dtype=bool)
+def best_fit_counted(left: dict[int, int], capacity: int) -> list[tuple[Counter, int]]:
+    """Longest first, each into the fullest sequence that has room: (configuration, how many sequences are filled so).
+
+    Equal sequences are filled together, all pieces of a length at once, so the
+    work grows with the number of lengths and not with the pieces."""
+    by_room: dict[int, list[tuple[Counter, int]]] = {}
+    rooms: list[int] = []  # those of by_room, sorted
+
+    def put(config: Counter, times: int) -> None:
+        room = capacity - sum(k * v for k, v in config.items())
+        if room not in by_room:
+            by_room[room] = []
+            insort(rooms, room)
+        by_room[room].append((config, times))
+
     for length in sorted(left, reverse=True):
-        for _ in range(left[length]):
-            rooms = np.flatnonzero(open_rooms[length:])
-            if len(rooms):
-                room = int(rooms[0]) + length
-                b = with_room[room].pop()
-                open_rooms[room] = bool(with_room[room])
-            else:
-                room, b = capacity, len(bins)
-                bins.append(Counter())
-            bins[b][length] += 1
-            with_room[room - length].append(b)
-            open_rooms[room - length] = True
-    return bins
+        n, at = left[length], bisect_left(rooms, length)
+        fits = [(room, *x) for room in rooms[at:] for x in by_room[room]] + [(capacity, Counter(), n)]
+        for room in rooms[at:]:
+            del by_room[room]
+        del rooms[at:]
+        for room, config, times in fits:
+            each = room // length
+            whole = min(times, n // each)
+            n -= whole * each
+            if whole:
+                put(config + Counter({length: each}), whole)
+            if whole < times and n:  # less than ``each`` are left
+                put(config + Counter({length: n}), 1)
+                whole, n = whole + 1, 0
+            if whole < times and config:
+                put(config, times - whole)
+    return [x for room in rooms for x in by_room[room]]
+
+
+def best_fit(left: Counter, capacity: int) -> list[Counter]:
+    """Each sequence of ``best_fit_counted``."""
+    return [Counter(config) for config, times in best_fit_counted(left, capacity) for _ in range(times)]
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, seed: int = 1) -> list[tuple[Counter, int]]:
@@ -172,35 +195,33 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, seed: int = 1) -> lis
     lengths = np.array(sorted(x for x in counts if x < capacity), dtype=np.int64)
     n = np.array([counts[x] for x in lengths.tolist()], dtype=np.int64)
     left, rng, at = n.copy(), np.random.default_rng(seed), {x: i for i, x in enumerate(lengths.tolist())}
+    to_the_brim = True
     while left.sum() > min(REST_SHARE * n.sum(), REST_PIECES):
         open_ = np.flatnonzero(left)
+        alone = open_[lengths[open_] + lengths[open_[0]] > capacity]
+        if len(alone):  # nothing that is left can join these
+            out += [(Counter({int(lengths[i]): 1}), int(left[i])) for i in alone]
+            left[alone] = 0
+            continue
         share = left[open_] / n[open_]
         prices = lengths[open_] * (1 + LONG_FIRST * lengths[open_] / capacity) * np.exp(SHARPNESS * (share - share.mean()))
+        tokens = left[open_] * lengths[open_]
+        common = np.flatnonzero(tokens * PRICED > tokens.sum())
         config, priced = Counter(), PRICED
         while not config and priced < open_.size:
-            drawn = np.sort(rng.choice(open_.size, priced, replace=False, p=share / share.sum()))
-            config = knapsack(prices[drawn], lengths[open_[drawn]], np.minimum(left[open_[drawn]], COPIES), capacity)
+            drawn = np.union1d(rng.choice(open_.size, priced, replace=False, p=share / share.sum()), common)
+            config = knapsack(prices[drawn], lengths[open_[drawn]], np.minimum(left[open_[drawn]], COPIES), capacity, to_the_brim)
             priced *= 2
-        config = config or knapsack(prices, lengths[open_], left[open_], capacity)
-        if not config:
-            break
+        config = config or knapsack(prices, lengths[open_], left[open_], capacity, to_the_brim)
+        if not config:  # what is left fills no sequence to the brim, now or later
+            to_the_brim = False
+            continue
         whole = min(int(left[at[k]]) // v for k, v in config.items())
         times = min(whole, max(1, int(STEP * min(left[at[k]] / v for k, v in config.items()))))
         for k, v in config.items():
             left[at[k]] -= times * v
         out.append((config, times))
-    rest = Counter({int(lengths[i]): int(left[i]) for i in np.flatnonzero(left)})
-    same = Counter(tuple(sorted(b.items())) for b in best_fit_counted(rest, capacity))
-    return out + [(Counter(dict(b)), k) for b, k in same.items()]
-
-
-def best_fit_counted(left: Counter, capacity: int) -> Iterator[Counter]:
-    """Best fit, longest first; lengths over half that nothing else can join need no search."""
-    smallest = min(left, default=0)
-    for length in [x for x in left if x + smallest > capacity]:
-        for _ in range(left.pop(length)):
-            yield Counter({length: 1})
-    yield from best_fit(left, capacity)
+    return out + best_fit_counted({int(lengths[i]): int(left[i]) for i in np.flatnonzero(left)}, capacity)
 
 
 def placements(configs: list[tuple[Counter, int]]) -> tuple[np.ndarray, dict[int, tuple[int, int]]]:

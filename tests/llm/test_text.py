@@ -117,6 +117,44 @@ def test_plan_holds_every_piece(seed):
     assert sum(t for _, t in plan) <= best_fit * 1.03 + 1
 
 
+@pytest.mark.parametrize("counts", [{700: 1_000_000}, {3 * x: 2_000 + x for x in range(1, 683, 20)}, {1030: 1_000_000, 340: 2_000_000},
+                                    {x: 300 for x in range(1025, 2048)}], ids=["one length", "multiples of 3", "two lengths", "over half"])
+def test_plan_goes_on_where_no_sequence_fills(counts, monkeypatch):
+    placed, best_fit_counted = [], packing.best_fit_counted
+    monkeypatch.setattr(packing, "best_fit_counted", lambda left, capacity: placed.append(sum(left.values())) or best_fit_counted(left, capacity))
+    plan = packing.plan(counts)
+    held = Counter()
+    for config, times in plan:
+        assert times > 0 and sum(k * v for k, v in config.items()) <= packing.CAPACITY
+        held += Counter({k: v * times for k, v in config.items()})
+    assert held == counts
+    assert sum(placed) <= min(packing.REST_SHARE * sum(counts.values()), packing.REST_PIECES)
+    assert sum(t for _, t in plan) <= 1.01 * sum(t for _, t in best_fit_counted(counts, packing.CAPACITY)) + 1
+
+
+def plain_best_fit(counts, capacity):
+    rooms = []
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            fits = [r for r in rooms if r >= length]
+            if fits:
+                rooms.remove(min(fits))
+            rooms.append((min(fits) if fits else capacity) - length)
+    return sorted(rooms)
+
+
+def test_best_fit_places_equal_pieces_together():
+    rng = random.Random(4)
+    for _ in range(60):
+        counts = Counter(rng.randint(1, 40) for _ in range(rng.choice([1, 5, 40])))
+        counts = Counter({k: v * rng.randint(1, 9) for k, v in counts.items()})
+        got = packing.best_fit(counts, 40)
+        assert sorted(40 - sum(k * v for k, v in b.items()) for b in got) == plain_best_fit(counts, 40)
+        assert sum(got, Counter()) == counts
+    many = packing.best_fit_counted({700: 10**12, 300: 10**12 + 1}, 2048)
+    assert len(many) <= 6 and sum((Counter({k: v * t for k, v in c.items()}) for c, t in many), Counter()) == {700: 10**12, 300: 10**12 + 1}
+
+
 def test_knapsack_is_optimal():
     rng = np.random.default_rng(2)
     for _ in range(40):
