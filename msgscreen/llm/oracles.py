@@ -70,3 +70,23 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id =
 """
 
 SQL["op3_pstable"] = OP3
+
+OP13 = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+e AS (SELECT r, unnest(w) AS x, unnest(range(len(w))) AS d FROM v),
+s AS (SELECT a.r AS a, b.r AS b, CAST(sum(a.x * b.x) AS BIGINT) AS score
+  FROM e a JOIN v q ON a.r = q.r AND q.vec_id % 50 = 0 JOIN e b ON a.d = b.d AND a.r <> b.r GROUP BY ALL),
+t AS (SELECT a, b, x.vec_id AS anchor_id, y.vec_id AS id, x.label = y.label AS same, score FROM s JOIN v x ON x.r = a JOIN v y ON y.r = b),
+p AS (SELECT * FROM t WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id NULLS LAST) <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, t.id AS negative_id, t.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY t.score DESC, t.id NULLS LAST) AS INTEGER) AS rank
+  FROM p JOIN t ON t.a = p.a AND NOT t.same AND 50 * p.score <= 100 * t.score AND 100 * t.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+SQL["op13_hardnegatives"] = OP13
