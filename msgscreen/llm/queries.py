@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from msgscreen.llm import alignment, bpe, hardnegatives, jaccard, packing, pstable, quality, sharding, suffixdedup, topk, toxicity, warc
+from msgscreen.llm import alignment, bpe, hardnegatives, jaccard, packing, pstable, quality, sharding, sitetree, suffixdedup, topk, toxicity, warc
 from msgscreen.llm.common import table
 
 
@@ -70,6 +70,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_sitetree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    rows = sitetree.extract(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's tokens under two vocabularies, grouped at shared ends, links counted over all documents."""
     import public_tokenizers
@@ -82,4 +88,4 @@ def op13_hardnegatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardnegatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_quality": op2_quality, "op8_toxicity": op8_toxicity, "op3_pstable": op3_pstable, "op4_topk": op4_topk, "op5_suffixdedup": op5_suffixdedup, "op6_packing": op6_packing, "op7_bpe": op7_bpe, "op9_jaccard": op9_jaccard, "op10_sharding": op10_sharding, "op12_alignment": op12_alignment, "op13_hardnegatives": op13_hardnegatives}
+QUERIES = {"op1_warc": op1_warc, "op2_quality": op2_quality, "op8_toxicity": op8_toxicity, "op3_pstable": op3_pstable, "op4_topk": op4_topk, "op5_suffixdedup": op5_suffixdedup, "op6_packing": op6_packing, "op7_bpe": op7_bpe, "op9_jaccard": op9_jaccard, "op10_sharding": op10_sharding, "op11_sitetree": op11_sitetree, "op12_alignment": op12_alignment, "op13_hardnegatives": op13_hardnegatives}
