@@ -298,10 +298,13 @@ _EVENT_TEXT = """CASE e.event_id % 4 WHEN 0 THEN concat(cast(100000 + e.event_id
    WHEN 2 THEN 'Appointment reminder: Dentist tomorrow at 2pm' ELSE concat('Hey, are we still meeting at ', cast(e.event_id % 12 AS string), 'pm?') END"""
 
 TRAFFIC_CTES = f"""
+pgn AS (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT page_id FROM pages WHERE page_id IS NOT NULL)),
+evn AS (SELECT event_id, dense_rank() OVER (ORDER BY event_id) - 1 AS place FROM events WHERE event_id % 4 = 0),
+car AS (SELECT DISTINCT evn.event_id, concat('pg', CAST(pgn.page_id AS VARCHAR)) AS mid FROM evn JOIN pgn ON evn.place % pgn.n = pgn.place),
 tr0 AS (SELECT e.event_id, CAST(e.ts AS TIMESTAMP) AS ts, concat('+1555', CAST(2000000 + e.user_id AS VARCHAR)) AS sender,
   coalesce(pm.text, {_EVENT_TEXT}) AS body, e.event_type, e.value AS latency_ms, e.event_type = 'error' AS is_error,
   e.event_type <> 'view' AS via_sms, CAST(e.ts AS DATE) AS date
-  FROM events e LEFT JOIN m pm ON e.event_id % 4 = 0 AND pm.message_id = concat('pg', CAST(e.event_id % greatest(1, (SELECT count(*) FROM pages)) AS VARCHAR))),
+  FROM events e LEFT JOIN car ON e.event_id = car.event_id LEFT JOIN m pm ON pm.message_id = car.mid),
 tr AS (SELECT *, event_id AS message_id, {_forward('body')} AS text FROM tr0),
 g AS (SELECT *, CAST({D.COST_PER_MESSAGE} AS DECIMAL(12,4)) AS cost,
   (row_number() OVER (PARTITION BY date ORDER BY ts, event_id) - 1) * CAST({D.COST_PER_MESSAGE} AS DECIMAL(12,4)) AS asked FROM tr0 WHERE via_sms),
