@@ -150,7 +150,7 @@ def last_override(messages: DataFrame, overrides: DataFrame, key: str = "date",
 
 def apply_overrides(traffic: DataFrame, overrides: DataFrame, cost: str = D.COST_PER_MESSAGE,
                     limit: str = D.DAILY_SPEND_LIMIT, key: str = "date", ts: str = "ts", tie: str = "event_id",
-                    bucket_seconds: int = 60) -> DataFrame:
+                    bucket_seconds: int = 60, state: DataFrame | None = None) -> DataFrame:
     """The gate with manual overrides. The service's state is the last of
     {override, crossing}: the first accepted message whose cost brings the
     day's spend to the limit closes the service once a day; before it the last
@@ -160,19 +160,41 @@ def apply_overrides(traffic: DataFrame, overrides: DataFrame, cost: str = D.COST
     c = F.lit(cost).cast(MONEY) if "cost" not in traffic.columns else F.col("cost").cast(MONEY)
     lim, zero = F.lit(limit).cast(MONEY), F.lit(0).cast(MONEY)
     t = last_override(traffic.withColumn("cost", c), overrides, key, ts, tie, bucket_seconds)
+    spent, crossed_before = zero, F.lit(None).cast("timestamp")
+    if state is not None:
+        t = t.join(F.broadcast(state.select(key, F.col("spent").alias("_spent"), F.col("crossed").alias("_was"), F.struct("action", "at").alias("_act"))), key, "left")
+        t = t.withColumns({"override": F.coalesce("override", "_act.action"), "override_ts": F.coalesce("override_ts", "_act.at")})
+        spent, crossed_before = F.coalesce("_spent", zero), F.col("_was")
     is_open = F.coalesce(F.col("override") == "enable", F.lit(True))
     t = t.withColumn("_open", is_open).withColumn("_paid", F.when(F.col("_open"), F.col("cost")).otherwise(zero))
-    t = running_sum(t, "_paid", key, ts, tie, bucket_seconds)
+    t = running_sum(t, "_paid", key, ts, tie, bucket_seconds).withColumn("_before", (F.col("_before") + spent).cast(MONEY))
     crossing = F.col("_open") & (F.col("_before") < lim) & (F.col("_before") + F.col("_paid") >= lim)
     t = t.withColumn("alert", crossing)
     crossed = t.filter("alert").groupBy(key).agg(F.min(ts).alias("_crossed"))        # one row per day
-    t = t.join(crossed, key, "left")
+    t = t.join(crossed, key, "left").withColumn("_crossed", F.coalesce("_crossed", crossed_before))
     reopened = F.coalesce((F.col("override") == "enable") & (F.col("override_ts") > F.col("_crossed")), F.lit(False))
     t = t.withColumn("accepted", F.when(F.col("_before") < lim, F.col("_open")).otherwise(reopened))
     t = t.withColumn("_paid", F.when(F.col("accepted"), F.col("cost")).otherwise(zero)).drop("_before")
     return (running_sum(t, "_paid", key, ts, tie, bucket_seconds)
-            .withColumn("spend_before", F.col("_before")).withColumn("service_enabled", F.col("accepted"))
-            .drop("_before", "_paid", "_open", "_crossed", "override_ts"))
+            .withColumn("spend_before", (F.col("_before") + spent).cast(MONEY)).withColumn("service_enabled", F.col("accepted"))
+            .drop("_before", "_paid", "_open", "_crossed", "override_ts", "_spent", "_was", "_act"))
+
+
+STATE = f"date date, spent {MONEY}, crossed timestamp, action string, at timestamp"
+
+
+def gate_state(gated: DataFrame, overrides: DataFrame, before: DataFrame, key: str = "date", ts: str = "ts", tie: str = "event_id") -> DataFrame:
+    """The state after ``gated`` (of :func:`apply_overrides`) and ``overrides``, from the state before: what each day
+    has cost, when it crossed the limit, and its last override."""
+    last = overrides.groupBy(key).agg(F.max_by(F.struct("action", F.col(ts).alias("at")), F.struct(ts, tie)).alias("o"))
+    none = F.lit(None).cast("timestamp")
+    parts = (before.select(key, "spent", "crossed", "action", "at")
+             .unionByName(gated.select(key, F.when(F.col("accepted"), F.col("cost")).otherwise(0).cast(MONEY).alias("spent"), F.when(F.col("alert"), F.col(ts)).alias("crossed"),
+                                       F.lit(None).cast("string").alias("action"), none.alias("at")))
+             .unionByName(last.select(key, F.lit(0).cast(MONEY).alias("spent"), none.alias("crossed"), "o.action", "o.at")))
+    # a later batch's override is the later one: its instants lie behind the frontier of the batch before
+    return parts.groupBy(key).agg(F.sum("spent").cast(MONEY).alias("spent"), F.min("crossed").alias("crossed"),
+                                  F.max_by("action", "at").alias("action"), F.max("at").alias("at"))
 
 
 def reconcile(ledger: DataFrame, provider: DataFrame) -> DataFrame:
@@ -279,13 +301,22 @@ def volume_spikes(traffic: DataFrame, trailing: int = 24, factor: float = 3.0) -
     the previous ``trailing`` hours (hours without requests count as 0, hours
     before the first request don't count); spike when count > factor x mean.
     The window runs over the hours' small table."""
+    return hourly_spikes(hourly_counts(traffic), trailing, factor)
+
+
+def hourly_counts(traffic: DataFrame) -> DataFrame:
+    """(hour, requests, errors): hours since the epoch."""
     hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000)).cast("long")
-    g = traffic.groupBy(hour.alias("hour")).agg(
-        F.count(F.lit(1)).alias("requests"), F.count_if(F.col("is_error")).alias("errors"))
+    return traffic.groupBy(hour.alias("hour")).agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("is_error")).alias("errors"))
+
+
+def hourly_spikes(hours: DataFrame, trailing: int = 24, factor: float = 3.0, first_hour: int | None = None) -> DataFrame:
+    """:func:`volume_spikes` from the hours' counts; ``first_hour`` where these don't reach back to the first request."""
     w = Window.orderBy("hour").rangeBetween(-trailing, -1)
-    past = F.least(F.lit(trailing), F.col("hour") - F.min("hour").over(Window.partitionBy()))
+    first = F.min("hour").over(Window.partitionBy()) if first_hour is None else F.lit(first_hour).cast("long")
+    past = F.least(F.lit(trailing), F.col("hour") - first)
     mean = F.when(past > 0, F.coalesce(F.sum("requests").over(w), F.lit(0)) / past)
-    return (g.withColumn("trailing_mean", mean)
+    return (hours.withColumn("trailing_mean", mean)
              .withColumn("error_rate", F.col("errors") / F.col("requests"))
              .withColumn("spike", F.col("requests") > F.col("trailing_mean") * factor)
              .withColumn("high_errors", F.col("error_rate") > D.ERROR_RATE_ALERT)
@@ -296,7 +327,8 @@ def sender_sessions(traffic: DataFrame, gap_seconds: int = 1800, key: str = "sen
                     tie: str = "event_id", bucket_seconds: int = 3600, min_messages: int = 20) -> DataFrame:
     """X8 (batch form): per-sender sessions (a new session after more than
     ``gap_seconds`` of silence) with message count, start, end and an
-    ``unusual`` flag (more than ``min_messages`` in one session).
+    ``unusual`` flag (more than ``min_messages`` in one session). Rows without
+    a sender have no session.
 
     Skew-safe sessionization, two-level like the gate: rows are ordered only
     inside (sender, time bucket); each bucket's first row finds its

@@ -1,4 +1,5 @@
-"""Structured Streaming forms of the inbound-SMS jobs.
+"""Structured Streaming forms of the inbound-SMS jobs (X1–X6). Delivery to tables is in
+:mod:`delivery`, the gate for rows out of order in :mod:`ordered`, X7 and X8 in :mod:`stateful`.
 
 Event time everywhere: ``ts`` must be a zoned TIMESTAMP (the driver's parquet
 loads as TIMESTAMP_NTZ, which ``withWatermark`` rejects, so sources cast it).
@@ -8,12 +9,8 @@ executor) resumes without lost or double-counted updates.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import dictionaries as D
 from ..functions import text as T
@@ -153,37 +150,3 @@ def feedback_trigger_stream(feedback: DataFrame, every: int = D.FEEDBACK_RETRAIN
     state is one counter, merged from partial counts (complete mode)."""
     return (feedback.groupBy().agg(F.count(F.lit(1)).alias("feedback_count"))
             .withColumn("retrains_triggered", F.floor(F.col("feedback_count") / every).cast("long")))
-
-
-RATE_OUT = "event_id long, sender string, ts timestamp, recent long, throttled boolean"
-RATE_STATE = "ts_us array<long>"
-
-
-def sender_rate_stream(stream: DataFrame, limit: int = D.SENDER_RATE_LIMIT, seconds: int = D.SENDER_RATE_WINDOW_S,
-                       watermark: str = "10 minutes") -> DataFrame:
-    """X7 live: per sender, messages in the last ``seconds`` (inclusive) at
-    each message, throttled over ``limit``. State per sender keeps the
-    timestamps that a message within the watermark may still count (those
-    up to ``seconds`` before the watermark) and expires when it has passed all."""
-    span = seconds * 1_000_000
-
-    def rate(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="mergesort")
-        us = (pdf["ts"].astype("datetime64[us]").astype("int64")).tolist()
-        allts = sorted(kept + us)
-        import bisect
-        recent = [bisect.bisect_right(allts, t) - bisect.bisect_left(allts, t - span) for t in us]
-        newest = max(allts) if allts else 0
-        oldest = state.getCurrentWatermarkMs() * 1000 - span
-        state.update(([t for t in allts if t >= oldest],))
-        state.setTimeoutTimestamp(int(newest // 1000) + seconds * 1000)
-        yield pd.DataFrame({"event_id": pdf["event_id"].values, "sender": key[0], "ts": pdf["ts"].values,
-                            "recent": recent, "throttled": [r > limit for r in recent]})
-
-    s = stream.withWatermark("ts", watermark)
-    return s.select("event_id", "sender", "ts").groupBy("sender").applyInPandasWithState(
-        rate, RATE_OUT, RATE_STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -55,13 +55,8 @@ def test_stream_parity(spark):
     assert gate.count() == bg.count()
 
 
-def test_rate_limit_and_trigger_streams(spark):
+def test_trigger_stream(spark):
     d = _write_inbound(spark)
-    rate = _run(SJ.sender_rate_stream(SJ.inbound_stream(spark, d + "/in")), d, "x7_out")
-    exp = TR.sender_rate_limit(TP.inbound(spark, SF0001)).select("event_id", "recent", "throttled")
-    assert rate.count() == exp.count()
-    assert rate.select("event_id", "recent", "throttled").exceptAll(exp).count() == 0
-
     fb = spark.range(250).select(F.col("id").cast("string").alias("message"))
     fb.write.mode("overwrite").json(d + "/fb")
     src = spark.readStream.schema("message string").json(d + "/fb")
@@ -97,16 +92,3 @@ def test_missing_ids_and_bodies(spark, tmp_path):
     out = {r["event_id"]: r for r in SJ.run_available(SJ.classify_stream(SJ.inbound_stream(spark, f"{tmp_path}/in")), f"{tmp_path}/out", f"{tmp_path}/ck").collect()}
     assert len(out) == 6 and out[4]["classification"] is None and out[4]["is_error"] and "Error" in out[4]["reply"]
     assert out[3]["classification"] == "ham"
-
-
-def test_rate_limit_counts_late_rows(spark, tmp_path):
-    import datetime as dt
-    import time
-    base = dt.datetime(2024, 1, 1)
-    for n, seconds in enumerate(([0, 10, 20, 300], [30])):
-        part = spark.createDataFrame([(100 * n + i, base + dt.timedelta(seconds=s), "a") for i, s in enumerate(seconds)], "event_id long, ts timestamp, sender string")
-        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        time.sleep(1.1)
-    stream = spark.readStream.schema("event_id long, ts timestamp, sender string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    got = {r["event_id"]: r["recent"] for r in _run(SJ.sender_rate_stream(stream), str(tmp_path), "x7_late").collect()}
-    assert got == {0: 1, 1: 2, 2: 3, 3: 1, 100: 4}
