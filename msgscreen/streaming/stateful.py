@@ -93,8 +93,10 @@ def sender_sessions_stream(stream: DataFrame, gap_seconds: int = 1800, min_messa
     """X8 live: a row per session when the watermark has passed its end; rows without a sender have no session. Start it within :func:`stream_settings`."""
     # sessions that touch are one: a silence of exactly the gap does not end a session
     window = F.session_window("ts", f"{gap_seconds} seconds")
-    return (stream.withWatermark("ts", watermark).where("sender IS NOT NULL").groupBy("sender", window.alias("w"))
-            .agg(F.count(F.lit(1)).alias("messages"), F.min("ts").alias("session_start"), F.max("ts").alias("session_end"))
+    # rows without a sender go only here, where they have moved the watermark: a filter on the key would be pushed below it
+    return (stream.withWatermark("ts", watermark).groupBy("sender", window.alias("w"))
+            .agg(F.count(F.lit(1)).alias("messages"), F.min("ts").alias("session_start"), F.max("ts").alias("session_end"), F.count("sender").alias("_named"))
+            .where("_named > 0")
             .select("sender", "messages", "session_start", "session_end", (F.col("messages") > min_messages).alias("unusual")))
 
 
