@@ -15,15 +15,13 @@ def crc32_table() -> list[int]:
 
 OP4 = """
 WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS w
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
-  GROUP BY vec_id),
-q AS (SELECT vec_id AS query_id, unnest(w) AS x, unnest(range(len(w))) AS d FROM v WHERE vec_id % 50 = 0),
-c AS (SELECT vec_id, unnest(w) AS x, unnest(range(len(w))) AS d FROM v),
-s AS (SELECT query_id, vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score FROM q JOIN c USING (d) WHERE query_id <> vec_id GROUP BY ALL),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c AS (SELECT r, unnest(w) AS x, unnest(range(len(w))) AS d FROM v),
+s AS (SELECT q.r AS q, c.r AS c, CAST(sum(q.x * c.x) AS BIGINT) AS score FROM c q JOIN v ON v.r = q.r AND v.vec_id % 50 = 0 JOIN c ON q.d = c.d AND q.r <> c.r GROUP BY ALL),
+r AS (SELECT a.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, b.vec_id NULLS LAST) AS INTEGER) AS rank, b.vec_id, score
+  FROM s JOIN v a ON a.r = q JOIN v b ON b.r = c)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 

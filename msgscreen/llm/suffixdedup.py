@@ -15,8 +15,8 @@ suffixes are sorted by induced sorting, and permuted common prefixes of
 context that came more than once repeat by its count. An anchor value whose
 contexts exceed ``SHARD_BYTES`` is cut into blocks, a shard for each pair.
 
-Texts are named by a 64-bit hash, contexts by two; the comparison of strings
-itself is exact.
+Contexts of one anchor value are named by a 128-bit hash of their bytes, whole
+texts by a 64-bit hash; the comparison of strings in a shard is exact.
 
 Defined cases: a null text is empty; texts shorter than ``LENGTH`` keep all;
 matches never cross documents; repeated rows repeat each other; removed bytes
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,12 +39,17 @@ from msgscreen.llm.suffixes import hashes_of, permuted_common_prefixes, suffix_a
 
 LENGTH, GRAM = 200, 32
 SHARD_BYTES = 1 << 20
+#: What tells contexts apart: anchor value and name.
+CONTEXT = ["anchor", "context", "other"]
 
 
 def contexts(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor value, name, first string, strings, whether the anchor value stands at several places) of each context."""
+    """(anchor value, name, first string, strings, whether the anchor value stands at several places) of each context.
+
+    The anchor value is a sum that may agree for different substrings, which only lets their contexts meet; the name,
+    two columns, is a 128-bit hash of the context's bytes."""
     if len(text) < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, bool),)
+        return np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     width = length - gram + 1
     total, inverse = hashes_of(np.frombuffer(text, np.uint8))
     h = (total[gram:] - total[:-gram]) * inverse[:len(text) - gram + 1]
@@ -64,10 +70,9 @@ def contexts(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
     leaves = (h[:len(least)] == least) & np.concatenate([same, [False]])
     enters = (h[width - 1:] == least) & np.concatenate([[False], same])
     several = np.logical_or.reduceat(leaves | enters, first)
-    stop = first + strings - 1 + length
-    name = (total[stop] - total[first]) * inverse[first] + strings.astype(np.uint64)
-    name ^= name >> np.uint64(31)
-    return least[first].view(np.int64), (name * np.uint64(0x94D049BB133111EB)).view(np.int64), first, strings, several
+    view, stop = memoryview(text), first + strings - 1 + length
+    names = b"".join([xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(first.tolist(), stop.tolist(), strict=True)])
+    return least[first].view(np.int64), np.frombuffer(names, np.int64).reshape(-1, 2), first, strings, several
 
 
 def repeats(texts: list[bytes], strings: list[int], length: int = LENGTH) -> list[list[tuple[int, int]]]:
@@ -118,20 +123,20 @@ def repeated_runs(docs: DataFrame, text: str) -> DataFrame:
                 seen[name] = seen.get(name, 0) + 1
                 if seen[name] <= 2:  # a third copy in a task tells nothing more
                     anchor, context, first, strings, several = contexts(x.encode())
-                    out.append((name, anchor, context, first << 32 | strings << 1 | several))
-            yield pd.DataFrame(out, columns=["_name", "anchor", "context", "place"])
+                    out.append((name, anchor, context[:, 0], context[:, 1], first << 32 | strings << 1 | several))
+            yield pd.DataFrame(out, columns=["_name", *CONTEXT, "place"])
 
-    found = rows.where(F.octet_length("_text") >= LENGTH).mapInPandas(find, "_name long, anchor array<long>, context array<long>, place array<long>")
-    found = found.select("_name", F.explode(F.arrays_zip("anchor", "context", "place")).alias("x")).select("_name", "x.anchor", "x.context", "x.place")
+    found = rows.where(F.octet_length("_text") >= LENGTH).mapInPandas(find, "_name long, anchor array<long>, context array<long>, other array<long>, place array<long>")
+    found = found.select("_name", F.explode(F.arrays_zip(*CONTEXT, "place")).alias("x")).select("_name", "x.*")
     found = found.withColumn("all", F.count("*").over(Window.partitionBy("anchor")))
     found = stash(found.where("all > 1 OR place % 2 = 1").drop("all"), "repeat-contexts")
 
-    one = found.groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(F.struct("_name", "place")).alias("at"))
+    one = found.groupBy(*CONTEXT).agg(F.count("*").alias("copies"), F.min(F.struct("_name", "place")).alias("at"))
     size = F.shiftright("at.place", 1).bitwiseAND(F.lit(0x7FFFFFFF)) + LENGTH
     one = one.withColumn("bytes", F.sum(size).over(Window.partitionBy("anchor")))
-    one = stash(one.select("anchor", "context", "copies", "at._name", "at.place", F.ceil(F.col("bytes") / SHARD_BYTES).cast("int").alias("blocks")), "repeat-distinct")
+    one = stash(one.select(*CONTEXT, "copies", "at._name", "at.place", F.ceil(F.col("bytes") / SHARD_BYTES).cast("int").alias("blocks")), "repeat-distinct")
 
-    wanted = one.groupBy("_name").agg(F.collect_list(F.struct("anchor", "context", "copies", "place", "blocks")).alias("cuts"))
+    wanted = one.groupBy("_name").agg(F.collect_list(F.struct(*CONTEXT, "copies", "place", "blocks")).alias("cuts"))
     test = passing(one, bit_filter(one.select("_name").distinct(), "_name"))
     texts = rows.where(test("_name")).groupBy("_name").agg(F.first("_text").alias("_text"))
 
@@ -142,10 +147,10 @@ def repeated_runs(docs: DataFrame, text: str) -> DataFrame:
                 raw = x.encode()
                 for c in cuts:
                     a, n = c["place"] >> 32, c["place"] >> 1 & 0x7FFFFFFF
-                    out.append((c["anchor"], c["context"], c["copies"], n, c["blocks"], raw[a:a + n - 1 + LENGTH]))
-            yield pd.DataFrame(out, columns=["anchor", "context", "copies", "strings", "blocks", "bytes"])
+                    out.append((c["anchor"], c["context"], c["other"], c["copies"], n, c["blocks"], raw[a:a + n - 1 + LENGTH]))
+            yield pd.DataFrame(out, columns=[*CONTEXT, "copies", "strings", "blocks", "bytes"])
 
-    pieces = texts.join(wanted, "_name").select("_text", "cuts").mapInPandas(cut, "anchor long, context long, copies long, strings long, blocks int, bytes binary")
+    pieces = texts.join(wanted, "_name").select("_text", "cuts").mapInPandas(cut, "anchor long, context long, other long, copies long, strings long, blocks int, bytes binary")
     total = one.agg(F.sum(F.shiftright("place", 1).bitwiseAND(F.lit(0x7FFFFFFF)) + LENGTH)).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     pieces = spread_blocks(pieces, "blocks", "context")
@@ -155,13 +160,13 @@ def repeated_runs(docs: DataFrame, text: str) -> DataFrame:
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, group in runs(batches, ["split", "shard", "i", "j"]):
             spans = repeats(group["bytes"].tolist(), group["strings"].tolist())
-            out = [(a, c, [(0, n)] if k > 1 else s) for a, c, n, k, s in zip(group["anchor"], group["context"], group["strings"], group["copies"], spans, strict=True) if s or k > 1]
-            yield pd.DataFrame([(a, c, [x for x, _ in s], [y for _, y in s]) for a, c, s in out], columns=["anchor", "context", "from", "to"])
+            out = [(*c, [(0, n)] if k > 1 else s) for *c, n, k, s in zip(*(group[x] for x in CONTEXT), group["strings"], group["copies"], spans, strict=True) if s or k > 1]
+            yield pd.DataFrame([(*c, [x for x, _ in s], [y for _, y in s]) for *c, s in out], columns=[*CONTEXT, "from", "to"])
 
-    marked = (pieces.select("split", "shard", "i", "j", "anchor", "context", "copies", "strings", "bytes").repartition("split", "shard", "i", "j")
-              .sortWithinPartitions("split", "shard", "i", "j", "anchor", "context").mapInPandas(sort, "anchor long, context long, from array<long>, to array<long>"))
+    marked = (pieces.select("split", "shard", "i", "j", *CONTEXT, "copies", "strings", "bytes").repartition("split", "shard", "i", "j")
+              .sortWithinPartitions("split", "shard", "i", "j", *CONTEXT).mapInPandas(sort, "anchor long, context long, other long, from array<long>, to array<long>"))
     marked = stash(marked, "repeat-marked")
-    hits = found.join(marked, ["anchor", "context"]).select("_name", "place", F.explode(F.arrays_zip("from", "to")).alias("x"))
+    hits = found.join(marked, CONTEXT).select("_name", "place", F.explode(F.arrays_zip("from", "to")).alias("x"))
     base = F.shiftright("place", 32)
     hits = hits.select("_name", (base + F.col("x.from")).alias("from"), (base + F.col("x.to")).alias("to")).distinct()
     return stash(hits.groupBy("_name").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs")), "repeat-runs")

@@ -156,10 +156,14 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         rough = rough[is_seed[rough]].astype(np.int64)
         follows = np.full(len(text), len(text) - 1, dtype=np.int64)
         follows[seeds[:-1]] = seeds[1:]
-        total, inverse = hashes_of(text)
-        stop = np.minimum(follows[rough] + 1, len(text))
-        mark, length = (total[stop] - total[rough]) * inverse[rough], stop - rough
-        new = np.concatenate([[False], (mark[1:] != mark[:-1]) | (length[1:] != length[:-1])])
+        length = np.minimum(follows[rough] + 1, len(text)) - rough
+        new = np.concatenate([[False], length[1:] != length[:-1]])
+        alike = np.flatnonzero(~new[1:]) + 1  # as long as the one before: letters decide
+        sizes = length[alike]
+        border = np.concatenate([[0], np.cumsum(sizes)])
+        place = np.arange(border[-1]) - np.repeat(border[:-1], sizes)
+        differ = text[np.repeat(rough[alike], sizes) + place] != text[np.repeat(rough[alike - 1], sizes) + place]
+        new[alike] = np.add.reduceat(differ, border[:-1]) > 0 if len(alike) else False
         names = np.zeros(len(text), dtype=np.int64)
         names[rough] = np.cumsum(new)
         seeds = seeds[order_names(names[seeds])]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from msgscreen.llm import jaccard, pstable, queries, suffixdedup, topk
 from msgscreen.llm.common import bit_filter, components, may_be_in
-from msgscreen.llm.suffixes import permuted_common_prefixes, suffix_array
+from msgscreen.llm.suffixes import hashes_of, permuted_common_prefixes, suffix_array
 
 from .conftest import SF0001, words
 
@@ -167,6 +167,29 @@ def test_repeats_in_blocks(spark, monkeypatch):
         assert Counter((r.doc_id, r["cut"].n_bytes, r["cut"].n_removed, r["cut"].n_spans, hashlib.sha256(r["cut"].kept).hexdigest()) for r in got) == brute_repeats(rows)
 
 
+def test_texts_whose_sums_agree_share_nothing(spark):
+    """Two texts of blocks that swap two bytes by the parity of the index's bits: sums of powers of any odd number agree."""
+    rng = np.random.default_rng(8)
+    pool = rng.integers(97, 123, 200_000, dtype=np.uint8)
+    total, inverse = hashes_of(pool)
+    h = (total[32:] - total[:-32]) * inverse[:len(pool) - 31]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    gram = pool[h.argmin():][:32].tobytes()  # the anchor of every string that holds it
+    middles = [rng.integers(97, 123, 31, dtype=np.uint8).tobytes() for _ in range(128)]
+
+    def text(odd):
+        return b"".join(gram + m + bytes([48 + (i.bit_count() + odd) % 2]) for i, m in enumerate(middles)) + gram
+
+    parts = [suffixdedup.contexts(text(x)) for x in (0, 1)]
+    assert [len(p[0]) for p in parts] == [1, 1] and parts[0][0] == parts[1][0] and (parts[0][1] != parts[1][1]).any()
+    assert all(len(text(x)) == 8224 for x in (0, 1))
+    rows = [(1, text(0).decode()), (2, text(1).decode())]
+    got = suffixdedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r["cut"].n_bytes, r["cut"].n_removed, r["cut"].n_spans, hashlib.sha256(r["cut"].kept).hexdigest()) for r in got) == brute_repeats(rows)
+
+
 def test_op5(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF0001}/documents.parquet").collect()]
     assert Counter(map(tuple, queries.op5_suffixdedup(spark, SF0001).collect())) == brute_repeats(rows)
@@ -229,19 +252,17 @@ def test_top_k(spark, monkeypatch, stripes):
         monkeypatch.setattr(topk, "QUERY_STRIPE", stripes[1])
     rows = make_vectors(60)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("x")).withColumn("rank", F.lit(0))
-    best = {}
-    for key, v in rows:
-        if key is not None and fine(v):
-            w = [math.floor(256 * x) for x in v]
-            best[key] = min(best.get(key, w), w)
-    want = set()
-    for q, x in best.items():
-        if q % 10 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(x, y, strict=False)), c) for c, y in best.items() if c != q)
-            want |= {(q, n, c, -s) for n, (s, c) in enumerate(scored[:5], 1)}
-    assert {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 10 == 0).collect()} == want
+    rows = [(k, [math.floor(256 * x) for x in v]) for k, v in rows if fine(v)]
+    want = Counter()
+    for i, (q, x) in enumerate(rows):
+        if q is not None and q % 10 == 0:
+            scored = sorted(((-sum(a * b for a, b in zip(x, y, strict=False)), c is None, c or 0) for j, (c, y) in enumerate(rows) if j != i))
+            want.update((q, n, None if no else c, -s) for n, (s, no, c) in enumerate(scored[:5], 1))
+    assert Counter(map(tuple, topk.top_k(df, F.col("vec_id") % 10 == 0).collect())) == want
     assert topk.top_k(df.where("false"), F.col("vec_id") % 10 == 0).count() == 0
     assert topk.top_k(df.where("vec_id = 3"), F.col("vec_id") >= 0).count() == 0
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 0.0]), (None, [9.0, 0.0])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in topk.top_k(few, F.col("vec_id") % 50 == 0).orderBy("rank").collect()] == [(0, 1, None, 589_824), (0, 2, 1, 196_608), (0, 3, 1, 131_072)]
 
 
 def test_a_worker_keeps_one_operators_caches():
