@@ -40,15 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from msgscreen.llm.bpe import byte_symbols
-from msgscreen.llm.chunks import Generations
+from msgscreen.llm.chunks import Generations, some
 from msgscreen.llm.common import hold, small_batches, stash
 
 #: Words whose groups a worker keeps, in each of two generations.
 WORDS_KEPT = 250_000
 #: Longer words are aligned each time, so that what a worker keeps is bounded.
 LONG_WORD = 256
-#: Characters whose new words are encoded in one call.
-TOGETHER = 1_000_000
 #: Rows of the table of links that may be broadcast (16 bytes each).
 TABLE_LINKS = 4_000_000
 #: Links that a task sums before it hands them on.
@@ -199,19 +197,6 @@ class Aligner:
         return out
 
 
-def some(texts: pd.Series) -> Iterator[list[str]]:
-    """The texts in order, a few at a time (``TOGETHER`` characters, or one text); null as empty."""
-    held, size = [], 0
-    for x in texts:
-        held.append(x if isinstance(x, str) else "")
-        size += len(held[-1])
-        if size >= TOGETHER:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 @lru_cache(maxsize=1)
 def aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)

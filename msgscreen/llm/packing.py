@@ -18,7 +18,9 @@ steps go on with the best total price at any fill; lengths that nothing left can
 join are taken whole. When few pieces are left, they are placed best-fit, longest first,
 equal sequences together.
 
-The plan has a number of configurations that grows with the logarithm of the
+The result is the better of this plan and of best-fit of all pieces, so it never
+needs more sequences than best-fit; :func:`least_sequences` bounds any plan from
+below. The plan has a number of configurations that grows with the logarithm of the
 counts. Spark then ranks the pieces of each length (in hash ranges, no window
 spans a length) and the rank alone gives sequence and offset from the plan.
 
@@ -43,7 +45,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from msgscreen.llm.chunks import BEYOND, CHUNKS_KEPT, SPLIT, ChunkCache
+from msgscreen.llm.chunks import BEYOND, CHUNKS_KEPT, SPLIT, ChunkCache, some
 from msgscreen.llm.common import hold, small_batches, stash
 
 CAPACITY = 2048
@@ -115,8 +117,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "
         cache = library_ids(path, chunks_kept)
         for batch in batches:
             out = []
-            for x in batch:
-                ids = (cache.ids(x) if isinstance(x, str) else b"") + tail
+            for ids in (i + tail for together in some(batch) for i in cache.ids_of(together)):
                 parts = [ids[a:a + 4 * capacity] for a in range(0, len(ids), 4 * capacity)]
                 out.append([{"piece": n, "start": n * capacity, "length": len(p) // 4, "ids_crc32": zlib.crc32(p)} | ({"ids": p} if with_ids else {}) for n, p in enumerate(parts)])
             yield pd.Series(out, dtype=object)
@@ -187,8 +188,38 @@ def best_fit(left: Counter, capacity: int) -> list[Counter]:
     return [Counter(config) for config, times in best_fit_counted(left, capacity) for _ in range(times)]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, seed: int = 1) -> list[tuple[Counter, int]]:
-    """(configuration, how many sequences are filled so) that together hold ``counts`` pieces of each length."""
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Counter, int]]:
+    """(configuration, how many sequences are filled so) that together hold ``counts`` pieces of each length:
+    the rounded program's, or best-fit's where that needs fewer."""
+    return min(rounded(counts, capacity), best_fit_counted(counts, capacity), key=sequences)
+
+
+def sequences(configs: list[tuple[Counter, int]]) -> int:
+    return sum(times for _, times in configs)
+
+
+def least_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> float:
+    """A lower bound of any plan, from the program's dual: prices under which no configuration is worth more than 1.
+
+    Three kinds of prices, the best counts: a piece's share of the capacity; 1 for a piece of more than half of it, and a
+    half for one of just half; and steps by how many of a piece fit (1 / k for more than 1 / (k + 1) of the capacity),
+    scaled by the knapsack's best configuration."""
+    lengths = np.array(sorted(counts), dtype=np.int64)
+    n = np.array([counts[x] for x in lengths.tolist()], dtype=np.float64)
+    if not len(lengths):
+        return 0.0
+    fit = capacity // lengths
+    bounds = [(n * lengths).sum() / capacity, (n * np.where(2 * lengths > capacity, 1.0, np.where(2 * lengths == capacity, 0.5, 0.0))).sum()]
+    for prices in (1 / fit, np.where(fit <= 3, 1 / fit, lengths / capacity)):
+        best = knapsack(prices, lengths, fit, capacity, to_the_brim=False)
+        at = {x: p for x, p in zip(lengths.tolist(), prices.tolist(), strict=True)}
+        worth = sum(at[k] * v for k, v in best.items())
+        bounds.append((n * prices).sum() / max(worth, 1e-12))
+    return float(max(bounds))
+
+
+def rounded(counts: dict[int, int], capacity: int = CAPACITY, seed: int = 1) -> list[tuple[Counter, int]]:
+    """The configuration program by multiplicative weights, rounded step by step."""
     out: list[tuple[Counter, int]] = []
     if counts.get(capacity):
         out.append((Counter({capacity: 1}), counts[capacity]))

@@ -280,7 +280,9 @@ class Page:
         One entry for each node outside furniture that holds text; beside: 1 for what stands beside the page's main element."""
         digests = self.branch_digests()
         out = []
-        for n in self.nodes[1:]:
+        for n in self.nodes:
+            if n is self.root and not n.encloses_main:
+                continue  # a whole page is no branch
             if n.key not in digests or n.furniture or n.tag in MAIN and n.in_main:
                 continue
             if n.encloses_main:

@@ -122,7 +122,7 @@ def test_plan_holds_every_piece(seed):
 def test_plan_goes_on_where_no_sequence_fills(counts, monkeypatch):
     placed, best_fit_counted = [], packing.best_fit_counted
     monkeypatch.setattr(packing, "best_fit_counted", lambda left, capacity: placed.append(sum(left.values())) or best_fit_counted(left, capacity))
-    plan = packing.plan(counts)
+    plan = packing.rounded(counts)
     held = Counter()
     for config, times in plan:
         assert times > 0 and sum(k * v for k, v in config.items()) <= packing.CAPACITY
@@ -132,6 +132,37 @@ def test_plan_goes_on_where_no_sequence_fills(counts, monkeypatch):
     assert sum(t for _, t in plan) <= 1.01 * sum(t for _, t in best_fit_counted(counts, packing.CAPACITY)) + 1
 
 
+def lognormal(n, seed=1):
+    rng = np.random.default_rng(seed)
+    return Counter(np.clip(rng.lognormal(6.2, 1.0, n).astype(int), 2, 2048).tolist())
+
+
+@pytest.mark.parametrize("counts", [lognormal(12_000), lognormal(60_000) + Counter({700: 30_000}), lognormal(60_000) + Counter({1100: 20_000}),
+                                    Counter(np.random.default_rng(3).integers(500, 1501, 50_000).tolist()), Counter(np.random.default_rng(4).integers(600, 1001, 50_000).tolist())],
+                         ids=["mixed", "half of 700", "a third of 1100", "500 to 1500", "600 to 1000"])
+def test_plan_is_never_above_best_fit(counts):
+    plan = packing.plan(counts)
+    held = Counter()
+    for config, times in plan:
+        assert times > 0 and sum(k * v for k, v in config.items()) <= packing.CAPACITY
+        held += Counter({k: v * times for k, v in config.items()})
+    assert held == counts
+    used, best = packing.sequences(plan), packing.sequences(packing.best_fit_counted(counts, packing.CAPACITY))
+    assert packing.least_sequences(counts) <= used <= best
+
+
+def test_lower_bound():
+    assert packing.least_sequences({}) == 0 and packing.least_sequences({2048: 7}) == 7
+    assert packing.least_sequences({1025: 10, 3: 4}) == 10 and packing.least_sequences({1024: 10}) == 5
+    assert abs(packing.least_sequences({700: 1000}) - 500) < 1e-6  # two in a sequence
+
+
+def test_texts_together_have_the_ids_of_each(rows):
+    cache = packing.library_ids(VOCABULARY)
+    texts = [t or "" for _, t in rows] + ["<|endoftext|> a", "a\x1cb"]
+    assert cache.ids_of(texts) == [cache.ids(t) for t in texts]
+
+
 def plain_best_fit(counts, capacity):
     rooms = []
     for length in sorted(counts, reverse=True):
