@@ -45,11 +45,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from msgscreen.llm.chunks import BEYOND, CHUNKS_KEPT, SPLIT, ChunkCache, some
+from msgscreen.llm.bpe import byte_symbols
+from msgscreen.llm.chunks import BEYOND, SPLIT, ChunkCache, some
 from msgscreen.llm.common import hold, small_batches, stash
 
 CAPACITY = 2048
 CLOSING_ID = 0
+#: Chunks that a Python worker remembers, in each of two generations.
+CHUNKS_KEPT = 900_000
 STEP = 0.4
 PRICED = 56
 #: Copies of a length that a pricing of drawn lengths considers.
@@ -69,6 +72,7 @@ def library_ids(path: str, kept: int = CHUNKS_KEPT) -> ChunkCache:
     """Ids by the tokenizers library, a chunk at a time, in this thread."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import WhitespaceSplit
 
     t = Tokenizer.from_file(path)
     special = {x.content: i for i, x in t.get_added_tokens_decoder().items()}
@@ -76,30 +80,39 @@ def library_ids(path: str, kept: int = CHUNKS_KEPT) -> ChunkCache:
     end = np.zeros(t.get_vocab_size(), dtype=bool)
     end[[i for x, i in t.get_vocab().items() if x.endswith("</w>")]] = True
 
-    def words_in(chunk: str) -> int:
-        """How many words the library splits it into; -1: to be encoded alone."""
-        if BEYOND.search(chunk):
-            return -1
-        if chunk.isalpha() and "\u0130" not in chunk:  # its small form is a letter and a mark
-            return 1
-        return len(SPLIT.findall(unicodedata.normalize("NFC", chunk).lower()))
+    # the model alone, for words that are prepared here: letters up to Latin, in lower case, as symbols of their bytes
+    plain = Tokenizer(t.model)
+    plain.pre_tokenizer = WhitespaceSplit()
+    of_byte = byte_symbols()
+    letters = {chr(c).lower() for c in range(0x80, 0x250)}  # some small forms lie beyond
+    symbols = {ord(c): "".join(of_byte[b] for b in c.encode()) for x in letters for c in x if c > "\x7f"}
 
-    def encode(chunks: list[str]) -> list[bytes]:
+    def is_word(chunk: str) -> bool:
+        """A single word that may be prepared here (the small form of U+0130 is a letter and a mark)."""
+        return chunk.isalpha() and not BEYOND.search(chunk) and "\u0130" not in chunk
+
+    def encode_words(chunks: list[str], text: str, tokenizer, words: list[int]) -> list[bytes]:
         """Many chunks in one call: a word's last token, and no other, ends a word."""
-        words = list(map(words_in, chunks))
-        together = [c for c, n in zip(chunks, words, strict=True) if n >= 0]
-        ids = np.array(t.encode_batch_fast([" ".join(together)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.concatenate([[0], np.flatnonzero(end[ids]) + 1])
-        borders = iter((4 * ends[np.cumsum([0] + [n for n in words if n >= 0])]).tolist())
-        raw, a, out = ids.tobytes(), next(borders), []
-        for chunk, n in zip(chunks, words, strict=True):
-            if n >= 0:
-                b = next(borders)
-                out.append(raw[a:b])
-                a = b
+        borders = (4 * ends[np.cumsum([0, *words])]).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)]
+
+    def encode(chunks: list[str]) -> list[bytes]:
+        words, several, out = [], [], {}
+        for c in chunks:
+            if is_word(c):
+                words.append(c)
+            elif BEYOND.search(c):  # the library's to split: alone
+                out[c] = np.array(t.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes()
             else:
-                out.append(np.array(t.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes())
-        return out
+                several.append(c)
+        text = " ".join(words).lower().translate(symbols)
+        out.update(zip(words, encode_words(words, text, plain, [1] * len(words)), strict=True))
+        counts = [len(SPLIT.findall(unicodedata.normalize("NFC", c).lower())) for c in several]
+        out.update(zip(several, encode_words(several, " ".join(several), t, counts), strict=True))
+        return [out[c] for c in chunks]
 
     return ChunkCache(encode, special, kept)
 
