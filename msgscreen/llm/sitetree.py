@@ -19,7 +19,7 @@ differs from page to page has 1. Branches below ``LEAST`` are removed from each
 page; what remains is the text, block by block in page order.
 
 Two facts about presentation need no counting and weigh every node: elements
-whose tag, role or class names a page's furniture (``FURNITURE``) have
+whose tag, role or class names a page's furniture (``FURNITURE_*``) have
 importance 0, and an ``article`` or ``main`` element has importance 1. Where
 pages of the host that have E also have such an element outside of which E
 stands, E's importance is multiplied by the share of those that don't: text
@@ -88,6 +88,9 @@ HEAD = frozenset("title meta link base style script noscript template".split())
 HEADER_WORDS = frozenset(["header", "masthead", "banner"])
 DENYING_WORDS = frozenset(["with", "has", "no", "without"])
 
+#: Kinds of nodes: what names furniture, a main element, what stands beside the page's main element, all other.
+PLAIN, BESIDE, MAIN_ELEMENT, FURNITURE = range(4)
+
 _TOKEN = re.compile(
     r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)"""
     r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)""", re.S)
@@ -191,7 +194,9 @@ class Page:
         if tag == "h1" and node.in_main and not furniture:
             self.headline = True
         if furniture or tag in SHAPES or names or tag == "h1" and not node.in_main:
-            node = Node(tag, f"{tag}.{names}" if names else tag, node, furniture or node.furniture)
+            # role and hidden count, but are no part of tag and names: they tell nodes apart
+            name = (f"{tag}.{names}" if names else tag) + ("!" if furniture else "")
+            node = Node(tag, name, node, furniture or node.furniture)
             self.nodes.append(node)
         elif tag not in BLOCKS and not any(t == tag for t, _ in stack):
             return  # an inline mark without a name changes nothing, nor does its end
@@ -261,36 +266,39 @@ class Page:
                     node.texts.append(t)
 
     def branch_digests(self) -> dict[int, int]:
-        """A hash of the text outside furniture of each node's branch, by the node's key; nodes without text have none."""
+        """A hash of the text of each node's branch, by the node's key; furniture counts for itself, not for what holds it."""
         digests: dict[int, int] = {}
         below: dict[int, list[int]] = {}
         for n in reversed(self.nodes):
-            if n.furniture:
-                continue
             parts = below.pop(n.key, [])
             if n.texts or parts:
                 digests[n.key] = _digest(f"{' '.join(' '.join(n.texts).split())}\x00{parts}")
-                if n.parent is not None:
+                if n.parent is not None and (n.parent.furniture or not n.furniture):
                     below.setdefault(n.parent.key, []).append(digests[n.key])
         return digests
 
     def facts(self) -> tuple[int, list[tuple[int, int, int, int]]]:
-        """(hash of all text outside furniture, [(node, style, hash of the branch's text, beside)]).
-
-        One entry for each node outside furniture that holds text; beside: 1 for what stands beside the page's main element."""
+        """(hash of all text outside furniture, [(node, style, hash of the branch's text, kind)]) of the nodes that hold text."""
         digests = self.branch_digests()
         out = []
         for n in self.nodes:
-            if n is self.root and not n.encloses_main:
-                continue  # a whole page is no branch
-            if n.key not in digests or n.furniture or n.tag in MAIN and n.in_main:
+            if n.key not in digests and not n.encloses_main or n.parent is not None and n.parent.furniture:
                 continue
             if n.encloses_main:
                 if n.texts:
-                    out.append((n.loose(), 0, _digest(" ".join(" ".join(n.texts).split())), 1))
+                    out.append((n.loose(), 0, _digest(" ".join(" ".join(n.texts).split())), BESIDE))
                 continue
-            beside = self.has_main and not n.in_main and (n.tag != "h1" or self.headline)
-            out.append((n.key, _digest("|".join(n.children)), digests[n.key], int(beside)))
+            if n is self.root:
+                continue  # a whole page is no branch
+            if n.furniture:
+                kind = FURNITURE
+            elif n.tag in MAIN and n.in_main:
+                kind = MAIN_ELEMENT
+            elif self.has_main and not n.in_main and (n.tag != "h1" or self.headline):
+                kind = BESIDE
+            else:
+                kind = PLAIN
+            out.append((n.key, _digest("|".join(n.children)), digests[n.key], kind))
         return digests.get(0, 0), out
 
     def lines(self, removed: frozenset[int]) -> list[str]:
@@ -315,7 +323,8 @@ def host_of(url: str):
 
 
 def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, node, pages, styles, presentation, content, outside, importance) of each element node that holds text outside furniture."""
+    """(host, node, kind, pages, styles, presentation, content, outside, importance) of each element node that holds text and
+    isn't part of furniture itself."""
     small_batches(pages.sparkSession)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -324,28 +333,31 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
             for host, source in zip(batch["host"], batch["html"], strict=True):
                 whole, found = Page(source).facts()
                 rows += [(host, whole, *f) for f in found]
-            yield pd.DataFrame(rows, columns=["host", "whole", "node", "style", "content", "beside"])
+            yield pd.DataFrame(rows, columns=["host", "whole", "node", "style", "content", "kind"])
 
     rows = pages.select(host_of(url).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html")).mapInPandas(
-        read, "host string, whole long, node long, style long, content long, beside long")
+        read, "host string, whole long, node long, style long, content long, kind long")
     # copies of a page are one; a node stands once on a page
-    once = rows.groupBy("host", "node", "whole").agg(F.min(F.struct("style", "content", "beside")).alias("f")).select("host", "node", "f.*")
-    texts = once.groupBy("host", "node", "style", "content").agg(F.count("*").alias("c"), F.sum("beside").alias("beside"))
-    styles = texts.groupBy("host", "node", "style").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("clogc"), F.sum("beside").alias("beside"))
+    once = rows.groupBy("host", "node", "whole").agg(F.min(F.struct("style", "content", "kind")).alias("f")).select("host", "node", "f.*")
+    texts = once.groupBy("host", "node", "style", "content").agg(F.count("*").alias("c"), F.count_if(F.col("kind") == BESIDE).alias("beside"), F.max("kind").alias("kind"))
+    styles = texts.groupBy("host", "node", "style").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("clogc"), F.sum("beside").alias("beside"), F.max("kind").alias("kind"))
     told = F.when(F.col("m") == 1, 1.0).otherwise(1 - F.col("clogc") / (F.col("m") * F.log("m")))
     tree = styles.groupBy("host", "node").agg(
         F.sum("m").alias("pages"), F.count("*").alias("styles"), F.sum(F.col("m") * F.log("m")).alias("mlogm"), F.sum(F.col("m") * told).alias("told"),
-        F.sum("beside").alias("beside"))
+        F.sum("beside").alias("beside"), F.max("kind").alias("kind"))
     damped = F.pow(F.lit(DAMPING), F.col("styles"))
     return tree.select(
-        "host", "node", "pages", "styles", F.when(F.col("pages") == 1, 1.0).otherwise(1 - F.col("mlogm") / (F.col("pages") * F.log("pages"))).alias("presentation"),
+        "host", "node", "kind", "pages", "styles", F.when(F.col("pages") == 1, 1.0).otherwise(1 - F.col("mlogm") / (F.col("pages") * F.log("pages"))).alias("presentation"),
         (F.col("told") / F.col("pages")).alias("content"), (F.col("beside") / F.col("pages")).alias("outside")).withColumn(
-        "importance", ((1 - damped) * F.col("presentation") + damped * F.col("content")) * (1 - F.col("outside")))
+        "importance", F.when(F.col("kind") == FURNITURE, 0.0).when(F.col("kind") == MAIN_ELEMENT, 1.0).otherwise(
+            ((1 - damped) * F.col("presentation") + damped * F.col("content")) * (1 - F.col("outside"))))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", into: str = "text", least: float = LEAST, table_branches: int = TABLE_BRANCHES) -> DataFrame:
     """The rows with the column ``into``, the main text."""
-    branches = stash(style_tree(pages, url, html).where(F.col("importance") < least).select("host", "node"), "branches")
+    # furniture has importance 0 on every host: pages know it without the tree
+    low = style_tree(pages, url, html).where((F.col("importance") < least) & (F.col("kind") != FURNITURE))
+    branches = stash(low.select("host", "node"), "branches")
     host, salt, removed = free_name(pages, "host"), free_name(pages, "salt"), free_name(pages, "removed")
     by_host = branches.groupBy(F.col("host").alias(host)).agg(F.collect_set("node").alias(removed))
     rows = pages.withColumn(host, host_of(url))

@@ -10,10 +10,12 @@ each pair of costs occurs in toxic and in ordinary training documents gives the
 pair its weight (a log odds ratio, zero where chance may explain it), and so a
 threshold on the toxic cost for each ordinary cost.
 
-A document's evidence is the highest weight of its windows, the next two, and
-how many windows it has (long texts meet more chances); a logistic curve fitted
-to the training documents turns it into a score. Whole texts are scored,
-each on its own.
+The evidence of a stretch of text is the highest weight of its windows, the next
+two, and how many windows it has (long stretches meet more chances); a logistic
+curve fitted to the training documents turns it into a score. Whole texts are
+scored, each on its own: a text's score is that of its most toxic stretch of
+``STRETCH`` words, each of which overlaps the next by half, so a toxic passage
+counts the same in a long text as in a short one.
 
 Defined cases: a null or empty text has no window, no evidence and the lowest
 score; without labelled rows of both classes every score is 0; letters of any
@@ -53,6 +55,8 @@ _GUARD = bytes(range(1, 17))
 LONGEST, OVERLAP, COSTS = 32, 16, 41
 #: Shorter texts count as so many windows: without evidence they are not suspicious.
 FEWEST = 32
+#: Words of a stretch.
+STRETCH = 600
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -141,6 +145,19 @@ def evidence_of(weights: list[float]) -> list[float]:
     return [top[0] if top else 0.0, sum(top[1:]), math.log1p(max(len(weights), FEWEST))]
 
 
+def evidence_of_stretches(weights: list[float]) -> np.ndarray:
+    """A row of evidence for each stretch of a text."""
+    n, half = len(weights), STRETCH // 2
+    if n <= STRETCH:
+        return np.array([evidence_of(weights)])
+    blocks = np.zeros((-(-n // half), half))
+    blocks.ravel()[:n] = weights
+    top = np.partition(blocks, half - 3, axis=1)[:, -3:]
+    top = np.sort(np.hstack([top[:-1], top[1:]]), axis=1)[:, :-4:-1]
+    held = np.minimum(STRETCH, n - half * np.arange(len(top)))
+    return np.column_stack([top[:, 0], top[:, 1] + top[:, 2], np.log1p(np.maximum(held, FEWEST))])
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Slopes and shift of a logistic curve, by Newton steps with a little shrinkage."""
     design = np.column_stack([x, np.ones(len(x))])
@@ -207,8 +224,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
         m = shared.value
         cache = Generations(lambda chunks: [m.chunk_weight(c) for c in chunks], 150_000)
         for batch in batches:
-            evidence = [evidence_of(cache.get(x.split()) if isinstance(x, str) else []) for x in batch]
-            yield pd.Series(m.scores(np.array(evidence, dtype=np.float64).reshape(-1, 3)), dtype="float64")
+            evidence = [evidence_of_stretches(cache.get(x.split()) if isinstance(x, str) else []) for x in batch]
+            if evidence:
+                first = np.cumsum([0] + [len(e) for e in evidence[:-1]])
+                yield pd.Series(np.maximum.reduceat(m.scores(np.concatenate(evidence)), first), dtype="float64")
+            else:
+                yield pd.Series([], dtype="float64")
 
     return docs.withColumn(into, of(F.col(text)))
 

@@ -1,14 +1,18 @@
 """Operator 1: a deterministic sharded writer of WARC archives, and a reader.
 
 Records are dealt into ranges of the page id that hold about equal payload
-bytes. A range is written by one task in order of id and digest; a file is
+bytes: ranges that hold too much are cut again, and a single id that does (or the
+null ids) is cut by digest, so neither outlying nor repeated ids fill one shard
+(only rows that agree in both stay together). Their number depends on the bytes
+alone. A range is written by one task in order of id, digest and url; a file is
 rolled once its compressed size reaches ``file_bytes``, so no task holds more
 than a record. Headers, record ids and digests are made anew from the rows, and
 each record is a gzip member of its own. A file is written under a temporary
 name, unlike any other attempt's, and then renamed; the names, sizes and digests
 of finished files form the manifest, a table that Spark commits last. Readers go
 by the manifest alone, so files of lost or repeated attempts never count, and
-the same rows give the same bytes again.
+the same rows give the same bytes again, however they are read or partitioned.
+What lost attempts left under temporary names is removed after the commit.
 
 Of records with equal payloads of at least ``revisit_bytes`` bytes, that with
 the largest page id is a response and the others revisit it (profile: identical
@@ -40,11 +44,15 @@ from pyspark.sql import functions as F
 from msgscreen.llm.common import scratch, small_batches, stash
 
 FILE_BYTES = 64 << 20
-SHARD_BYTES = 256 << 20
+SHARD_BYTES = 64 << 20
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Equal-width ranges of ids whose bytes the driver gathers to cut shards.
+#: Ranges of ids whose bytes the driver gathers to cut shards, in each round.
 BINS = 1 << 14
+#: A range is cut again while it holds more than this part of a shard.
+FINENESS = 4
+#: Bytes that a record counts beside its payload.
+HEADER_BYTES = 1024
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 MANIFEST = "file string, shard int, records long, bytes long, sha256 string, first_page_id long, last_page_id long"
 RECORDS = ("record_id string, record_type string, page_id long, url string, payload_bytes long, payload_digest string, "
@@ -119,6 +127,83 @@ def revisits(pages: DataFrame, revisit_bytes: int = 0) -> DataFrame:
     return hits.select("page_id", "sha1", "refers_to").distinct()
 
 
+class Ranges:
+    """Ranges of (id, digest) in ascending order, null ids first, and the shard of each.
+
+    ``edges``: the first id of each range of ids; ``parts``: into how many ranges of digests each is cut."""
+
+    def __init__(self, edges: np.ndarray, parts: np.ndarray, shards: np.ndarray | None = None):
+        self.edges, self.parts, self.shards = edges, parts, shards
+        self.base = np.concatenate([[0], np.cumsum(parts)])
+
+    def number(self, page_id: pd.Series, sha1: pd.Series) -> np.ndarray:
+        """Each row's range; the null ids' ranges come first."""
+        null = page_id.isna().to_numpy()
+        at = np.zeros(len(page_id), dtype=np.int64)
+        at[~null] = np.searchsorted(self.edges, page_id[~null].astype("Int64").to_numpy(dtype=np.int64), side="right")
+        out = self.base[at]
+        for i in np.flatnonzero(self.parts[at] > 1).tolist():
+            out[i] += int(sha1.iat[i][:15], 16) * int(self.parts[at[i]]) >> 60
+        return out
+
+    def numbers(self):
+        @F.pandas_udf("long")
+        def number(page_id: pd.Series, sha1: pd.Series) -> pd.Series:
+            return pd.Series(self.number(page_id.astype("string").map(int, na_action="ignore"), sha1))
+
+        return lambda page_id, sha1: number(F.col(page_id).cast("string"), F.col(sha1))
+
+    def shard_number(self):
+        @F.pandas_udf("int")
+        def shard(page_id: pd.Series, sha1: pd.Series) -> pd.Series:
+            return pd.Series(self.shards[self.number(page_id.astype("string").map(int, na_action="ignore"), sha1)].astype(np.int32))
+
+        return lambda page_id, sha1: shard(F.col(page_id).cast("string"), F.col(sha1))
+
+    @classmethod
+    def of(cls, keys: DataFrame, shards: int) -> Ranges:
+        """Ranges of ``keys`` (page_id, sha1, payload_bytes) for so many shards. Each round gathers a row per range."""
+        lowest, highest = keys.agg(F.min("page_id"), F.max("page_id")).first()
+        edges, ends = ([lowest], [highest]) if lowest is not None else ([], [])
+        parts = [1] * (len(edges) + 1)
+        while True:
+            ranges = cls(np.array(edges, dtype=np.int64), np.array(parts, dtype=np.int64))
+            sizes = np.zeros(int(ranges.base[-1]), dtype=np.int64)
+            weight = F.sum(F.col("payload_bytes") + HEADER_BYTES).alias("n")
+            for b, n in keys.groupBy(ranges.numbers()("page_id", "sha1").alias("b")).agg(weight).collect():
+                sizes[b] = n
+            most = int(sizes.sum()) // (FINENESS * shards) + 1
+            whole = np.add.reduceat(sizes, ranges.base[:-1])  # of all digests of a range
+            heavy = [i for i in range(len(parts)) if whole[i] > most and (i > 0 and edges[i - 1] < ends[i - 1] or parts[i] == 1)]
+            if shards == 1 or not heavy or len(parts) >= 4 * BINS:
+                break
+            pieces, new = max(2, BINS // len(heavy)), ([], [], [])
+            for i in range(len(parts)):
+                low, high = (edges[i - 1], ends[i - 1]) if i else (None, None)
+                if i not in set(heavy):
+                    cuts, n = [(low, high)], parts[i]
+                elif i and low < high:
+                    width = -(-(high - low + 1) // pieces)
+                    cuts, n = [(x, min(high, x + width - 1)) for x in range(low, high + 1, width)], 1
+                else:  # one id, or the null ids
+                    cuts, n = [(low, high)], min(pieces, -(-int(whole[i]) // most) + 1)
+                for c in cuts:
+                    new[0].append(c[0])
+                    new[1].append(c[1])
+                    new[2].append(n)
+            edges, ends, parts = new[0][1:], new[1][1:], new[2]
+        ranges.shards = np.minimum(shards - 1, (np.cumsum(sizes) - sizes) * shards // max(1, int(sizes.sum())))
+        return ranges
+
+
+def clean_up(root: str) -> None:
+    """Remove what attempts that were lost have left."""
+    fs, top = filesystems.FileSystem.from_uri(root)
+    for f in fs.get_file_info(filesystems.FileSelector(top, allow_not_found=True)):
+        if f.base_name.startswith("_temporary-"):
+            fs.delete_file(f.path)
+
+
 def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", revisit_bytes: int = 0,
                shards: int | None = None, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, date: str = DATE) -> DataFrame:
     """Write the archives under ``path`` (a URI) and return the manifest, which is at ``path``/manifest."""
@@ -130,25 +215,14 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
     rows = rows.withColumn("sha1", F.sha1(F.col("html").cast("binary")))
     keys = stash(rows.select("page_id", "sha1", F.octet_length("html").cast("long").alias("payload_bytes")), "warc-keys")
 
-    lowest, highest, total = keys.agg(F.min("page_id"), F.max("page_id"), F.sum("payload_bytes")).first()
-    lowest, highest, total = lowest or 0, highest or 0, total or 0
-    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_bytes))
-    width = max(1, -(-(highest - lowest + 1) // BINS))
-    bin_of = F.coalesce(((F.col("page_id") - lowest) / width).cast("int"), F.lit(0))
-    sizes = np.zeros(BINS, dtype=np.int64)
-    for b, n in keys.groupBy(bin_of.alias("b")).agg((F.sum("payload_bytes") + 1024 * F.count("*")).alias("n")).collect():  # at most BINS rows
-        sizes[b] = n
-    cut = np.minimum(shards - 1, (np.cumsum(sizes) - sizes) * shards // max(1, int(sizes.sum())))
-    starts = [int(x) for x in np.searchsorted(cut, np.arange(1, shards), side="left")]  # first bin of shards 1, 2, ...
-
-    @F.pandas_udf("int")
-    def shard_number(b: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(starts, b.to_numpy(), side="right").astype(np.int32))
+    total = keys.agg(F.sum("payload_bytes")).first()[0] or 0
+    shards = shards or max(1, -(-total // shard_bytes))
+    shard_number = Ranges.of(keys, shards).shard_number()
 
     hits = revisits(keys, revisit_bytes)
     known = rows.select("page_id", "sha1", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("refers_to"))
     told = hits.select("page_id", "sha1", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "refers_to")
-    both = known.unionByName(told).withColumn("shard", shard_number(bin_of))
+    both = known.unionByName(told).withColumn("shard", shard_number("page_id", "sha1"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         roller, held, repeat, target, done = None, None, 0, None, []
@@ -173,9 +247,10 @@ def write_warc(pages: DataFrame, path: str, page_id: str = "page_id", url: str =
         if done:
             yield manifest_rows(done)
 
-    written = both.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "page_id", "sha1", "kind")
+    written = both.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "page_id", "sha1", "kind", "url")
     written = written.select("shard", "kind", F.col("page_id").cast("string"), "sha1", "url", "html", F.col("refers_to").cast("string")).mapInPandas(write, MANIFEST)
     written.write.parquet(f"{path}/manifest")
+    clean_up(root)
     return spark.read.parquet(f"{path}/manifest")
 
 

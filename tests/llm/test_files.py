@@ -63,6 +63,42 @@ def test_archive_is_deterministic(spark, tmp_path):
     assert gzip.decompress(found[0][0][1]).startswith(b"WARC/1.1\r\nWARC-Type: ")
 
 
+def file_bytes(path):
+    return {f: hashlib.sha256(open(f"{path}/{f}", "rb").read()).hexdigest() for f in os.listdir(path) if f.endswith(".gz")}
+
+
+def test_archive_depends_on_the_rows_alone(spark, tmp_path):
+    """One id and text under several urls, in two orders, under two numbers of partitions; leftovers go."""
+    rows = [(7, f"http://u{i}/", "same") for i in range(6)] + [(i, "http://x/", "t" * i) for i in range(40)] + [(None, f"http://n{i}/", f"n{i}") for i in range(9)]
+    key, found = "spark.sql.shuffle.partitions", []
+    before = spark.conf.get(key)
+    try:
+        for n, order in (("4", rows), ("9", rows[::-1])):
+            spark.conf.set(key, n)
+            path = f"{tmp_path}/p{n}"
+            os.makedirs(path)
+            open(f"{path}/_temporary-lost-shard-000000.warc.gz", "wb").close()
+            warc.write_warc(spark.createDataFrame(order, "page_id long, url string, html string").repartition(int(n)), path, shard_bytes=200)
+            assert not any(f.startswith("_temporary") for f in os.listdir(path))
+            found.append(file_bytes(path))
+    finally:
+        spark.conf.set(key, before)
+    assert found[0] == found[1] and len(found[0]) >= 2
+
+
+@pytest.mark.parametrize("case", ["outlier", "hot id", "null ids", "dense", "far apart"])
+def test_archive_shards_are_about_equal(spark, tmp_path, case):
+    ids = {"outlier": [*range(200), 10**12], "hot id": [5] * 100 + list(range(200)), "null ids": [None] * 100 + list(range(200)), "dense": list(range(300)),
+           "far apart": [x for i in range(150) for x in (i - 2**62, 2**62 + i)]}[case]
+    rows = [(k, f"http://h/{i}", f"page {i} " + "x" * 3000) for i, k in enumerate(ids)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    manifest = warc.write_warc(df, f"{tmp_path}/a", shards=4)
+    held = {r.shard: r.n for r in manifest.groupBy("shard").agg(F.sum("records").alias("n")).collect()}
+    assert set(held) == set(range(4)) and max(held.values()) <= 1.7 * len(rows) / 4 and sum(held.values()) == len(rows)
+    order = [r.page_id for r in warc.read_warc(spark, f"{tmp_path}/a").withColumn("at", F.monotonically_increasing_id()).orderBy("file", "at").collect()]
+    assert order == sorted(ids, key=lambda k: (k is not None, k or 0))
+
+
 def test_archive_empty_and_damaged(spark, tmp_path):
     df = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     assert warc.archive(df.where("false"), f"{tmp_path}/e").count() == 0
@@ -80,7 +116,7 @@ def test_archive_empty_and_damaged(spark, tmp_path):
 
 
 def test_shards(docs, rows, none, tmp_path):
-    out = sharding.interleave(docs, 5, carry=("score", "SHARD") if False else ("lang",)).collect()
+    out = sharding.interleave(docs, 5, carry=("lang",)).collect()
     assert len(out) == len(rows) and Counter(r.doc_id for r in out) == Counter(i for i, _ in rows)
     sizes = Counter(r.shard for r in out)
     assert set(sizes) == set(range(5)) and max(sizes.values()) - min(sizes.values()) <= 1

@@ -82,10 +82,10 @@ def test_importance_by_the_formula(spark):
     by_node, seen = defaultdict(list), set()
     for _, _, source in rows:
         whole, found = Page(source or "").facts()
-        for node, style, content, beside in found:
+        for node, style, content, kind in found:
             if (node, whole) not in seen:
                 seen.add((node, whole))
-                by_node[node].append((style, content, beside))
+                by_node[node].append((style, content, kind))
     def entropy(values):
         m = len(values)
         return 1.0 if m == 1 else -sum(c / m * math.log(c / m, m) for c in Counter(values).values())
@@ -95,10 +95,21 @@ def test_importance_by_the_formula(spark):
         content = sum(len(c) / len(pages) * entropy(c) for c in styles.values())
         presentation, damped = entropy([s for s, _, _ in pages]), 0.9 ** len(styles)
         assert (r.pages, r.styles) == (len(pages), len(styles)) and r.outside == 0
-        assert abs(r.importance - ((1 - damped) * presentation + damped * content)) < 1e-9
+        assert abs(r.importance - ((1 - damped) * presentation + damped * content)) < 1e-9 and r.kind == sitetree.PLAIN
     assert not by_node
 
 
+def test_every_branch_of_the_tables_pages_is_in_the_tree(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    tree = sitetree.style_tree(pages).cache()
+    kinds = {r.kind: r["count"] for r in tree.groupBy("kind").count().collect()}
+    hosts = tree.select("host").distinct().count()
+    assert kinds[sitetree.MAIN_ELEMENT] == hosts and kinds[sitetree.FURNITURE] >= 3 * hosts
+    busy = tree.where("pages > 400").select("kind", "presentation", "content").collect()
+    # menus, adverts and footers come from few texts, articles from many
+    assert busy and max(r.content for r in busy if r.kind == sitetree.FURNITURE) < min(r.content for r in busy if r.kind == sitetree.MAIN_ELEMENT)
+
+
 def test_op11(spark):
     """The pages' generator puts the text into an article element: the same text by a pattern."""
     want = {}

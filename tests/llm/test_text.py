@@ -251,6 +251,41 @@ def test_toxicity_learns(spark):
     assert toxicity.classify(docs.where("false"), labels).count() == 0
 
 
+def plain_score(model, text):
+    """The score by its definition, one stretch and one word after the other."""
+    words = [max([float(model.weights[model.costs(w)]) for w in toxicity.windows(c)], default=0.0) for c in text.split()]
+    half, best = toxicity.STRETCH // 2, 0.0
+    starts = [0] if len(words) <= toxicity.STRETCH else range(0, len(words) - half, half)
+    for a in starts:
+        part = words[a:a + toxicity.STRETCH]
+        top = sorted(part, reverse=True)[:3]
+        x = [top[0] if top else 0.0, sum(top[1:]), np.log1p(max(len(part), toxicity.FEWEST))]
+        best = max(best, 1 / (1 + np.exp(-(np.dot(model.curve[:-1], x) + model.curve[-1]))))
+    return best
+
+
+def test_toxic_passages_count_in_long_texts(spark):
+    """As the plain scorer; a toxic text within 20,000 and 200,000 clean characters is found as often as alone."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    known = docs.join(labels, "doc_id").where("crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 0").select("text", "toxic").dropDuplicates(["text"]).collect()
+    toxic = [r.text for r in known if r.toxic == 1 and len(r.text) < 3000][:40]
+    clean = [w for r in sorted(known) if r.toxic == 0 for w in r.text.split()]
+    rng, texts = random.Random(3), []
+    for n in (0, 3500, 33_000):
+        for t in toxic:
+            a = rng.randrange(len(clean) - n)
+            at = rng.randrange(n + 1)
+            texts.append(" ".join([*clean[a:a + at], t, *clean[a + at:a + n]]))
+    texts += [" ".join(clean[i * 5000:(i + 1) * 5000 + 33]) for i in range(20)] + [" ".join(clean[:n]) for n in (599, 600, 601, 899, 900, 901, 1200)] + ["", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.score for r in toxicity.score(rows, model).orderBy("doc_id").collect()]
+    assert np.allclose(got, [plain_score(model, t or "") for t in texts], atol=1e-12)
+    found = np.array(got[:120]).reshape(3, 40) >= toxicity.THRESHOLD
+    assert found[0].mean() > 0.75 and all(f.mean() >= 0.9 * found[0].mean() for f in found[1:])
+    assert np.mean(np.array(got[120:140]) >= toxicity.THRESHOLD) <= 0.1
+
+
 def test_windows_cover_long_words():
     word = "abcdefghij" * 10
     parts = toxicity.windows(word.upper() + " 12 x-y")
