@@ -131,9 +131,9 @@ def risk_level(score: Column, otp: Column) -> Column:
             .otherwise(F.lit("safe")))
 
 
-def reasoning(tf, uf, otp: Column) -> Column:
-    """H6: fixed reason strings in fixed order joined by ', '."""
-    parts = F.array_compact(F.array(
+def reasons_found(tf, uf) -> Column:
+    """H6: the fixed reason strings that hold, in fixed order."""
+    return F.array_compact(F.array(
         F.when(tf("smishing_keywords") > 0.3, F.lit(D.REASON_SMISHING)),
         F.when(tf("spam_keywords") > 0.3, F.lit(D.REASON_SPAM)),
         F.when(tf("urgency_score") > 0.5, F.lit(D.REASON_URGENT)),
@@ -142,9 +142,13 @@ def reasoning(tf, uf, otp: Column) -> Column:
         F.when(uf("has_shortener") != 0, F.lit(D.REASON_SHORTENER)),
         F.when(uf("has_legitimate_domain") != 0, F.lit(D.REASON_LEGIT_DOMAIN)),
     ))
-    return (F.when(otp, F.lit(D.REASON_OTP))
-            .when(F.size(parts) == 0, F.lit(D.REASON_NONE))
-            .otherwise(F.array_join(parts, ", ")))
+
+
+def reasons(found: Column, otp: Column) -> Column:
+    """The reasons as an array: the OTP gate's alone, those found, or that there are none."""
+    return (F.when(otp, F.array(F.lit(D.REASON_OTP)))
+            .when(F.size(found) == 0, F.array(F.lit(D.REASON_NONE)))
+            .otherwise(found))
 
 
 def is_smishing(lbl: Column, tf, url_level: Column, upgrade: bool) -> Column:

@@ -122,15 +122,16 @@ def _score_levels(text_col: str, upgrade: bool) -> tuple:
         {"suspicious_indicators": _indicator_column(),
          **given({"otp": T.otp_gate(text, col("url_level"), col("_low")), "spam_score": T.spam_score(col, col)})},
         given({"label": T.label(s, col, col, otp), "confidence": T.confidence(s, otp),
-               "risk_level": T.risk_level(s, otp), "reasoning": T.reasoning(col, col, otp)}),
-        given({"is_spam": col("label").isin("spam", "smishing"),
+               "risk_level": T.risk_level(s, otp), "_found": T.reasons_found(col, col)}),
+        given({"reasons": T.reasons(col("_found"), otp), "is_spam": col("label").isin("spam", "smishing"),
                "is_smishing": T.is_smishing(col("label"), col, col("url_level"), upgrade)}),
+        {"reasoning": F.array_join("reasons", ", ")},
     )
 
 
 def score(df: DataFrame, text_col: str = "text", upgrade: bool = False) -> DataFrame:
     """H1–H7 (a null text has null results): add the URL columns, the 10 text-feature columns, ``otp``,
-    ``spam_score``, ``label``, ``confidence``, ``risk_level``, ``reasoning``,
+    ``spam_score``, ``label``, ``confidence``, ``risk_level``, ``reasons``, ``reasoning`` (the reasons joined),
     ``is_spam`` and ``is_smishing`` (with the H7 upgrade if ``upgrade``)."""
     for level in _score_levels(text_col, upgrade):
         df = df.withColumns(level)
@@ -165,6 +166,6 @@ def label_rollup(scored: DataFrame) -> DataFrame:
     aggregation map-side)."""
     reasons = scored.filter(F.col("label").isNotNull()).select(
         "label", "risk_level", "spam_score",
-        F.explode(F.split("reasoning", ", ")).alias("reason"))
+        F.explode("reasons").alias("reason"))
     return (reasons.groupBy("label", "risk_level", "reason")
             .agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("spam_score"), 6).alias("avg_score")))

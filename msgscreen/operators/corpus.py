@@ -93,11 +93,11 @@ def stratified_split(df: DataFrame, label_col: str = "label", key: str = "messag
     counts = h.groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(label_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     wl = Window.partitionBy(label_col)
-    # bounded: at most (#labels x 16**prefix) rows, so the broadcast is safe
+    # at most (labels x 16**prefix) rows; labels may be many (``unknown="keep"``), so the size at run time decides
     offsets = counts.select(label_col, "_b",
                             F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"),
                             F.sum("_c").over(wl).alias("_n"))
-    j = h.join(F.broadcast(offsets), [label_col, "_b"])
+    j = h.join(offsets, [label_col, "_b"])
     wb = Window.partitionBy(label_col, "_b").orderBy("_h", tie)
     r = F.col("_off") + F.row_number().over(wb)
     n = F.col("_n")

@@ -1,4 +1,4 @@
-"""Registered queries of the model operators: URL models (M2), mini-batch training (M3), percentiles."""
+"""Registered queries of URL models (M2), mini-batch training (M3), percentiles (E5, X6), sketches (U15) and the bucketed corpus (C11)."""
 
 from __future__ import annotations
 
@@ -7,14 +7,20 @@ import re
 
 from pyspark.sql import functions as F
 
+from ..operators import bucketed as BU
+from ..operators import corpus as CO
+from ..operators import evaluate as EV
 from ..operators import minibatch as MB
+from ..operators import models as MO
 from ..operators import percentiles as PC
+from ..operators import sketches as SK
 from ..operators import urlmodel as UM
 from ..operators import urls as UO
 from ..session import scratch_path
 from . import corpus_plan as CP
+from . import predictions as PR
 from . import traffic_plan as TP
-from .catalog import _aligned, _ts, r6, register
+from .catalog import _aligned, _round_all, _ts, r6, register
 from .message_view import message_view
 
 #: A caller's URL model for the registered queries: weights of counts in the host, and of a plain scheme.
@@ -109,3 +115,66 @@ def x6_sketch(spark, sf_dir):
     slack = F.lit(2 * PC.rank_error()) * F.col("n") + 1
     within = (F.col("below") <= wanted + slack) & (F.col("upto") >= wanted - slack)
     return counted.groupBy("date").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("shares"), F.bool_and(within).alias("within"))
+
+
+@register("u15_netloc_sketches")
+def u15_sketches(spark, sf_dir):
+    """Distinct senders and messages per domain from eight stored parts' merged sketches: within their error?"""
+    feats = UO.url_feature_rows(UO.url_rows(message_view(spark, sf_dir)))
+    path = scratch_path(spark, "domains")
+    SK.netloc_sketches(feats.withColumn("part", F.pmod(F.xxhash64("message_id"), F.lit(8))), ["part"]).write.parquet(path)
+    e = SK.estimates(SK.merged(spark.read.parquet(path)))
+    exact = UO.netloc_rollup(feats).select("netloc", "n_messages", "n_senders", F.col("n_urls").alias("n"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= SK.sender_bound(F.col(b))
+    return e.join(exact, "netloc").select("netloc", "n_urls", r6(F.col("avg_risk")).alias("avg_risk"), "n_senders", "n_messages",
+                                          (near("senders", "n_senders") & near("messages", "n_messages") & (F.col("n") == F.col("n_urls"))).alias("within"))
+
+
+@register("u15_top_domains_sketch")
+def u15_top(spark, sf_dir):
+    """The twenty most frequent domains from eight stored parts' merged frequent-items sketches."""
+    feats = UO.url_feature_rows(UO.url_rows(message_view(spark, sf_dir))).select("message_id", "netloc")
+    path = scratch_path(spark, "frequent")
+    SK.frequent_items(feats.withColumn("part", F.pmod(F.xxhash64("message_id"), F.lit(8))), "netloc", ["part"]).write.parquet(path)
+    return SK.top_items(spark.read.parquet(path), 20, "netloc")
+
+
+@register("c11_bucketed_integrate")
+def c11_bucketed(spark, sf_dir):
+    """As ``c11_incremental_integrate``, the old corpus bucketed; the batch comes in two deliveries that overlap."""
+    sources = CP.corpus_sources(message_view(spark, sf_dir))
+    old = CO.union_sources(sources[:2]).select(*CP.UNION_COLS)
+    corpus = BU.Corpus.create(old, buckets=16)
+    none = {"original_label": F.lit(None).cast("string"), "is_smishing": F.lit(False)}
+    new = CO.union_sources(sources[1:])
+    new = new.withColumns({k: v for k, v in none.items() if k not in new.columns}).select(*CP.UNION_COLS)
+    corpus.integrate(new.where("source <> 'documents'"))
+    corpus.integrate(new.where("source <> 'orders'"))
+    merged = CO.stratified_split(CO.priority_dedup(corpus.table().select(*CP.UNION_COLS)))
+    return merged.select("message_id", "label", "source", "split")
+
+
+def _strong_metrics(spark, sf_dir):
+    return EV.model_metrics(PR.strong_predictions(CP.split_corpus(spark, sf_dir).where("split = 'val'")))
+
+
+@register("e9_ensemble_candidates_strong")
+def e9_strong(spark, sf_dir):
+    """The 0.90 rule on models of which two pass it."""
+    return _round_all(EV.ensemble_candidates(_strong_metrics(spark, sf_dir)), ["f1_score", "weight"])
+
+
+@register("m5_weighted_ensemble_strong")
+def m5_strong(spark, sf_dir):
+    """The weighted ensemble of the models that pass, on the test split."""
+    weights = EV.ensemble_candidates(_strong_metrics(spark, sf_dir)).where("built").select("model", F.col("f1_score").alias("weight"))
+    preds = PR.strong_predictions(CP.split_corpus(spark, sf_dir).where("split = 'test'")).withColumnRenamed("pred", "label")
+    return MO.weighted(preds, weights).withColumn("confidence", r6(F.col("confidence")))
+
+
+@register("c7_split_leaks_found")
+def c7_leaks_found(spark, sf_dir):
+    """The leak check on a split with leaks: messages of the validation split whose md5 starts with 0 are in train, too."""
+    split = CP.split_corpus(spark, sf_dir)
+    leak = split.where("split = 'val' AND startswith(md5(message), '0')").withColumn("split", F.lit("train"))
+    return CO.split_leaks(split.unionByName(leak))
