@@ -39,6 +39,15 @@ def _any(low: Column, phrases: list[str]) -> Column:
     return out
 
 
+def _count_of(text: Column, chars: str) -> Column:
+    """How many characters of ``text`` are one of ``chars``: each is searched for byte by byte, where ``translate``
+    would look up every character of the text."""
+    left = text
+    for c in chars:
+        left = F.replace(left, F.lit(c), F.lit(""))
+    return F.length(text) - F.length(left)
+
+
 def _cap(x: Column, div: float) -> Column:
     return F.least(x / F.lit(div), F.lit(1.0))
 
@@ -56,19 +65,19 @@ def text_feature_columns(text: Column, low: Column | None = None) -> dict[str, C
     ascii_only = F.octet_length(text) == n
     caps = F.when(ascii_only, n - F.length(F.translate(text, ASCII_UPPER, ""))) \
         .otherwise(F.regexp_count(text, F.lit(UPPER_PATTERN)))
-    no_ascii_digit = F.length(F.translate(text, "0123456789", "")) == n
+    no_ascii_digit = ~text.rlike("[0-9]")
     runs = F.when(ascii_only & no_ascii_digit, F.lit(0)) \
         .otherwise(F.regexp_count(text, F.lit(DIGIT_RUN_PATTERN)))
     feats = {
         "length_score": (F.when(n < 20, F.lit(0.3)).when(n > 200, F.lit(0.4))
                          .otherwise(F.lit(0.0))),
         "caps_ratio": F.when(n > 0, F.least(caps / n * F.lit(2.0), F.lit(1.0))).otherwise(F.lit(0.0)),
-        "exclamation_score": _cap(n - F.length(F.translate(text, "!", "")), 3.0),
+        "exclamation_score": _cap(_count_of(text, "!"), 3.0),
         "spam_keywords": _cap(_hits(low, D.SPAM_KEYWORDS), 3.0),
         "smishing_keywords": _cap(_hits(low, D.SMISHING_KEYWORDS), 2.0),
         "legitimate_patterns": _cap(_hits(low, D.LEGITIMATE_PATTERNS), 2.0),
         "number_score": _cap(runs, 5.0),
-        "special_chars": _cap(n - F.length(F.translate(text, D.TEXT_SPECIAL_CHARS, "")), 5.0),
+        "special_chars": _cap(_count_of(text, D.TEXT_SPECIAL_CHARS), 5.0),
         "urgency_score": _cap(_hits(low, D.URGENCY_WORDS), 2.0),
         "money_score": _cap(_hits(low, D.MONEY_TOKENS), 2.0),
     }

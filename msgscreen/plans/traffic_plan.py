@@ -37,18 +37,19 @@ def arrivals(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
         (F.col("event_type") != "view").alias("via_sms"), F.to_date("ts").alias("date"), *more)
 
 
-#: Ids that share a range; a level's ranges share ranges of the next.
-RANGE_BITS = 12
+#: Ids that share a range agree in all but so many bits; a level's ranges share ranges of the next.
+RANGE_BITS = 20
 
 
 def id_places(ids: DataFrame, key: str) -> DataFrame:
     """(key, place): each distinct non-null id's place, from 0, in ascending order.
 
-    Prefix counts by levels of ranges of 2^12 neighbouring ids or ranges: no
-    window holds more than 4,096 rows, the last at most 2^16. Ids may be
-    sparse or negative; repeated ids collapse before the shuffle."""
+    Prefix counts by levels of ranges of 2^20 neighbouring ids or ranges: no
+    window holds more than 2^20 rows (two numbers each), the last at most 2^24,
+    and as many as a millionth of the ids' span. Ids may be sparse or negative;
+    repeated ids collapse before the shuffle."""
     levels = [ids.select(F.col(key).cast("long").alias("r")).where("r IS NOT NULL").groupBy("r").agg(F.lit(1).cast("long").alias("n"))]
-    for _ in range(4):
+    for _ in range(2):
         levels.append(levels[-1].groupBy(F.shiftright("r", RANGE_BITS).alias("r")).agg(F.sum("n").alias("n")))
     before = F.coalesce(F.sum("n").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     places = levels[-1].select("r", before.alias("place"))
