@@ -151,7 +151,7 @@ def test_sql_twins(spark, name):
 
 def test_all_registered():
     names = set(E.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert set(SQL) <= set(E.oracle_sql())
 
 
