@@ -164,7 +164,7 @@ class Page:
         for n in self.nodes:
             if self.has_main and n.in_main and not n.furniture:
                 up = n.parent
-                while up is not None and not up.encloses_main:
+                while up is not None and not up.encloses_main and not up.in_main:
                     up.encloses_main = True
                     up = up.parent
 
