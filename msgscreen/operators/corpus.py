@@ -149,6 +149,16 @@ def retraining_set(corpus: DataFrame, feedback: DataFrame, key: str = "message")
         F.when(F.col("b.prio") == 0, F.lit("feedback")).otherwise(F.lit("corpus")).alias("origin"))
 
 
+def retraining_changes(corpus: DataFrame, feedback: DataFrame, by: str, key: str = "message") -> DataFrame:
+    """C12 for many sets of corrections at once, as what differs from the corpus (one row per text): per ``by`` the corrected texts
+    with the label of the latest correction; ``known`` where the text takes the place of one of the corpus."""
+    best = F.min(F.struct((-F.col("timestamp").cast("double")).alias("neg_ts"), F.col("true_label").alias("label"))).alias("b")
+    fb = feedback.withColumn("_h", F.xxhash64("message")).groupBy(by, "_h", F.col("message").alias(key)).agg(best).select(by, "_h", key, F.col("b.label").alias("label"))
+    held = corpus.select(F.xxhash64(key).alias("_kh"), F.col(key).alias("_key"), F.lit(True).alias("_held"))
+    same = (F.col("_h") == F.col("_kh")) & F.col(key).eqNullSafe(F.col("_key"))
+    return fb.join(held, same, "left").select(by, key, "label", F.coalesce("_held", F.lit(False)).alias("known"))
+
+
 # FIXED VALUES: legitimate A2P message templates and their field lists.
 OTP_TEMPLATES = ["Your {service} verification code is {code}", "{code} is your {service} security code",
                  "Use {code} to verify your {service} account"]

@@ -135,5 +135,5 @@ def x4_live(spark, sf_dir):
     corpus = CP.corpus(spark, sf_dir).where("source IN ('pages', 'documents')")
     DE.start_feedback_chain(feed.withColumnsRenamed({"event_id": "feedback_id", "ts": "timestamp"}), f"{path}/out", f"{path}/ck", corpus).awaitTermination()
     taken = DE.read_corrections(spark, f"{path}/out").groupBy("trigger").agg(F.count(F.lit(1)).alias("corrections"), F.min("timestamp").alias("first_ts"), F.max("timestamp").alias("trigger_ts"))
-    sets = DE.read_retraining_sets(spark, f"{path}/out").groupBy("trigger").agg(F.count_if(F.col("origin") == "feedback").alias("from_feedback"), F.count_if(F.col("origin") == "corpus").alias("from_corpus"))
+    sets = DE.retraining_set_sizes(spark, f"{path}/out")
     return taken.join(sets, "trigger").select(F.col("trigger").cast("long").alias("trigger"), "corrections", _ts(F.col("first_ts")).alias("first_ts"), _ts(F.col("trigger_ts")).alias("trigger_ts"), "from_feedback", "from_corpus")

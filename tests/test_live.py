@@ -229,3 +229,23 @@ def test_deliveries_cover_all_rows(spark, tmp_path):
     rows = spark.range(1000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 60).alias("ts"))
     CL._deliver(rows, f"{tmp_path}/in", shuffled=True)
     assert spark.read.parquet(f"{tmp_path}/in").distinct().count() == 1000
+
+
+def test_sets_of_many_triggers_are_stored_once(spark, tmp_path):
+    """Two runs: the tables hold the corpus once a run, not once a trigger; the sets and their sizes are C12's."""
+    rng = random.Random(8)
+    rows = [(i, None if i % 40 == 7 else f"text {rng.randrange(150)}", "spam" if i % 3 else "ham", BASE + dt.timedelta(seconds=i)) for i in range(150)]
+    corpora = [spark.createDataFrame([(None if i == 1 else f"text {i}", "ham") for i in range(0, 200, step)] + [("text 0", "a")], "message string, label string") for step in (1, 3)]
+    out = f"{tmp_path}/out"
+    for run, (part, corpus) in enumerate(zip((rows[:80], rows[80:]), corpora, strict=True)):
+        stream = _feed(spark, f"{tmp_path}/in", DE.FEEDBACK, [part])
+        DE.start_feedback_chain(stream, out, f"{tmp_path}/ck", corpus, 10).awaitTermination()
+    parts, sizes = Parts(spark, out), {r.trigger: r for r in DE.retraining_set_sizes(spark, out).collect()}
+    assert parts.read("base", DE.BASE).count() == 200 + 67 and parts.read("changes", DE.CHANGES).count() <= 150 and len(sizes) == 15
+    sets, taken = DE.read_retraining_sets(spark, out), DE.read_corrections(spark, out)
+    from msgscreen.operators import corpus as CO
+    for k in (0, 4, 7, 8, 14):
+        want = CO.retraining_set(corpora[k >= 8], taken.where(F.col("trigger") == k))
+        got = sets.where(F.col("trigger") == k).drop("trigger")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), k
+        assert (sizes[k].from_feedback, sizes[k].from_corpus) == (want.where("origin = 'feedback'").count(), want.where("origin = 'corpus'").count())
