@@ -1,12 +1,14 @@
 """X7 and X8 live: the sender rate limit, sender sessions and volume spikes.
 
-The rate limit keeps its state per sender *and* time bucket. As in the batch
-form a row is placed in its own bucket and, as context, in the next, so a
-bucket's state holds every row its own rows have to count, a sender's traffic
-is spread over tasks by time, and state goes when its bucket is over. A bucket
-is answered when the watermark has passed its end: late rows within the
-watermark are counted like all others, and the answers equal the batch form's.
-State is kept in RocksDB, outside the heap.
+The rate limit keeps its state per time bucket *and* shard of senders (by hash):
+most senders send little, and a state, a timer and calls of their own for each
+sender and bucket would cost far more than counting. As in the batch form a row
+is placed in its own bucket and, as context, in the next, so a bucket's state
+holds every row its own rows have to count, a sender's traffic is spread over
+tasks by time, and state goes when its bucket is over. Rows are kept as they
+came, in Arrow chunks. A bucket is answered when the watermark has passed its
+end: late rows within the watermark are counted like all others, and the answers
+equal the batch form's. State is kept in RocksDB, outside the heap.
 
 Sessions are Spark's session windows: rows that arrive late merge the sessions
 they connect, and sessions of one task are merged before the shuffle, so a hot
@@ -20,6 +22,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -48,32 +51,41 @@ def stream_settings(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: Parts that a time bucket's senders are dealt to; part of the state's key, so a checkpoint goes on with its own number only.
+RATE_SHARDS = 64
+CHUNK = pa.schema([("us", pa.int64()), ("event_id", pa.string()), ("sender", pa.string()), ("own", pa.bool_())])
+
+
 class RateWindow(StatefulProcessor):
-    """Rows of one sender and time bucket; answers its own ones when the bucket is over."""
+    """Rows of one shard of senders and time bucket; answers its own ones when the bucket is over."""
 
     def __init__(self, limit: int, seconds: int):
         self.limit, self.seconds = limit, seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "us long, event_id string, own boolean")
+        self.chunks = handle.getListState("chunks", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for frame in rows:
-            self.rows.appendList(list(zip(frame["us"].tolist(), frame["event_id"].tolist(), frame["own"].tolist(), strict=True)))
+            batch = pa.RecordBatch.from_pandas(frame[CHUNK.names], CHUNK, preserve_index=False)
+            self.chunks.appendValue((batch.serialize().to_pybytes(),))
         self.handle.registerTimer((int(key[1]) + 1) * self.seconds * 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        rows = list(self.rows.get())
-        self.rows.clear()
-        us = np.array([r[0] for r in rows], dtype=np.int64)
-        own = np.array([r[2] for r in rows], dtype=bool)
-        ids = np.array([r[1] for r in rows], dtype=object)
-        line = np.sort(us)
-        recent = np.searchsorted(line, us, "right") - np.searchsorted(line, us - self.seconds * 1_000_000, "left")
+        rows = pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(c[0]), CHUNK) for c in self.chunks.get()], CHUNK).to_pandas()
+        self.chunks.clear()
+        own = rows["own"].to_numpy(dtype=bool)
         if own.any():
-            yield pd.DataFrame({"event_id": ids[own], "sender": key[0], "ts": pd.to_datetime(us[own], unit="us"), "recent": recent[own], "throttled": recent[own] > self.limit})
+            width = self.seconds * 1_000_000
+            us, sender = rows["us"].to_numpy(), pd.factorize(rows["sender"], use_na_sentinel=False)[0].astype(np.int64)
+            # one line for all senders, so far apart that nobody's window reaches another's rows (a state spans two buckets)
+            at = sender * (3 * width + 1) + (us - (int(key[1]) - 1) * width)
+            line, mine = np.sort(at), at[own]
+            recent = np.searchsorted(line, mine, "right") - np.searchsorted(line, mine - width, "left")
+            yield pd.DataFrame({"event_id": rows["event_id"].to_numpy()[own], "sender": rows["sender"].to_numpy()[own], "ts": pd.to_datetime(us[own], unit="us"),
+                                "recent": recent, "throttled": recent > self.limit})
 
     def close(self) -> None:
         pass
@@ -84,7 +96,8 @@ def sender_rate_stream(stream: DataFrame, limit: int = D.SENDER_RATE_LIMIT, seco
     s = stream.withWatermark("ts", watermark).select(F.col("event_id").cast("string").alias("event_id"), "sender", "ts", F.unix_micros("ts").alias("us"))
     bucket = F.floor(F.col("us") / F.lit(seconds * 1_000_000)).cast("long")
     s = s.withColumn("place", F.explode(F.array(F.struct(bucket.alias("bucket"), F.lit(True).alias("own")), F.struct((bucket + 1).alias("bucket"), F.lit(False).alias("own")))))
-    return (s.select("event_id", "sender", "ts", "us", "place.bucket", "place.own").groupBy("sender", "bucket")
+    s = s.withColumn("shard", F.pmod(F.xxhash64("sender"), F.lit(RATE_SHARDS)).cast("int"))
+    return (s.select("event_id", "sender", "ts", "us", "shard", "place.bucket", "place.own").groupBy("shard", "bucket")
             .transformWithStateInPandas(RateWindow(limit, seconds), RATE_OUT, "append", "EventTime")
             .withColumn("event_id", F.col("event_id").cast(stream.schema["event_id"].dataType)))
 

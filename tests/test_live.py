@@ -249,3 +249,20 @@ def test_sets_of_many_triggers_are_stored_once(spark, tmp_path):
         got = sets.where(F.col("trigger") == k).drop("trigger")
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), k
         assert (sizes[k].from_feedback, sizes[k].from_corpus) == (want.where("origin = 'feedback'").count(), want.where("origin = 'corpus'").count())
+
+
+def test_many_senders_share_states(spark, tmp_path):
+    """5,000 senders in three buckets: a state a shard and bucket, not a sender and bucket; answers are the batch form's."""
+    schema = "event_id long, ts timestamp, sender string"
+    rows = [(i, BASE + dt.timedelta(seconds=i % 170), None if i % 97 == 0 else f"s{i * 7919 % 5000}") for i in range(9000)]
+    rows += [(9000 + i, BASE + dt.timedelta(seconds=60 * (i % 3), microseconds=i % 2), "s1") for i in range(30)]  # at the buckets' edges
+    stream = _feed(spark, f"{tmp_path}/in", schema, [rows, [(None, BASE + dt.timedelta(days=9), None)]])
+    with ST.stream_settings(spark):
+        q = (ST.sender_rate_stream(stream, 1, 60, "1 minute").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+    updated = max(p["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress if p["stateOperators"])
+    assert updated < 5 * 4 * ST.RATE_SHARDS  # chunks and timers of four buckets
+    batch = TR.sender_rate_limit(spark.createDataFrame(rows, schema), 1, 60)
+    cols = ["event_id", "sender", "ts", "recent", "throttled"]
+    assert sorted(map(str, spark.read.schema(batch.select(*cols).schema).parquet(f"{tmp_path}/out").select(*cols).collect())) == sorted(map(str, batch.select(*cols).collect()))
