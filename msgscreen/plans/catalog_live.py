@@ -12,6 +12,7 @@ from ..streaming import delivery as DE
 from ..streaming import jobs as SJ
 from ..streaming import ordered as OG
 from ..streaming import stateful as ST
+from ..streaming.parts import ddl
 from . import corpus_plan as CP
 from . import traffic_plan as TP
 from .catalog import _SALT, _classified, _landed, _money, _overrides, _round_all, _sms, _ts, r6, register
@@ -21,19 +22,29 @@ from ..sources.tables import table
 DELAY = dt.timedelta(hours=6)
 
 
-def _deliver(rows: DataFrame, path: str, shuffled: bool, files: int = 6) -> DataFrame:
-    """Write rows as files in order of arrival and read them as a stream, one file a micro-batch.
+#: A delivery of more rows comes as several files, which tasks write and read side by side.
+FILE_ROWS = 100_000
 
-    ``shuffled``: each row arrives up to ``DELAY`` after its time, by a hash of its id."""
+
+def _deliver(rows: DataFrame, path: str, shuffled: bool, files: int = 6, file_rows: int = FILE_ROWS) -> DataFrame:
+    """Write rows as ``files`` deliveries in order of arrival and read them as a stream, one delivery a micro-batch.
+
+    ``shuffled``: each row arrives up to ``DELAY`` after its time, by a hash of its id.
+    All deliveries have the same number of files (empty ones fill up), so that a micro-batch never mixes two."""
     spark = rows.sparkSession
     wait = F.pmod(F.xxhash64("event_id"), F.lit(int(DELAY.total_seconds()) - 1)) if shuffled else F.lit(0)
     arrival = rows.withColumn("_at", F.unix_seconds("ts") + wait)
     cuts = arrival.agg(F.percentile_approx("_at", [i / files for i in range(1, files)], 1000).alias("c")).first().c or []
     number = sum((F.when(F.col("_at") > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    arrival = arrival.withColumn("_file", number)
+    arrival.withColumn("_file", number).drop("_at").write.partitionBy("_file").parquet(f"{path}-sorted")
+    dealt = spark.read.schema(f"{ddl(rows)}, _file int").parquet(f"{path}-sorted")
+    most = max((r["count"] for r in dealt.groupBy("_file").count().collect()), default=0)  # a row a delivery
+    each = max(1, -(-most // file_rows))
     for i in range(files):
-        arrival.where(F.col("_file") == i).drop("_at", "_file").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        dealt.where(F.col("_file") == i).drop("_file").repartition(each).write.mode("append").parquet(path)
+        for _ in range((i + 1) * each - len(spark.read.schema(rows.schema).parquet(path).inputFiles())):
+            spark.createDataFrame([], rows.schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(path)
 
 
 def _closing(rows: DataFrame) -> DataFrame:

@@ -266,3 +266,20 @@ def test_many_senders_share_states(spark, tmp_path):
     batch = TR.sender_rate_limit(spark.createDataFrame(rows, schema), 1, 60)
     cols = ["event_id", "sender", "ts", "recent", "throttled"]
     assert sorted(map(str, spark.read.schema(batch.select(*cols).schema).parquet(f"{tmp_path}/out").select(*cols).collect())) == sorted(map(str, batch.select(*cols).collect()))
+
+
+@pytest.mark.parametrize("ties", [1, 900])
+def test_large_deliveries_are_several_files_and_one_batch_each(spark, tmp_path, ties):
+    """Also where most rows arrive at once, so that other deliveries are smaller or empty."""
+    second = F.when(F.col("id") < ties, 0).otherwise(F.col("id"))
+    rows = spark.range(1000).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1704067200) + second * 60).alias("ts"))
+    stream, seen = CL._deliver(rows, f"{tmp_path}/in", shuffled=False, files=6, file_rows=50), []
+
+    def step(batch, n):
+        seen.append(tuple(batch.agg(F.count(F.lit(1)), F.count_distinct("file"), F.min("ts"), F.max("ts")).first()))
+
+    stream.withColumn("file", F.input_file_name()).writeStream.foreachBatch(step).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+    assert sum(s[0] for s in seen) == 1000 and len(seen) == 6
+    held = [s for s in seen if s[0]]
+    assert all(a[3] < b[2] for a, b in zip(held, held[1:], strict=False))
+    assert [s[1] for s in held] == [4] * 6 if ties == 1 else held[0][1] > 10 and len(held) < 6
