@@ -9,8 +9,8 @@ loss, and the best evaluation's weights as the result.
 A step is a Spark job over its batch: every task sums its rows' gradients into
 one vector per hashed token, Spark adds the tasks' vectors up, and the sum (at
 most ``DIMS`` numbers) updates the weights, which the next step broadcasts. The
-training rows are written once, sorted by batch, so that a step's filter reads
-only its own row groups. A batch is ``rows / steps`` rows: with more data the
+training rows are written once, a folder a batch, so that a step reads only its
+own rows. A batch is ``rows / steps`` rows: with more data the
 batches grow, not their number.
 
 Rows are dealt to batches by a hash of their id and the seed, epochs visit the
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import scratch_path
 
 #: Hashed tokens; the last weight is the bias.
 DIMS = 1 << 16
@@ -176,21 +176,24 @@ class Trained:
 
 
 def prepare(split_df: DataFrame, rules: Rules, text: str = "message", id_col: str = "message_id") -> DataFrame:
-    """(tokens, y, split, batch) written once, sorted by batch."""
+    """(tokens, y, split, batch), each batch in a few partitions (more with more shuffle partitions)."""
     rows = features(split_df.where(F.col(text).isNotNull() & F.col("split").isin("train", "val")), text)
     rows = rows.select("tokens", F.coalesce((F.col("label") == "spam").cast("double"), F.lit(0.0)).alias("y"), "split",
-                       F.pmod(F.xxhash64(F.col(id_col), F.lit(rules.seed)), F.lit(rules.steps)).cast("int").alias("batch"))
-    return rows.repartitionByRange("split", "batch", F.xxhash64("tokens")).sortWithinPartitions("split", "batch")
+                       F.pmod(F.xxhash64(F.col(id_col), F.lit(rules.seed)), F.lit(rules.steps)).cast("int").alias("batch"),
+                       F.pmod(F.xxhash64(F.col(id_col), F.lit(rules.seed + 1)), F.lit(_parts(split_df))).alias("_part"))
+    return rows.repartition("split", "batch", "_part").drop("_part")
+
+
+def _parts(df: DataFrame) -> int:
+    """Files of a batch, read side by side."""
+    return max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
 
 
 def train(split_df: DataFrame, rules: Rules = Rules(), text: str = "message", id_col: str = "message_id", path: str | None = None) -> Trained:
-    """Train on ``split`` train, evaluate on val; ``path`` (else a checkpoint) takes the prepared rows."""
-    rows = prepare(split_df, rules, text, id_col)
-    if path:
-        rows.write.mode("overwrite").parquet(path)
-        rows = split_df.sparkSession.read.parquet(path)
-    else:
-        rows = materialize(rows)
+    """Train on ``split`` train, evaluate on val; ``path`` (else a scratch path) takes the prepared rows."""
+    spark, path = split_df.sparkSession, path or scratch_path(split_df.sparkSession, "batches")
+    prepare(split_df, rules, text, id_col).write.mode("overwrite").partitionBy("split", "batch").parquet(path)
+    rows = spark.read.schema("tokens array<int>, y double, split string, batch int").parquet(path)
     learn, held = rows.where("split = 'train'"), rows.where("split = 'val'")
     adam, stopper, curve, step = Adam(rules.decay), Stopper(rules.patience), [], 0
     for epoch in range(rules.epochs):

@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -153,6 +154,19 @@ def test_a_step_reads_its_own_batch(spark):
     assert rows.where("size(tokens) = 0").count() == 1          # the empty message
 
 
+def test_each_step_opens_only_its_batchs_files(spark, monkeypatch):
+    opened, gradient = [], MB._gradient
+
+    def noted(batch, weights):
+        opened.append(re.findall(r"PartitionFilters: \[[^\]]*batch#\d+ = (\d+)\)", batch._jdf.queryExecution().executedPlan().toString()))
+        return gradient(batch, weights)
+
+    monkeypatch.setattr(MB, "_gradient", noted)
+    rules = MB.Rules(epochs=1, steps=8, warm_up=3, eval_every=8)
+    MB.train(_corpus(spark, False), rules)
+    assert opened == [[str(b)] for b in rules.order(0)]
+
+
 def test_percentiles_equal_the_builtin(spark):
     n = 40_000
     g = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 7 == 1, None).otherwise(F.col("id") % 50)  # one group holds a third
