@@ -8,6 +8,8 @@ compiles into one whole-stage-codegen projection.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,19 +26,37 @@ DIGIT_RUN_PATTERN = r"\p{Nd}+"
 TEXT_SPECIAL_PATTERN = "[" + D.TEXT_SPECIAL_CHARS + "]"
 
 
-def _hits(low: Column, phrases: list[str]) -> Column:
-    out = F.lit(0)
-    for p in phrases:
-        out = out + low.contains(p).cast("int")
+def probes(phrases: list[str], least: int = 4) -> list[tuple[str, list[str]]]:
+    """The phrases dealt into groups, each with a string that all of the group contain (a phrase alone: itself): one search
+    for it tells that a text holds none of them. The largest groups are formed first."""
+    left, out = list(phrases), []
+    while left:
+        parts = {p[i:j] for p in left for i in range(len(p)) for j in range(i + least, len(p) + 1)} | set(left)
+        probe = max(sorted(parts), key=lambda x: (sum(x in p for p in left), len(x)))
+        group = [p for p in left if probe in p]
+        if len(group) == 1:
+            return out + [(p, [p]) for p in left]
+        out.append((probe, group))
+        left = [p for p in left if probe not in p]
     return out
 
 
+def _found(low: Column, phrases: list[str], all_of, nothing):
+    """Per group of :func:`probes`: ``all_of`` its phrases' tests where the probe is found, else ``nothing`` (null for a null text)."""
+    for probe, group in probes(phrases):
+        if len(group) == 1:
+            yield all_of([low.contains(probe)])
+        else:
+            tests = [F.lit(True) if p == probe else low.contains(p) for p in group]
+            yield F.when(low.contains(probe), all_of(tests)).when(low.isNotNull(), F.lit(nothing))
+
+
+def _hits(low: Column, phrases: list[str]) -> Column:
+    return reduce(lambda a, b: a + b, _found(low, phrases, lambda tests: reduce(lambda a, b: a + b, [t.cast("int") for t in tests]), 0))
+
+
 def _any(low: Column, phrases: list[str]) -> Column:
-    out = None
-    for p in phrases:
-        c = low.contains(p)
-        out = c if out is None else (out | c)
-    return out
+    return reduce(lambda a, b: a | b, _found(low, phrases, lambda tests: reduce(lambda a, b: a | b, tests), False))
 
 
 def _count_of(text: Column, chars: str) -> Column:

@@ -130,3 +130,21 @@ def test_null_texts_have_no_score(spark):
     assert r["b"]["label"] is not None
     assert C.label_rollup(C.score(df)).filter("label IS NULL").count() == 0
     assert C.batch_classify(df).filter("message_id = 'a' AND error IS NOT NULL").count() == 1
+
+
+def test_phrases_are_searched_in_groups(spark):
+    """One search tells that a text holds none of a group; the counts are those of single searches, null texts stay null."""
+    from msgscreen import dictionaries as D
+    lists = [D.SPAM_KEYWORDS, D.SMISHING_KEYWORDS, D.LEGITIMATE_PATTERNS, D.URGENCY_WORDS, D.MONEY_TOKENS, D.OTP_PHRASES, D.ANTI_OTP_PHRASES]
+    for phrases in lists:
+        groups = T.probes(phrases)
+        assert sorted(p for _, g in groups for p in g) == sorted(phrases) and all(probe in p for probe, g in groups for p in g)
+    assert sum(len(T.probes(x)) for x in lists) < 0.85 * sum(map(len, lists))
+    every = [p for x in lists for p in x]
+    texts = [*every, *[p[1:] for p in every], *[f"{a} {b}" for a, b in zip(every, every[7:], strict=False)], " ".join(every), "", None]
+    low = F.col("low")
+    rows = spark.createDataFrame([(t,) for t in texts], "low string").select("low", *[c.alias(f"{k}{i}") for i, x in enumerate(lists) for k, c in (("n", T._hits(low, x)), ("any", T._any(low, x)))]).collect()
+    for r in rows:
+        for i, x in enumerate(lists):
+            want = None if r.low is None else sum(p in r.low for p in x)
+            assert r[f"n{i}"] == want and r[f"any{i}"] == (None if want is None else want > 0)
