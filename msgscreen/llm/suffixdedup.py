@@ -8,7 +8,8 @@ Which strings can meet: each string of ``LENGTH`` bytes has an anchor, its
 anchors. A run of successive strings with one anchor value is a context, the
 text from the run's first byte to its last string's end. A string that repeats
 stands in contexts of one anchor value; where that value has a single context,
-with a single anchor, nothing repeats. All other contexts are dealt to shards by
+with a single anchor, nothing repeats; where every context of the value came more
+than once, all their strings repeat. All other contexts are dealt to shards by
 anchor value, equal contexts once with their count. Each shard is one text, its
 suffixes are sorted by induced sorting, and permuted common prefixes of
 ``LENGTH`` or more with a neighbour mark the strings that repeat; strings of a
@@ -133,8 +134,13 @@ def repeated_runs(docs: DataFrame, text: str) -> DataFrame:
 
     one = found.groupBy(*CONTEXT).agg(F.count("*").alias("copies"), F.min(F.struct("_name", "place")).alias("at"))
     size = F.shiftright("at.place", 1).bitwiseAND(F.lit(0x7FFFFFFF)) + LENGTH
-    one = one.withColumn("bytes", F.sum(size).over(Window.partitionBy("anchor")))
-    one = stash(one.select(*CONTEXT, "copies", "at._name", "at.place", F.ceil(F.col("bytes") / SHARD_BYTES).cast("int").alias("blocks")), "repeat-distinct")
+    of_anchor = Window.partitionBy("anchor")
+    one = one.withColumns({"bytes": F.sum(size).over(of_anchor), "least": F.min("copies").over(of_anchor)})
+    one = stash(one.select(*CONTEXT, "copies", "at._name", "at.place", "least", F.ceil(F.col("bytes") / SHARD_BYTES).cast("int").alias("blocks")), "repeat-distinct")
+    # where all contexts of an anchor value came more than once, each string repeats and there is nothing to sort
+    strings = F.shiftright("place", 1).bitwiseAND(F.lit(0x7FFFFFFF))
+    settled = one.where("least > 1").select(*CONTEXT, F.array(F.lit(0).cast("long")).alias("from"), F.array(strings).alias("to"))
+    one = one.where("least = 1")
 
     wanted = one.groupBy("_name").agg(F.collect_list(F.struct(*CONTEXT, "copies", "place", "blocks")).alias("cuts"))
     test = passing(one, bit_filter(one.select("_name").distinct(), "_name"))
@@ -151,7 +157,7 @@ def repeated_runs(docs: DataFrame, text: str) -> DataFrame:
             yield pd.DataFrame(out, columns=[*CONTEXT, "copies", "strings", "blocks", "bytes"])
 
     pieces = texts.join(wanted, "_name").select("_text", "cuts").mapInPandas(cut, "anchor long, context long, other long, copies long, strings long, blocks int, bytes binary")
-    total = one.agg(F.sum(F.shiftright("place", 1).bitwiseAND(F.lit(0x7FFFFFFF)) + LENGTH)).first()[0] or 0
+    total = one.agg(F.sum(strings + LENGTH)).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     pieces = spread_blocks(pieces, "blocks", "context")
     lot = F.when(F.col("blocks") > 1, F.col("anchor")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards)))
@@ -165,7 +171,7 @@ def repeated_runs(docs: DataFrame, text: str) -> DataFrame:
 
     marked = (pieces.select("split", "shard", "i", "j", *CONTEXT, "copies", "strings", "bytes").repartition("split", "shard", "i", "j")
               .sortWithinPartitions("split", "shard", "i", "j", *CONTEXT).mapInPandas(sort, "anchor long, context long, other long, from array<long>, to array<long>"))
-    marked = stash(marked, "repeat-marked")
+    marked = stash(marked, "repeat-marked").unionByName(settled)
     hits = found.join(marked, CONTEXT).select("_name", "place", F.explode(F.arrays_zip("from", "to")).alias("x"))
     base = F.shiftright("place", 32)
     hits = hits.select("_name", (base + F.col("x.from")).alias("from"), (base + F.col("x.to")).alias("to")).distinct()

@@ -167,6 +167,19 @@ def test_repeats_in_blocks(spark, monkeypatch):
         assert Counter((r.doc_id, r["cut"].n_bytes, r["cut"].n_removed, r["cut"].n_spans, hashlib.sha256(r["cut"].kept).hexdigest()) for r in got) == brute_repeats(rows)
 
 
+def test_contexts_that_all_came_more_than_once_are_not_sorted(spark, monkeypatch):
+    rng, kept, stash = random.Random(6), {}, suffixdedup.stash
+    monkeypatch.setattr(suffixdedup, "stash", lambda df, tag: kept.setdefault(tag, stash(df, tag)))
+    copies = [(i, t) for i, t in enumerate([words(rng, 80) for _ in range(5)] * 3)]
+    near = copies[0][1]
+    for rows, sorts in ((copies, False), ([*copies, (20, near[:300] + "!" + near[300:])], True)):
+        kept.clear()
+        got = suffixdedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert Counter((r.doc_id, r["cut"].n_bytes, r["cut"].n_removed, r["cut"].n_spans, hashlib.sha256(r["cut"].kept).hexdigest()) for r in got) == brute_repeats(rows)
+        marked = kept["repeat-marked"].count()
+        assert kept["repeat-distinct"].count() > marked and (marked > 0) == sorts
+
+
 def test_texts_whose_sums_agree_share_nothing(spark):
     """Two texts of blocks that swap two bytes by the parity of the index's bits: sums of powers of any odd number agree."""
     rng = np.random.default_rng(8)
