@@ -72,6 +72,10 @@ def some(texts, most: int = TOGETHER) -> Iterator[list[str]]:
         yield held
 
 
+def chunks_of(text: str) -> list[str]:
+    return [x for x in _WHITE.split(text) if x] if any(c in text for c in _SEPARATORS) else text.split()
+
+
 class ChunkCache:
     """``encode(chunks)`` gives the ids of each chunk as little-endian unsigned 32-bit bytes."""
 
@@ -85,22 +89,5 @@ class ChunkCache:
             return b"".join(self.special.get(x) or self._plain(x) for x in self.special_at.split(text))
         return self._plain(text)
 
-    @staticmethod
-    def _chunks(text: str) -> list[str]:
-        return [x for x in _WHITE.split(text) if x] if any(c in text for c in _SEPARATORS) else text.split()
-
     def _plain(self, text: str) -> bytes:
-        return b"".join(self.known.get(self._chunks(text)))
-
-    def ids_of(self, texts: list[str]) -> list[bytes]:
-        """:meth:`ids` of many texts, their new chunks encoded in one call."""
-        parts = [None if self.special_at and "<|" in t else self._chunks(t) for t in texts]
-        known = self.known.get([c for p in parts if p is not None for c in p])
-        out, at = [], 0
-        for t, p in zip(texts, parts, strict=True):
-            if p is None:
-                out.append(self.ids(t))
-            else:
-                out.append(b"".join(known[at:at + len(p)]))
-                at += len(p)
-        return out
+        return b"".join(self.known.get(chunks_of(text)))

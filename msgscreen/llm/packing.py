@@ -46,12 +46,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from msgscreen.llm.bpe import byte_symbols
-from msgscreen.llm.chunks import BEYOND, SPLIT, ChunkCache, some
+from msgscreen.llm.chunks import BEYOND, SPLIT, chunks_of, some
 from msgscreen.llm.common import hold, small_batches, stash
+from msgscreen.llm.wordtable import Encoded, WordTable
 
 CAPACITY = 2048
 CLOSING_ID = 0
-#: Chunks that a Python worker remembers, in each of two generations.
+#: Words that a Python worker remembers, in each of two generations.
 CHUNKS_KEPT = 900_000
 STEP = 0.4
 PRICED = 56
@@ -68,8 +69,8 @@ RANGES = 1024
 
 
 @lru_cache(maxsize=2)
-def library_ids(path: str, kept: int = CHUNKS_KEPT) -> ChunkCache:
-    """Ids by the tokenizers library, a chunk at a time, in this thread."""
+def library_ids(path: str, kept: int = CHUNKS_KEPT) -> WordTable:
+    """Ids by the tokenizers library, many new words at a time, in this thread."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
     from tokenizers.pre_tokenizers import WhitespaceSplit
@@ -80,47 +81,54 @@ def library_ids(path: str, kept: int = CHUNKS_KEPT) -> ChunkCache:
     end = np.zeros(t.get_vocab_size(), dtype=bool)
     end[[i for x, i in t.get_vocab().items() if x.endswith("</w>")]] = True
 
-    # the model alone, for words that are prepared here: letters up to Latin, in lower case, as symbols of their bytes
+    # the model alone, for words that are prepared here: text up to Latin, in lower case, as symbols of its bytes
     plain = Tokenizer(t.model)
     plain.pre_tokenizer = WhitespaceSplit()
     of_byte = byte_symbols()
-    letters = {chr(c).lower() for c in range(0x80, 0x250)}  # some small forms lie beyond
-    symbols = {ord(c): "".join(of_byte[b] for b in c.encode()) for x in letters for c in x if c > "\x7f"}
+    small = {c for x in range(0x250) for c in chr(x).lower()}  # some small forms lie beyond
+    symbols = {ord(c): x for c in small - {" "} if (x := "".join(of_byte[b] for b in c.encode())) != c}
 
-    def is_word(chunk: str) -> bool:
-        """A single word that may be prepared here (the small form of U+0130 is a letter and a mark)."""
-        return chunk.isalpha() and not BEYOND.search(chunk) and "\u0130" not in chunk
-
-    def encode_words(chunks: list[str], text: str, tokenizer, words: list[int]) -> list[bytes]:
-        """Many chunks in one call: a word's last token, and no other, ends a word."""
-        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+    def encode_words(text: str, words: np.ndarray) -> Encoded:
+        """Words in small letters with a space between, ``words`` for each result: a word's last token, and no other, ends a word."""
+        ids = np.array(plain.encode_batch_fast([text.translate(symbols)], add_special_tokens=False)[0].ids, dtype=np.uint32)
         ends = np.concatenate([[0], np.flatnonzero(end[ids]) + 1])
-        borders = (4 * ends[np.cumsum([0, *words])]).tolist()
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip(borders[:-1], borders[1:], strict=True)]
-
-    def encode(chunks: list[str]) -> list[bytes]:
-        words, several, out = [], [], {}
-        for c in chunks:
-            if is_word(c):
-                words.append(c)
-            elif BEYOND.search(c):  # the library's to split: alone
-                out[c] = np.array(t.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            else:
-                several.append(c)
-        text = " ".join(words).lower().translate(symbols)
-        out.update(zip(words, encode_words(words, text, plain, [1] * len(words)), strict=True))
-        counts = [len(SPLIT.findall(unicodedata.normalize("NFC", c).lower())) for c in several]
-        out.update(zip(several, encode_words(several, " ".join(several), t, counts), strict=True))
-        return [out[c] for c in chunks]
-
-    return ChunkCache(encode, special, kept)
+        if len(ends) - 1 != words.sum():
+            raise ValueError("the vocabulary does not end each word with a token of its own")
+        borders = ends[np.concatenate([[0], np.cumsum(words)])]
+        return ids, borders[:-1], np.diff(borders)
+
+    def words_of(chunk: str) -> list[str]:
+        if chunk.isalpha() and "\u0130" not in chunk:  # its small form is a letter and a mark
+            return [chunk.lower()]
+        return SPLIT.findall(unicodedata.normalize("NFC", chunk).lower())
+
+    def encode(new: list[bytes]) -> Encoded:
+        """Words of ASCII stand ready, other chunks are split here, those past Latin by the library."""
+        ready, split, beyond = [], [], []
+        for i, w in enumerate(new):
+            (ready if w.isascii() and b"'" not in w else beyond if BEYOND.search(w.decode()) else split).append(i)
+        parts = [(ready, encode_words(b" ".join([new[i] for i in ready]).decode(), np.ones(len(ready), np.int64)))]
+        found = [[w for c in chunks_of(new[i].decode()) for w in words_of(c)] for i in split]
+        parts.append((split, encode_words(" ".join([w for x in found for w in x]), np.array([len(x) for x in found], np.int64))))
+        apart = [x.ids for x in t.encode_batch_fast([new[i].decode() for i in beyond], add_special_tokens=False)] if beyond else []
+        counts = np.array([len(x) for x in apart], np.int64)
+        parts.append((beyond, (np.array([i for x in apart for i in x], np.uint32), np.cumsum(counts) - counts, counts)))
+        start, count, n = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), 0
+        for where, (ids, first, size) in parts:
+            start[where], count[where] = first + n, size
+            n += len(ids)
+        return np.concatenate([x[0] for _, x in parts]), start, count
+
+    def whole(text: str) -> bytes:
+        return np.array(t.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    return WordTable(encode, whole, special, kept)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text",
            closing: int = CLOSING_ID, with_ids: bool = False, chunks_kept: int = CHUNKS_KEPT) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) and, if asked for, ids (binary): a row per piece.
-    ``chunks_kept`` bounds what a Python worker remembers."""
+    ``chunks_kept`` bounds the words that a Python worker remembers."""
     small_batches(docs.sparkSession)
     tail = np.array([closing], dtype="<u4").tobytes()
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from msgscreen.llm import bpe, packing, quality, queries, toxicity
+from msgscreen.llm import bpe, packing, quality, queries, toxicity, wordtable
 from msgscreen.llm.chunks import Generations
 
 from .conftest import SF0001, VOCABULARY, words
@@ -163,6 +163,33 @@ def test_texts_together_have_the_ids_of_each(rows):
     assert cache.ids_of(texts) == [cache.ids(t) for t in texts]
 
 
+def test_word_table_like_library(library, monkeypatch):
+    """Long words, long texts cut into blocks, and a table that forgets."""
+    rng = random.Random(9)
+    letters = "aabcdEÉèñẖßİ 's 't're'LL 0123!?.,-\n\t\x00\x01\x1c\x7f\x85\xa0Σς漢字\U0001f600́̇"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(800)]
+    texts += ["H\u0331 h\u0331 I\u0307 K\u212a A\u030a", "a'b'c'd", "x" * 24 + " " + "x" * 25 + " " + "X" * 25, "é" * 12 + " " + "é" * 13, "ab " * 500 + "c" * 3000, "", " ", "\u00a0", "'"]
+    texts += ["<|endoftext|>", "a<|startoftext|>B, <|endoftext|>\x00 c", words(rng, 3000)]
+    want = [packed(ids_of(library, t)) for t in texts]
+    monkeypatch.setattr(wordtable.blocks, "__defaults__", (100,))
+    for kept in (1, 200, 1_000_000):
+        table = packing.library_ids.__wrapped__(VOCABULARY, kept)
+        got = table.ids_of(texts) + [i for n in range(0, len(texts), 7) for i in table.ids_of(texts[n:n + 7])]
+        assert got == want * 2
+        assert table.young.n + table.old.n > 0 and (kept > 200 or table.old.n > 0)
+
+
+def test_a_word_is_encoded_once(library):
+    """Whatever its case and what stands beside it."""
+    table, asked = packing.library_ids.__wrapped__(VOCABULARY), []
+    encode = table.encode
+    table.encode = lambda new: asked.extend(new) or encode(new)
+    texts = ["Winding, WINDING (winding)", "winding. Winding7 ...winding,", "7 winding"]
+    for _ in range(2):
+        assert table.ids_of(texts) == [packed(ids_of(library, t)) for t in texts]
+    assert sorted(asked) == sorted([b"winding", b",", b"(", b")", b".", b"7", b"..."])
+
+
 def plain_best_fit(counts, capacity):
     rooms = []
     for length in sorted(counts, reverse=True):
