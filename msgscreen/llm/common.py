@@ -118,20 +118,36 @@ def small_batches(spark: SparkSession, rows: int = 128) -> None:
 
 #: Bits of a filter; it has this size whatever the input.
 FILTER_BITS = 26
+#: Parts in which it reaches the driver, and tasks that put them together.
+FILTER_SLICES, FILTER_TASKS = 2048, 32
 
 
 def bit_filter(keys: DataFrame, key: str) -> np.ndarray:
     """A table of ``2 ** FILTER_BITS`` bits in which each (well mixed, long) key has set two.
 
-    It is gathered as at most ``2 ** (FILTER_BITS - 5)`` words of 32 bits. With
-    very many keys it lets more others pass; a join behind it decides.
+    Tasks put slices of it together, so at most ``FILTER_SLICES`` rows, its own
+    size, are gathered. With very many keys it lets more others pass; a join
+    behind it decides.
     """
     bits = 1 << FILTER_BITS
+    width = bits // 32 // FILTER_SLICES
     spots = [F.pmod(F.col(key), F.lit(bits)), F.pmod(F.shiftright(key, FILTER_BITS), F.lit(bits))]
     words = (keys.select(F.explode(F.array(*spots)).alias("bit")).select((F.col("bit") / 32).cast("int").alias("word"), (F.col("bit") % 32).cast("int").alias("bit"))
-             .groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toPandas())
+             .groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")))
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table, seen = np.zeros(bits // 32, np.uint32), np.zeros(FILTER_SLICES, dtype=bool)
+        for batch in batches:
+            word = batch["word"].to_numpy(dtype=np.int64)
+            table[word] = batch["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+            seen[word // width] = True
+        held = np.flatnonzero(seen).tolist()
+        yield pd.DataFrame({"slice": held, "bits": [table[k * width:(k + 1) * width].tobytes() for k in held]}, columns=["slice", "bits"])
+
+    slices = words.repartition(FILTER_TASKS, (F.col("word") / width).cast("int")).mapInPandas(put, "slice int, bits binary")
     table = np.zeros(bits // 32, np.uint32)
-    table[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+    for k, raw in slices.collect():
+        table[k * width:(k + 1) * width] = np.frombuffer(raw, np.uint32)
     return table
 
 

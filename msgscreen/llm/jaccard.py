@@ -115,25 +115,27 @@ def profile(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, np.ndar
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=size)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n_shingles": [len(s) for s in sets], "signature": [signature(s) for s in sets], "slice": -1, "counts": None})
         width = size // _SLICES
-        packed = np.minimum(counts, 65535).astype(np.uint16)
-        yield pd.DataFrame({"doc_id": None, "text_hash": 0, "n_shingles": 0, "signature": 0, "slice": range(_SLICES), "counts": [packed[i * width:(i + 1) * width].tobytes() for i in range(_SLICES)]})
+        packed = np.minimum(counts, 65535).astype(np.uint16).reshape(_SLICES, width)
+        yield pd.DataFrame({"doc_id": None, "text_hash": 0, "n_shingles": packed.sum(axis=1, dtype=np.int64), "signature": 0, "slice": range(_SLICES), "counts": [x.tobytes() for x in packed]})
 
     rows = stash(docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"), text_hash(text).alias("text_hash")).mapInPandas(
         run, "doc_id string, text_hash long, n_shingles long, signature long, slice int, counts binary"), "jaccard-profile")
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    slices = rows.where("slice >= 0")
+    mean = (slices.agg(F.sum("n_shingles")).first()[0] or 0) / size
+
+    def levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch["slice"], batch["counts"], strict=True):
                 total[k] = total.get(k, 0) + np.frombuffer(raw, np.uint16).astype(np.int64)
-        yield pd.DataFrame({"slice": list(total), "counts": [x.astype("<i8").tobytes() for x in total.values()]}, columns=["slice", "counts"])
-
-    sums = rows.where("slice >= 0").select("slice", "counts").repartition(_SLICES, "slice").mapInPandas(add, "slice int, counts binary")
-    counts = np.zeros(size, np.int64)
-    for k, raw in sums.collect():  # the table's fixed size
-        part = np.frombuffer(raw, "<i8")
-        counts[k * len(part):(k + 1) * len(part)] = part
-    level = np.log2(np.maximum(1, counts / (4 * counts.mean() + 8))).astype(np.uint8)
+        level = [np.log2(np.maximum(1, x / (4 * mean + 8))).astype(np.uint8).tobytes() for x in total.values()]
+        yield pd.DataFrame({"slice": list(total), "level": level}, columns=["slice", "level"])
+
+    level = np.zeros(size, np.uint8)  # a byte a bucket, its fixed size: the counts themselves stay with the tasks
+    for k, raw in slices.select("slice", "counts").repartition(_SLICES, "slice").mapInPandas(levels, "slice int, level binary").collect():
+        part = np.frombuffer(raw, np.uint8)
+        level[k * len(part):(k + 1) * len(part)] = part
     return rows.where("slice < 0").select(F.col("doc_id").cast(kind).alias("doc_id"), "text_hash", "n_shingles", "signature"), level
 
 

@@ -8,9 +8,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from msgscreen.llm import jaccard, pstable, queries, suffixdedup, topk
-from msgscreen.llm.common import bit_filter, components, may_be_in
+from msgscreen.llm.common import FILTER_BITS, FILTER_SLICES, bit_filter, components, may_be_in
 from msgscreen.llm.suffixes import hashes_of, permuted_common_prefixes, suffix_array
 
 from .conftest import SF0001, words
@@ -48,6 +49,46 @@ def test_bit_filter(spark):
     assert may_be_in(table, np.arange(1000, 2000) * 7919 * 104729).sum() < 5
 
 
+@pytest.fixture
+def gathered(monkeypatch):
+    """(rows, bytes of their binary cells) of each result that collect() brings to the driver."""
+    found = []
+
+    def collect(self, of=DataFrame.collect):
+        out = of(self)
+        found.append((len(out), sum(len(x) for r in out for x in r if isinstance(x, bytes | bytearray))))
+        return out
+
+    monkeypatch.setattr(DataFrame, "collect", collect)
+    return found
+
+
+def test_bit_filter_is_gathered_at_its_own_size(spark, gathered):
+    """The driver gets slices of the table, not a row for each of its words."""
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")  # the default, with which toPandas() collects
+    try:
+        table = bit_filter(spark.range(20_000).select(F.xxhash64("id").alias("k")), "k")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    assert gathered and max(n for n, _ in gathered) <= FILTER_SLICES and sum(size for _, size in gathered) <= table.nbytes
+    keys = np.array([r.k for r in spark.range(20_000).select(F.xxhash64("id").alias("k")).collect()])
+    want = np.zeros(1 << FILTER_BITS, dtype=bool)
+    for spot in (keys % (1 << FILTER_BITS), (keys >> FILTER_BITS) % (1 << FILTER_BITS)):
+        want[spot] = True
+    assert (np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool) == want).all()
+
+
+def test_shingle_levels_are_made_by_tasks(spark, rows, gathered):
+    """A byte for each bucket reaches the driver, not its count; the levels are those of all counts."""
+    rows = rows + [(100 + i, rows[0][1]) for i in range(50)] + [(200 + i, rows[3][1]) for i in range(20)]
+    _, level = jaccard.profile(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text")
+    size = 1 << jaccard.COUNT_BITS
+    assert sum(n for _, n in gathered) == size
+    found = np.concatenate([jaccard.shingles(t) for _, t in rows])
+    counts = np.bincount((found >> np.uint64(64 - jaccard.COUNT_BITS)).astype(np.int64), minlength=size)
+    assert (level == np.log2(np.maximum(1, counts / (4 * counts.mean() + 8))).astype(np.uint8)).all() and set(level.tolist()) == {0, 1, 2}
+
+
 def brute_jaccard(rows):
     sets = []
     for _, t in rows:
